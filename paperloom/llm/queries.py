@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import leak, mix, neardup, split
+from paperloom.llm import leak, mix, names, neardup, split
 from paperloom.session import shared_dir
 from paperloom.sources.tables import table
 
@@ -18,6 +18,22 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.unionByName(papers)
 
 
+def _spellings(rows: DataFrame, name: str = "name") -> DataFrame:
+    return rows.groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of spellings in `authors.name` that denote one person or institution."""
+    return names.name_pairs(names.NameLinks(_spellings(table(spark, sf, "authors"))).entities)
+
+
+def p2_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """The entity of every spelling in `authors.name`, `authors.normalized_name` and `papers.authors`."""
+    authors, papers = table(spark, sf, "authors"), table(spark, sf, "papers")
+    every = _spellings(authors).unionByName(_spellings(authors, "normalized_name")).unionByName(_spellings(papers.select(F.explode("authors").alias("name"))))
+    return names.clusters(names.NameLinks(every).entities)
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of chunks, and of abstracts, whose sets of 3-word runs are at least 0.6 alike."""
     found = neardup.NearDuplicates(_records(spark, sf), k=3, threshold=0.6)
@@ -67,7 +83,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix.mix_shares(mix.mix_sources(tokens, targets), tokens, targets)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_pieces, p7_found, p7_report, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p5_found, p5_pieces, p7_found, p7_report, p8_mix, p8_shares)}
 
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
