@@ -136,8 +136,8 @@ class NameLinks:
     ``entities``: ``name, entity``, one row per spelling that is a name; null, blank and nobody's spellings are left out.
     Spellings are linked when their surnames agree up to one slip and their given names agree up to one slip, a short
     form or an initial; an initial or an ambiguous short form is linked only where one full name fits. Two surnames one
-    edit apart stay apart when the first letter differs or both are in use with several given names and built of usual
-    letter groups; two given names stay apart when both are usual. Differing middle initials stay apart.
+    edit apart stay apart when the first letter differs, or when both have several given names, built of usual letter
+    groups, and the rarer one has a given name of its own; two given names stay apart when both are usual. Differing middle initials stay apart.
     """
 
     def __init__(self, names: DataFrame):
@@ -207,8 +207,13 @@ class NameLinks:
         pairs = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
         swapped = (F.substring("a", 1, 1) == F.substring("b", 2, 1)) & (F.substring("a", 2, 1) == F.substring("b", 1, 1))
         ua, ub = (use.select(F.col("s").alias(x), F.col("givens").alias(f"{x}g"), F.col("usual").alias(f"{x}u")) for x in "ab")
-        apart = (F.col("ag") > 1) & (F.col("bg") > 1) & (F.least("au", "bu") * 4 >= F.greatest("au", "bu"))
-        linked = cut(pairs.where((F.substring("a", 1, 1) == F.substring("b", 1, 1)) | swapped).join(ua, "a").join(ub, "b").where(~apart))
+        close = pairs.where((F.substring("a", 1, 1) == F.substring("b", 1, 1)) | swapped).join(ua, "a").join(ub, "b")
+        # A slip is made by people who also use the right spelling; a surname of its own has people of its own.
+        of_a, of_b = (people.select(F.col("s").alias(x), "kind", "f") for x in "ab")
+        common = close.select("a", "b").join(of_a, "a").join(of_b, ["b", "kind", "f"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+        fewer = F.least("ag", "bg")
+        apart = (fewer > 1) & (F.col("common") < fewer) & (F.least("au", "bu") * 4 >= F.greatest("au", "bu"))
+        linked = cut(close.join(common, ["a", "b"], "left").withColumn("common", F.coalesce("common", F.lit(0))).where(~apart))
         # Each person points to the best other spelling of the surname, if that is better established than its own.
         p = people.select("kind", "f", F.col("s").alias("a"), F.col("n").alias("an"), F.col("ms").alias("am"))
         q = people.select("kind", "f", F.col("s").alias("b"), F.col("n").alias("bn"), F.col("ms").alias("bm"))
