@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import leak, mix, names, neardup, split
+from paperloom.llm import leak, mix, names, neardup, split, subjects
 from paperloom.session import shared_dir
 from paperloom.sources.tables import table
 
@@ -83,7 +83,24 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix.mix_shares(mix.mix_sources(tokens, targets), tokens, targets)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p5_found, p5_pieces, p7_found, p7_report, p8_mix, p8_shares)}
+def _areas(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    areas = [r["subject_code"] for r in table(spark, sf, "subjects").select("subject_code").distinct().collect()]
+    model = subjects.fit(documents, table(spark, sf, "subject_labels"), areas)
+    return subjects.classify(documents, model)
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Areas that at least a quarter of a document's sentences are about."""
+    return _areas(spark, sf).select("doc_id", "subject_code")
+
+
+def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and characters of each area in the whole corpus."""
+    return subjects.composition(_areas(spark, sf), table(spark, sf, "documents"), table(spark, sf, "subjects"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p5_found, p5_pieces, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_composition)}
 
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 

@@ -1,8 +1,7 @@
 """Subject areas of documents: complement naive Bayes on labelled documents, refined by expectation-maximisation over
 all documents, with calibrated independent posteriors per sentence.
 
-Features are words and pairs of neighbouring words, hashed into a fixed number of buckets, so the model has one fixed
-size whatever the corpus. The weight of a feature for an area compares its count in the whole corpus with what its count
+Features are word stems, hashed into a fixed number of buckets, so the model has one fixed size whatever the corpus. The weight of a feature for an area compares its count in the whole corpus with what its count
 outside the area leads one to expect; general words weigh nothing for any area. Each sentence gets the posterior of each
 area on its own, and a document has the areas that hold in a given share of its sentences.
 """
@@ -26,7 +25,7 @@ ROUNDS = 2
 SHARE = 0.25
 SMOOTH = 0.2
 #: Of a sentence's summed weights, of no area at all (beside 0 for an area without evidence), and of the shares of a document.
-SHARPNESS, NOTHING, DOUBT = 1.0, 3.0, 0.1
+SHARPNESS, NOTHING, DOUBT = 2.0, 3.0, 0.1
 
 _HEADING = re.compile(r"(?m)^[ \t]*#.*$")
 _QUOTE = re.compile(r"(?m)^[ \t]*>[ \t]?")
@@ -66,32 +65,23 @@ class _Stems(dict):
 
 
 _STEMS = _Stems()
-_PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def features(texts: Sequence[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket and sentence of every feature, and the text of every sentence; sentences are numbered over all texts."""
     hashes: list[int] = []
     lengths: list[int] = []
-    firsts: list[int] = []
     owner: list[int] = []
     for i, t in enumerate(texts):
         for s in sentences(t):
             n = len(hashes)
             for w in _WORD.findall(s.lower()):
-                h = _STEMS[w]
-                firsts.append(h[-1])
-                hashes.extend(h)
+                hashes.extend(_STEMS[w])
             lengths.append(len(hashes) - n)
             owner.append(i)
     h = np.fromiter(hashes, np.uint64, len(hashes))
     of = np.repeat(np.arange(len(lengths)), lengths)
-    pair = (h[:-1] * _PAIR ^ h[1:])[of[:-1] == of[1:]]
-    pair ^= pair >> np.uint64(29)
-    every = np.concatenate([h, pair])
-    where = np.concatenate([of, of[:-1][of[:-1] == of[1:]]])
-    order = np.argsort(where, kind="stable")
-    return (every % np.uint64(buckets)).astype(np.int64)[order], where[order], np.array(owner, np.int64)
+    return (h % np.uint64(buckets)).astype(np.int64), of, np.array(owner, np.int64)
 
 
 def weights(inside: np.ndarray, total: np.ndarray, smooth: float = SMOOTH) -> np.ndarray:
