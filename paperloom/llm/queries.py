@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import leak, mix, names, neardup, split, subjects
+from paperloom.llm import leak, mix, names, neardup, ocr, split, subjects
 from paperloom.session import shared_dir
 from paperloom.sources.tables import table
 
@@ -40,6 +40,16 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.id_pairs(found).withColumnRenamed("kind", "record_kind")
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Kinds of scanner noise in each chunk."""
+    return ocr.ScanNoise(table(spark, sf, "chunks")).damage
+
+
+def p4_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """The damaged chunks as repaired, continuous paragraphs."""
+    return ocr.ScanNoise(table(spark, sf, "chunks")).repaired
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Sections longer than 1,200 characters."""
     return split.oversized(split.split_sections(table(spark, sf, "paper_markdown")))
@@ -100,7 +110,7 @@ def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
     return subjects.composition(_areas(spark, sf), table(spark, sf, "documents"), table(spark, sf, "subjects"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p5_found, p5_pieces, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p4_found, p4_repaired, p5_found, p5_pieces, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_composition)}
 
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 

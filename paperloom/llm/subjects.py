@@ -222,7 +222,7 @@ def fit(documents: DataFrame, labels: DataFrame, areas: Sequence[str], rounds: i
     spark = documents.sparkSession
     known = labels.where(F.col("subject_code").isin(list(areas))).groupBy("doc_id").agg(F.array_sort(F.collect_set("subject_code")).alias("codes"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    sample = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id").orderBy("doc_id").toPandas()
+    sample = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()  # at most most_labelled rows
     model, base_in, base_all = start(sample["text"].tolist(), [frozenset(c) for c in sample["codes"]], areas, buckets)
     if not len(sample):
         return model
