@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.plans import hygiene
+from paperloom.plans import hygiene, search
 
-FLAGSHIP = "p1_chunk_citations"
-MODULES = (hygiene,)
+FLAGSHIP = "bm25_topk"
+MODULES = (hygiene, search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
