@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.plans import hygiene, search
+from paperloom.plans import hygiene, network, search
 
 FLAGSHIP = "bm25_topk"
-MODULES = (hygiene, search)
+MODULES = (hygiene, search, network)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
