@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paperloom.functions.columns import once
 from paperloom.functions.text import first_sentence, tokenize
 
 K1, B, TOP_K, ROUTE = 1.5, 0.75, 10, 0.45
@@ -40,7 +41,7 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float =
     leave the scan of the corpus; null texts have no tokens.
     """
     q = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    d = docs.select("doc_id", tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
+    d = once(docs.select("doc_id", "text"), {"tokens": tokenize(F.coalesce("text", F.lit("")))}).drop("text")
     terms = if_small(q.select("term").distinct())
     tf = d.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
