@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,34 +63,46 @@ def month_window(month, today):
 
 
 class VersionedTable:
-    """A Parquet table of which every write is a new folder; a small pointer file names the one in force.
+    """A Parquet table in hash buckets of its key; a small pointer file names the folder in force of each bucket.
 
-    A reader sees either the old or the new version, and a write that fails half way leaves the old one. The pointer is
-    written through Hadoop's file system, so it works on any shared storage.
+    An upsert reads and rewrites only the buckets its rows fall into, as new folders, and then appends one pointer line;
+    a reader sees either the old or the new version, and a write that fails half way leaves the old one. Everything goes
+    through Hadoop's file system, so it works on any shared storage.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 16):
+        self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), list(keys), buckets
 
-    def _current(self) -> str | None:
+    def _pointers(self) -> list[str]:
         try:
-            rows = self.spark.read.text(f"{self.path}/_current").orderBy(F.desc("value")).limit(1).collect()
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
+            return sorted(r["value"] for r in self.spark.read.text(f"{self.path}/_versions").collect())  # one line a write
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return None
-        return rows[0]["value"].split(" ")[1] if rows else None
-
-    def read(self) -> DataFrame | None:
-        version = self._current()
-        return None if version is None else self.spark.read.parquet(f"{self.path}/{version}")
-
-    def write(self, df: DataFrame) -> None:
-        known = self.spark.read.text(f"{self.path}/_current").count() if self._current() else 0
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(f"{known + 1:012d} {version}",)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/_current")
-
-    def upsert(self, updates: DataFrame, keys: Sequence[str], **how) -> None:
-        old = self.read()
-        self.write(merge_upsert(old if old is not None else updates.limit(0), updates, keys, **how))
+            return []
+
+    def folders(self) -> dict[int, str]:
+        """The folder in force of each bucket that has rows."""
+        held: dict[int, str] = {}
+        for line in self._pointers():
+            _, version, *changed = line.split(" ")
+            held |= {int(b): f"{self.path}/{version}/_bucket={b}" for b in changed}
+        return held
+
+    def read(self, only: Sequence[int] | None = None) -> DataFrame | None:
+        """The table, or its buckets ``only``; None if there is nothing yet."""
+        paths = [f for b, f in sorted(self.folders().items()) if only is None or b in only]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def upsert(self, updates: DataFrame, **how) -> None:
+        """:func:`merge_upsert` of the rows; an empty update writes nothing."""
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        touched = sorted(r["b"] for r in updates.select(bucket.alias("b")).distinct().collect())  # at most `buckets`
+        if not touched:
+            return
+        old = self.read(touched)
+        merged = merge_upsert(old if old is not None else updates.limit(0), updates, self.keys, **how)
+        version, number = f"v-{uuid.uuid4().hex}", len(self._pointers()) + 1
+        merged.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(f"{self.path}/{version}")
+        line = " ".join([f"{number:012d}", version, *map(str, touched)])
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/_versions")

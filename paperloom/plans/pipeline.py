@@ -129,7 +129,7 @@ def stream_incremental(spark: SparkSession, sf: str) -> DataFrame:
     source = f"{sf}/papers.parq*"
     for _ in range(2):
         incremental.load_incrementally(spark, source, p.select("paper_id", "ingested_at").schema, f"{at}/table", f"{at}/seen", ["paper_id"])
-    return store.VersionedTable(spark, f"{at}/table").read().select("paper_id")
+    return store.VersionedTable(spark, f"{at}/table", ["paper_id"]).read().select("paper_id")
 
 
 def stream_latency_window(spark: SparkSession, sf: str) -> DataFrame:

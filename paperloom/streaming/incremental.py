@@ -17,8 +17,8 @@ def load_incrementally(spark: SparkSession, source: str, schema, target: str, ch
     replayed upserts the same rows again.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    table = VersionedTable(spark, target)
-    query = stream.writeStream.foreachBatch(lambda batch, _: table.upsert(batch, keys, **how)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    table = VersionedTable(spark, target, keys)
+    query = stream.writeStream.foreachBatch(lambda batch, _: table.upsert(batch, **how)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
