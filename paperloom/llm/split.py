@@ -10,14 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LIMIT, OVERLAP = 1200, 150
+from paperloom.operators.chunking import sections
 
-_FENCE = re.compile(r"\s*(?:```|~~~)")
-_ATX = re.compile(r"#{1,6}\s+(.*?)\s*#*\s*$")
-_UNDERLINE = re.compile(r"\s*(?:=+|-+)\s*$")
-#: First characters of list, quote, table and heading lines, which are no underlined headings.
-_NO_TITLE = tuple("*-+>|#")
-FRONT = "Front Matter"
+LIMIT, OVERLAP = 1200, 150
 
 #: Boundaries from strong to weak; a cut falls after the match.
 _BOUNDARIES = (
@@ -32,40 +27,6 @@ _BOUNDARIES = (
 PIECES = "paper_id string, section string, section_index int, section_chars int, n_pieces int, piece_index int, chunk_index int, start int, n_chars int, overlap int, text string"
 
 
-def sections(markdown: str | None) -> list[tuple[str, str]]:
-    """Title and trimmed body of each section that has a body, in order.
-
-    Headings are ``#`` lines and lines directly followed by an underline of ``=`` or ``-``; neither exists inside
-    fences, and list, quote, table and ``#`` lines are never underlined headings. What comes before the first heading is
-    a section. Null and blank texts have none.
-    """
-    found: list[tuple[str, list[str]]] = [(FRONT, [])]
-    fenced = False
-    lines = (markdown or "").splitlines()
-    skip = False
-    for line, after in zip(lines, [*lines[1:], ""], strict=True):
-        if skip:
-            skip = False
-        elif _FENCE.match(line):
-            fenced = not fenced
-            found[-1][1].append(line)
-        elif fenced:
-            found[-1][1].append(line)
-        elif (s := line.strip()) and not s.startswith(_NO_TITLE) and _UNDERLINE.match(after):
-            found.append((_title(s), []))
-            skip = True
-        elif m := _ATX.match(line):
-            found.append((_title(m[1]), []))
-        else:
-            found[-1][1].append(line)
-    bodies = ((title, "\n".join(body).strip()) for title, body in found)
-    return [x for x in bodies if x[1]]
-
-
-def _title(raw: str) -> str:
-    return " ".join(raw.replace("*", "").replace("`", "").split()) or FRONT
-
-
 def boundaries(text: str) -> tuple[list[int], list[int]]:
     """Positions after which the text may be cut, ascending, and the strength of each."""
     best: dict[int, int] = {}
@@ -133,7 +94,7 @@ def split_sections(papers: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
             out = []
             for paper_id, text in zip(batch["paper_id"], batch["text"], strict=True):
                 index = 0
-                for k, (title, body) in enumerate(sections(text)):
+                for k, (title, _, body) in enumerate(sections(text)):
                     spans, before = split_balanced(body, limit, overlap), 0
                     for i, (s, e) in enumerate(spans):
                         out.append((paper_id, title, k, len(body), len(spans), i, index, s, e - s, max(before - s, 0), body[s:e]))
