@@ -61,7 +61,7 @@ def feed_days(spark: SparkSession, first: str, last: str, get_day: Callable[[str
     """
     if first > last:
         raise ValueError(f"first day {first} is after {last}")
-    days = spark.sql("SELECT date_format(explode(sequence(to_date(:a), to_date(:b))), 'yyyy-MM-dd') AS day", args={"a": first, "b": last})
+    days = spark.sql("SELECT date_format(d, 'yyyy-MM-dd') AS day FROM (SELECT explode(sequence(to_date(:a), to_date(:b))) AS d)", args={"a": first, "b": last})
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
