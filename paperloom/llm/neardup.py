@@ -36,14 +36,14 @@ SKETCH = "kind string, id string, c1 bigint, c2 bigint, n int, labels array<bigi
 def sketches(records: DataFrame, k: int, tries: int = TRIES, minima: int = MINIMA, bits: int = BITS, seed: int = 11) -> DataFrame:
     """Class key (128 bits of the run set), number of runs, trie labels and parity sketch of ``records(kind, id, text)``.
 
-    Records with equal run sets get equal rows apart from their id; a task gives labels and sketch only with the first of
-    them, so a text copied over and over costs one row of labels per task. Texts without runs are dropped.
+    Records of one kind with equal run sets get equal rows apart from their id; a task gives labels and sketch only with the
+    first of them, so a text copied over and over costs one row of labels per task. Texts without runs are dropped.
     """
     mults, adds = constants(tries * minima, seed), constants(tries * minima, seed + 1)
     joint = constants(minima, seed + 2)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[tuple[str, int, int]] = set()
         for big in batches:
             for at in range(0, len(big), 1000):
                 batch = big.iloc[at : at + 1000]
@@ -64,11 +64,11 @@ def sketches(records: DataFrame, k: int, tries: int = TRIES, minima: int = MINIM
                 packed = np.packbits(odd.astype(np.uint8).reshape(len(start), bits), axis=1)
                 if len(seen) > 500_000:
                     seen.clear()
+                who = owner[start]
                 first = []
-                for key in zip(c1.tolist(), c2.tolist(), strict=True):
+                for key in zip(batch["kind"].to_numpy()[who].tolist(), c1.tolist(), c2.tolist(), strict=True):
                     first.append(key not in seen)
                     seen.add(key)
-                who = owner[start]
                 yield pd.DataFrame(
                     {
                         "kind": batch["kind"].to_numpy()[who],

@@ -92,19 +92,32 @@ def pieces(lines: list[str]) -> tuple[list[str], list[tuple[str, str]]]:
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """``word, n`` over all texts: words and hyphenated compounds. Tasks count for themselves before the shuffle."""
+    """``word, n, n_joined`` over all texts: words and hyphenated compounds, and words put together at line ends.
+
+    Only ``n`` is evidence that a word is in use. Tasks count for themselves before the shuffle.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[str] = Counter()
+        joined: Counter[str] = Counter()
+
+        def frame() -> pd.DataFrame:
+            every = list({**seen, **joined})
+            return pd.DataFrame({"word": every, "n": [seen[w] for w in every], "n_joined": [joined[w] for w in every]})
+
         for batch in batches:
             for t in batch["text"]:
-                seen.update(pieces(content(t)[0])[0])
-            if len(seen) > 1_000_000:
-                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+                words, halves = pieces(content(t)[0])
+                seen.update(words)
+                joined.update((a + b).lower() for a, b in halves)
+            if len(seen) + len(joined) > 1_000_000:
+                yield frame()
                 seen.clear()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+                joined.clear()
+        if seen or joined:
+            yield frame()
 
-    return texts.select("text").where(F.col("text").isNotNull()).mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").where(F.col("text").isNotNull()).mapInPandas(count, "word string, n bigint, n_joined bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_joined").alias("n_joined"))
 
 
 def _value(c: Column) -> Column:
@@ -115,18 +128,19 @@ def _value(c: Column) -> Column:
 def corrections(words: DataFrame, rarer: int = RARER) -> DataFrame:
     """``word, right``: the best ranked word each rare word is a misreading of; words without one are left out.
 
-    ``words(word, n)`` is a vocabulary. The right word has at least three letters and nothing else, and is at least
-    ``rarer`` times as frequent; among several the most frequent wins, then the smaller.
+    ``words(word, n, n_joined)`` is a vocabulary. The right word has at least three letters and nothing else, and is at
+    least ``rarer`` times as frequent; among several the most frequent wins, then the smaller.
     """
     spark = words.sparkSession
     rules = spark.createDataFrame([(a, b) for a, b in CONFUSIONS], "good string, bad string").withColumn("delta", _value(F.col("bad")) - _value(F.col("good")))
     plain = words.where(~F.col("word").contains("-") & (F.length("word") >= 2))
-    rare = plain.where(F.col("word").rlike(r"\p{L}")).crossJoin(F.broadcast(rules)).where(F.contains("word", "bad"))  # a fixed list
+    often = F.greatest(F.col("n") + F.col("n_joined"), F.lit(1))
+    rare = plain.withColumn("often", often).where(F.col("word").rlike(r"\p{L}")).crossJoin(F.broadcast(rules)).where(F.contains("word", "bad"))  # a fixed list
     rare = rare.withColumn("value", _value(F.col("word")) - F.col("delta"))
     common = plain.where((F.col("n") >= rarer) & F.col("word").rlike(r"^\p{L}{3,}$")).select(F.col("word").alias("right"), F.col("n").alias("m"), _value(F.col("word")).alias("value"))
     at = F.sequence(F.lit(1), F.length("word") - F.length("bad") + 1)
     placed = F.exists(at, lambda i: (F.substr("word", i, F.length("bad")) == F.col("bad")) & (F.concat(F.substr("word", F.lit(1), i - 1), F.col("good"), F.substr("word", i + F.length("bad"))) == F.col("right")))
-    found = rare.join(common, "value").where((F.col("m") >= F.col("n") * rarer) & placed)
+    found = rare.join(common, "value").where((F.col("m") >= F.col("often") * rarer) & placed)
     best = found.groupBy("word").agg(F.max_by("right", F.struct("m", "right")).alias("right"))
     return best
 
@@ -179,7 +193,7 @@ class ScanNoise:
         half is not the second part of compounds in use.
         """
         b = self.marks.where(F.col("mark") == "break").select("chunk_id", "a", "b", F.lower(F.concat("a", "b")).alias("joined"), F.lower(F.concat("a", F.lit("-"), "b")).alias("compound"), F.lower("b").alias("tail"))
-        one = self.words.where(~F.col("word").contains("-"))
+        one = self.words.where(~F.col("word").contains("-") & (F.col("n") > 0))
         two = self.words.where(F.col("word").rlike("^[^-]+-[^-]+$"))
         tails = two.groupBy(F.substring_index("word", "-", -1).alias("tail")).agg(F.sum("n").alias("n_tail")).where(F.col("n_tail") >= 2)
         j = b.join(one.select(F.col("word").alias("joined"), F.col("n").alias("n_one")), "joined", "left").join(two.select(F.col("word").alias("compound"), F.col("n").alias("n_two")), "compound", "left").join(tails, "tail", "left")
