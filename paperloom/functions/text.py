@@ -18,8 +18,7 @@ TOKEN = "[a-z0-9]+|[가-힣]+"
 
 def tokenize(c: Column) -> Column:
     """Content tokens, in order and with repeats: Latin and Hangul runs of two characters or more without stopwords."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0)), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0)), lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
 
 
 def collapse(c: Column) -> Column:

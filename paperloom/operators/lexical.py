@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.columns import once
 from paperloom.functions.text import first_sentence, tokenize
+from paperloom.session import cut
 
 K1, B, TOP_K, ROUTE = 1.5, 0.75, 10, 0.45
 #: Distinct (query, term) rows that are broadcast; more are joined by shuffle.
@@ -43,10 +44,12 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float =
     q = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     d = once(docs.select("doc_id", "text"), {"tokens": tokenize(F.coalesce("text", F.lit("")))}).drop("text")
     terms = if_small(q.select("term").distinct())
-    tf = d.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # Only matched terms are kept, so this is small beside the corpus, and it is read for df and again for the scores.
+    tf = cut(d.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
+    stats = corpus_stats(d).collect()[0]
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    asked = if_small(q.join(df, "term").crossJoin(F.broadcast(corpus_stats(d))).select("query_id", "term", "qtf", "avg_len", idf(F.col("n_docs"), F.col("df")).alias("idf")))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.greatest("len", F.lit(1)) / F.col("avg_len")))
+    asked = if_small(q.join(df, "term").select("query_id", "term", "qtf", idf(F.lit(stats["n_docs"]), F.col("df")).alias("idf")))
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.greatest("len", F.lit(1)) / F.lit(stats["avg_len"])))
     score = F.round(F.sum(part), 6)
     return tf.join(asked, "term").groupBy("query_id", "doc_id").agg(score.alias("score")).where(F.col("score") > 0)
 
