@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,12 @@ def sentences(text: str | None) -> list[str]:
     is no sentence.
     """
     found = []
-    for block in _BLOCK.split(_QUOTE.sub("", _HEADING.sub("\n", text or ""))):
+    text = text or ""
+    if "#" in text:
+        text = _HEADING.sub("\n", text)
+    if ">" in text:
+        text = _QUOTE.sub("", text)
+    for block in _BLOCK.split(text):
         for s in _END.split(_LEAD.sub("", " ".join(block.split()))):
             s = s.strip()
             if s and (s[-1] in ".!?。" or len(s.split()) > 5):
@@ -72,11 +78,11 @@ def features(texts: Sequence[str | None], buckets: int = BUCKETS) -> tuple[np.nd
     hashes: list[int] = []
     lengths: list[int] = []
     owner: list[int] = []
+    stems, words = _STEMS.__getitem__, _WORD.findall
     for i, t in enumerate(texts):
         for s in sentences(t):
             n = len(hashes)
-            for w in _WORD.findall(s.lower()):
-                hashes.extend(_STEMS[w])
+            hashes.extend(chain.from_iterable(map(stems, words(s.lower()))))
             lengths.append(len(hashes) - n)
             owner.append(i)
     h = np.fromiter(hashes, np.uint64, len(hashes))
