@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.plans import evaluation, hygiene, network, pipeline, search
+from paperloom.plans import evaluation, hygiene, network, pipeline, records, search
 
 FLAGSHIP = "bm25_topk"
-MODULES = (hygiene, search, network, evaluation, pipeline)
+MODULES = (hygiene, search, network, evaluation, pipeline, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
