@@ -39,11 +39,13 @@ _LEAD = re.compile(r"^\s*(?:[*|+-]+|\d+[.)])?\s*(?:(?:Q|A|Summary)\s*:)?\s*")
 def sentences(text: str | None) -> list[str]:
     """Sentences of a text: blocks are cut at blank lines, list items and labels, then at sentence ends.
 
-    Wrapped lines of one block are joined. What has no sentence end and fewer than six words (headings, version lines)
+    Wrapped lines of one block are joined, and line breaks written as an escape count as such. What has no sentence end and fewer than six words (headings, version lines)
     is no sentence.
     """
     found = []
     text = text or ""
+    if "\\n" in text:  # records quoted as JSON strings
+        text = text.replace('", "', "\n\n").replace('": "', "\n\n").replace("\\n", "\n")
     if "#" in text:
         text = _HEADING.sub("\n", text)
     if ">" in text:

@@ -118,4 +118,5 @@ def test_without_labels_or_documents_there_are_no_areas(spark):
 def test_sentences():
     t = "# Title\n\nOne line\nwraps here. Two is here!\n\n> quoted line\n> goes on.\n* item one.\n* item two.\nVersion 4.7\n한국어 문장이다. 둘째 문장."
     assert subjects.sentences(t) == ["One line wraps here.", "Two is here!", "quoted line goes on.", "item one.", "item two.", "Version 4.7 한국어 문장이다.", "둘째 문장."]
+    assert subjects.sentences('{"prompt": "First one here.\\nSecond one here.", "answer": "Third."}')[:2] == ["First one here.", "Second one here."]
     assert subjects.sentences(None) == [] and subjects.sentences("") == []
