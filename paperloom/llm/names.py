@@ -137,7 +137,7 @@ class NameLinks:
     Spellings are linked when their surnames agree up to one slip and their given names agree up to one slip, a short
     form or an initial; an initial or an ambiguous short form is linked only where one full name fits. Two surnames one
     edit apart stay apart when the first letter differs, or when both have several given names, built of usual letter
-    groups, and the rarer one has a given name of its own; two given names stay apart when both are usual. Differing middle initials stay apart.
+    groups, and share fewer than half of the rarer one's; two given names stay apart when both are usual. Differing middle initials stay apart.
     """
 
     def __init__(self, names: DataFrame):
@@ -156,7 +156,9 @@ class NameLinks:
         last = people.groupBy(F.col("last").alias("t")).agg(F.countDistinct("first").alias("s"))
         short = F.create_map(*[F.lit(x) for k in SHORT for x in (k, True)])
         use = known.join(last, "t", "full").select("t", (F.coalesce("g", F.lit(0)) + F.when(F.coalesce(short[F.col("t")], F.lit(False)), 50).otherwise(0)).alias("g"), F.coalesce("s", F.lit(0)).alias("s"))
-        joined = rows.join(use.select(F.col("t").alias("first"), F.col("g").alias("fg"), F.col("s").alias("fs")), "first", "left").join(use.select(F.col("t").alias("last"), F.col("g").alias("lg"), F.col("s").alias("ls")), "last", "left")
+        # A double name is judged by its first part, since few people share the whole.
+        rows = rows.withColumns({"_f": F.substring_index("first", "-", 1), "_l": F.substring_index("last", "-", 1)})
+        joined = rows.join(use.select(F.col("t").alias("_f"), F.col("g").alias("fg")), "_f", "left").join(use.select(F.col("t").alias("_l"), F.col("g").alias("lg"), F.col("s").alias("ls")), "_l", "left")
         # "A-B" may be two words of which the last one or two are given names: "Surname G1 G2" reads as first "surname-g1".
         swap = ~F.col("fixed") & (F.col("kind") == "person") & (F.coalesce("lg", F.lit(0)) > 2 * F.coalesce("fg", F.lit(0))) & (F.coalesce("lg", F.lit(0)) > F.coalesce("ls", F.lit(0)))
         parts = F.split("first", "-")
@@ -171,11 +173,11 @@ class NameLinks:
         use = full.where(F.col("kind") == "person").groupBy("g").agg(F.countDistinct("s").alias("u"))
         near = radius_join(use.select(F.col("g").alias("key")), 1)
         both = near.select(F.col("a").alias("g"), F.col("b").alias("c")).unionByName(near.select(F.col("b").alias("g"), F.col("a").alias("c")))
-        slips = both.join(use, "g").join(use.select(F.col("g").alias("c"), F.col("u").alias("cu")), "c").where((F.col("cu") >= F.col("u") * RARER) | F.col("g").contains("-")).select("g", "c", F.lit("slip").alias("how"))
+        slips = both.join(use, "g").join(use.select(F.col("g").alias("c"), F.col("u").alias("cu")), "c").where((F.col("cu") >= F.col("u") * RARER) | F.col("g").contains("-")).select("g", "c", F.lit("slip").alias("how"), "cu")
         shorts = forms.sparkSession.createDataFrame([(k, c) for k, v in SHORT.items() for c in v.split()], "g string, c string")  # a fixed list
         sized = shorts.groupBy("g").agg(F.count(F.lit(1)).alias("ways"))
-        options = slips.withColumn("ways", F.lit(99)).unionByName(shorts.join(sized, "g").select("g", "c", F.lit("short").alias("how"), F.col("ways").cast("int")))
-        # An option counts where the person exists under it; a short form with one meaning counts anyhow.
+        options = slips.withColumn("ways", F.lit(99)).unionByName(shorts.join(sized, "g").select("g", "c", F.lit("short").alias("how"), F.lit(0).cast("bigint").alias("cu"), F.col("ways").cast("int")))
+        # Options under which the person exists come first, then the one meaning of a short form, then the most usual name.
         people = full.where(F.col("kind") == "person").groupBy("s", F.col("g").alias("c")).agg(F.sum("n").alias("held"))
         wanted = full.where(F.col("kind") == "person").select("s", "g").distinct().join(options, "g").join(people, ["s", "c"], "left")
         held = F.col("held").isNotNull()
@@ -186,8 +188,9 @@ class NameLinks:
                 F.max(F.when(held & (F.col("how") == "short"), F.col("c"))).alias("short"),
                 F.max(F.when(held & (F.col("how") == "slip"), F.struct("held", "c"))).alias("slip"),
                 F.max(F.when((F.col("how") == "short") & (F.col("ways") == 1), F.col("c"))).alias("only"),
+                F.max(F.when(F.col("how") == "slip", F.struct("cu", "c"))).alias("likely"),
             )
-            .select("s", "g", F.coalesce(F.when(F.col("n_short") == 1, F.col("short")), F.col("slip.c"), F.col("only")).alias("f"))
+            .select("s", "g", F.coalesce(F.when(F.col("n_short") == 1, F.col("short")), F.col("slip.c"), F.col("only"), F.col("likely.c")).alias("f"))
         )
         out = forms.join(picked, ["s", "g"], "left")
         return out.select("name", "n", "kind", "s", "g", "m", F.coalesce("f", "g").alias("f"))
@@ -212,7 +215,7 @@ class NameLinks:
         of_a, of_b = (people.select(F.col("s").alias(x), "kind", "f") for x in "ab")
         common = close.select("a", "b").join(of_a, "a").join(of_b, ["b", "kind", "f"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
         fewer = F.least("ag", "bg")
-        apart = (fewer > 1) & (F.col("common") < fewer) & (F.least("au", "bu") * 4 >= F.greatest("au", "bu"))
+        apart = (fewer > 1) & (F.col("common") * 2 < fewer) & (F.least("au", "bu") * 4 >= F.greatest("au", "bu"))
         linked = cut(close.join(common, ["a", "b"], "left").withColumn("common", F.coalesce("common", F.lit(0))).where(~apart))
         # Each person points to the best other spelling of the surname, if that is better established than its own.
         p = people.select("kind", "f", F.col("s").alias("a"), F.col("n").alias("an"), F.col("ms").alias("am"))
