@@ -155,6 +155,7 @@ class ScanNoise:
 
     def __init__(self, texts: DataFrame, rarer: int = RARER, clean_share: float = CLEAN_SHARE):
         self.texts = texts.select("chunk_id", "text").where(F.col("chunk_id").isNotNull() & F.col("text").isNotNull())
+        self.rarer = rarer
         self.words = cut(vocabulary(self.texts))
         self.fixes = cut(corrections(self.words, rarer))
         total = self.words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).collect()[0]["t"]
@@ -187,18 +188,22 @@ class ScanNoise:
         return self.texts.mapInPandas(mark, "chunk_id string, mark string, a string, b string").where(F.col("mark").isNotNull())
 
     def _breaks(self) -> DataFrame:
-        """``chunk_id, a, b, joined, divided``: halves, and whether they are one word without a hyphen.
+        """``chunk_id, a, b, joined, divided, open``: halves, and whether they are one word without a hyphen.
 
         They are if the joined word is at least as frequent as the hyphenated one, or if neither is in use and the second
-        half is not the second part of compounds in use.
+        half is neither the second part of compounds in use nor a common word. A common word after the hyphen leaves it
+        ``open``, as in a pair that shares its second part.
         """
         b = self.marks.where(F.col("mark") == "break").select("chunk_id", "a", "b", F.lower(F.concat("a", "b")).alias("joined"), F.lower(F.concat("a", F.lit("-"), "b")).alias("compound"), F.lower("b").alias("tail"))
         one = self.words.where(~F.col("word").contains("-") & (F.col("n") > 0))
         two = self.words.where(F.col("word").rlike("^[^-]+-[^-]+$"))
         tails = two.groupBy(F.substring_index("word", "-", -1).alias("tail")).agg(F.sum("n").alias("n_tail")).where(F.col("n_tail") >= 2)
         j = b.join(one.select(F.col("word").alias("joined"), F.col("n").alias("n_one")), "joined", "left").join(two.select(F.col("word").alias("compound"), F.col("n").alias("n_two")), "compound", "left").join(tails, "tail", "left")
+        j = j.join(one.select(F.col("word").alias("tail"), F.col("n").alias("n_word")), "tail", "left")
         n1, n2 = F.coalesce("n_one", F.lit(0)), F.coalesce("n_two", F.lit(0))
-        return j.select("chunk_id", "a", "b", "joined", F.when((n1 == 0) & (n2 == 0), F.col("n_tail").isNull()).otherwise(n1 >= n2).alias("divided"))
+        unknown = (n1 == 0) & (n2 == 0)
+        common = (F.coalesce("n_word", F.lit(0)) >= self.rarer) & (F.col("b") == F.col("tail"))
+        return j.select("chunk_id", "a", "b", "joined", F.when(unknown, F.col("n_tail").isNull() & ~common).otherwise(n1 >= n2).alias("divided"), (unknown & F.col("n_tail").isNull() & common).alias("open"))
 
     @property
     def damage(self) -> DataFrame:
@@ -218,13 +223,13 @@ class ScanNoise:
     def repaired(self) -> DataFrame:
         """``chunk_id, text``: the damaged chunks as continuous paragraphs, repaired."""
         fixes = self.misread.groupBy("chunk_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "right"))).alias("fixes"))
-        keep = self.breaks.where(~F.col("divided")).groupBy("chunk_id").agg(F.collect_set("joined").alias("compounds"))
+        keep = self.breaks.where(~F.col("divided")).groupBy("chunk_id").agg(F.map_from_entries(F.collect_set(F.struct("joined", F.when(F.col("open"), "- ").otherwise("-")))).alias("compounds"))
         hurt = self.damage.select("chunk_id").distinct()
         rows = self.texts.dropDuplicates(["chunk_id", "text"]).join(hurt, "chunk_id", "left_semi").join(fixes, "chunk_id", "left").join(keep, "chunk_id", "left")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield pd.DataFrame({"chunk_id": batch["chunk_id"], "text": [repair(t, dict(f) if f is not None else {}, set(c) if c is not None else set()) for t, f, c in zip(batch["text"], batch["fixes"], batch["compounds"], strict=True)]})
+                yield pd.DataFrame({"chunk_id": batch["chunk_id"], "text": [repair(t, dict(f) if f is not None else {}, dict(c) if c is not None else {}) for t, f, c in zip(batch["text"], batch["fixes"], batch["compounds"], strict=True)]})
 
         return rows.select("chunk_id", "text", "fixes", "compounds").mapInPandas(run, "chunk_id string, text string")
 
@@ -232,10 +237,10 @@ class ScanNoise:
 _ITEM = re.compile(r"\s*(?:[-*+•]\s|\d+[.)]\s|\||#|>|```|\[\d+\]\s)")
 
 
-def repair(text: str, fixes: dict[str, str], compounds: set[str] = frozenset()) -> str:
+def repair(text: str, fixes: dict[str, str], compounds: dict[str, str] | None = None) -> str:
     """Continuous paragraphs: noise lines out, divided words and wrapped lines joined, misread words corrected.
 
-    ``compounds`` are the joined forms that keep their hyphen. A blank line ends a paragraph unless noise lines stood
+    ``compounds`` maps joined forms that keep their hyphen to how: `-`, or `- ` before a word of its own. A blank line ends a paragraph unless noise lines stood
     there or the paragraph breaks off inside a word; list items, table rows and headings keep lines of their own.
     """
     paragraphs: list[str] = []
@@ -252,8 +257,7 @@ def repair(text: str, fixes: dict[str, str], compounds: set[str] = frozenset())
         m = _BREAK.search(now) if now and now[-1] in HYPHENS else None
         head = _NEXT.match(s)
         if m and head:
-            whole = m[1] + head[0]
-            now = (now[:-1] if whole.lower() not in compounds else now[:-1] + "-") + s
+            now = now[:-1] + (compounds or {}).get((m[1] + head[0]).lower(), "") + s
         elif not now:
             now = s
         elif _ITEM.match(line) or _ITEM.match(now):

@@ -31,7 +31,7 @@ def corpus(spark, extra):
 def test_damage_and_repair(spark):
     extra = [
         ("h", "We compared the clin-\nical harness model"), ("h2", "We compared the clin¬\n12    Boberson et al.\nical harness model"), ("c", "frequent trade-\noffs remained stable"), ("m", "the cliriical harness"), ("m2", "the hamess and vvindow"),
-        ("mh", "with anotber clin­\nica1 model"), ("p", "We found\nPage 3\nanother window"), ("w", "We compared\nthe model"), ("t", "| a-b | 1 |\n| c | 2 |"), ("n", None), (None, "x"), ("e", ""), ("m", "the cliriical harness"), ("new", "QuixGrapb found"),
+        ("mh", "with anotber clin­\nica1 model"), ("p", "We found\nPage 3\nanother window"), ("w", "We compared\nthe model"), ("t", "| a-b | 1 |\n| c | 2 |"), ("n", None), (None, "x"), ("e", ""), ("o", "small pre-\nand large changes"), ("m", "the cliriical harness"), ("new", "QuixGrapb found"),
     ]
     s = ocr.ScanNoise(corpus(spark, extra))
     got = sorted(map(tuple, s.damage.collect()))
@@ -67,7 +67,7 @@ def test_corrections_equal_brute_force(spark):
 def test_repair_keeps_paragraphs_and_lists():
     assert ocr.repair("One line\ngoes on.\n\nNext one.\n- item\n- other", {}) == "One line goes on.\n\nNext one.\n- item\n- other"
     assert ocr.repair("", {}) == ""
-    assert ocr.repair("a trade-\noff and Vvindow", {"vvindow": "window"}, {"tradeoff"}) == "a trade-off and Window"
+    assert ocr.repair("a trade-\noff and Vvindow", {"vvindow": "window"}, {"tradeoff": "-"}) == "a trade-off and Window"
 
 
 TERMS = {"sport": ["goal keeper", "match referee", "tennis serve", "league table"], "law": ["court ruling", "contract clause", "legal brief", "appeal hearing"], "climate": ["sea ice", "flood map", "carbon flux", "storm surge"]}
