@@ -39,8 +39,8 @@ _LEAD = re.compile(r"^\s*(?:[*|+-]+|\d+[.)])?\s*(?:(?:Q|A|Summary)\s*:)?\s*")
 def sentences(text: str | None) -> list[str]:
     """Sentences of a text: blocks are cut at blank lines, list items and labels, then at sentence ends.
 
-    Wrapped lines of one block are joined, and line breaks written as an escape count as such. What has no sentence end and fewer than six words (headings, version lines)
-    is no sentence.
+    Wrapped lines of one block are joined, and line breaks written as an escape count as such. What has no sentence end
+    and fewer than six words (headings, version lines) is no sentence.
     """
     found = []
     text = text or ""
@@ -92,6 +92,19 @@ def features(texts: Sequence[str | None], buckets: int = BUCKETS) -> tuple[np.nd
     return (h % np.uint64(buckets)).astype(np.int64), of, np.array(owner, np.int64)
 
 
+def gather(texts: Sequence[str | None], buckets: int, step: int = 1000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`features` of many texts, a step at a time so that only arrays are kept."""
+    parts, n_texts, n_sentences = [], 0, 0
+    for lo in range(0, len(texts), step):
+        b, w, o = features(texts[lo : lo + step], buckets)
+        parts.append((b.astype(np.int32), (w + n_sentences).astype(np.int32), o + n_texts))
+        n_texts, n_sentences = n_texts + len(texts[lo : lo + step]), n_sentences + len(o)
+    if not parts:
+        return features([], buckets)
+    b, w, o = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return b, w, o
+
+
 def weights(inside: np.ndarray, total: np.ndarray, smooth: float = SMOOTH) -> np.ndarray:
     """Complement weights, buckets by areas, from expected counts ``inside`` and counts ``total`` of all sentences.
 
@@ -188,7 +201,7 @@ def start(texts: Sequence[str], labels: Sequence[frozenset[str]], areas: Sequenc
     """Model of the labelled documents alone, calibrated by two-fold cross-fitting; with its counts inside and in total."""
     areas = sorted(areas)
     y = np.array([[a in ls for a in areas] for ls in labels], bool).reshape(len(texts), len(areas))
-    bucket, where, owner = features(texts, buckets)
+    bucket, where, owner = gather(texts, buckets)
     fold = np.arange(len(texts)) % 2
     share = y / np.maximum(y.sum(1, keepdims=True), 1)
 
@@ -264,7 +277,7 @@ def fit(documents: DataFrame, labels: DataFrame, areas: Sequence[str], rounds: i
 def _again(model: Model, sample: pd.DataFrame, buckets: int) -> tuple[float, float]:
     """Calibrate a refined model on the labelled documents of one area."""
     one = sample[sample["codes"].map(len) == 1]
-    bucket, where, owner = features(one["text"].tolist(), buckets)
+    bucket, where, owner = gather(one["text"].tolist(), buckets)
     s = model.mixture(model.score(bucket, where, len(owner)), owner)
     y = np.array([[a in set(c) for a in model.areas] for c in one["codes"]], bool).reshape(len(one), len(model.areas))
     return calibrate(logit(s).ravel(), y[owner].ravel())
