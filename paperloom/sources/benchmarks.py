@@ -66,5 +66,38 @@ def multihop(corpus: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFram
     return chunks, cases
 
 
+GRAPH_CORPUS, GRAPH_QUESTIONS = "title string, source string, context string, text string, content string, corpus string", "id string, question string, answer string, question_type string, evidence array<string>"
+
+
+def graph_bench(corpus: DataFrame | None, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks of plain articles and cases of questions with evidence sentences.
+
+    The body is the first filled of context, text, content and corpus. Without a corpus there are no chunks and the
+    cases have answers only. Questions without an answer and without evidence found are left out.
+    """
+    spark = questions.sparkSession
+    if corpus is None:
+        corpus = spark.createDataFrame([], GRAPH_CORPUS)
+    body = F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("context", "text", "content", "corpus")])
+    docs = corpus.select(F.coalesce(F.nullif("title", F.lit("")), F.col("source")).alias("title"), body.alias("body")).where(F.col("body").isNotNull())
+    docs = docs.groupBy(F.concat(F.lit("hf:"), F.substring(F.sha1(F.coalesce("title", F.col("body"))), 1, 12)).alias("paper_id")).agg(F.min_by(F.struct("title", "body"), F.struct("title", "body")).alias("d")).select("paper_id", "d.*")
+    pieces = F.udf(lambda t: split_text(t), "array<string>", useArrow=True)
+    c = docs.select("paper_id", "title", F.posexplode(pieces("body")).alias("chunk_index", "text"))
+    chunks = c.withColumn("chunk_id", chunk_id(F.col("paper_id"), F.col("chunk_index"), F.col("text")))
+    q = questions.where(F.length("question") > 0).withColumn("case_id", F.concat(F.lit("graph-"), F.substring(F.sha1("question"), 1, 12)))
+    evidence = q.select("case_id", F.lit(None).cast("string").alias("paper_id"), F.explode("evidence").alias("text")).where(F.length("text") > 0)
+    return chunks, _cases(q.select("case_id", "question", F.lit(None).cast("string").alias("paper_id"), F.col("answer").alias("gold_answer")), evidence, chunks)
+
+
+def imported_cases(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Cases of generated test sets ``user_input, reference, reference_contexts``: contexts become gold ids by the tiered
+    matcher, cases without any are dropped; the tags tell hops and scope."""
+    q = rows.where(F.length("user_input") > 0).withColumn("case_id", F.concat(F.lit("imp-"), F.substring(F.sha1("user_input"), 1, 12)))
+    evidence = q.select("case_id", F.lit(None).cast("string").alias("paper_id"), F.explode("reference_contexts").alias("text")).where(F.length("text") > 0)
+    cases = _cases(q.select("case_id", F.col("user_input").alias("question"), F.lit(None).cast("string").alias("paper_id"), F.col("reference").alias("gold_answer")), evidence, chunks).where(F.size("gold_chunk_ids") > 0)
+    hops = F.when(F.size("gold_chunk_ids") > 1, "multi-hop").otherwise("single-hop")
+    return cases.withColumn("tags", F.array(hops, F.when(F.size("gold_paper_ids") > 1, "global").otherwise("local")))
+
+
 #: Converters by the name of the format they read.
-CONVERTERS = {"qasper": qasper, "multihop": multihop}
+CONVERTERS = {"qasper": qasper, "multihop": multihop, "graph": graph_bench}

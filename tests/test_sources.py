@@ -115,3 +115,16 @@ def test_multihop(spark):
     chunks, cases = benchmarks.multihop(corpus, spark.createDataFrame([q], benchmarks.HOP_QUERIES))
     c = cases.collect()
     assert chunks.count() == 2 and len(c) == 1 and len(c[0]["gold_paper_ids"]) == 2 and c[0]["expected_scope"] == "global"
+
+
+def test_graph_bench_and_imports(spark):
+    body = "Kernel fact number one is stated right here in full. " * 2
+    corpus = spark.createDataFrame([("A", None, "", body, None, None), (None, None, None, None, None, None)], benchmarks.GRAPH_CORPUS)
+    q = spark.createDataFrame([("1", "Which?", "one", "t", ["kernel fact number one"]), ("2", "No?", None, "t", ["absent words only"]), ("3", "", "x", "t", None)], benchmarks.GRAPH_QUESTIONS)
+    chunks, cases = benchmarks.graph_bench(corpus, q)
+    c = cases.collect()
+    assert len(c) == 1 and c[0]["expected_scope"] == "selected" and chunks.count() == 1
+    none, answers = benchmarks.graph_bench(None, q)
+    assert none.count() == 0 and [r["expected_scope"] for r in answers.collect()] == ["unknown"]
+    rows_ = spark.createDataFrame([("U?", "r", ["kernel fact number one is"]), ("V?", "r", ["nothing of it"])], "user_input string, reference string, reference_contexts array<string>")
+    assert [r["tags"] for r in benchmarks.imported_cases(rows_, chunks).collect()] == [["single-hop", "local"]]
