@@ -23,8 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.components import components
 from paperloom.llm.shingles import constants, distinct_runs, mix
-from paperloom.session import shared_dir
+from paperloom.session import cut, shared_dir
 
 TRIES, MINIMA, BITS = 28, 3, 512
 #: Members of a cell above which it is cut into blocks whose pairs are spread over tasks.
@@ -307,3 +308,19 @@ def id_pairs(found: NearDuplicates) -> DataFrame:
     inside = a.join(b.withColumnsRenamed({"b1": "a1", "b2": "a2"}), ["kind", "a1", "a2"]).where(F.col("x") < F.col("y")).select("kind", "x", "y")
     every = across.where(F.col("x") != F.col("y")).unionByName(inside)
     return every.select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def groups(found: NearDuplicates) -> DataFrame:
+    """One row per record: ``kind, id, class_id, group_id, n_links``.
+
+    Records of one class are equal in their runs; a group is a connected component of similar classes, named by its least
+    class; ``n_links`` is the number of other classes the record's class is similar to. An id with several texts has a row
+    for each of its classes.
+    """
+    name = lambda x: F.concat(F.hex(f"{x}1"), F.lit("-"), F.hex(f"{x}2"))
+    link = cut(found.links.select("kind", F.concat("kind", F.lit("/"), name("a")).alias("a"), F.concat("kind", F.lit("/"), name("b")).alias("b")))
+    ends = link.select(F.col("a").alias("node")).unionByName(link.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    root = components(link.select("a", "b"))
+    m = found.membership.withColumn("node", F.concat("kind", F.lit("/"), F.hex("c1"), F.lit("-"), F.hex("c2")))
+    j = m.join(root, "node", "left").join(ends, "node", "left")
+    return j.select("kind", "id", F.col("node").alias("class_id"), F.coalesce("root", "node").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -40,6 +40,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.id_pairs(found).withColumnRenamed("kind", "record_kind")
 
 
+def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Class, group and number of links of every record, at five words and a similarity of 0.8."""
+    return neardup.groups(neardup.NearDuplicates(_records(spark, sf), k=5, threshold=0.8))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Kinds of scanner noise in each chunk."""
     return ocr.ScanNoise(table(spark, sf, "chunks")).damage
@@ -110,7 +115,7 @@ def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
     return subjects.composition(_areas(spark, sf), table(spark, sf, "documents"), table(spark, sf, "subjects"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p4_found, p4_repaired, p5_found, p5_pieces, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p3_groups, p4_found, p4_repaired, p5_found, p5_pieces, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_composition)}
 
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 

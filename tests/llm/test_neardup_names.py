@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import metric, names, neardup
+from paperloom.llm import components, metric, names, neardup
 
 
 def test_trie_join_equals_all_pairs():
@@ -147,3 +147,32 @@ def test_spellings_of_one_person_are_linked_and_others_are_not(spark):
     c = {r["name"]: r["n_spellings"] for r in names.clusters(e.entities).collect()}
     assert c["Peggy Drulomann"] == 9 and "et al." not in c
     assert names.NameLinks(spark.createDataFrame([], "name string, n int")).entities.count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_equal_union_find(spark, seed):
+    r = random.Random(seed)
+    edges = [(f"n{r.randrange(60):02}", f"n{r.randrange(60):02}") for _ in range(35)] + [(f"p{i:03}", f"p{i + 1:03}") for i in range(40)] + [("x", "x"), ("x", None)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a and b and a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {n: find(n) for n in list(root)}
+    assert components.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_groups_give_every_record_once(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = {"a": base, "b": [*base[:-1], "x"], "c": [*base[:-2], "y", "x"], "d": list(reversed(base)), "e": base}
+    found = neardup.NearDuplicates(spark.createDataFrame([("chunk", k, " ".join(v)) for k, v in texts.items()], "kind string, id string, text string"))
+    got = {x["id"]: x for x in neardup.groups(found).collect()}
+    assert len({got[k]["group_id"] for k in "abce"}) == 1 and got["d"]["group_id"] != got["a"]["group_id"] and got["a"]["class_id"] == got["e"]["class_id"]
+    assert got["a"]["n_links"] == 2 and got["d"]["n_links"] == 0 and len(got) == 5
