@@ -30,6 +30,8 @@ from paperloom.session import cut, shared_dir
 TRIES, MINIMA, BITS = 28, 3, 512
 #: Members of a cell above which it is cut into blocks whose pairs are spread over tasks.
 BLOCK = 512
+#: Members up to which a cell is not worth splitting bit by bit.
+LEAF = 8
 
 SKETCH = "kind string, id string, c1 bigint, c2 bigint, n int, labels array<bigint>, bits binary"
 
@@ -234,8 +236,10 @@ def _join_units(batch: pd.DataFrame, threshold: float) -> Iterator[pd.DataFrame]
     new = np.ones(len(batch), bool)
     new[1:] = (label[1:] != label[:-1]) | (kind[1:] != kind[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
     edges = np.append(np.flatnonzero(new), len(batch))
-    out = []
-    for s, e in zip(edges[:-1], edges[1:], strict=True):
+    start, size = edges[:-1], np.diff(edges)
+    few = (size <= LEAF) & (lo[start] == hi[start])
+    out = _leaf_cells(bits, n, start[few], size[few], threshold)
+    for s, e in zip(start[~few], edges[1:][~few], strict=True):
         if lo[s] == hi[s]:
             p = trie_join(bits[s:e], n[s:e], threshold) + s
         else:
@@ -254,6 +258,21 @@ def _join_units(batch: pd.DataFrame, threshold: float) -> Iterator[pd.DataFrame]
         yield pd.DataFrame({"kind": kind[i], "a1": c1[i], "a2": c2[i], "b1": c1[j], "b2": c2[j]}).drop_duplicates()
 
 
+def _leaf_cells(bits: np.ndarray, n: np.ndarray, start: np.ndarray, size: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """Leaf pairs of many cells too small to be split, where a trie is its root and its leaves, in one go."""
+    rate = (1 - threshold) / (1 + threshold)
+    out = []
+    for k in np.unique(size[size > 1]):
+        a, b = np.triu_indices(k, 1)
+        at = start[size == k][:, None]
+        i, j = (at + a).ravel(), (at + b).ravel()
+        for lo in range(0, len(i), 50_000):
+            x, y = i[lo : lo + 50_000], j[lo : lo + 50_000]
+            ok = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= rate * (n[x].astype(np.int64) + n[y]) + 1e-9
+            out.append(np.stack([x[ok], y[ok]], 1))
+    return out
+
+
 class NearDuplicates:
     """Classes of equal texts and the links between similar ones, over ``records(kind, id, text)``.
 
