@@ -21,10 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import components
 from paperloom.llm.shingles import constants, distinct_runs, mix
+from paperloom.operators.lexical import if_small
 from paperloom.session import cut, shared_dir
 
 TRIES, MINIMA, BITS = 28, 3, 512
@@ -32,6 +34,8 @@ TRIES, MINIMA, BITS = 28, 3, 512
 BLOCK = 512
 #: Members up to which a cell is not worth splitting bit by bit.
 LEAF = 8
+#: Keys that are broadcast to filter a scan; more are joined by shuffle.
+MOST_SENT = 200_000
 
 SKETCH = "kind string, id string, c1 bigint, c2 bigint, n int, labels array<bigint>, bits binary"
 
@@ -188,26 +192,27 @@ def _leaves(left: _Trie, right: _Trie, ranges: np.ndarray, rate: float, same: bo
 PAIR = "a1 bigint, a2 bigint, b1 bigint, b2 bigint"
 
 
-def candidates(classes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+def candidates(sketch: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """Pairs of classes that some trie of the forest keeps: ``kind, a1, a2, b1, b2``, each once, a before b.
 
-    ``classes`` has one row per class with ``labels`` and ``bits``. Cells of one class vanish before any sketch is moved.
-    A cell of more than ``block`` classes is cut into blocks, and the pairs of its blocks are joined in separate tasks,
-    so no task holds more than two blocks of one cell; none of its pairs is skipped.
+    ``sketch`` is from :func:`sketches`; a class may have labels in several rows. Cells of one class vanish before any
+    sketch is moved. A cell of more than ``block`` classes is cut into blocks, and the pairs of its blocks are joined in
+    separate tasks, so no task holds more than two blocks of one cell; none of its pairs is skipped.
     """
-    from pyspark.sql import Window as W
-
     cell = ["kind", "label"]
-    members = classes.select("kind", F.explode("labels").alias("label"), "c1")
+    members = sketch.where(F.col("labels").isNotNull()).select("kind", F.explode("labels").alias("label"), "c1")
     w = W.partitionBy(*cell)
-    shared = members.withColumn("n_cell", F.count(F.lit(1)).over(w)).where(F.col("n_cell") > 1)
-    shared = shared.withColumn("m", F.least(F.col("n_cell"), F.lit(2**31 - 1)))
+    several = members.withColumns({"low": F.min("c1").over(w), "high": F.max("c1").over(w)}).where(F.col("low") < F.col("high"))
+    shared = cut(several.select(*cell, "c1").distinct())
+    wanted = if_small(shared.select("kind", "c1").distinct(), MOST_SENT)
+    classes = sketch.where(F.col("bits").isNotNull()).select("kind", "c1", "c2", "n", "bits").join(wanted, ["kind", "c1"], "left_semi").dropDuplicates(["kind", "c1", "c2"])
+    shared = shared.withColumn("m", F.count(F.lit(1)).over(w))
     n_blocks = F.ceil(F.col("m") / block).cast("int")
     mine = F.pmod(F.xxhash64("c1", F.lit(3)), n_blocks).cast("int")
     # Block b is sent to every pair of blocks {b, x}; in a small cell that is the one pair (0, 0).
     routed = shared.withColumn("nb", n_blocks).withColumn("b", mine).select(*cell, "c1", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("x"))
     routed = routed.select("kind", "label", "c1", "b", F.least("b", "x").alias("lo"), F.greatest("b", "x").alias("hi"))
-    loaded = routed.join(classes.select("kind", "c1", "c2", "n", "bits"), ["kind", "c1"])
+    loaded = routed.join(classes, ["kind", "c1"])
     unit = F.xxhash64("label", "lo", "hi").alias("unit")
     parts = loaded.select("kind", unit, "label", "lo", "hi", "b", "c1", "c2", "n", "bits").repartition("kind", "unit").sortWithinPartitions("kind", "unit", "label", "lo", "hi")
 
@@ -288,8 +293,7 @@ class NearDuplicates:
         sketches(records, k, tries, minima, bits).write.parquet(f"{self.at}/sketches")
         sketch = spark.read.parquet(f"{self.at}/sketches")
         self.membership = sketch.select("kind", "id", "c1", "c2").distinct()
-        classes = sketch.where(F.col("labels").isNotNull()).dropDuplicates(["kind", "c1", "c2"])
-        candidates(classes, threshold, block).write.parquet(f"{self.at}/candidates")
+        candidates(sketch, threshold, block).write.parquet(f"{self.at}/candidates")
         pairs = spark.read.parquet(f"{self.at}/candidates")
         self.links = verified(pairs, sketch, records, k, threshold)
 
@@ -298,7 +302,7 @@ def verified(pairs: DataFrame, sketch: DataFrame, records: DataFrame, k: int, th
     """The pairs whose run sets are similar enough, with the similarity; sets are rebuilt from one record per class."""
     ends = pairs.select("kind", F.col("a1").alias("c1"), F.col("a2").alias("c2")).unionByName(pairs.select("kind", F.col("b1").alias("c1"), F.col("b2").alias("c2"))).distinct()
     chosen = sketch.select("kind", "id", "c1", "c2").join(ends, ["kind", "c1", "c2"]).groupBy("kind", "c1", "c2").agg(F.min("id").alias("id")).select("kind", "id").distinct()
-    texts = records.select("kind", "id", "text").join(chosen, ["kind", "id"])
+    texts = records.select("kind", "id", "text").join(if_small(cut(chosen), MOST_SENT), ["kind", "id"])
 
     def runs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
