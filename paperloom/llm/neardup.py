@@ -32,8 +32,8 @@ from paperloom.session import cut, shared_dir
 TRIES, MINIMA, BITS = 28, 3, 512
 #: Members of a cell above which it is cut into blocks whose pairs are spread over tasks.
 BLOCK = 512
-#: Members up to which a cell is not worth splitting bit by bit.
-LEAF = 8
+#: Leaf pairs below a node pair up to which it is finished at once.
+LEAF_PAIRS = 64
 #: Keys that are broadcast to filter a scan; more are joined by shuffle.
 MOST_SENT = 200_000
 
@@ -101,30 +101,41 @@ def trie_join(bits: np.ndarray, sizes: np.ndarray, threshold: float, other: tupl
     """Pairs of rows whose sketches differ by at most the budget of their sizes, by joining binary tries.
 
     ``bits`` are packed sketches, one row each; without ``other`` the trie is joined with itself (each pair once), else
-    with the trie of ``other``'s rows. Returns positions, one pair a row. A node is a range of sorted sketches that agree
-    on the bits so far. All node pairs of a level are advanced at once: each splits at its next bit into up to four, the
-    crossing ones gain one differing bit, and pairs over their budget are pruned. Pairs of single rows are finished by
-    counting the remaining bits.
+    with the trie of ``other``'s rows. Returns positions, one pair a row.
     """
-    rate = (1 - threshold) / (1 + threshold)
     left = _Trie(bits, sizes)
     right = left if other is None else _Trie(*other)
-    same = other is None
     if len(left.order) == 0 or len(right.order) == 0:
         return np.empty((0, 2), np.int64)
-    pairs = np.array([[0, len(left.order), 0, len(right.order), 0]], np.int64)
+    return _walk(left, right, np.array([[0, len(left.order), 0, len(right.order), 0]], np.int64), threshold)
+
+
+def forest_join(bits: np.ndarray, sizes: np.ndarray, edges: np.ndarray, threshold: float) -> np.ndarray:
+    """As :func:`trie_join` of each run of rows between two ``edges`` with itself, all of them walked together.
+
+    The runs are the subtrees of one trie below its label: their roots are the first node pairs.
+    """
+    trie = _Trie(bits, sizes, edges)
+    a, b = edges[:-1], edges[1:]
+    return _walk(trie, trie, np.stack([a, b, a, b, np.zeros_like(a)], 1).astype(np.int64), threshold)
+
+
+def _walk(left: _Trie, right: _Trie, pairs: np.ndarray, threshold: float) -> np.ndarray:
+    """Leaf pairs within budget below the given node pairs (two ranges and the bits that differ so far).
+
+    A node is a range of sorted sketches that agree on the bits so far. All node pairs of a level are advanced at once:
+    each splits at its next bit into up to four, the crossing ones gain one differing bit, and pairs over their budget
+    are pruned. Node pairs with few leaf pairs below them are finished by counting the differing bits.
+    """
+    rate, same = (1 - threshold) / (1 + threshold), left is right
     found = []
     for level in range(left.bits + 1):
         budget = rate * (left.most(pairs[:, 0], pairs[:, 1]) + right.most(pairs[:, 2], pairs[:, 3])) + 1e-9
         pairs = pairs[pairs[:, 4] <= budget]
-        alone = (pairs[:, 1] - pairs[:, 0] == 1) & (pairs[:, 3] - pairs[:, 2] == 1)
-        small = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]) <= 16 if level else alone
-        done = pairs if level == left.bits else pairs[alone | small]
-        if len(done):
-            found.append(_leaves(left, right, done, rate, same))
-        if level == left.bits:
-            break
-        pairs = pairs[~(alone | small)]
+        few = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]) <= (LEAF_PAIRS if level < left.bits else 2**62)
+        if few.any():
+            found.append(_leaves(left, right, pairs[few], rate, same))
+        pairs = pairs[~few]
         if not len(pairs):
             break
         la = left.split(level, pairs[:, 0], pairs[:, 1])
@@ -142,11 +153,18 @@ def trie_join(bits: np.ndarray, sizes: np.ndarray, threshold: float, other: tupl
 
 
 class _Trie:
-    """A binary trie kept as the sorted order of its leaves: a node is a range, its children are cut by a prefix sum."""
+    """Binary tries kept as the sorted order of their leaves: a node is a range, its children are cut by a prefix sum.
+
+    With ``edges`` each run of rows between two of them is a trie of its own, in one order; runs that will be finished
+    as a whole need not be sorted.
+    """
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray):
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, edges: np.ndarray | None = None):
         self.bits = bits.shape[1] * 8
-        self.order = np.lexsort(bits.T[::-1]) if len(bits) else np.empty(0, np.int64)
+        self.order = np.arange(len(bits))
+        for a, b in [(0, len(bits))] if edges is None else np.stack([edges[:-1], edges[1:]], 1)[np.diff(edges) ** 2 > LEAF_PAIRS]:
+            if b > a:
+                self.order[a:b] = a + np.lexsort(bits[a:b].T[::-1])
         self.rows = bits[self.order]
         self.sizes = sizes[self.order].astype(np.int64)
         table = [self.sizes]
@@ -241,16 +259,16 @@ def _join_units(batch: pd.DataFrame, threshold: float) -> Iterator[pd.DataFrame]
     new = np.ones(len(batch), bool)
     new[1:] = (label[1:] != label[:-1]) | (kind[1:] != kind[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
     edges = np.append(np.flatnonzero(new), len(batch))
-    start, size = edges[:-1], np.diff(edges)
-    few = (size <= LEAF) & (lo[start] == hi[start])
-    out = _leaf_cells(bits, n, start[few], size[few], threshold)
-    for s, e in zip(start[~few], edges[1:][~few], strict=True):
-        if lo[s] == hi[s]:
-            p = trie_join(bits[s:e], n[s:e], threshold) + s
-        else:
-            left, right = s + np.flatnonzero(b[s:e] == lo[s]), s + np.flatnonzero(b[s:e] == hi[s])
-            p = trie_join(bits[left], n[left], threshold, (bits[right], n[right]))
-            p = np.stack([left[p[:, 0]], right[p[:, 1]]], 1)
+    whole = lo[edges[:-1]] == hi[edges[:-1]]
+    # Subtrees joined with themselves are walked together; rows between them belong to pairs of blocks.
+    keep = np.repeat(whole, np.diff(edges))
+    inner = np.append(0, np.cumsum(np.diff(edges)[whole]))
+    at = np.flatnonzero(keep)
+    out = [at[forest_join(bits[keep], n[keep], inner, threshold)]] if len(at) else []
+    for s, e in zip(edges[:-1][~whole], edges[1:][~whole], strict=True):
+        left, right = s + np.flatnonzero(b[s:e] == lo[s]), s + np.flatnonzero(b[s:e] == hi[s])
+        p = trie_join(bits[left], n[left], threshold, (bits[right], n[right]))
+        p = np.stack([left[p[:, 0]], right[p[:, 1]]], 1)
         if len(p):
             out.append(p)
     if out:
@@ -263,21 +281,6 @@ def _join_units(batch: pd.DataFrame, threshold: float) -> Iterator[pd.DataFrame]
         yield pd.DataFrame({"kind": kind[i], "a1": c1[i], "a2": c2[i], "b1": c1[j], "b2": c2[j]}).drop_duplicates()
 
 
-def _leaf_cells(bits: np.ndarray, n: np.ndarray, start: np.ndarray, size: np.ndarray, threshold: float) -> list[np.ndarray]:
-    """Leaf pairs of many cells too small to be split, where a trie is its root and its leaves, in one go."""
-    rate = (1 - threshold) / (1 + threshold)
-    out = []
-    for k in np.unique(size[size > 1]):
-        a, b = np.triu_indices(k, 1)
-        at = start[size == k][:, None]
-        i, j = (at + a).ravel(), (at + b).ravel()
-        for lo in range(0, len(i), 50_000):
-            x, y = i[lo : lo + 50_000], j[lo : lo + 50_000]
-            ok = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= rate * (n[x].astype(np.int64) + n[y]) + 1e-9
-            out.append(np.stack([x[ok], y[ok]], 1))
-    return out
-
-
 class NearDuplicates:
     """Classes of equal texts and the links between similar ones, over ``records(kind, id, text)``.
 
