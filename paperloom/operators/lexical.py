@@ -10,6 +10,7 @@ from paperloom.functions.columns import once
 from paperloom.functions.text import first_sentence, tokenize
 from paperloom.session import cut
 
+#: BM25 constants, number of hits, and the share from which a query stays in its own paper.
 K1, B, TOP_K, ROUTE = 1.5, 0.75, 10, 0.45
 #: Distinct (query, term) rows that are broadcast; more are joined by shuffle.
 MOST_BROADCAST = 500_000
