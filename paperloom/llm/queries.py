@@ -101,8 +101,8 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 def _areas(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents")
     areas = [r["subject_code"] for r in table(spark, sf, "subjects").select("subject_code").distinct().collect()]
-    model = subjects.fit(documents, table(spark, sf, "subject_labels"), areas)
-    return subjects.classify(documents, model)
+    features = subjects.featurize(documents)
+    return subjects.classify(features, subjects.fit(features, table(spark, sf, "subject_labels"), areas))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:

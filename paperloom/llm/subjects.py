@@ -9,16 +9,20 @@ area on its own, and a document has the areas that hold in a given share of its
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import shared_dir
+
 BUCKETS = 1 << 17
 #: Labelled documents used to start and to calibrate: the first by a hash of their id.
 MOST_LABELLED = 20_000
@@ -92,17 +96,41 @@ def features(texts: Sequence[str | None], buckets: int = BUCKETS) -> tuple[np.nd
     return (h % np.uint64(buckets)).astype(np.int64), of, np.array(owner, np.int64)
 
 
-def gather(texts: Sequence[str | None], buckets: int, step: int = 1000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """:func:`features` of many texts, a step at a time so that only arrays are kept."""
-    parts, n_texts, n_sentences = [], 0, 0
-    for lo in range(0, len(texts), step):
-        b, w, o = features(texts[lo : lo + step], buckets)
-        parts.append((b.astype(np.int32), (w + n_sentences).astype(np.int32), o + n_texts))
-        n_texts, n_sentences = n_texts + len(texts[lo : lo + step]), n_sentences + len(o)
-    if not parts:
-        return features([], buckets)
-    b, w, o = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return b, w, o
+def featurize(documents: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``doc_id, sizes, bucket``: the features of each of ``documents(doc_id, text)``, sentence after sentence.
+
+    ``sizes`` has the features of each sentence. Null and empty texts have no sentences. The table is written to the shared
+    folder, since every round reads it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                bucket, where, owner = features(part.column("text").to_pylist(), buckets)
+                per_doc = np.bincount(owner, minlength=part.num_rows) if len(owner) else np.zeros(part.num_rows, int)
+                per_sentence = np.bincount(where, minlength=len(owner)) if len(where) else np.zeros(len(owner), int)
+                held = np.bincount(owner[where], minlength=part.num_rows) if len(where) else np.zeros(part.num_rows, int)
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(k)), pa.int32()), pa.array(v, pa.int32())) for k, v in ((per_doc, per_sentence), (held, bucket))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *lists], ["doc_id", "sizes", "bucket"])
+
+    spark = documents.sparkSession
+    at = f"{shared_dir(spark).rstrip('/')}/features-{uuid.uuid4().hex}"
+    documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, sizes array<int>, bucket array<int>").write.parquet(at)
+    return spark.read.parquet(at)
+
+
+def _arrays(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`features`, from rows of :func:`featurize`."""
+    sizes, held = batch.column("sizes"), batch.column("bucket")
+    if isinstance(batch, pa.Table):
+        sizes, held = sizes.combine_chunks(), held.combine_chunks()
+    size = pc.list_flatten(sizes).to_numpy(zero_copy_only=False)
+    return (
+        pc.list_flatten(held).to_numpy(zero_copy_only=False).astype(np.int64),
+        np.repeat(np.arange(len(size)), size),
+        np.repeat(np.arange(batch.num_rows), pc.list_value_length(sizes).to_numpy(zero_copy_only=False)),
+    )
 
 
 def weights(inside: np.ndarray, total: np.ndarray, smooth: float = SMOOTH) -> np.ndarray:
@@ -197,12 +225,13 @@ def calibrate(margin: np.ndarray, truth: np.ndarray, steps: int = 100, ridge: fl
     return float(max(v[0], 1e-3)), float(v[1])
 
 
-def start(texts: Sequence[str], labels: Sequence[frozenset[str]], areas: Sequence[str], buckets: int = BUCKETS) -> tuple[Model, np.ndarray, np.ndarray]:
+def start(sample: pa.Table, labels: Sequence[frozenset[str]], areas: Sequence[str], buckets: int = BUCKETS) -> tuple[Model, np.ndarray, np.ndarray]:
     """Model of the labelled documents alone, calibrated by two-fold cross-fitting; with its counts inside and in total."""
     areas = sorted(areas)
-    y = np.array([[a in ls for a in areas] for ls in labels], bool).reshape(len(texts), len(areas))
-    bucket, where, owner = gather(texts, buckets)
-    fold = np.arange(len(texts)) % 2
+    n = len(labels)
+    y = np.array([[a in ls for a in areas] for ls in labels], bool).reshape(n, len(areas))
+    bucket, where, owner = _arrays(sample)
+    fold = np.arange(n) % 2
     share = y / np.maximum(y.sum(1, keepdims=True), 1)
 
     def counts(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,48 +249,49 @@ def start(texts: Sequence[str], labels: Sequence[frozenset[str]], areas: Sequenc
         margins.append(logit(s)[single].ravel())
         truths.append(y[owner][single].ravel())
     slope, offset = calibrate(np.concatenate(margins).astype(float), np.concatenate(truths))
-    inside, total = counts(np.ones(len(texts), bool))
+    inside, total = counts(np.ones(n, bool))
     return Model(areas, weights(inside, total), slope, offset), inside, total
 
 
-def expect(model: Model, texts: Sequence[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Expected counts inside each area and total counts of the texts' features."""
-    bucket, where, owner = features(texts, buckets)
+def expect(model: Model, batch: pa.RecordBatch, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Expected counts inside each area and total counts of the features of a batch."""
+    bucket, where, owner = _arrays(batch)
     p = model.mixture(model.score(bucket, where, len(owner)), owner)
     inside = np.stack([np.bincount(bucket, p[where, k], buckets) for k in range(p.shape[1])], 1)
     return inside, np.bincount(bucket, minlength=buckets).astype(float)
 
 
-def fit(documents: DataFrame, labels: DataFrame, areas: Sequence[str], rounds: int = ROUNDS, buckets: int = BUCKETS, most_labelled: int = MOST_LABELLED) -> Model:
-    """Fit on ``labels(doc_id, subject_code)``, then refine over every row of ``documents(doc_id, text)``.
+def fit(features_: DataFrame, labels: DataFrame, areas: Sequence[str], rounds: int = ROUNDS, buckets: int = BUCKETS, most_labelled: int = MOST_LABELLED) -> Model:
+    """Fit on ``labels(doc_id, subject_code)``, then refine over all documents, given by :func:`featurize`.
 
     The start uses at most ``most_labelled`` labelled documents. Each round sums the expected counts of all documents:
     a task sums its own and gives one sparse vector, so the shuffle carries at most ``buckets`` rows per task, and what
     reaches the driver is the model, of fixed size. Labels of unknown areas or documents are ignored, repeated ones
     count once. Without labels every weight is 0 and no document gets an area.
     """
-    spark = documents.sparkSession
+    spark = features_.sparkSession
     known = labels.where(F.col("subject_code").isin(list(areas))).groupBy("doc_id").agg(F.array_sort(F.collect_set("subject_code")).alias("codes"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    sample = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()  # at most most_labelled rows
-    model, base_in, base_all = start(sample["text"].tolist(), [frozenset(c) for c in sample["codes"]], areas, buckets)
-    if not len(sample):
+    sample = features_.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toArrow()  # at most most_labelled rows
+    codes = [frozenset(c) for c in sample.column("codes").to_pylist()]
+    model, base_in, base_all = start(sample, codes, areas, buckets)
+    if not codes:
         return model
     sums = ", ".join(f"c{k} double" for k in range(len(model.areas)))
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
-        def partial(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def partial(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m, inside, total = shared.value, None, None
             for batch in batches:
-                for lo in range(0, len(batch), 1000):
-                    i, t = expect(m, batch["text"].iloc[lo : lo + 1000].tolist(), buckets)
+                for lo in range(0, batch.num_rows, 1000):
+                    i, t = expect(m, batch.slice(lo, 1000), buckets)
                     inside, total = (i, t) if inside is None else (inside + i, total + t)
             if inside is not None:
                 b = np.flatnonzero(total)
-                yield pd.DataFrame({"bucket": b, "total": total[b]} | {f"c{k}": inside[b, k] for k in range(inside.shape[1])})
+                yield pa.RecordBatch.from_pydict({"bucket": b, "total": total[b]} | {f"c{k}": inside[b, k] for k in range(inside.shape[1])})
 
-        parts = documents.select("text").where(F.col("text").isNotNull()).mapInPandas(partial, f"bucket bigint, total double, {sums}")
+        parts = features_.select("sizes", "bucket").mapInArrow(partial, f"bucket bigint, total double, {sums}")
         table = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ["total", *[f"c{k}" for k in range(len(model.areas))]]]).toPandas()
         inside, total = base_in.copy(), base_all.copy()
         b = table["bucket"].to_numpy()
@@ -269,47 +299,49 @@ def fit(documents: DataFrame, labels: DataFrame, areas: Sequence[str], rounds: i
         for k in range(len(model.areas)):
             inside[b, k] += table[f"c{k}"].to_numpy()
         refined = Model(model.areas, weights(inside, total), model.slope, model.offset)
-        refined.slope, refined.offset = _again(refined, sample, buckets)
+        refined.slope, refined.offset = _again(refined, sample, codes)
         model = refined
     return model
 
 
-def _again(model: Model, sample: pd.DataFrame, buckets: int) -> tuple[float, float]:
+def _again(model: Model, sample: pa.Table, codes: Sequence[frozenset[str]]) -> tuple[float, float]:
     """Calibrate a refined model on the labelled documents of one area."""
-    one = sample[sample["codes"].map(len) == 1]
-    bucket, where, owner = gather(one["text"].tolist(), buckets)
+    bucket, where, owner = _arrays(sample)
     s = model.mixture(model.score(bucket, where, len(owner)), owner)
-    y = np.array([[a in set(c) for a in model.areas] for c in one["codes"]], bool).reshape(len(one), len(model.areas))
-    return calibrate(logit(s).ravel(), y[owner].ravel())
+    y = np.array([[a in c for a in model.areas] for c in codes], bool).reshape(len(codes), len(model.areas))
+    one = y[owner].sum(1) == 1
+    return calibrate(logit(s)[one].ravel(), y[owner][one].ravel())
 
 
 SHARES = "doc_id bigint, subject_code string, n_about int, n_sentences int, posterior double"
 
 
-def classify(documents: DataFrame, model: Model, share: float = SHARE, buckets: int = BUCKETS) -> DataFrame:
-    """Areas of each document: those held with posterior over one half by at least ``share`` of its sentences.
+def classify(features_: DataFrame, model: Model, share: float = SHARE) -> DataFrame:
+    """Areas of each document of :func:`featurize`: those held with posterior over one half by at least ``share`` of its
+    sentences.
 
     One row per document and area, with both counts and the mean posterior. Null and empty texts, and texts none of
     whose areas reaches the share, have no row.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = features_.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                part = batch.iloc[lo : lo + 1000]
-                bucket, where, owner = features(part["text"].tolist(), buckets)
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                bucket, where, owner = _arrays(part)
                 if not len(owner):
                     continue
                 p = m.posterior(m.score(bucket, where, len(owner)), owner)
-                size = np.bincount(owner, minlength=len(part))
-                about = np.stack([np.bincount(owner, p[:, k] > 0.5, len(part)) for k in range(p.shape[1])], 1)
-                mean = np.stack([np.bincount(owner, p[:, k], len(part)) for k in range(p.shape[1])], 1) / np.maximum(size, 1)[:, None]
+                size = np.bincount(owner, minlength=part.num_rows)
+                about = np.stack([np.bincount(owner, p[:, k] > 0.5, part.num_rows) for k in range(p.shape[1])], 1)
+                mean = np.stack([np.bincount(owner, p[:, k], part.num_rows) for k in range(p.shape[1])], 1) / np.maximum(size, 1)[:, None]
                 i, k = np.nonzero((about >= share * size[:, None]) & (about > 0))
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[i], "subject_code": np.array(m.areas, object)[k], "n_about": about[i, k].astype(np.int32), "n_sentences": size[i].astype(np.int32), "posterior": mean[i, k]})
+                columns = [part.column("doc_id").take(pa.array(i)), pa.array([m.areas[x] for x in k], pa.string()), pa.array(about[i, k].astype(np.int32)), pa.array(size[i].astype(np.int32)), pa.array(mean[i, k])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "subject_code", "n_about", "n_sentences", "posterior"])
 
-    return documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(run, SHARES)
+    return features_.select("doc_id", "sizes", "bucket").mapInArrow(run, SHARES)
 
 
 def composition(found: DataFrame, documents: DataFrame, subjects: DataFrame) -> DataFrame:

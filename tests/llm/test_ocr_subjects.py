@@ -96,8 +96,9 @@ def test_areas_on_held_out_documents(spark):
     docs = documents(r, 600)
     df = spark.createDataFrame([(d, t) for d, t, _ in docs] + [(9001, None), (9002, "")], "doc_id bigint, text string").withColumn("subject_code", F.lit("clash")).repartition(3)
     labels = spark.createDataFrame([(d, a) for d, _, s in docs[:200] for a in s] + [(5, "nonsense"), (77777, "law")], "doc_id bigint, subject_code string")
-    model = subjects.fit(df, labels.unionByName(labels.limit(20)), list(TERMS), rounds=1, buckets=1 << 12)
-    found = subjects.classify(df, model, buckets=1 << 12)
+    feats = subjects.featurize(df, 1 << 12)
+    model = subjects.fit(feats, labels.unionByName(labels.limit(20)), list(TERMS), rounds=1, buckets=1 << 12)
+    found = subjects.classify(feats, model)
     got: dict[int, set] = {}
     for x in found.collect():
         got.setdefault(x["doc_id"], set()).add(x["subject_code"])
@@ -110,9 +111,9 @@ def test_areas_on_held_out_documents(spark):
 def test_without_labels_or_documents_there_are_no_areas(spark):
     df = spark.createDataFrame([(1, "A tennis serve was open.")], "doc_id bigint, text string")
     none = spark.createDataFrame([], "doc_id bigint, subject_code string")
-    assert subjects.classify(df, subjects.fit(df, none, list(TERMS), buckets=256), buckets=256).count() == 0
-    e = df.limit(0)
-    assert subjects.classify(e, subjects.fit(e, none, list(TERMS), buckets=256), buckets=256).count() == 0
+    for part in (df, df.limit(0)):
+        feats = subjects.featurize(part, 256)
+        assert subjects.classify(feats, subjects.fit(feats, none, list(TERMS), buckets=256)).count() == 0
 
 
 def test_sentences():
