@@ -207,8 +207,8 @@ SQL = {
     "vector_topk_selected": _top("grp = qgrp", 8),
     "vector_topk_global": _top("is_global", 8),
     "vector_threshold": _top("score >= 0.2", 8),
-    "knn_links": _V + "SELECT query_id AS source, id AS target, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) r FROM s WHERE grp <> qgrp AND score >= 0.2) WHERE r <= 3",
-    "knn_links_prefilter": _V + "SELECT source, target, score FROM (SELECT query_id AS source, id AS target, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY r) k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) r FROM s) WHERE r <= 4 AND grp <> qgrp AND score >= 0.2) WHERE k <= 3",
+    "knn_links": _V + "SELECT query_id AS source, id AS target, CAST(round(CAST(score AS DECIMAL(18, 6)), 4) AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) r FROM s WHERE grp <> qgrp AND score >= 0.2) WHERE r <= 3",
+    "knn_links_prefilter": _V + "SELECT source, target, score FROM (SELECT query_id AS source, id AS target, CAST(round(CAST(score AS DECIMAL(18, 6)), 4) AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY r) k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) r FROM s) WHERE r <= 4 AND grp <> qgrp AND score >= 0.2) WHERE k <= 3",
     "vector_routing": _V + "SELECT query_id, coalesce(round(max(CASE WHEN grp = qgrp THEN score END) / max(score), 6), 0.0) AS ratio, CASE WHEN coalesce(round(max(CASE WHEN grp = qgrp THEN score END) / max(score), 6), 0.0) >= 0.45 THEN 'selected' ELSE 'global' END AS scope FROM s WHERE id <> query_id GROUP BY query_id",
     "hybrid_retrieval": _V
     + """, rt AS (SELECT query_id, coalesce(round(max(CASE WHEN grp = qgrp THEN score END) / max(score), 6), 0.0) >= 0.95 sel FROM s WHERE id <> query_id GROUP BY query_id),
@@ -221,7 +221,7 @@ SQL = {
  f AS (SELECT * FROM (SELECT id, grp, row_number() OVER (PARTITION BY grp ORDER BY id) n FROM p) WHERE n <= 3),
  u AS (SELECT query_id, id, score, 'vector' source, 0 o FROM hits UNION ALL SELECT s.query_id, s.id, s.score, 'graph', 1 FROM rel5 JOIN f ON f.grp = rel5.grp JOIN s ON s.query_id = rel5.query_id AND s.id = f.id WHERE s.id <> s.query_id),
  one AS (SELECT query_id, id, min(o) o, any_value(score) score FROM u GROUP BY 1, 2)
- SELECT query_id, id, round(score, 4) AS score, CASE WHEN o = 0 THEN 'vector' ELSE 'graph' END AS source, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o, id) rank FROM one) WHERE rank <= 10""",
+ SELECT query_id, id, CAST(round(CAST(score AS DECIMAL(18, 6)), 4) AS DOUBLE) AS score, CASE WHEN o = 0 THEN 'vector' ELSE 'graph' END AS source, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o, id) rank FROM one) WHERE rank <= 10""",
     "rrf_fusion": _V
     + """, a AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) r FROM s WHERE id <> query_id), b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) r FROM s WHERE id <> query_id AND grp = qgrp),
  f AS (SELECT query_id, id, round(sum(1.0 / (60 + r)), 6) score FROM (FROM a WHERE r <= 10 UNION ALL FROM b WHERE r <= 10) GROUP BY 1, 2)
