@@ -86,7 +86,10 @@ def radius_join(strings: DataFrame, radius: int = 1, pivots: int | None = None,
     """
     spark = strings.sparkSession
     keys = strings.select("key").where(F.col("key").isNotNull()).distinct()
-    n = pivots or int(min(max(keys.count() ** 0.5 / 3, 8), MOST_PIVOTS))
+    size = keys.count()
+    n = pivots or int(min(max(size**0.5 / 3, 8), MOST_PIVOTS))
+    # Few bytes but much work: tasks by number of keys, which the adaptive planner would merge by size.
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // 1000)))
     chosen = spark.sparkContext.broadcast(pick_pivots(keys, n))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,13 +106,13 @@ def radius_join(strings: DataFrame, radius: int = 1, pivots: int | None = None,
                 yield pd.DataFrame({"cell": c, "ring": size[i] + s, "native": (home[i] == c) & (s == 0), "key": [ks[k] for k in i], "vector": [vectors[k] for k in i]}).astype({"cell": np.int32, "ring": np.int32})
 
     cell = ["cell", "ring"]
-    placed = keys.repartition(F.xxhash64("key")).mapInPandas(place, "cell int, ring int, native boolean, key string, vector binary")
+    placed = keys.repartition(tasks, F.xxhash64("key")).mapInPandas(place, "cell int, ring int, native boolean, key string, vector binary")
     # Cells in which no key has its home need no copies.
     sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.max("native").alias("used")).where("used").select(*cell, F.ceil(F.col("n") / block).cast("int").alias("nb"))
     mine = F.pmod(F.xxhash64("key"), F.col("nb")).cast("int")
     routed = placed.join(sizes, cell).withColumn("b", mine).select(*cell, "native", "key", "vector", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("x"))
     unit = ["cell", "ring", "lo", "hi"]
-    parts = routed.select(*cell, F.least("b", "x").alias("lo"), F.greatest("b", "x").alias("hi"), "b", "native", "key", "vector").repartition(*unit).sortWithinPartitions(*unit)
+    parts = routed.select(*cell, F.least("b", "x").alias("lo"), F.greatest("b", "x").alias("hi"), "b", "native", "key", "vector").repartition(tasks, *unit).sortWithinPartitions(*unit)
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in grouped(batches, unit):
