@@ -142,12 +142,28 @@ def merge_links(*links: DataFrame) -> DataFrame:
     return union.where(F.col("source") != F.col("target")).groupBy("source", "target", "type").agg(F.min_by("score", F.struct("_k", "score")).alias("score"))
 
 
-def graph_summary(chunks: DataFrame, links: DataFrame) -> DataFrame:
-    """Long table ``measure, n``: chunks, papers, links, links by type, links across papers."""
+def count_cites_chunk_edges(chunks: DataFrame, cite: DataFrame) -> DataFrame:
+    """``n``: how many edges :func:`cites_chunk_edges` has over all ``chunks`` (one row per id), without making them.
+
+    Chunks fold to a count per paper, citing counts are summed per cited paper, so a hot target sends one row per task.
+    """
+    per = chunks.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"))
+    into = cite.join(per.withColumnRenamed("paper_id", "src"), "src").groupBy(F.col("dst").alias("paper_id")).agg(F.sum("n").alias("n_citing"))
+    return into.join(per, "paper_id").agg(F.coalesce(F.sum(F.col("n") * F.col("n_citing")), F.lit(0)).alias("n"))
+
+
+def graph_summary(chunks: DataFrame, links: DataFrame, across: DataFrame | None = None) -> DataFrame:
+    """Long table ``measure, n``: chunks, papers, links, links by type, links across papers.
+
+    ``across(type, n)`` has numbers of further links, all across papers, that are counted but not listed.
+    """
+    more = links.sparkSession.createDataFrame([], "type string, n bigint") if across is None else across.where(F.col("n") > 0)
     c = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("paper_id").alias("papers"))
-    per = links.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("links:"), "type").alias("measure"), "n")
-    all_ = links.agg(F.count(F.lit(1)).alias("n")).select(F.lit("links").alias("measure"), "n")
-    cross = cross_paper_links(links, chunks).agg(F.count(F.lit(1)).alias("n")).select(F.lit("links across papers").alias("measure"), "n")
+    types = links.groupBy("type").agg(F.count(F.lit(1)).alias("n")).unionByName(more).groupBy("type").agg(F.sum("n").alias("n"))
+    per = types.select(F.concat(F.lit("links:"), "type").alias("measure"), "n")
+    all_ = types.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("links").alias("measure"), "n")
+    known = cross_paper_links(links, chunks).agg(F.count(F.lit(1)).alias("n"))
+    cross = known.unionByName(more.select("n")).agg(F.sum("n").alias("n")).select(F.lit("links across papers").alias("measure"), "n")
     base = c.select(F.explode(F.create_map(F.lit("chunks"), "chunks", F.lit("papers"), "papers")).alias("measure", "n"))
     return base.unionByName(all_).unionByName(per).unionByName(cross)
 

@@ -84,8 +84,8 @@ def cross_paper_links(spark: SparkSession, sf: str) -> DataFrame:
 def graph_summary(spark: SparkSession, sf: str) -> DataFrame:
     c = current_chunks(spark, sf)
     nxt = graph.next_edges(c).select(F.col("left").alias("source"), F.col("right").alias("target"), F.lit("next").alias("type"))
-    cite = graph.cites_chunk_edges(_asked_chunks(spark, sf), _cites(spark, sf)).withColumn("type", F.lit("cites"))
-    return graph.graph_summary(c, graph.merge_links(nxt, cite))
+    cite = graph.count_cites_chunk_edges(c, _cites(spark, sf)).select(F.lit("cites").alias("type"), "n")
+    return graph.graph_summary(c, graph.merge_links(nxt), cite)
 
 
 def research_flow(spark: SparkSession, sf: str) -> DataFrame:
