@@ -99,11 +99,53 @@ def first_chunks(chunks: DataFrame, n: int = 3, by: Sequence[str] = ("paper_id",
     return chunks.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
 
 
-def cites_chunk_edges(chunks: DataFrame, cite: DataFrame, limit: int = 5000) -> DataFrame:
-    """Every chunk of a citing with every chunk of a cited paper, both from ``chunks``: the first ``limit`` by ids."""
+def cites_chunk_edges(chunks: DataFrame, cite: DataFrame, limit: int | None = 5000) -> DataFrame:
+    """Every chunk of a citing with every chunk of a cited paper, both from ``chunks``: the first ``limit`` by ids, or all."""
     a = chunks.select(F.col("paper_id").alias("src"), F.col("chunk_id").alias("source"))
     b = chunks.select(F.col("paper_id").alias("dst"), F.col("chunk_id").alias("target"))
-    return cite.join(a, "src").join(b, "dst").select("source", "target").distinct().orderBy("source", "target").limit(limit)
+    edges = cite.join(a, "src").join(b, "dst").select("source", "target").distinct()
+    return edges if limit is None else edges.orderBy("source", "target").limit(limit)
+
+
+def paper_pairs(chunks: DataFrame, cite: DataFrame) -> DataFrame:
+    """Citations with chunks (one row per id) at both ends: ``src, dst, n`` with the number of chunk pairs between them."""
+    per = chunks.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"))
+    a, b = per.select(F.col("paper_id").alias("src"), F.col("n").alias("a")), per.select(F.col("paper_id").alias("dst"), F.col("n").alias("b"))
+    return cite.join(a, "src").join(b, "dst").select("src", "dst", (F.col("a") * F.col("b")).alias("n"))
+
+
+def compact_links(pairs: DataFrame, chunks: DataFrame, kind: str = "cites") -> DataFrame:
+    """All chunk links of :func:`paper_pairs` without making them: ``kind, paper_id, value, n``.
+
+    A row of ``kind`` has two papers and how many links there are between their chunks; a row `chunk` has a paper of such
+    a pair and one of its chunks. The links are the chunks of the one joined with those of the other, see
+    :func:`listed_links`. The rows grow with the citations and the chunks, the links with the product of both ends.
+    """
+    ends = pairs.select(F.col("src").alias("paper_id")).unionByName(pairs.select(F.col("dst").alias("paper_id"))).distinct()
+    links = pairs.select(F.lit(kind).alias("kind"), F.col("src").alias("paper_id"), F.col("dst").alias("value"), "n")
+    members = chunks.join(ends, "paper_id", "left_semi").select(F.lit("chunk").alias("kind"), "paper_id", F.col("chunk_id").alias("value"), F.lit(1).cast("bigint").alias("n"))
+    return links.unionByName(members)
+
+
+def listed_links(compact: DataFrame) -> DataFrame:
+    """The links of :func:`compact_links`, one by one: ``source, target, type``."""
+    c = compact.where(F.col("kind") == "chunk")
+    a, b = c.select("paper_id", F.col("value").alias("source")), c.select(F.col("paper_id").alias("dst"), F.col("value").alias("target"))
+    pairs = compact.where(F.col("kind") != "chunk").select("paper_id", F.col("value").alias("dst"), F.col("kind").alias("type"))
+    return pairs.join(a, "paper_id").join(b, "dst").select("source", "target", "type")
+
+
+def first_cites_chunk_edges(chunks: DataFrame, cite: DataFrame, limit: int) -> DataFrame:
+    """The rows of :func:`cites_chunk_edges` for a small ``limit``, without making all pairs (``chunks`` has one row per id).
+
+    Each chunk of a citing paper has an edge, so the first edges start in the first ``limit`` of these chunks, and of
+    each of their papers' targets only the first ``limit`` matter.
+    """
+    c, pairs = chunks.select("paper_id", "chunk_id"), paper_pairs(chunks, cite).select("src", "dst")
+    heads = c.join(pairs.select(F.col("src").alias("paper_id")).distinct(), "paper_id", "left_semi").orderBy("chunk_id").limit(limit).select(F.col("paper_id").alias("src"), F.col("chunk_id").alias("source"))
+    near = pairs.join(F.broadcast(heads.select("src").distinct()), "src")
+    tails = near.join(c.select(F.col("paper_id").alias("dst"), F.col("chunk_id").alias("target")), "dst").withColumn("_n", F.row_number().over(W.partitionBy("src").orderBy("target"))).where(F.col("_n") <= limit)
+    return tails.join(F.broadcast(heads), "src").select("source", "target").orderBy("source", "target").limit(limit)
 
 
 def shared_entity_edges(mentions: DataFrame, limit: int = 5000) -> DataFrame:

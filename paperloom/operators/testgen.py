@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import join_terms, tokenize
+from paperloom.session import cut
 
 #: Question wordings; {a} and {b} stand for the key terms of the first and second chunk.
 SINGLE = ("What does the passage say about {a}?", "Which finding concerns {a}?", "How are {a} treated?")
@@ -14,14 +15,16 @@ MULTI = {"cites": ("How does {a} in the one paper relate to {b} in the one it ci
 DEFAULT_MULTI = ("What do {a} and {b} have in common?",)
 
 
-def key_terms(chunks: DataFrame, skip: int = 1, take: int = 2, least: int = 5) -> DataFrame:
+def key_terms(chunks: DataFrame, skip: int = 1, take: int = 2, least: int = 5, only: DataFrame | None = None) -> DataFrame:
     """``chunk_id, terms``: after the top ``skip`` by tf * idf the next ``take``, of the best pool that can fill them.
 
     Pools in order: long tokens in at least two chunks, all long tokens, all tokens; a pool counts if it has at least
     ``take`` terms, and skipping never empties it below what it must fill. idf is ln(1 + N / (df + 0.5)) over ``chunks``.
+    With ``only(chunk_id)``, a few ids, just these get terms; the statistics are still those of all ``chunks``.
     """
-    t = chunks.select("chunk_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = t.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    ranked = chunks if only is None else chunks.join(F.broadcast(only.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    t = ranked.select("chunk_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = chunks.select(F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = chunks.agg(F.count(F.lit(1)).alias("n"))
     w = t.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", F.round(F.col("tf") * F.ln(1 + F.col("n") / (F.col("df") + 0.5)), 6))
     long = F.length("term") >= least
@@ -60,8 +63,8 @@ def multi_hop(links: DataFrame, chunks: DataFrame, n: int, seed: int = 7) -> Dat
     """Cases of two chunks from links across papers, by score, source and target, one per unordered pair."""
     pair = links.withColumns({"x": F.least("source", "target"), "y": F.greatest("source", "target")})
     one = pair.groupBy("x", "y").agg(F.min(F.struct((-F.coalesce("score", F.lit(0.0))).alias("s"), "source", "target", "type")).alias("l")).select("l.*")
-    top = one.orderBy("s", "source", "target").limit(n)
-    t = key_terms(chunks)
+    top = cut(one.orderBy("s", "source", "target").limit(n))
+    t = key_terms(chunks, only=top.select(F.col("source").alias("chunk_id")).unionByName(top.select(F.col("target").alias("chunk_id"))))
     j = top.join(t.select(F.col("chunk_id").alias("source"), F.col("terms").alias("a")), "source").join(t.select(F.col("chunk_id").alias("target"), F.col("terms").alias("b")), "target")
     key = F.concat("source", F.lit("|"), "target")
     q = F.when(F.col("type") == "cites", _worded(MULTI["cites"], seed, key, F.col("a"), F.col("b"))).otherwise(_worded(DEFAULT_MULTI, seed, key, F.col("a"), F.col("b")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import first_sentence
 from paperloom.operators import evidence, graph, metrics, testgen
-from paperloom.plans.network import _G, _asked_chunks, _cites
+from paperloom.plans.network import _G, _cites
 from paperloom.plans.search import CASES, CHUNKS, asked, cases, current_chunks, tok
 from paperloom.sources.tables import table
 
@@ -114,8 +114,10 @@ def testgen_single_hop(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def testgen_multi_hop(spark: SparkSession, sf: str) -> DataFrame:
-    links = graph.cites_chunk_edges(_asked_chunks(spark, sf), _cites(spark, sf)).select("source", "target", F.lit("cites").alias("type"), F.lit(None).cast("double").alias("score"))
-    return testgen.multi_hop(links, _sampled(spark, sf), 20)
+    c = current_chunks(spark, sf)
+    edges = graph.first_cites_chunk_edges(c, _cites(spark, sf), 2 * 20)  # of 40 in order, 20 are left when either direction of a pair goes
+    links = edges.select("source", "target", F.lit("cites").alias("type"), F.lit(None).cast("double").alias("score"))
+    return testgen.multi_hop(links, c, 20)
 
 
 QUERIES = {f.__name__: f for f in (ir_metrics, gen_metrics, triple_metrics, macro_mean, metrics_by_tag, operational_summary, gate_eval, baseline_delta, worst_cases, evidence_match, conversion_report, key_terms, round_robin_sample, testgen_single_hop, testgen_multi_hop)}

@@ -56,15 +56,10 @@ def chunks_per_paper(spark: SparkSession, sf: str) -> DataFrame:
     return graph.first_chunks(current_chunks(spark, sf), 3).select("paper_id", "chunk_id", "position")
 
 
-def _asked_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """First chunks of the asked papers and of the papers they cite."""
-    papers = _asked_papers(spark, sf)
-    near = papers.unionByName(_cites(spark, sf).join(F.broadcast(papers), F.col("src") == F.col("paper_id")).select(F.col("dst").alias("paper_id"))).distinct()
-    return graph.first_chunks(current_chunks(spark, sf).join(near, "paper_id", "left_semi"), 3)
-
-
 def cites_chunk_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.cites_chunk_edges(_asked_chunks(spark, sf), _cites(spark, sf))
+    """All of them, in compact form."""
+    c = current_chunks(spark, sf)
+    return graph.compact_links(graph.paper_pairs(c, _cites(spark, sf)), c)
 
 
 def shared_entity_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,8 +72,9 @@ def entity_expand(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cross_paper_links(spark: SparkSession, sf: str) -> DataFrame:
-    links = graph.cites_chunk_edges(_asked_chunks(spark, sf), _cites(spark, sf)).withColumn("type", F.lit("cites"))
-    return graph.cross_paper_links(links, current_chunks(spark, sf))
+    """The cites links between different papers, in compact form."""
+    c = current_chunks(spark, sf)
+    return graph.compact_links(graph.paper_pairs(c, _cites(spark, sf)).where(F.col("src") != F.col("dst")), c)
 
 
 def graph_summary(spark: SparkSession, sf: str) -> DataFrame:

@@ -32,3 +32,30 @@ def test_graph_summary_counts_every_link(spark, duck):  # noqa: F811
     sql = catalog.oracle_sql()["graph_summary"].replace(_G, WHOLE)
     df = catalog.queries()["graph_summary"](spark, str(DATA))
     assert normal(df.columns, [tuple(r) for r in df.collect()]) == normal(["measure", "n"], duck.execute(sql).fetchall())
+
+
+def test_compact_links_hold_every_pair(spark, rows):
+    chunks, cite = small(spark)
+    compact = G.compact_links(G.paper_pairs(chunks, cite), chunks)
+    every = rows(G.cites_chunk_edges(chunks, cite, limit=None))
+    assert rows(G.listed_links(compact).select("source", "target")) == every and len(every) == 20
+    assert compact.where("kind = 'cites'").agg({"n": "sum"}).first()[0] == 20
+    for n in (1, 5, 9, 40):
+        assert rows(G.first_cites_chunk_edges(chunks, cite, n)) == rows(G.cites_chunk_edges(chunks, cite, n)) == every[:n]
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["cites_chunk_edges", "cross_paper_links"])
+def test_links_of_all_papers(spark, duck, name):  # noqa: F811
+    got = catalog.queries()[name](spark, str(DATA))
+    links = G.listed_links(got).select("source", "target").distinct()
+    n, low, high, sources = duck.execute(WHOLE + "SELECT count(*), min(source || ' ' || target), max(source || ' ' || target), count(DISTINCT source) FROM cce").fetchone()
+    found = links.selectExpr("count(*)", "min(source || ' ' || target)", "max(source || ' ' || target)", "count(DISTINCT source)").first()
+    assert tuple(found) == (n, low, high, sources) and n > 5000
+    assert got.where("kind = 'cites'").agg({"n": "sum"}).first()[0] == n
+
+
+@needs_tables
+def test_multi_hop_takes_the_first_links_of_all(spark, duck):  # noqa: F811
+    first = duck.execute(WHOLE + ", d AS (SELECT source, target FROM cce a WHERE source < target OR NOT EXISTS (FROM cce b WHERE b.source = a.target AND b.target = a.source)) SELECT source || ',' || target FROM d ORDER BY source, target LIMIT 20").fetchall()
+    assert [r["gold_chunk_ids"] for r in catalog.queries()["testgen_multi_hop"](spark, str(DATA)).orderBy("case_id").collect()] == [x for (x,) in first]
