@@ -148,16 +148,26 @@ def first_cites_chunk_edges(chunks: DataFrame, cite: DataFrame, limit: int) -> D
     return tails.join(F.broadcast(heads), "src").select("source", "target").orderBy("source", "target").limit(limit)
 
 
-def shared_entity_edges(mentions: DataFrame, limit: int = 5000) -> DataFrame:
-    """Chunks of different papers that mention one entity: ``source < target, entity``, the first ``limit`` in order.
-
-    A mention pairs only with mentions of other papers that come after it. An entity with m mentions can fill no more than
-    the limit, so of its mentions in order only the first ``limit`` of either side matter.
-    """
+def shared_entity_edges(mentions: DataFrame, limit: int | None = 5000) -> DataFrame:
+    """Chunks of different papers that mention one entity: ``source < target, entity``, the first ``limit`` in order, or all."""
     m = mentions.select("entity", "chunk_id", "paper_id").distinct()
     a = m.select("entity", F.col("chunk_id").alias("source"), F.col("paper_id").alias("pa"))
     b = m.select("entity", F.col("chunk_id").alias("target"), F.col("paper_id").alias("pb"))
-    return a.join(b, "entity").where((F.col("source") < F.col("target")) & (F.col("pa") != F.col("pb"))).select("source", "target", "entity").orderBy("source", "target", "entity").limit(limit)
+    edges = a.join(b, "entity").where((F.col("source") < F.col("target")) & (F.col("pa") != F.col("pb"))).select("source", "target", "entity")
+    return edges if limit is None else edges.orderBy("source", "target", "entity").limit(limit)
+
+
+def shared_entity_members(mentions: DataFrame) -> DataFrame:
+    """All of :func:`shared_entity_edges` without making them: ``entity, paper_id, chunk_id, n_linked``.
+
+    One row per mention that has an edge, with the number of chunks of other papers that mention the entity; the edges are
+    the pairs of an entity's chunks from different papers. Mentions are counted per entity and paper, and these counts
+    summed per entity, so the rows grow with the mentions and a hot entity sends one row per paper.
+    """
+    m = mentions.where(F.col("paper_id").isNotNull() & F.col("chunk_id").isNotNull()).select("entity", "paper_id", "chunk_id").distinct()
+    per = m.groupBy("entity", "paper_id").agg(F.count(F.lit(1)).alias("own"))
+    others = per.join(per.groupBy("entity").agg(F.sum("own").alias("n")), "entity").select("entity", "paper_id", (F.col("n") - F.col("own")).alias("n_linked"))
+    return m.join(others.where(F.col("n_linked") > 0), ["entity", "paper_id"]).select("entity", "paper_id", "chunk_id", "n_linked")
 
 
 def entity_expand(seeds: DataFrame, mentions: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -63,7 +63,8 @@ def cites_chunk_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shared_entity_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.shared_entity_edges(graph.mentions_of(graph.first_chunks(current_chunks(spark, sf), 3)))
+    """All of them, in compact form."""
+    return graph.shared_entity_members(graph.mentions_of(current_chunks(spark, sf)))
 
 
 def entity_expand(spark: SparkSession, sf: str) -> DataFrame:

@@ -59,3 +59,17 @@ def test_links_of_all_papers(spark, duck, name):  # noqa: F811
 def test_multi_hop_takes_the_first_links_of_all(spark, duck):  # noqa: F811
     first = duck.execute(WHOLE + ", d AS (SELECT source, target FROM cce a WHERE source < target OR NOT EXISTS (FROM cce b WHERE b.source = a.target AND b.target = a.source)) SELECT source || ',' || target FROM d ORDER BY source, target LIMIT 20").fetchall()
     assert [r["gold_chunk_ids"] for r in catalog.queries()["testgen_multi_hop"](spark, str(DATA)).orderBy("case_id").collect()] == [x for (x,) in first]
+
+
+def test_entity_members_hold_every_edge(spark, rows):
+    m = spark.createDataFrame([("a", "p", "X"), ("b", "q", "X"), ("c", "p", "X"), ("a", "p", "X"), ("a", "p", "Y"), ("c", "p", "Y"), ("d", None, "X")], "chunk_id string, paper_id string, entity string")
+    got = G.shared_entity_members(m)
+    assert rows(got) == [("X", "p", "a", 1), ("X", "p", "c", 1), ("X", "q", "b", 2)]
+    assert rows(G.shared_entity_edges(got, limit=None)) == rows(G.shared_entity_edges(m)) == [("a", "b", "X"), ("b", "c", "X")]
+
+
+@needs_tables
+def test_shared_entities_of_all_chunks(spark, duck):  # noqa: F811
+    sql = _G + "SELECT a.entity, a.paper_id, a.chunk_id, count(*) n_linked FROM mentions a JOIN mentions b ON a.entity = b.entity AND a.paper_id <> b.paper_id GROUP BY ALL"
+    df = catalog.queries()["shared_entity_edges"](spark, str(DATA))
+    assert normal(df.columns, [tuple(r) for r in df.collect()]) == normal(["entity", "paper_id", "chunk_id", "n_linked"], duck.execute(sql).fetchall())
