@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import join_terms, tokenize
+from paperloom.operators.lexical import if_small
 from paperloom.session import cut
 
 #: Question wordings; {a} and {b} stand for the key terms of the first and second chunk.
@@ -26,17 +27,15 @@ def key_terms(chunks: DataFrame, skip: int = 1, take: int = 2, least: int = 5, o
     t = ranked.select("chunk_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = chunks.select(F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = chunks.agg(F.count(F.lit(1)).alias("n"))
-    w = t.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", F.round(F.col("tf") * F.ln(1 + F.col("n") / (F.col("df") + 0.5)), 6))
+    known = t.join(if_small(cut(df)) if only is None else df, "term").crossJoin(F.broadcast(n))
+    w = known.withColumn("w", F.round(F.col("tf") * F.ln(1 + F.col("n") / (F.col("df") + 0.5)), 6))
     long = F.length("term") >= least
-    pools = F.array_compact(F.array(F.when(long & (F.col("df") >= 2), 1), F.when(long, 2), F.lit(3)))
-    p = w.select("chunk_id", "term", "w", F.explode(pools).alias("pool"))
-    by = W.partitionBy("chunk_id", "pool").orderBy(F.desc("w"), "term")
-    p = p.withColumns({"r": F.row_number().over(by), "size": F.count(F.lit(1)).over(W.partitionBy("chunk_id", "pool"))})
-    best = F.min(F.when(F.col("size") >= take, F.col("pool"))).over(W.partitionBy("chunk_id"))
-    start = F.least(F.lit(skip), F.greatest(F.col("size") - take, F.lit(0)))
-    chosen = p.withColumn("best", F.coalesce(best, F.lit(3))).where((F.col("pool") == F.col("best")) & (F.col("r") > start) & (F.col("r") <= start + take))
-    rows = chosen.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("r", "term"))).alias("x"))  # at most `take` terms
-    return rows.select("chunk_id", F.transform("x", lambda s: s["term"]).alias("terms"))
+    pool = F.when(long & (F.col("df") >= 2), 1).when(long, 2).otherwise(3)  # the first that has the term; the later ones have it too
+    x = w.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("w"), "term", pool.alias("pool")))).alias("x"), F.count_if(pool == 1).alias("n1"), F.count_if(pool <= 2).alias("n2"))  # terms of one text
+    best = F.when(F.col("n1") >= take, 1).when(F.col("n2") >= take, 2).otherwise(3)
+    p = x.withColumn("best", best).select("chunk_id", F.filter("x", lambda s: s["pool"] <= F.col("best")).alias("p"))
+    start = F.least(F.lit(skip), F.greatest(F.size("p") - take, F.lit(0)))
+    return p.select("chunk_id", F.transform(F.slice("p", start + 1, F.lit(take)), lambda s: s["term"]).alias("terms"))
 
 
 def round_robin(chunks: DataFrame, n: int) -> DataFrame:
@@ -53,8 +52,8 @@ def _worded(templates, seed: int, key, a, b=None):
 
 def single_hop(chunks: DataFrame, n: int, seed: int = 7) -> DataFrame:
     """``case_id, question, gold_chunk_ids`` of one chunk each, by round robin over papers."""
-    chosen = round_robin(chunks, n).select("chunk_id", "paper_id", "turn")
-    terms = key_terms(chunks).join(chosen, "chunk_id")
+    chosen = cut(round_robin(chunks, n).select("chunk_id", "paper_id", "turn"))
+    terms = key_terms(chunks, only=chosen).join(chosen, "chunk_id")
     number = F.row_number().over(W.orderBy("turn", "paper_id")) - 1  # n rows
     return terms.select(F.format_string("gen-sh-%04d", number).alias("case_id"), _worded(SINGLE, seed, F.col("chunk_id"), F.col("terms")).alias("question"), F.col("chunk_id").alias("gold_chunk_ids"))
 

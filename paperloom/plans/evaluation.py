@@ -97,12 +97,8 @@ def conversion_report(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.conversion_report(e, evidence.match_evidence(e, current_chunks(spark, sf)))
 
 
-def _sampled(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.first_chunks(current_chunks(spark, sf), 3).drop("position")
-
-
 def key_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return testgen.key_terms(_sampled(spark, sf)).select("chunk_id", F.array_join("terms", ",").alias("terms"))
+    return testgen.key_terms(current_chunks(spark, sf)).select("chunk_id", F.array_join("terms", ",").alias("terms"))
 
 
 def round_robin_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,7 +106,7 @@ def round_robin_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def testgen_single_hop(spark: SparkSession, sf: str) -> DataFrame:
-    return testgen.single_hop(_sampled(spark, sf), 20)
+    return testgen.single_hop(current_chunks(spark, sf), 20)
 
 
 def testgen_multi_hop(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 from paperloom.operators import graph as G
+from paperloom.operators import testgen as T
 from paperloom.plans import catalog
 from paperloom.plans.network import _G
 from test_queries import DATA, duck, normal  # noqa: F401
@@ -73,3 +74,22 @@ def test_shared_entities_of_all_chunks(spark, duck):  # noqa: F811
     sql = _G + "SELECT a.entity, a.paper_id, a.chunk_id, count(*) n_linked FROM mentions a JOIN mentions b ON a.entity = b.entity AND a.paper_id <> b.paper_id GROUP BY ALL"
     df = catalog.queries()["shared_entity_edges"](spark, str(DATA))
     assert normal(df.columns, [tuple(r) for r in df.collect()]) == normal(["entity", "paper_id", "chunk_id", "n_linked"], duck.execute(sql).fetchall())
+
+
+@needs_tables
+def test_key_terms_of_all_chunks(spark, duck):  # noqa: F811
+    sql = catalog.oracle_sql()["key_terms"]
+    whole = _G + sql[len(_G) :].replace("FROM firsts", "FROM cur_chunks")
+    want = dict(duck.execute(whole).fetchall())
+    got = {r["chunk_id"]: r["terms"] for r in catalog.queries()["key_terms"](spark, str(DATA)).collect()}
+    assert got == want and len(got) > duck.execute(_G + "SELECT count(*) FROM firsts").fetchone()[0]
+    for name in ("testgen_single_hop", "testgen_multi_hop"):
+        for r in catalog.queries()[name](spark, str(DATA)).collect():
+            chunks = r["gold_chunk_ids"].split(",")
+            assert all(t in r["question"] for c in chunks for t in want[c].split(","))
+
+
+def test_key_terms_of_some_chunks_have_the_statistics_of_all(spark, rows):
+    c = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(("alpha bravo charlie delta", "alpha bravo charlie", "alpha bravo", "alpha delta delta"))], "chunk_id string, text string")
+    every = rows(T.key_terms(c))
+    assert rows(T.key_terms(c, only=c.where("chunk_id = 'c0'"))) == [r for r in every if r[0] == "c0"] and len(every) == 4
