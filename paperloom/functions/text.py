@@ -77,7 +77,9 @@ def first_sentence(c: Column) -> Column:
 
 
 def first_sentences(c: Column, n: int) -> Column:
-    return F.array_join(F.slice(F.split(F.trim(c), r"(?<=[.!?])\s+"), 1, n), " ")
+    """The first ``n`` sentences, each trimmed, with a blank between."""
+    parts = F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    return F.array_join(F.slice(parts, 1, n), " ")
 
 
 def join_terms(terms: Column) -> Column:

@@ -51,13 +51,15 @@ def both_ways(cite: DataFrame) -> DataFrame:
 def citation_expand(seeds: DataFrame, chunks: DataFrame, cite: DataFrame, papers: DataFrame, limit: int = 50) -> DataFrame:
     """Papers related by citation, in either direction, to the papers of seed chunks: the first ``limit`` per seed chunk.
 
-    The seeds are the small side: they are joined first, so only their papers' citations are touched.
+    The seeds are the small side: only their papers' citations are touched. A paper's list is cut to ``limit`` before it
+    meets the chunks, and each task keeps no more than that of a paper, so a hub costs no more than any other paper.
     """
     s = if_small(seeds.select("chunk_id").distinct())
-    own = chunks.select("chunk_id", "paper_id").join(s, "chunk_id").distinct()
-    near = both_ways(cite).join(if_small(own), "paper_id").join(papers.select(F.col("paper_id").alias("related")), "related", "left_semi").distinct()
-    w = W.partitionBy("chunk_id").orderBy("related", "type")
-    return near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).select("chunk_id", "paper_id", "type", "related")
+    own = cut(chunks.select("chunk_id", "paper_id").join(s, "chunk_id").distinct())
+    wanted = if_small(own.select("paper_id").distinct())
+    near = both_ways(cite).join(wanted, "paper_id", "left_semi").join(papers.select(F.col("paper_id").alias("related")), "related", "left_semi").distinct()
+    first = near.withColumn("_n", F.row_number().over(W.partitionBy("paper_id").orderBy("related", "type"))).where(F.col("_n") <= limit)
+    return first.join(if_small(own), "paper_id").select("chunk_id", "paper_id", "type", "related")
 
 
 def subgraph(wanted: DataFrame, papers: DataFrame, authors: DataFrame, chunks: DataFrame, cite: DataFrame) -> DataFrame:
@@ -86,7 +88,8 @@ def khop(seeds: DataFrame, cite: DataFrame, hops: int = 2, limit: int = 25) -> D
     seen = seeds.select("seed", F.col("seed").alias("paper_id"), F.lit(0).alias("hop")).distinct()
     front = seen
     for h in range(1, hops + 1):
-        found = front.select("seed", "paper_id").join(step, "paper_id").select("seed", F.col("related").alias("paper_id")).distinct()
+        # A frontier that is small is sent to the edges, so a hub's edges stay spread over their tasks.
+        found = step.join(if_small(front.select("seed", "paper_id")), "paper_id").select("seed", F.col("related").alias("paper_id")).distinct()
         front = cut(found.join(seen, ["seed", "paper_id"], "left_anti").withColumn("hop", F.lit(h)))
         seen = seen.unionByName(front)
     w = W.partitionBy("seed").orderBy("hop", "paper_id")
@@ -99,12 +102,14 @@ def first_chunks(chunks: DataFrame, n: int = 3, by: Sequence[str] = ("paper_id",
     return chunks.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
 
 
-def cites_chunk_edges(chunks: DataFrame, cite: DataFrame, limit: int | None = 5000) -> DataFrame:
-    """Every chunk of a citing with every chunk of a cited paper, both from ``chunks``: the first ``limit`` by ids, or all."""
+def cites_chunk_edges(chunks: DataFrame, cite: DataFrame) -> DataFrame:
+    """Every chunk of a citing with every chunk of a cited paper, one by one; :func:`compact_links` has them all in short.
+
+    For the first few by ids see :func:`first_cites_chunk_edges`.
+    """
     a = chunks.select(F.col("paper_id").alias("src"), F.col("chunk_id").alias("source"))
     b = chunks.select(F.col("paper_id").alias("dst"), F.col("chunk_id").alias("target"))
-    edges = cite.join(a, "src").join(b, "dst").select("source", "target").distinct()
-    return edges if limit is None else edges.orderBy("source", "target").limit(limit)
+    return cite.join(a, "src").join(b, "dst").select("source", "target").distinct()
 
 
 def paper_pairs(chunks: DataFrame, cite: DataFrame) -> DataFrame:
@@ -143,18 +148,21 @@ def first_cites_chunk_edges(chunks: DataFrame, cite: DataFrame, limit: int) -> D
     """
     c, pairs = chunks.select("paper_id", "chunk_id"), paper_pairs(chunks, cite).select("src", "dst")
     heads = c.join(pairs.select(F.col("src").alias("paper_id")).distinct(), "paper_id", "left_semi").orderBy("chunk_id").limit(limit).select(F.col("paper_id").alias("src"), F.col("chunk_id").alias("source"))
+    heads = cut(heads)  # at most `limit` rows
     near = pairs.join(F.broadcast(heads.select("src").distinct()), "src")
     tails = near.join(c.select(F.col("paper_id").alias("dst"), F.col("chunk_id").alias("target")), "dst").withColumn("_n", F.row_number().over(W.partitionBy("src").orderBy("target"))).where(F.col("_n") <= limit)
     return tails.join(F.broadcast(heads), "src").select("source", "target").orderBy("source", "target").limit(limit)
 
 
-def shared_entity_edges(mentions: DataFrame, limit: int | None = 5000) -> DataFrame:
-    """Chunks of different papers that mention one entity: ``source < target, entity``, the first ``limit`` in order, or all."""
+def shared_entity_edges(mentions: DataFrame) -> DataFrame:
+    """Chunks of different papers that mention one entity, pair by pair: ``source < target, entity``.
+
+    All pairs of an entity are made; :func:`shared_entity_members` has them all in short.
+    """
     m = mentions.select("entity", "chunk_id", "paper_id").distinct()
     a = m.select("entity", F.col("chunk_id").alias("source"), F.col("paper_id").alias("pa"))
     b = m.select("entity", F.col("chunk_id").alias("target"), F.col("paper_id").alias("pb"))
-    edges = a.join(b, "entity").where((F.col("source") < F.col("target")) & (F.col("pa") != F.col("pb"))).select("source", "target", "entity")
-    return edges if limit is None else edges.orderBy("source", "target", "entity").limit(limit)
+    return a.join(b, "entity").where((F.col("source") < F.col("target")) & (F.col("pa") != F.col("pb"))).select("source", "target", "entity")
 
 
 def shared_entity_members(mentions: DataFrame) -> DataFrame:
@@ -170,12 +178,12 @@ def shared_entity_members(mentions: DataFrame) -> DataFrame:
     return m.join(others.where(F.col("n_linked") > 0), ["entity", "paper_id"]).select("entity", "paper_id", "chunk_id", "n_linked")
 
 
-def entity_expand(seeds: DataFrame, mentions: DataFrame, chunks: DataFrame) -> DataFrame:
+def entity_expand(seeds: DataFrame, mentions: DataFrame) -> DataFrame:
     """Per seed chunk the papers of other chunks that mention one of its entities: ``chunk_id, paper_id, n_entities``."""
-    s = mentions.join(if_small(seeds.select("chunk_id").distinct()), "chunk_id").select("chunk_id", "entity").distinct()
-    own = chunks.select("chunk_id", F.col("paper_id").alias("own"))
-    hit = mentions.select("entity", F.col("chunk_id").alias("other"), "paper_id").join(if_small(s), "entity").where(F.col("other") != F.col("chunk_id"))
-    return hit.join(if_small(own.join(if_small(s.select("chunk_id").distinct()), "chunk_id")), "chunk_id").where(F.col("paper_id") != F.col("own")).groupBy("chunk_id", "paper_id").agg(F.countDistinct("entity").alias("n_entities"))
+    s = cut(mentions.join(if_small(seeds.select("chunk_id").distinct()), "chunk_id").select("chunk_id", F.col("paper_id").alias("own"), "entity").distinct())
+    # Papers are folded per entity first, so an entity of a hot paper's chunks is one row.
+    per = mentions.select("entity", "paper_id").distinct()
+    return per.join(if_small(s), "entity").where(F.col("paper_id") != F.col("own")).groupBy("chunk_id", "paper_id").agg(F.countDistinct("entity").alias("n_entities"))
 
 
 def cross_paper_links(links: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -234,7 +242,14 @@ def known(ids: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return table.select(key).join(if_small(ids.select(key).distinct()), key, "left_semi").distinct()
 
 
-def mentions_of(chunks: DataFrame, pattern: Column | str = r"\b[A-Z][a-z]+[A-Z][a-z]+[0-9]*\b") -> DataFrame:
+ENTITY = r"\b[A-Z][a-z]+[A-Z][a-z]+[0-9]*\b"
+
+
+def entities_in(text: Column, pattern: str = ENTITY) -> Column:
+    """Distinct names with an inner capital, in order."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+
+
+def mentions_of(chunks: DataFrame, pattern: str = ENTITY) -> DataFrame:
     """Names with an inner capital as entities: ``chunk_id, paper_id, entity``."""
-    names = F.regexp_extract_all("text", F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0))
-    return chunks.select("chunk_id", "paper_id", F.explode(F.array_distinct(names)).alias("entity"))
+    return chunks.select("chunk_id", "paper_id", F.explode(entities_in(F.col("text"), pattern)).alias("entity"))

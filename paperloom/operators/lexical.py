@@ -35,19 +35,31 @@ def idf(n: Column, df: Column) -> Column:
     return F.ln(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_scores(queries: DataFrame, docs: DataFrame, live: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """``query_id, doc_id, score`` of every document that shares a term with the query; score over 0, rounded to 6.
 
     ``queries(query_id, text)``, ``docs(doc_id, text)`` with unique ids. Repeated query tokens count as often as they
     occur. Documents without tokens count for the corpus size and mean length. Only tokens that some query asks for
     leave the scan of the corpus; null texts have no tokens.
+
+    Where ``docs`` has several versions of a document, told apart by a column ``version``, ``live(doc_id, version)`` says
+    which of them count; equal rows count once. Texts are then never shuffled to find the version in force.
     """
     q = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    d = once(docs.select("doc_id", "text"), {"tokens": tokenize(F.coalesce("text", F.lit("")))}).drop("text")
+    key = ["doc_id"] if live is None else ["doc_id", "version"]
+    d = once(docs.select(*key, "text"), {"tokens": tokenize(F.coalesce("text", F.lit("")))}).drop("text")
     terms = if_small(q.select("term").distinct())
-    # Only matched terms are kept, so this is small beside the corpus, and it is read for df and again for the scores.
-    tf = cut(d.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
-    stats = corpus_stats(d).collect()[0]
+    # Terms are counted row by row in the scan, so only matched ones leave it; this is read for df and for the scores.
+    rows = d.withColumn("_row", F.monotonically_increasing_id())
+    held = rows.select(*key, "_row", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
+    tf = held.groupBy(*key, "_row", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    size = d.select(*key, F.size("tokens").alias("len"))
+    if live is not None:
+        wanted = live.select(*key)
+        tf = tf.join(wanted, key, "left_semi").groupBy("doc_id", "len", "term").agg(F.max("tf").alias("tf"))
+        size = size.join(wanted, key, "left_semi").groupBy("doc_id").agg(F.max("len").alias("len"))
+    tf = cut(tf.select("doc_id", "len", "term", "tf"))
+    stats = size.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.nullif(F.avg("len"), F.lit(0.0)), F.lit(1.0)).alias("avg_len")).collect()[0]
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     asked = if_small(q.join(df, "term").select("query_id", "term", "qtf", idf(F.lit(stats["n_docs"]), F.col("df")).alias("idf")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.greatest("len", F.lit(1)) / F.lit(stats["avg_len"])))
@@ -79,9 +91,17 @@ def routed_hits(scores: DataFrame, docs: DataFrame, queries: DataFrame, routes:
     return top_k(j.where((F.col("scope") == "global") | F.col("wanted").isNull() | (F.col("paper_id") == F.col("wanted"))).select("query_id", "doc_id", "score"), k)
 
 
-def extractive_answers(hits: DataFrame, docs: DataFrame, n_sentences: int = 2, n_citations: int = 3) -> DataFrame:
-    """``query_id, answer, citations``: first sentences of the best two documents, ids of the best three."""
-    j = hits.where(F.col("rank") <= max(n_sentences, n_citations)).join(docs.select("doc_id", "text"), "doc_id")
+def extractive_answers(hits: DataFrame, docs: DataFrame, live: DataFrame | None = None, n_sentences: int = 2, n_citations: int = 3) -> DataFrame:
+    """``query_id, answer, citations``: first sentences of the best two documents, ids of the best three.
+
+    ``live`` as in :func:`bm25_scores`. The few hits go to the texts, not the texts to the hits.
+    """
+    top = hits.where(F.col("rank") <= max(n_sentences, n_citations)).select("query_id", "doc_id", "rank")
+    if live is None:
+        j = docs.select("doc_id", "text").join(if_small(cut(top)), "doc_id")
+    else:
+        wanted = cut(live.select("doc_id", "version").join(if_small(cut(top)), "doc_id"))
+        j = docs.select("doc_id", "version", "text").join(if_small(wanted), ["doc_id", "version"]).dropDuplicates(["query_id", "doc_id"])
     rows = j.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", first_sentence(F.col("text")).alias("s")))).alias("r"))  # at most three rows
     said = F.array_compact(F.transform(F.filter("r", lambda x: x["rank"] <= n_sentences), lambda x: x["s"]))
     return rows.select("query_id", F.array_join(said, " ").alias("answer"), F.array_join(F.transform(F.filter("r", lambda x: x["rank"] <= n_citations), lambda x: x["doc_id"]), ",").alias("citations"))

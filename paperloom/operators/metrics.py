@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.columns import once
 from paperloom.functions.text import tokenize, triple_key
+from paperloom.session import cut
 
 KS = (1, 3, 5, 10)
 
@@ -25,8 +27,8 @@ def resolve_ranks(items: Column) -> Column:
 
 
 def _long(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """Applicable values as rows, in one pass over the cases."""
-    entries = F.array(*[F.struct(F.lit(k).alias("metric"), F.round(v.cast("double"), 6).alias("value")) for k, v in values.items()])
+    """Applicable values as rows, in one pass over the cases; they keep full precision, for means are taken of them."""
+    entries = F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values.items()])
     return df.select("case_id", F.inline(entries)).where(F.col("value").isNotNull())
 
 
@@ -148,11 +150,39 @@ def operational(runs: DataFrame) -> DataFrame:
     """Long summary of ``runs(latency_ms, error)``: cases, error rate, and latency of the runs without error."""
     ok = F.when(F.col("error").isNull(), F.col("latency_ms"))
     a = runs.agg(
-        F.count(F.lit(1)).cast("double").alias("case_count"), F.avg(F.col("error").isNotNull().cast("int")).alias("error_rate"), F.avg(ok).alias("latency_mean"),
-        F.percentile(ok, F.lit(0.5)).alias("latency_p50"), F.percentile(ok, F.lit(0.95)).alias("latency_p95"), F.max(ok).alias("latency_max"),
+        F.count(F.lit(1)).cast("double").alias("case_count"), F.avg(F.col("error").isNotNull().cast("int")).alias("error_rate"), F.avg(ok).alias("latency_mean"), F.max(ok).alias("latency_max"),
     )
-    names = [c for c in a.columns]
-    return a.select(F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.round(c, 6).alias("value")) for c in names]))).where(F.col("value").isNotNull())
+    quantile = percentiles(runs.where(F.col("error").isNull()), "latency_ms", (0.5, 0.95))
+    a = a.withColumns({f"latency_p{q * 100:g}": F.lit(v).cast("double") for q, v in quantile.items()})
+    return a.select(F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.round(c, 6).alias("value")) for c in a.columns]))).where(F.col("value").isNotNull())
+
+
+def percentiles(df: DataFrame, column: str, shares: Sequence[float]) -> dict[float, float | None]:
+    """Exact percentiles at position (n - 1) * share, interpolated; None without values. Nulls and NaN are left out.
+
+    The values are sorted in ranges, one a task; the sizes of the ranges tell in which of them a wanted position lies, and
+    only there are rows numbered. The driver gets the sizes and two values a share.
+    """
+    v = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    ranges = cut(v.repartitionByRange("v").select("v", F.spark_partition_id().alias("part")))
+    sizes = {r["part"]: r["n"] for r in ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one a range
+    n = sum(sizes.values())
+    if not n:
+        return dict.fromkeys(shares)
+    at = {i for q in shares for i in (math.floor((n - 1) * q), math.ceil((n - 1) * q))}
+    wanted, begin = [], 0
+    for part in sorted(sizes):
+        wanted += [(part, i - begin + 1, i) for i in at if begin <= i < begin + sizes[part]]
+        begin += sizes[part]
+    numbered = ranges.where(F.col("part").isin([p for p, _, _ in wanted])).withColumn("r", F.row_number().over(W.partitionBy("part").orderBy("v")))
+    hit = F.broadcast(df.sparkSession.createDataFrame(wanted, "part int, r int, i bigint"))  # two rows a share
+    value = {r["i"]: r["v"] for r in numbered.join(hit, ["part", "r"]).select("i", "v").collect()}
+    out = {}
+    for q in shares:
+        p = (n - 1) * q
+        low, high = value[math.floor(p)], value[math.ceil(p)]
+        out[q] = low + (high - low) * (p - math.floor(p))
+    return out
 
 
 #: Parts of a metric's name by which less is better.
@@ -186,5 +216,10 @@ def worst_cases(metrics: DataFrame, metric: str, n: int = 5) -> DataFrame:
     return metrics.where(F.col("metric") == metric).orderBy("value", "case_id").limit(n)
 
 
+def rounded(metrics: DataFrame, column: str = "value", digits: int = 6) -> DataFrame:
+    """Metric rows for display."""
+    return metrics.withColumn(column, F.round(column, digits))
+
+
 def with_ranks(df: DataFrame, by: str, order: Sequence[Column]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order)))

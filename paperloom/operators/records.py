@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from paperloom.operators.lexical import if_small
 
 
-def scan(chunks: DataFrame, papers: Sequence[str] | None = None, skip: int = 0, limit: int | None = None) -> DataFrame:
-    """Chunks in order of id, from ``skip`` on, optionally of some papers; pages of one table do not overlap."""
+def scan(chunks: DataFrame, papers: Sequence[str] | None = None, skip: int = 0, limit: int | None = None, after: str | None = None) -> DataFrame:
+    """Chunks in order of id, from ``skip`` on, optionally of some papers; pages of one table do not overlap.
+
+    ``after`` is the last id of the page before: a page by key is a top-k of ``limit`` rows however far on it lies, while
+    ``skip`` makes each task keep ``skip + limit`` rows.
+    """
     df = chunks if papers is None else chunks.where(F.col("paper_id").isin(list(papers)))
+    df = df if after is None else df.where(F.col("chunk_id") > after)
     df = df.orderBy("chunk_id").offset(skip)
     return df if limit is None else df.limit(limit)
 
@@ -33,13 +38,16 @@ def row_count(spark: SparkSession, name: str) -> int:
     return spark.table(name).count() if spark.catalog.tableExists(name) else 0
 
 
-def load_chunks(chunks: DataFrame, cite: DataFrame | None = None, papers: Iterable[str] | None = None, hops: int = 0) -> DataFrame:
-    """Chunks with text, of all or of some papers and those up to ``hops`` citations away; seeds come with their neighbours."""
+def load_chunks(chunks: DataFrame, cite: DataFrame | None = None, papers: Iterable[str] | DataFrame | None = None, hops: int = 0) -> DataFrame:
+    """Chunks with text, of all or of some papers and those up to ``hops`` citations away; seeds come with their neighbours.
+
+    ``papers`` is a list or a table of ids. Where ``chunks`` has no ``text`` but ``filled``, that is its trimmed length.
+    """
     spark = chunks.sparkSession
-    df = chunks.where(F.length(F.trim("text")) > 0)
+    df = chunks.where((F.col("filled") if "filled" in chunks.columns else F.length(F.trim("text"))) > 0)
     if papers is None:
         return df
-    wanted = spark.createDataFrame([(p,) for p in papers], "paper_id string")
+    wanted = papers.select("paper_id") if isinstance(papers, DataFrame) else spark.createDataFrame([(p,) for p in papers], "paper_id string")
     if hops and cite is not None:
         from paperloom.operators.graph import khop
 
@@ -66,7 +74,7 @@ def vector_payload(chunks: DataFrame, papers: DataFrame, with_references: bool =
     """What is stored beside a vector; reference chunks are left out unless asked for, an empty section is null."""
     c = chunks if with_references else chunks.where(~F.coalesce("is_references", F.lit(False)))
     p = papers.select("paper_id", "title", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"))
-    return c.join(p, "paper_id", "left").select("chunk_id", "paper_id", "chunk_index", F.nullif("section", F.lit("")).alias("section"), F.length("text").alias("char_count"), "title", "published_at")
+    return c.join(p, "paper_id", "left").select("chunk_id", "paper_id", "chunk_index", F.nullif("section", F.lit("")).alias("section"), "char_count", "title", "published_at")
 
 
 def checked_points(points: DataFrame, dimensions: int, signature: dict[str, object]) -> DataFrame:
@@ -95,7 +103,7 @@ def recover_triples(responses: DataFrame, triples: DataFrame, top: int = 3, conf
 
 def source_summary(chunks: DataFrame) -> DataFrame:
     """One row: chunks, papers, sections and mean length, 0 where there is nothing."""
-    mean = F.round(F.coalesce(F.avg(F.length("text")), F.lit(0.0)), 6)
+    mean = F.round(F.coalesce(F.avg("char_count"), F.lit(0.0)), 6)
     return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("paper_id").alias("n_papers"), F.countDistinct("section").alias("n_sections"), mean.alias("mean_chars"))
 
 

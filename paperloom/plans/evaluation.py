@@ -5,6 +5,8 @@ The run scored here answers each case with the first chunks of its paper: rank b
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +14,13 @@ from paperloom.functions.text import first_sentence
 from paperloom.operators import evidence, graph, metrics, testgen
 from paperloom.plans.network import _G, _cites
 from paperloom.plans.search import CASES, CHUNKS, asked, cases, current_chunks, tok
+from paperloom.session import cut
 from paperloom.sources.tables import table
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     """Cases with the response of the baseline: at most ten chunks of the case's paper, three citations."""
-    first = graph.first_chunks(current_chunks(spark, sf).where(~F.col("is_references")), 10)
+    first = graph.first_chunks(current_chunks(spark, sf, "paper_id", "chunk_index", "is_references", "text").where(~F.col("is_references")), 10)
     per = first.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("position", "chunk_id", "text"))).alias("hits"))  # at most ten rows
     j = cases(spark, sf).join(per, "paper_id", "left")
     said = F.array_compact(F.transform(F.slice("hits", 1, 2), lambda h: first_sentence(h["text"])))
@@ -29,28 +32,32 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def ir_metrics(spark: SparkSession, sf: str) -> DataFrame:
+def _ir(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.retrieval_metrics(responses(spark, sf))
 
 
+def ir_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.rounded(_ir(spark, sf))
+
+
 def gen_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.generation_metrics(responses(spark, sf))
+    return metrics.rounded(metrics.generation_metrics(responses(spark, sf)))
 
 
 def triple_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Gold triples against predictions in which every other predicate is wrong."""
     g = cases(spark, sf).select("case_id", F.posexplode("gold_triples").alias("i", "t")).select("case_id", "i", "t.*")
     p = g.where(F.col("i") < 3).withColumn("predicate", F.when(F.col("i") % 2 == 1, "RELATES_TO").otherwise(F.col("predicate")))
-    return metrics.triple_metrics(p, g)
+    return metrics.rounded(metrics.triple_metrics(p, g))
 
 
 def macro_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.macro_mean(ir_metrics(spark, sf))
+    return metrics.macro_mean(_ir(spark, sf))
 
 
 def metrics_by_tag(spark: SparkSession, sf: str) -> DataFrame:
     tags = cases(spark, sf).select("case_id", F.explode("tags").alias("tag"))
-    return metrics.by_tag(ir_metrics(spark, sf), tags)
+    return metrics.by_tag(_ir(spark, sf), tags)
 
 
 def operational_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,7 +70,7 @@ RULES = (("recall@5", 0.05, None, 0.03), ("ndcg@10", None, None, 0.001), ("mrr",
 
 def _baseline(spark: SparkSession, sf: str) -> DataFrame:
     """The run over the cases of the first half of the alphabet of ids."""
-    return metrics.macro_mean(ir_metrics(spark, sf).where(F.col("case_id") < "gen-sh"))
+    return metrics.macro_mean(_ir(spark, sf).where(F.col("case_id") < "gen-sh"))
 
 
 def gate_eval(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,47 +83,70 @@ def baseline_delta(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def worst_cases(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.worst_cases(ir_metrics(spark, sf), "recall@10")
+    return metrics.rounded(metrics.worst_cases(_ir(spark, sf), "recall@10"))
 
 
-def _evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Gold answers and questions of the asked cases, and the text of their gold chunks cut in half."""
-    a = cases(spark, sf).where(F.regexp_extract("case_id", r"(\d+)$", 1).cast("bigint") % 50 == 0)
+def _evidence(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    """Gold answers of the asked or of all cases, and the texts of their gold chunks cut in half."""
+    a = cases(spark, sf)
+    a = a if every else a.where(F.regexp_extract("case_id", r"(\d+)$", 1).cast("bigint") % 50 == 0)
     said = a.where(F.length("gold_answer") > 0).select(F.concat("case_id", F.lit("/answer")).alias("evidence_id"), "paper_id", F.col("gold_answer").alias("text"))
-    gold = a.select("case_id", "paper_id", F.explode("gold_chunk_ids").alias("chunk_id")).join(current_chunks(spark, sf).select("chunk_id", "text"), "chunk_id")
+    gold = a.select("case_id", "paper_id", F.explode("gold_chunk_ids").alias("chunk_id")).join(current_chunks(spark, sf, "text"), "chunk_id")
     half = gold.select(F.concat("case_id", F.lit("/"), "chunk_id").alias("evidence_id"), F.lit(None).cast("string").alias("paper_id"), F.expr("left(text, length(text) div 2)").alias("text"))
     return said.unionByName(half.distinct())
 
 
+def _bodies(spark: SparkSession, sf: str) -> DataFrame:
+    return current_chunks(spark, sf, "paper_id", "chunk_index", "text")
+
+
 def evidence_match(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.match_evidence(_evidence(spark, sf), current_chunks(spark, sf))
+    return evidence.match_evidence(_evidence(spark, sf), _bodies(spark, sf))
 
 
 def conversion_report(spark: SparkSession, sf: str) -> DataFrame:
-    e = _evidence(spark, sf)
-    return evidence.conversion_report(e, evidence.match_evidence(e, current_chunks(spark, sf)))
+    e = cut(_evidence(spark, sf, every=True))
+    return evidence.conversion_report(e, evidence.match_evidence(e, _bodies(spark, sf)))
 
 
 def key_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return testgen.key_terms(current_chunks(spark, sf)).select("chunk_id", F.array_join("terms", ",").alias("terms"))
+    return testgen.key_terms(current_chunks(spark, sf, "text")).select("chunk_id", F.array_join("terms", ",").alias("terms"))
 
 
 def round_robin_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return testgen.round_robin(current_chunks(spark, sf), 40).select("chunk_id", "paper_id", "turn")
+    return testgen.round_robin(current_chunks(spark, sf, "paper_id"), 40).select("chunk_id", "paper_id", "turn")
+
+
+def _shown(made: DataFrame) -> DataFrame:
+    """Generated cases with lists as text."""
+    listed = {c: F.array_join(c, ",") for c in ("gold_chunk_ids", "gold_paper_ids", "tags")}
+    return made.withColumns(listed | {"grades": F.array_join(F.map_values("grades"), ",")})
+
+
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    return current_chunks(spark, sf, "paper_id", "text", "section")
+
+
+def _first_links(spark: SparkSession, sf: str, n: int) -> DataFrame:
+    """The first citation links between chunks, in order of ids: of 2 n, n are left when either direction of a pair goes."""
+    edges = graph.first_cites_chunk_edges(current_chunks(spark, sf, "paper_id"), _cites(spark, sf), 2 * n)
+    return edges.select("source", "target", F.lit("cites").alias("type"), F.lit(None).cast("double").alias("score"))
 
 
 def testgen_single_hop(spark: SparkSession, sf: str) -> DataFrame:
-    return testgen.single_hop(current_chunks(spark, sf), 20)
+    return _shown(testgen.single_hop(_sources(spark, sf), 20))
 
 
 def testgen_multi_hop(spark: SparkSession, sf: str) -> DataFrame:
-    c = current_chunks(spark, sf)
-    edges = graph.first_cites_chunk_edges(c, _cites(spark, sf), 2 * 20)  # of 40 in order, 20 are left when either direction of a pair goes
-    links = edges.select("source", "target", F.lit("cites").alias("type"), F.lit(None).cast("double").alias("score"))
-    return testgen.multi_hop(links, c, 20)
+    return _shown(testgen.multi_hop(_first_links(spark, sf, 20), _sources(spark, sf), 20))
+
 
+def testgen_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """A set of 30 cases, a third of them of one chunk."""
+    return _shown(testgen.generate(_first_links(spark, sf, 20), _sources(spark, sf), 30, 1 / 3))
 
-QUERIES = {f.__name__: f for f in (ir_metrics, gen_metrics, triple_metrics, macro_mean, metrics_by_tag, operational_summary, gate_eval, baseline_delta, worst_cases, evidence_match, conversion_report, key_terms, round_robin_sample, testgen_single_hop, testgen_multi_hop)}
+
+QUERIES = {f.__name__: f for f in (ir_metrics, gen_metrics, triple_metrics, macro_mean, metrics_by_tag, operational_summary, gate_eval, baseline_delta, worst_cases, evidence_match, conversion_report, key_terms, round_robin_sample, testgen_single_hop, testgen_multi_hop, testgen_cases)}
 
 _R = f"""
 WITH {CHUNKS}, {CASES},
@@ -140,12 +170,12 @@ WITH {CHUNKS}, {CASES},
   UNION ALL SELECT case_id, 'ap', coalesce(sum(cum / rank) FILTER (hit), 0) / any_value(n) FROM ng LEFT JOIN (SELECT *, sum(CAST(hit AS INTEGER)) OVER (PARTITION BY case_id ORDER BY rank) cum FROM h) USING (case_id) GROUP BY case_id
   UNION ALL SELECT case_id, 'paper_hit@5', CAST(len(list_intersect(ps[1:5], gold_paper_ids)) > 0 AS INTEGER) FROM r WHERE len(gold_paper_ids) > 0
   UNION ALL SELECT case_id, 'routing.accuracy', CAST(expected_scope = sc AS INTEGER) FROM r WHERE expected_scope <> 'unknown'),
- m AS (SELECT case_id, metric, round(CAST(value AS DOUBLE), 6) AS value FROM ir WHERE value IS NOT NULL),
+ m AS (SELECT case_id, metric, CAST(value AS DOUBLE) AS value FROM ir WHERE value IS NOT NULL),
  agg AS (SELECT metric, round(avg(value), 6) AS mean, count(*) AS n_cases FROM m GROUP BY metric),
  base AS (SELECT metric, round(avg(value), 6) AS mean FROM m WHERE case_id < 'gen-sh' GROUP BY metric)
 """
 SQL = {
-    "ir_metrics": _R + "SELECT * FROM m",
+    "ir_metrics": _R + "SELECT case_id, metric, round(value, 6) AS value FROM m",
     "macro_mean": _R + "SELECT * FROM agg",
     "metrics_by_tag": _R + "SELECT tag, metric, round(avg(value), 6) AS mean, count(*) AS n_cases FROM m JOIN (SELECT DISTINCT case_id, unnest(tags) tag FROM cur_cases) USING (case_id) GROUP BY tag, metric",
     "operational_summary": """WITH e AS (SELECT value v, event_type = 'error' err FROM events), s AS (SELECT CAST(count(*) AS DOUBLE) case_count, avg(CAST(err AS INTEGER)) error_rate, avg(v) FILTER (NOT err) latency_mean, quantile_cont(v, 0.5) FILTER (NOT err) latency_p50, quantile_cont(v, 0.95) FILTER (NOT err) latency_p95, max(v) FILTER (NOT err) latency_max FROM e)
@@ -155,7 +185,7 @@ SQL = {
  , o AS (SELECT rules.metric, agg.mean AS value, base.mean AS base, CASE WHEN agg.mean IS NULL THEN 'missing' WHEN agg.mean < least THEN 'below minimum' WHEN agg.mean > most THEN 'above maximum' WHEN round(base.mean - agg.mean, 6) > reg THEN 'regression' ELSE 'ok' END AS reason FROM rules LEFT JOIN agg USING (metric) LEFT JOIN base ON base.metric = rules.metric)
  SELECT metric, value, base, reason = 'ok' AS passed, reason FROM o""",
     "baseline_delta": _R + "SELECT agg.metric, agg.mean AS value, base.mean AS base, round(agg.mean - base.mean, 6) AS delta FROM agg LEFT JOIN base USING (metric)",
-    "worst_cases": _R + "SELECT * FROM m WHERE metric = 'recall@10' ORDER BY value, case_id LIMIT 5",
+    "worst_cases": _R + "SELECT case_id, metric, round(value, 6) AS value FROM m WHERE metric = 'recall@10' ORDER BY value, case_id LIMIT 5",
     "gen_metrics": f"""{_R},
  x AS (SELECT case_id, gold_answer, coalesce(must_include, []) M, array_to_string(list_filter(list_transform(E[1:2], lambda t: CASE WHEN trim(split_part(t, '. ', 1)) <> '' THEN regexp_replace(trim(split_part(t, '. ', 1)), '\\.+$', '') || '.' END), lambda t: t IS NOT NULL), ' ') ans, array_to_string(E, chr(10)) ev, R[1:3] C, R, coalesce(gold_chunk_ids, []) G, question FROM r),
  y AS (SELECT case_id, gold_answer, M, ans, C, R, G, {tok('ans')} A, {tok('ev')} V, {tok("coalesce(gold_answer, '')")} T, list_distinct({tok("coalesce(question, '')")}) U FROM x),
@@ -182,10 +212,11 @@ SQL = {
   UNION ALL SELECT ge.case_id, 'entity_coverage', count(pe.e) / count(*) FROM ge LEFT JOIN pe ON ge.case_id = pe.case_id AND ge.e = pe.e GROUP BY 1
   UNION ALL SELECT case_id, 'evidence_attachment', avg(CASE WHEN length(c) > 0 THEN 1 ELSE 0 END) FROM pr GROUP BY 1)
  SELECT case_id, metric, round(CAST(value AS DOUBLE), 6) AS value FROM u""",
-    "round_robin_sample": f"WITH {CHUNKS} SELECT chunk_id, paper_id, CAST(turn AS INTEGER) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_id) turn FROM cur_chunks) ORDER BY turn, paper_id LIMIT 40",
+    "round_robin_sample": f"WITH {CHUNKS} SELECT chunk_id, paper_id, CAST(turn AS INTEGER) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_id) turn, min(chunk_id) OVER (PARTITION BY paper_id) first FROM cur_chunks) ORDER BY turn, first LIMIT 40",
 }
+_ASKED = " WHERE CAST(regexp_extract(case_id, '([0-9]+)$', 1) AS BIGINT) % 50 = 0"
 _EV = f"""{_G},
- a AS (SELECT * FROM cur_cases WHERE CAST(regexp_extract(case_id, '([0-9]+)$', 1) AS BIGINT) % 50 = 0),
+ a AS (SELECT * FROM cur_cases{_ASKED}),
  ev AS (SELECT case_id || '/answer' evidence_id, paper_id, gold_answer t FROM a WHERE length(gold_answer) > 0
   UNION ALL SELECT DISTINCT case_id || '/' || chunk_id, CAST(NULL AS VARCHAR), left(c.text, length(c.text) // 2) FROM (SELECT case_id, unnest(gold_chunk_ids) chunk_id FROM a) JOIN cur_chunks c USING (chunk_id)),
  e2 AS (SELECT evidence_id, paper_id want, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) e, list_distinct({tok('t')}) et FROM ev),
@@ -196,13 +227,40 @@ _EV = f"""{_G},
 """
 SQL |= {
     "evidence_match": _EV + "SELECT evidence_id, chunk_id, tier, score FROM mt",
-    "conversion_report": _EV + "SELECT n_evidence, n_matched, round(coalesce(n_matched / nullif(n_evidence, 0), 1.0), 6) AS match_rate, round(coalesce(n_matched / nullif(n_evidence, 0), 1.0), 6) < 0.8 AS warning FROM (SELECT count(*) n_evidence FROM ev), (SELECT count(*) n_matched FROM mt)",
+    "conversion_report": _EV.replace(_ASKED, "") + "SELECT n_evidence, n_matched, round(coalesce(n_matched / nullif(n_evidence, 0), 1.0), 6) AS match_rate, round(coalesce(n_matched / nullif(n_evidence, 0), 1.0), 6) < 0.8 AS warning FROM (SELECT count(*) n_evidence FROM ev), (SELECT count(*) n_matched FROM mt)",
 }
 _KT = f"""{_G},
- tt AS (SELECT chunk_id, term, count(*) tf FROM (SELECT chunk_id, unnest({tok('text')}) term FROM firsts) GROUP BY ALL), df AS (SELECT term, count(*) df FROM tt GROUP BY term), nn AS (SELECT count(*) n FROM firsts),
- ww AS (SELECT chunk_id, term, df, round(tf * ln(1 + n / (df + 0.5)), 6) w FROM tt JOIN df USING (term), nn),
- pl AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, pool ORDER BY w DESC, term) r, count(*) OVER (PARTITION BY chunk_id, pool) size FROM (SELECT chunk_id, term, w, 1 pool FROM ww WHERE length(term) >= 5 AND df >= 2 UNION ALL SELECT chunk_id, term, w, 2 FROM ww WHERE length(term) >= 5 UNION ALL SELECT chunk_id, term, w, 3 FROM ww)),
- bp AS (SELECT chunk_id, coalesce(min(pool) FILTER (size >= 2), 3) best FROM pl GROUP BY chunk_id),
- kt AS (SELECT chunk_id, list(term ORDER BY r) terms FROM pl JOIN bp USING (chunk_id) WHERE pool = best AND r > least(1, greatest(size - 2, 0)) AND r <= least(1, greatest(size - 2, 0)) + 2 GROUP BY chunk_id)
-"""
-SQL |= {"key_terms": _KT + "SELECT chunk_id, array_to_string(terms, ',') AS terms FROM kt"}
+ tt AS (SELECT chunk_id, term, count(*) tf FROM (SELECT chunk_id, unnest({tok('text')}) term FROM cur_chunks) GROUP BY ALL), df AS (SELECT term, count(*) df FROM tt GROUP BY term), nn AS (SELECT count(*) n FROM cur_chunks),
+ ww AS (SELECT chunk_id, term, df, round(tf * ln(1 + n / (df + 0.5)), 6) w, length(term) >= 5 AND NOT list_contains([{", ".join(f"'{w}'" for w in testgen.FUNCTION_WORDS)}], term) topic FROM tt JOIN df USING (term), nn),
+ pl AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, pool ORDER BY w DESC, term) r, count(*) OVER (PARTITION BY chunk_id, pool) size FROM (SELECT chunk_id, term, w, 1 pool FROM ww WHERE topic AND df >= 2 UNION ALL SELECT chunk_id, term, w, 2 FROM ww WHERE topic UNION ALL SELECT chunk_id, term, w, 3 FROM ww)),
+ kt AS (SELECT chunk_id, list(term ORDER BY r) terms FROM pl JOIN (SELECT chunk_id, min(pool) pool FROM pl WHERE size >= 3 GROUP BY 1) USING (chunk_id, pool) WHERE r IN (2, 3) GROUP BY chunk_id)"""
+
+
+def _filled(templates: Sequence[str], key: str, a: str, b: str | None = None, section: str | None = None) -> str:
+    joined = lambda t: f"coalesce(array_to_string({t}, ' and '), 'this topic')"
+    q = f"[{', '.join(f"'{t}'" for t in templates)}][1 + CAST('0x' || substr(md5('7:' || {key}), 1, 8) AS BIGINT) % {len(templates)}]"
+    q = f"replace({q}, '{{a}}', {joined(a)})"
+    q = q if b is None else f"replace({q}, '{{b}}', {joined(b)})"
+    return q if section is None else f"replace({q}, '{{s}}', {section})"
+
+
+def _said(c: str, n: int) -> str:
+    return f"array_to_string(list_filter(list_transform(string_split(regexp_replace({c}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda zs: regexp_replace(zs, '^\\s+|\\s+$', '', 'g')), lambda zs: zs <> '')[1:{n}], ' ')"
+
+
+_SH = f""",
+ sh AS (SELECT c.*, terms, row_number() OVER (ORDER BY turn, first) - 1 number FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_id) turn, min(chunk_id) OVER (PARTITION BY paper_id) first FROM cur_chunks) c LEFT JOIN kt USING (chunk_id))"""
+_MH = f""",
+ lk AS (SELECT DISTINCT a.chunk_id source, b.chunk_id target, a.paper_id pa, b.paper_id pb, {_said('a.text', 1)} sa, {_said('b.text', 1)} sb FROM (FROM cites ORDER BY src, dst) JOIN cur_chunks a ON a.paper_id = src JOIN cur_chunks b ON b.paper_id = dst WHERE a.chunk_id IN (SELECT chunk_id FROM cur_chunks WHERE paper_id IN (SELECT src FROM pairs) ORDER BY chunk_id LIMIT 40)),
+ fl AS (SELECT * FROM lk x WHERE source < target OR NOT EXISTS (FROM cites WHERE src = pb AND dst = pa) ORDER BY source, target LIMIT 20),
+ mh AS (SELECT fl.*, ka.terms ta, kb.terms tb, row_number() OVER (ORDER BY source, target) - 1 number FROM fl LEFT JOIN kt ka ON ka.chunk_id = source LEFT JOIN kt kb ON kb.chunk_id = target)"""
+_SHOW_SH = f"""SELECT format('gen-sh-{{:04d}}', number + BEGIN) AS case_id, {_filled(testgen.SINGLE, 'chunk_id', 'terms', section="coalesce(nullif(section, ''), 'main')")} AS question, paper_id, chunk_id AS gold_chunk_ids, paper_id AS gold_paper_ids, '3' AS grades, 'selected' AS expected_scope,
+ coalesce({_said('text', 2)}, '') AS gold_answer, 'generated,offline-template,single-hop,local,extractive-reference' AS tags FROM sh WHERE number < SIZE"""
+_SHOW_MH = f"""SELECT format('gen-mh-{{:04d}}', number) AS case_id, {_filled(testgen.MULTI['cites'], "source || '|' || target", 'ta', 'tb')} AS question, pa AS paper_id, source || ',' || target AS gold_chunk_ids, least(pa, pb) || ',' || greatest(pa, pb) AS gold_paper_ids, '3,3' AS grades, 'global' AS expected_scope,
+ trim(concat_ws(' ', sa, sb)) AS gold_answer, 'generated,offline-template,multi-hop,global,link:cites,extractive-reference' AS tags FROM mh"""
+SQL |= {
+    "key_terms": _KT + "SELECT chunk_id, array_to_string(terms, ',') AS terms FROM kt",
+    "testgen_single_hop": _KT + _SH + _SHOW_SH.replace("BEGIN", "0").replace("SIZE", "20"),
+    "testgen_multi_hop": _KT + _MH + _SHOW_MH,
+    "testgen_cases": _KT + _SH + _MH + _SHOW_MH + " UNION ALL " + _SHOW_SH.replace("BEGIN", "20").replace("SIZE", "10"),
+}

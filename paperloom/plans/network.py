@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.vectors import HashEmbedder
 from paperloom.operators import graph, similarity
-from paperloom.plans.search import CASES, CHUNKS, PAPERS, asked, current_chunks, current_papers
+from paperloom.plans.search import CASES, CHUNKS, PAPERS, asked, cases, current_chunks, current_papers
 from paperloom.sources.tables import table
 
 
@@ -23,8 +23,19 @@ def _asked_papers(spark: SparkSession, sf: str) -> DataFrame:
     return asked(spark, sf).select("paper_id").where(F.col("paper_id").isNotNull()).distinct()
 
 
+def _case_papers(spark: SparkSession, sf: str) -> DataFrame:
+    """The papers of all cases, for look-ups."""
+    return cases(spark, sf).select("paper_id").where(F.col("paper_id").isNotNull()).distinct()
+
+
+def _mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities of the current chunks; they are read off the texts in the scan, which are not shuffled."""
+    c = current_chunks(spark, sf, "paper_id", graph.entities_in(F.col("text")).alias("entities"))
+    return c.select("chunk_id", "paper_id", F.explode("entities").alias("entity"))
+
+
 def next_chunk_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.next_edges(current_chunks(spark, sf))
+    return graph.next_edges(current_chunks(spark, sf, "paper_id", "chunk_index"))
 
 
 def cites_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,20 +43,20 @@ def cites_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def citation_stub(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.stubs(_cites(spark, sf), current_papers(spark, sf))
+    return graph.stubs(_cites(spark, sf), current_papers(spark, sf, "title"))
 
 
 def citation_expand(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.citation_expand(_seed_chunks(spark, sf), current_chunks(spark, sf), _cites(spark, sf), current_papers(spark, sf))
+    return graph.citation_expand(_seed_chunks(spark, sf), current_chunks(spark, sf, "paper_id"), _cites(spark, sf), current_papers(spark, sf, "title"))
 
 
 def paper_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     authors = table(spark, sf, "authors").select("paper_id", "author_order", "name").distinct()
-    return graph.subgraph(_asked_papers(spark, sf), current_papers(spark, sf), authors, current_chunks(spark, sf), _cites(spark, sf))
+    return graph.subgraph(_case_papers(spark, sf), current_papers(spark, sf, "title"), authors, current_chunks(spark, sf, "paper_id", "chunk_index"), _cites(spark, sf))
 
 
 def paper_exists(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.known(_asked_papers(spark, sf), current_papers(spark, sf), "paper_id")
+    return graph.known(_case_papers(spark, sf), current_papers(spark, sf, "title"), "paper_id")
 
 
 def khop_neighbors(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,40 +64,39 @@ def khop_neighbors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunks_per_paper(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.first_chunks(current_chunks(spark, sf), 3).select("paper_id", "chunk_id", "position")
+    return graph.first_chunks(current_chunks(spark, sf, "paper_id", "chunk_index"), 3).select("paper_id", "chunk_id", "position")
 
 
 def cites_chunk_edges(spark: SparkSession, sf: str) -> DataFrame:
     """All of them, in compact form."""
-    c = current_chunks(spark, sf)
+    c = current_chunks(spark, sf, "paper_id")
     return graph.compact_links(graph.paper_pairs(c, _cites(spark, sf)), c)
 
 
 def shared_entity_edges(spark: SparkSession, sf: str) -> DataFrame:
     """All of them, in compact form."""
-    return graph.shared_entity_members(graph.mentions_of(current_chunks(spark, sf)))
+    return graph.shared_entity_members(_mentions(spark, sf))
 
 
 def entity_expand(spark: SparkSession, sf: str) -> DataFrame:
-    c = current_chunks(spark, sf)
-    return graph.entity_expand(_seed_chunks(spark, sf), graph.mentions_of(c), c)
+    return graph.entity_expand(_seed_chunks(spark, sf), _mentions(spark, sf))
 
 
 def cross_paper_links(spark: SparkSession, sf: str) -> DataFrame:
     """The cites links between different papers, in compact form."""
-    c = current_chunks(spark, sf)
+    c = current_chunks(spark, sf, "paper_id")
     return graph.compact_links(graph.paper_pairs(c, _cites(spark, sf)).where(F.col("src") != F.col("dst")), c)
 
 
 def graph_summary(spark: SparkSession, sf: str) -> DataFrame:
-    c = current_chunks(spark, sf)
+    c = current_chunks(spark, sf, "paper_id", "chunk_index")
     nxt = graph.next_edges(c).select(F.col("left").alias("source"), F.col("right").alias("target"), F.lit("next").alias("type"))
     cite = graph.count_cites_chunk_edges(c, _cites(spark, sf)).select(F.lit("cites").alias("type"), "n")
     return graph.graph_summary(c, graph.merge_links(nxt), cite)
 
 
 def research_flow(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.research_flow(_asked_papers(spark, sf), _cites(spark, sf), current_papers(spark, sf))
+    return graph.research_flow(_case_papers(spark, sf), _cites(spark, sf), current_papers(spark, sf, "title"))
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,11 +168,11 @@ WITH RECURSIVE {CHUNKS}, {PAPERS}, {CASES},
  both_ways AS (SELECT src paper_id, dst related, 'cites' AS type FROM cites UNION ALL SELECT dst, src, 'cited_by' FROM cites),
  seeds AS (SELECT DISTINCT unnest(gold_chunk_ids) chunk_id FROM asked),
  want AS (SELECT DISTINCT paper_id FROM asked WHERE paper_id IS NOT NULL),
+ looked AS (SELECT DISTINCT paper_id FROM cur_cases WHERE paper_id IS NOT NULL),
  next_edges AS (SELECT * FROM (SELECT chunk_id AS "left", lead(chunk_id) OVER (PARTITION BY paper_id ORDER BY chunk_index, chunk_id) AS "right" FROM cur_chunks) WHERE "right" IS NOT NULL),
- near AS (SELECT paper_id FROM want UNION SELECT dst FROM cites WHERE src IN (FROM want)),
  firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index, chunk_id) position FROM cur_chunks) WHERE position <= 3),
- asked_chunks AS (SELECT * FROM firsts WHERE paper_id IN (FROM near)),
- cce AS (SELECT DISTINCT a.chunk_id source, b.chunk_id target FROM cites JOIN asked_chunks a ON a.paper_id = src JOIN asked_chunks b ON b.paper_id = dst ORDER BY 1, 2 LIMIT 5000),
+ held AS (SELECT paper_id, count(*) n FROM cur_chunks GROUP BY 1),
+ pairs AS (SELECT src, dst, a.n * b.n AS n FROM cites JOIN held a ON a.paper_id = src JOIN held b ON b.paper_id = dst),
  mentions AS (SELECT DISTINCT chunk_id, paper_id, unnest(regexp_extract_all(text, '\\b[A-Z][a-z]+[A-Z][a-z]+[0-9]*\\b')) entity FROM cur_chunks)
 """
 _V = """
@@ -182,25 +192,25 @@ SQL = {
     "citation_stub": _G + "SELECT DISTINCT dst AS paper_id, regexp_replace(dst, '^(arxiv|hf|ref):', '') AS title, 'reference_only' AS processing_status FROM cites WHERE dst NOT IN (SELECT paper_id FROM cur_papers)",
     "citation_expand": _G + "SELECT chunk_id, paper_id, type, related FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY related, type) n FROM (SELECT DISTINCT c.chunk_id, c.paper_id, b.type, b.related FROM seeds JOIN cur_chunks c USING (chunk_id) JOIN both_ways b ON b.paper_id = c.paper_id WHERE b.related IN (SELECT paper_id FROM cur_papers))) WHERE n <= 50",
     "paper_subgraph": _G
-    + """SELECT paper_id, 'paper' AS kind, 0 AS position, title AS value FROM cur_papers WHERE paper_id IN (FROM want)
- UNION ALL SELECT DISTINCT paper_id, 'author', author_order, name FROM authors WHERE paper_id IN (FROM want)
- UNION ALL SELECT paper_id, 'chunk', chunk_index, chunk_id FROM cur_chunks WHERE paper_id IN (FROM want)
- UNION ALL SELECT src, 'cites', CAST(row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS INTEGER), dst FROM cites WHERE src IN (FROM want)""",
-    "paper_exists": _G + "SELECT DISTINCT paper_id FROM cur_papers WHERE paper_id IN (FROM want)",
+    + """SELECT paper_id, 'paper' AS kind, 0 AS position, title AS value FROM cur_papers WHERE paper_id IN (FROM looked)
+ UNION ALL SELECT DISTINCT paper_id, 'author', author_order, name FROM authors WHERE paper_id IN (FROM looked)
+ UNION ALL SELECT paper_id, 'chunk', chunk_index, chunk_id FROM cur_chunks WHERE paper_id IN (FROM looked)
+ UNION ALL SELECT src, 'cites', CAST(row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS INTEGER), dst FROM cites WHERE src IN (FROM looked)""",
+    "paper_exists": _G + "SELECT DISTINCT paper_id FROM cur_papers WHERE paper_id IN (FROM looked)",
     "khop_neighbors": _G
     + """, h0 AS (SELECT paper_id seed, paper_id, 0 hop FROM want), h1 AS (SELECT seed, related paper_id, 1 hop FROM h0 JOIN both_ways USING (paper_id)), h2 AS (SELECT seed, related paper_id, 2 hop FROM (SELECT DISTINCT seed, paper_id FROM h1) JOIN both_ways USING (paper_id)),
  m AS (SELECT seed, paper_id, CAST(min(hop) AS INTEGER) AS hop FROM (FROM h1 UNION ALL FROM h2) WHERE seed <> paper_id GROUP BY 1, 2)
  SELECT seed, paper_id, hop FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hop, paper_id) n FROM m) WHERE n <= 25""",
     "chunks_per_paper": _G + "SELECT paper_id, chunk_id, CAST(position AS INTEGER) AS position FROM firsts",
-    "cites_chunk_edges": _G + "SELECT * FROM cce",
-    "shared_entity_edges": _G + "SELECT a.chunk_id AS source, b.chunk_id AS target, a.entity FROM mentions a JOIN mentions b ON a.entity = b.entity AND a.chunk_id < b.chunk_id AND a.paper_id <> b.paper_id WHERE a.chunk_id IN (SELECT chunk_id FROM firsts) AND b.chunk_id IN (SELECT chunk_id FROM firsts) ORDER BY 1, 2, 3 LIMIT 5000",
+    "cites_chunk_edges": _G + "SELECT 'cites' AS kind, src AS paper_id, dst AS value, n FROM pairs UNION ALL SELECT 'chunk', paper_id, chunk_id, 1 FROM cur_chunks WHERE paper_id IN (SELECT src FROM pairs UNION SELECT dst FROM pairs)",
+    "shared_entity_edges": _G + "SELECT entity, paper_id, chunk_id, n - own AS n_linked FROM (SELECT *, count(*) OVER (PARTITION BY entity) n, count(*) OVER (PARTITION BY entity, paper_id) own FROM mentions) WHERE n > own",
     "entity_expand": _G + "SELECT s.chunk_id, o.paper_id, count(DISTINCT o.entity) AS n_entities FROM mentions s JOIN mentions o ON s.entity = o.entity AND s.chunk_id <> o.chunk_id AND s.paper_id <> o.paper_id WHERE s.chunk_id IN (FROM seeds) GROUP BY 1, 2",
-    "cross_paper_links": _G + "SELECT source, target, 'cites' AS type FROM cce JOIN cur_chunks a ON a.chunk_id = source JOIN cur_chunks b ON b.chunk_id = target WHERE a.paper_id <> b.paper_id",
+    "cross_paper_links": _G + "SELECT 'cites' AS kind, src AS paper_id, dst AS value, n FROM pairs WHERE src <> dst UNION ALL SELECT 'chunk', paper_id, chunk_id, 1 FROM cur_chunks WHERE paper_id IN (SELECT src FROM pairs UNION SELECT dst FROM pairs)",
     "graph_summary": _G
-    + """SELECT 'chunks' AS measure, count(*) AS n FROM cur_chunks UNION ALL SELECT 'papers', count(DISTINCT paper_id) FROM cur_chunks UNION ALL SELECT 'links', (SELECT count(*) FROM next_edges) + (SELECT count(*) FROM cce)
- UNION ALL SELECT 'links:next', count(*) FROM next_edges UNION ALL SELECT 'links:cites', count(*) FROM cce HAVING count(*) > 0
- UNION ALL SELECT 'links across papers', count(*) FROM cce""",
-    "research_flow": _G + "SELECT paper_id, 'current' AS stage, paper_id AS related FROM cur_papers WHERE paper_id IN (FROM want) UNION SELECT src, 'prior', dst FROM cites WHERE src IN (FROM want) UNION SELECT dst, 'later', src FROM cites WHERE dst IN (FROM want)",
+    + """, k AS (SELECT (SELECT count(*) FROM next_edges) nx, (SELECT coalesce(sum(n), 0) FROM pairs) ct)
+ SELECT 'chunks' AS measure, count(*) AS n FROM cur_chunks UNION ALL SELECT 'papers', count(DISTINCT paper_id) FROM cur_chunks UNION ALL SELECT 'links', nx + ct FROM k
+ UNION ALL SELECT 'links:next', nx FROM k UNION ALL SELECT 'links:cites', ct FROM k WHERE ct > 0 UNION ALL SELECT 'links across papers', ct FROM k""",
+    "research_flow": _G + "SELECT paper_id, 'current' AS stage, paper_id AS related FROM cur_papers WHERE paper_id IN (FROM looked) UNION SELECT src, 'prior', dst FROM cites WHERE src IN (FROM looked) UNION SELECT dst, 'later', src FROM cites WHERE dst IN (FROM looked)",
     "vector_topk_selected": _top("grp = qgrp", 8),
     "vector_topk_global": _top("is_global", 8),
     "vector_threshold": _top("score >= 0.2", 8),

@@ -49,7 +49,7 @@ def upsert_idempotent(spark: SparkSession, sf: str) -> DataFrame:
 def stale_delete(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks left when papers are loaded anew without their deleted chunks."""
     every = table(spark, sf, "chunks").select("paper_id", "chunk_id").distinct()
-    return store.delete_stale(every, current_chunks(spark, sf).select("paper_id", "chunk_id"), "paper_id", "chunk_id")
+    return store.delete_stale(every, current_chunks(spark, sf, "paper_id"), "paper_id", "chunk_id")
 
 
 def sticky_global(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +71,7 @@ def month_window(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dq_chunk_index_unique(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.duplicate_keys(current_chunks(spark, sf), ["paper_id", "chunk_index"])
+    return quality.duplicate_keys(current_chunks(spark, sf, "paper_id", "chunk_index"), ["paper_id", "chunk_index"])
 
 
 def dq_chunk_one_paper(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,14 +80,15 @@ def dq_chunk_one_paper(spark: SparkSession, sf: str) -> DataFrame:
 
 def dq_next_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Consecutive chunks whose indexes do not differ by one."""
-    c = current_chunks(spark, sf).select("chunk_id", "chunk_index")
-    e = graph.next_edges(current_chunks(spark, sf))
+    c = current_chunks(spark, sf, "paper_id", "chunk_index")
+    e = graph.next_edges(c)
+    c = c.select("chunk_id", "chunk_index")
     j = e.join(c.select(F.col("chunk_id").alias("left"), F.col("chunk_index").alias("i")), "left").join(c.select(F.col("chunk_id").alias("right"), F.col("chunk_index").alias("j")), "right")
     return j.where(F.col("j") - F.col("i") != 1).select("left", "right", (F.col("j") - F.col("i")).alias("gap"))
 
 
 def dq_points_have_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.dangling(table(spark, sf, "vector_points"), "chunk_id", current_chunks(spark, sf), "chunk_id")
+    return quality.dangling(table(spark, sf, "vector_points"), "chunk_id", current_chunks(spark, sf, "paper_id"), "chunk_id")
 
 
 def dq_global_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,7 +98,7 @@ def dq_global_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dq_completed_have_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.childless(current_papers(spark, sf).where("processing_status = 'completed'"), "paper_id", current_chunks(spark, sf), "paper_id")
+    return quality.childless(current_papers(spark, sf, "processing_status").where("processing_status = 'completed'"), "paper_id", current_chunks(spark, sf, "paper_id"), "paper_id")
 
 
 def dq_predicates(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +120,7 @@ def dup_case_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gold_ids_exist(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.dangling(cases(spark, sf).select(F.explode("gold_chunk_ids").alias("chunk_id")), "chunk_id", current_chunks(spark, sf), "chunk_id")
+    return quality.dangling(cases(spark, sf).select(F.explode("gold_chunk_ids").alias("chunk_id")), "chunk_id", current_chunks(spark, sf, "paper_id"), "chunk_id")
 
 
 def stream_incremental(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,11 +14,11 @@ from paperloom.sources.tables import table
 
 def chunk_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The second page of 100 chunks."""
-    return records.scan(current_chunks(spark, sf), skip=100, limit=100).select("chunk_id", "paper_id")
+    return records.scan(current_chunks(spark, sf, "paper_id"), skip=100, limit=100).select("chunk_id", "paper_id")
 
 
 def chunk_multi_get(spark: SparkSession, sf: str) -> DataFrame:
-    return records.multi_get(current_chunks(spark, sf), _seed_chunks(spark, sf)).select("chunk_id", "paper_id", "char_count")
+    return records.multi_get(current_chunks(spark, sf, "paper_id", "char_count"), _seed_chunks(spark, sf)).select("chunk_id", "paper_id", "char_count")
 
 
 def raw_query(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,18 +28,19 @@ def raw_query(spark: SparkSession, sf: str) -> DataFrame:
 
 def widened_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of the asked papers and of the papers one citation away, per paper."""
-    papers = [r["paper_id"] for r in _asked_papers(spark, sf).orderBy("paper_id").collect()]  # a stated set of ids
-    c = records.load_chunks(current_chunks(spark, sf), _cites(spark, sf), papers, 1)
+    c = records.load_chunks(current_chunks(spark, sf, "paper_id", F.length(F.trim("text")).alias("filled")), _cites(spark, sf), _asked_papers(spark, sf), 1)
     return c.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
 def graph_payload(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "papers").groupBy("paper_id").agg(F.max_by(F.struct("title", "source_version", "content_hash", "is_deleted"), F.struct("ingested_at", "is_deleted")).alias("r")).select("paper_id", "r.*").where(~F.col("is_deleted"))
-    return records.graph_payload(p, current_chunks(spark, sf))
+    return records.graph_payload(p, current_chunks(spark, sf, "paper_id"))
 
 
 def vector_payload(spark: SparkSession, sf: str) -> DataFrame:
-    return records.vector_payload(current_chunks(spark, sf), current_papers(spark, sf))
+    """The columns stored beside the vectors that identify and describe a chunk; reference chunks are counted out."""
+    c = current_chunks(spark, sf, "paper_id", "chunk_index", "is_references", "section", F.length("text").alias("char_count"))
+    return records.vector_payload(c, current_papers(spark, sf, "title", "published_at"))
 
 
 def index_outcomes(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +52,7 @@ def index_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def restore_contexts(spark: SparkSession, sf: str) -> DataFrame:
-    r = records.restore_contexts(responses(spark, sf), current_chunks(spark, sf))
+    r = records.restore_contexts(responses(spark, sf), current_chunks(spark, sf, "text"))
     return r.select("case_id", F.size("contexts").alias("n_contexts"), F.sha2(F.array_join("contexts", "\n"), 256).alias("digest"))
 
 
@@ -61,11 +62,11 @@ def triple_recovery(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return records.source_summary(current_chunks(spark, sf))
+    return records.source_summary(current_chunks(spark, sf, "paper_id", "section", F.length("text").alias("char_count")))
 
 
 def export_report(spark: SparkSession, sf: str) -> DataFrame:
-    return records.export_report(cases(spark, sf), current_chunks(spark, sf))
+    return records.export_report(cases(spark, sf), current_chunks(spark, sf, "paper_id"))
 
 
 def packaged_cases(spark: SparkSession, sf: str) -> DataFrame:

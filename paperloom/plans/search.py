@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.functions import ids, text
 from paperloom.operators import lexical
+from paperloom.session import cut
 from paperloom.sources.tables import table
 
 
-def current_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """The latest row of every chunk id that is not deleted; rows equal in time are taken in a fixed order."""
-    t = table(spark, sf, "chunks")
-    latest = t.groupBy("chunk_id").agg(F.max_by(F.struct("paper_id", "chunk_index", "text", "section", "section_index", "is_references", "char_count", "is_deleted"), F.struct("ingested_at", "is_deleted")).alias("r"))
-    return latest.select("chunk_id", "r.*").where(~F.col("is_deleted")).drop("is_deleted")
+#: Columns of the tables that queries work with.
+CHUNK = ("paper_id", "chunk_index", "text", "section", "section_index", "is_references", "char_count")
+PAPER = ("arxiv_id", "title", "abstract", "authors", "published_at", "processing_status")
 
 
-def current_papers(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "papers")
-    latest = t.groupBy("paper_id").agg(F.max_by(F.struct("arxiv_id", "title", "abstract", "authors", "published_at", "processing_status", "is_deleted"), F.struct("ingested_at", "is_deleted")).alias("r"))
-    return latest.select("paper_id", "r.*").where(~F.col("is_deleted")).drop("is_deleted")
+def latest(rows: DataFrame, key: str, *columns: str | Column) -> DataFrame:
+    """``columns`` of the latest row of every key that is not deleted; rows equal in time are taken in a fixed order.
+
+    Only these columns are shuffled. Expressions are computed in the scan, so what a query needs of a text (its tokens,
+    its length) moves in place of the text.
+    """
+    r = rows.groupBy(key).agg(F.max_by(F.struct(*columns, "is_deleted"), F.struct("ingested_at", "is_deleted")).alias("r"))
+    return r.select(key, "r.*").where(~F.col("is_deleted")).drop("is_deleted")
+
+
+def current_chunks(spark: SparkSession, sf: str, *columns: str | Column) -> DataFrame:
+    return latest(table(spark, sf, "chunks"), "chunk_id", *(columns or CHUNK))
+
+
+def current_papers(spark: SparkSession, sf: str, *columns: str | Column) -> DataFrame:
+    return latest(table(spark, sf, "papers"), "paper_id", *(columns or PAPER))
 
 
 def cases(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,8 +46,12 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
     return cases(spark, sf).where(F.regexp_extract("case_id", r"(\d+)$", 1).cast("bigint") % 50 == 0).select(F.col("case_id").alias("query_id"), F.col("question").alias("text"), "paper_id", "gold_chunk_ids", "expected_scope")
 
 
-def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return current_chunks(spark, sf).where(~F.col("is_references")).select(F.col("chunk_id").alias("doc_id"), "paper_id", "text")
+def corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All versions ``doc_id, version, paper_id, text`` of the chunks, and which are searched: ``doc_id, version, paper_id``."""
+    version = F.xxhash64("paper_id", "is_references", "text").alias("version")
+    every = table(spark, sf, "chunks").select(F.col("chunk_id").alias("doc_id"), version, "paper_id", "text")
+    live = current_chunks(spark, sf, version, "paper_id", "is_references").where(~F.col("is_references"))
+    return every, live.select(F.col("chunk_id").alias("doc_id"), "version", "paper_id")
 
 
 def doc_tokens_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,19 +67,19 @@ def doc_frequency(spark: SparkSession, sf: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 top 10 chunks for every asked question."""
-    q, d = asked(spark, sf), corpus(spark, sf)
-    return lexical.top_k(lexical.bm25_scores(q, d)).select("query_id", "rank", "doc_id", "score")
+    q, (d, live) = asked(spark, sf), corpus(spark, sf)
+    return lexical.top_k(lexical.bm25_scores(q, d, live)).select("query_id", "rank", "doc_id", "score")
 
 
 def bm25_routing(spark: SparkSession, sf: str) -> DataFrame:
-    q, d = asked(spark, sf), corpus(spark, sf)
-    return lexical.route(lexical.bm25_scores(q, d), d, q)
+    q, (d, live) = asked(spark, sf), corpus(spark, sf)
+    return lexical.route(lexical.bm25_scores(q, d, live), live, q)
 
 
 def bm25_extractive_answer(spark: SparkSession, sf: str) -> DataFrame:
-    q, d = asked(spark, sf), corpus(spark, sf)
-    s = lexical.bm25_scores(q, d)
-    return lexical.extractive_answers(lexical.routed_hits(s, d, q, lexical.route(s, d, q)), d)
+    q, (d, live) = asked(spark, sf), corpus(spark, sf)
+    s = cut(lexical.bm25_scores(q, d, live))
+    return lexical.extractive_answers(lexical.routed_hits(s, live, q, lexical.route(s, live, q)), d, live)
 
 
 def paper_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +97,7 @@ def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 def author_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Authors of each current paper by position, with provisional ids."""
-    p = current_papers(spark, sf).select("paper_id", F.posexplode("authors").alias("author_order", "name")).where(F.trim("name") != "")
+    p = current_papers(spark, sf, "authors").select("paper_id", F.posexplode("authors").alias("author_order", "name")).where(F.trim("name") != "")
     key = text.name_key(F.trim("name"))
     r = p.select("paper_id", "author_order", F.trim("name").alias("name"), key.alias("name_key"))
     return r.select("paper_id", "author_order", "name", "name_key", ids.author_id(F.col("paper_id"), F.col("author_order"), F.col("name_key")).alias("author_id"))
@@ -109,7 +124,7 @@ def arxiv_extract(spark: SparkSession, sf: str) -> DataFrame:
 def paper_search(spark: SparkSession, sf: str) -> DataFrame:
     """Papers whose title or authors contain a word, ignoring case, or whose id contains it."""
     q = "graph"
-    p = current_papers(spark, sf)
+    p = current_papers(spark, sf, "title", "authors")
     hit = F.contains(F.lower("title"), F.lit(q)) | F.contains(F.lower(F.array_join("authors", "\n")), F.lit(q)) | F.contains(F.lower("paper_id"), F.lit(q))
     return p.where(hit).select("paper_id", "title")
 

@@ -33,8 +33,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a single machine) a temporary folder is made once and set as the checkpoint
-    directory of the context, so later calls find the same one.
+    Where the setting is absent, a local session (tests, a single machine) gets a temporary folder once, set as the
+    checkpoint directory of the context so later calls find the same one; any other master is an error, since executors
+    would not see the driver's folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -43,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-"))
         current = spark.sparkContext.getCheckpointDir()
     return current

@@ -59,4 +59,4 @@ def test_shared_entities(spark, rows):
     m = spark.createDataFrame([("a", "p", "X"), ("b", "q", "X"), ("c", "p", "X"), ("a", "p", "X")], "chunk_id string, paper_id string, entity string")
     assert rows(G.shared_entity_edges(m)) == [("a", "b", "X"), ("b", "c", "X")]
     seeds = spark.createDataFrame([("a",)], "chunk_id string")
-    assert rows(G.entity_expand(seeds, m, m.select("chunk_id", "paper_id").distinct())) == [("a", "q", 1)]
+    assert rows(G.entity_expand(seeds, m)) == [("a", "q", 1)]

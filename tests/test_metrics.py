@@ -84,3 +84,14 @@ def test_gates(spark):
 def test_ranks(spark):
     df = spark.createDataFrame([([(2, "b"), (1, "a"), (3, "a")],), ([(None, "b"), (1, "a"), (2, "b")],)], "r array<struct<rank:int,chunk_id:string>>")
     assert [r[0] for r in df.select(M.resolve_ranks(F.col("r"))).collect()] == [["a", "b"], ["b", "a"]]
+
+
+def test_percentiles_equal_numpy(spark):
+    import numpy as np
+
+    g = np.random.default_rng(5)
+    for values in (g.normal(size=501).tolist(), [3.0] * 7 + [1.0, 2.0], [4.0]):
+        df = spark.createDataFrame([(x,) for x in [*values, None, float("nan")]], "v double").repartition(3)
+        got = M.percentiles(df, "v", (0.0, 0.5, 0.95, 1.0))
+        assert got == pytest.approx({q: float(np.quantile(values, q)) for q in got})
+    assert M.percentiles(df.limit(0), "v", (0.5,)) == {0.5: None}

@@ -97,9 +97,12 @@ def test_evidence_tiers(spark, rows):
 def test_generated_cases_are_stable(spark, rows):
     c = spark.createDataFrame([("p1:a", "p1", "kernel methods estimate density kernel"), ("p1:b", "p1", "kernel density functions everywhere"), ("p2:a", "p2", "sparse kernel density estimate")], "chunk_id string, paper_id string, text string")
     assert [r["chunk_id"] for r in testgen.round_robin(c, 3).orderBy("turn", "paper_id").collect()] == ["p1:a", "p2:a", "p1:b"]
-    assert rows(testgen.single_hop(c, 2)) == rows(testgen.single_hop(c.repartition(3), 2))
+    one = rows(testgen.single_hop(c, 2))
+    assert one == rows(testgen.single_hop(c.repartition(3), 2)) and [x[3] for x in one] == [["p1:a"], ["p2:a"]]
     links = spark.createDataFrame([("p1:a", "p2:a", "cites", 0.5), ("p2:a", "p1:a", "cites", 0.9)], "source string, target string, type string, score double")
     m = rows(testgen.multi_hop(links, c, 5))
-    assert len(m) == 1 and m[0][0] == "gen-mh-0000" and m[0][2] == "p2:a,p1:a"
+    assert len(m) == 1 and m[0][0] == "gen-mh-0000" and m[0][3] == ["p2:a", "p1:a"] and m[0][4] == ["p1", "p2"] and m[0][5] == {"p2:a": 3, "p1:a": 3}
+    g = testgen.generate(links, c, 4, 0.5).collect()
+    assert sorted(x["case_id"] for x in g) == ["gen-mh-0000", "gen-sh-0001", "gen-sh-0002", "gen-sh-0003"]
     assert testgen.split_sizes(5, 0.5) == (2, 3)
     assert isinstance(pd.DataFrame(m), pd.DataFrame)
