@@ -5,19 +5,27 @@ replacing one group of characters by a confusable group changes it by a fixed di
 whatever the rest. Rare words are joined on value minus difference with the words they could stand for; the replacement
 is then checked in place, and candidates are ranked by frequency. Divided words are judged by evidence: whether the
 joined form or the hyphenated one is in use.
+
+Edge lines (headers, page numbers) are removed on evidence, not on their form: lines that stand by themselves are
+collected from all texts, and a line is an edge line if it comes back in other surroundings in its paper or in several
+papers and cuts sentences in two, or if it repeats its paper's title or author. Forms that printers use only add weight
+to a line that cuts a sentence.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.session import cut
+from paperloom.operators.lexical import if_small
+from paperloom.session import cut, shared_dir
 
 #: What scanners confuse, right and wrong.
 CONFUSIONS = (
@@ -26,98 +34,227 @@ CONFUSIONS = (
 )
 #: A word is a misreading only of one at least so many times as frequent.
 RARER = 20
-#: Words with at least this share of all tokens are clean vocabulary, if nothing corrects them: at most 1 / share words.
-CLEAN_SHARE = 1e-6
+#: An edge line known by repetition cuts a sentence in at least this share of its places.
+CUTS = 0.25
+#: Papers in which a line has to stand to be known as an edge line of the whole corpus.
+PAPERS = 3
+LONGEST = 120
 
 HYPHENS = "-­‐‑¬"
 _BREAK = re.compile(r"(?:^|(?<=[^\w-]))(?=\d*[^\W\d_])([^\W_]+)[" + HYPHENS + r"]$")
 _NEXT = re.compile(r"(?=\d*[^\W\d_])[^\W_]+")
 _WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _INNER_CAPITAL = re.compile(r"[a-z].*[A-Z]")
-_SPLIT = re.compile(r"\s{2,}|\t|\s+\|\s+")
-_NUMBER = re.compile(r"(?:page\s+\d+(?:\s+of\s+\d+)?|pp?\.\s*\d+|[-–—]\s*\d+\s*[-–—]|\[\d+\]|\d+)$", re.IGNORECASE)
-_HEADER = re.compile(r"(?:chapter\s+\d+|preprint\b.*|proceedings\s+(?:volume|of)\b.*|(?:manuscript\s+)?under review\.?|.*\bet al\.(?:\s*/\s*\S.*)?|.*\s·\s.*)$", re.IGNORECASE)
-_CAPITALS = re.compile(r"[^a-z]*[A-Z]{2,}[^a-z]*$")
-
-
-def line_noise(line: str) -> tuple[bool, bool]:
-    """Whether a line is a running header, and whether it is, or ends or begins with, a page number.
-
-    A line is noise only as a whole: each part between wide gaps must be a header or a number. Table rows are none, nor
-    are numbered labels such as a capitalised word with a number.
+_PARTS = re.compile(r"\s{2,}|\t|\s+\|\s+")
+_PAGE = re.compile(r"(?:(?:[Pp]age|PAGE|pp?\.)\s+)?\d{1,6}(?:\s+of\s+\d{1,6})?|[-–—]\s*\d{1,6}\s*[-–—]|\[\d{1,6}\]")
+_LABELLED = re.compile(r"[A-Z][^\W\d_]{0,11}\.?\s+\d{1,6}")
+_MARKED = re.compile(r"[|#>*+•`]|[-–—]\s+(?!\d{1,6}\s*[-–—]$)|\d+[.)]\s|\[\d+\]\s")
+_SENTENCE = re.compile(r"[.!?]\s")
+#: Weak evidence: names alone with "et al.", a title and a name, notes on the state of a paper; titles in capitals.
+_SIGNED = re.compile(r"(?:[A-Z][\w'’-]+(?:\s+(?:and|&)\s+[A-Z][\w'’-]+)?\s+et al\.(?:\s*/\s*\S.*)?|\S.*\s·\s.*\S|(?:Preprint|Manuscript)\.\s+[Uu]nder review\.?|Proceedings volume\s+\d+.*)$")
+_CAPITALS = re.compile(r"[^a-z]*[A-Z]{2,}[^a-z]*\s[^a-z]*[A-Z]{2,}[^a-z]*$")
+_DIGITS = re.compile(r"\d+")
+
+
+def edge_parts(line: str) -> tuple[str | None, str | None, bool, int]:
+    """What a line that could be an edge line says besides page numbers, the form of its numbers, whether that is one of
+    a page, and its form: 2 signed, 1 in capitals, 0 plain. Neither text nor numbers for a line that is none.
+
+    Texts are folded and their digits replaced, so the lines of many pages agree. Table rows, list items, headings and
+    lines with a sentence end inside are none.
     """
-    s = line.strip()
-    if not s or len(s) > 120 or s.startswith("|"):
-        return False, False
-    parts = [p.strip() for p in _SPLIT.split(s) if p.strip() and p.strip() != "·"] if "·" not in s else re.split(r"\s{3,}", s)
-    header = number = False
-    for p in parts:
-        if _NUMBER.match(p):
-            number = True
-        elif _HEADER.match(p) or (_CAPITALS.match(p) and sum(len(w) > 1 and not w.isdigit() for w in re.findall(r"\w+", p)) > 1):
-            header = True
-        else:
-            return False, False
-    return header, number
-
-
-def content(text: str) -> tuple[list[str], bool, bool]:
-    """The lines without headers and page numbers, and whether either was there."""
-    kept, header, number = [], False, False
-    for line in text.split("\n"):
-        h, n = line_noise(line)
-        header, number = header or h, number or n
-        if not (h or n):
-            kept.append(line)
-    return kept, header, number
-
-
-def pieces(lines: list[str]) -> tuple[list[str], list[tuple[str, str]]]:
-    """Words of the lines, lower case, without the two halves at each hyphen at a line end, and those halves.
-
-    Names with capitals inside are left out. A half is the last run of letters before the hyphen or the first of the next
-    line with content; words that already have a hyphen are not divided ones.
+    if not line or len(line) > LONGEST or not (line[0].isupper() or line[0].isdigit() or line[0] in "[-–—p") or _MARKED.match(line):
+        return None, None, False, 0
+    rest, numbers, page, form = [], [], False, 0
+    for p in _PARTS.split(line):
+        if _PAGE.fullmatch(p):
+            numbers.append(p)
+            page = True
+        elif _LABELLED.fullmatch(p):
+            numbers.append(p)
+        elif p:
+            rest.append(p)
+    head = " ".join(rest) or None
+    if head is not None:
+        form = 2 if _SIGNED.match(head) else 1 if _CAPITALS.match(head) else 0
+        if not head[0].isupper() or (form < 2 and (head[-1] in ",;." + HYPHENS or _SENTENCE.search(head))):
+            return None, None, False, 0
+        head = _DIGITS.sub("#", " ".join(head.casefold().split()))
+    num = _DIGITS.sub("#", " | ".join(" ".join(p.split()) for p in numbers).casefold()) or None
+    return head, num, page, form
+
+
+def words_of(text: str) -> list[str]:
+    """Words and hyphenated compounds, lower case; names with capitals inside are left out."""
+    return [w.lower() for w in _WORD.findall(text) if w.islower() or not _INNER_CAPITAL.search(w)]
+
+
+def scan(text: str) -> tuple[list[str], list[tuple[str, str, list[str]]], list[tuple]]:
+    """Words of a text, the halves at each hyphen at a line end, and the lines that could be edge lines.
+
+    Words come from all lines but the last kind, without the halves. A half is the last run of letters before the hyphen
+    or the first of the next such line, with the possible edge lines between the two; words that already have a hyphen
+    are not divided ones. A possible edge line comes as ``line, head, num, page, form, value, before, after, cuts, words``:
+    hashes of its neighbours, and whether a sentence goes on across it.
     """
-    filled = [line.strip() for line in lines if line.strip()]
-    words: list[str] = []
-    halves: list[tuple[str, str]] = []
+    filled = [s for line in text.split("\n") if (s := line.strip())]
+    if len(filled) < 2:
+        return words_of(filled[0]) if filled else [], [], []
+    edge = {k: p for k, s in enumerate(filled) if (p := edge_parts(s))[0] or p[1]}
+    body = [k for k in range(len(filled)) if k not in edge] if edge else range(len(filled))
+    segments: list[str] = []
+    halves: list[tuple[str, str, list[str]]] = []
     skip = 0
-    for k, s in enumerate(filled):
+    for at, k in enumerate(body):
+        s = filled[k]
         start, skip, end = skip, 0, len(s)
-        if s[-1] in HYPHENS and k + 1 < len(filled) and (m := _BREAK.search(s)) and (n := _NEXT.match(filled[k + 1])):
-            halves.append((m[1], n[0]))
+        if s[-1] in HYPHENS and at + 1 < len(body) and (m := _BREAK.search(s)) and (n := _NEXT.match(filled[body[at + 1]])):
+            halves.append((m[1], n[0], filled[k + 1 : body[at + 1]]))
             end, skip = m.start(1), n.end()
-        words += [w.lower() for w in _WORD.findall(s, min(start, end), end) if not _INNER_CAPITAL.search(w)]
-    return words, halves
+        elif s[-1] in HYPHENS and k + 1 in edge and s.isupper() and (m := _BREAK.search(s)) and (n := _NEXT.match(filled[k + 1])) and n[0].isupper():
+            halves.append((m[1], n[0], []))
+            end = m.start(1)
+        segments.append(s[min(start, end) : end])
+    lines = []
+    if edge:
+        # Plain lines may well be text, so they are neighbours too.
+        solid = [k not in edge or (edge[k][1] is None and edge[k][3] == 0) for k in range(len(filled))]
+        before, prev = {}, None
+        for k, s in enumerate(filled):
+            if k in edge:
+                before[k] = prev
+            if solid[k]:
+                prev = s
+        follow, after = {}, None
+        for k in range(len(filled) - 1, -1, -1):
+            if k in edge:
+                follow[k] = after
+            if solid[k]:
+                after = filled[k]
+        for k, (head, num, page, form) in edge.items():
+            s, prev, after = filled[k], before[k], follow[k]
+            cuts = prev is not None and after is not None and (prev[-1] in HYPHENS or prev[-1] not in ".!?:;\"”)]") and (after[0].islower() or prev[-1] in HYPHENS + ",")
+            value = int(s) if s.isdigit() and len(s) < 7 else None
+            lines.append((s, head, num, page, form, value, _h(prev), _h(after), cuts, words_of(s)))
+    return words_of("\n".join(segments)), halves, lines
+
+
+def _h(s: str | None) -> int:
+    return 0 if s is None else xxhash.xxh3_64_intdigest(s) >> 1
+
+
+SCANNED = pa.schema(
+    [
+        ("kind", pa.string()), ("chunk_id", pa.string()), ("paper_id", pa.string()), ("words", pa.list_(pa.string())), ("a", pa.string()), ("b", pa.string()), ("through", pa.list_(pa.string())),
+        ("line", pa.string()), ("head", pa.string()), ("num", pa.string()), ("page", pa.bool_()), ("form", pa.int32()), ("value", pa.int32()), ("before", pa.int64()), ("after", pa.int64()), ("cuts", pa.bool_()),
+        ("word", pa.string()), ("n", pa.int64()), ("n_joined", pa.int64()),
+    ]
+)
+_SQL_SCHEMA = "kind string, chunk_id string, paper_id string, words array<string>, a string, b string, through array<string>, line string, head string, num string, page boolean, form int, value int, before bigint, after bigint, cuts boolean, word string, n bigint, n_joined bigint"
+_MOST_COUNTED = 1_000_000
 
 
-def vocabulary(texts: DataFrame) -> DataFrame:
-    """``word, n, n_joined`` over all texts: words and hyphenated compounds, and words put together at line ends.
+def scanned(texts: DataFrame) -> DataFrame:
+    """One pass over ``texts(chunk_id, paper_id, text)``: rows of four kinds.
 
-    Only ``n`` is evidence that a word is in use. Tasks count for themselves before the shuffle.
+    `words`: the distinct words of a text, with the parts of its compounds; `break`: halves ``a, b`` at a line end;
+    `line`: a possible edge line; `count`: how often a task met a ``word``, as one (``n``) or put together at a line end
+    or as part of a compound (``n_joined``).
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
-        joined: Counter[str] = Counter()
+        other: Counter[str] = Counter()
 
-        def frame() -> pd.DataFrame:
-            every = list({**seen, **joined})
-            return pd.DataFrame({"word": every, "n": [seen[w] for w in every], "n_joined": [joined[w] for w in every]})
+        def counts() -> pa.RecordBatch:
+            every = list({**seen, **other})
+            return _batch({"kind": ["count"] * len(every), "word": every, "n": [seen[w] for w in every], "n_joined": [other[w] for w in every]})
 
         for batch in batches:
-            for t in batch["text"]:
-                words, halves = pieces(content(t)[0])
-                seen.update(words)
-                joined.update((a + b).lower() for a, b in halves)
-            if len(seen) + len(joined) > 1_000_000:
-                yield frame()
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                w: dict[str, list] = {k: [] for k in ("chunk_id", "paper_id", "words")}
+                rows: list[tuple] = []
+                for cid, paper, text in zip(*(part.column(c).to_pylist() for c in ("chunk_id", "paper_id", "text")), strict=True):
+                    words, halves, lines = scan(text)
+                    seen.update(words)
+                    distinct = set(words)
+                    parts = [p for x in words if "-" in x for p in x.split("-")]
+                    if parts:
+                        other.update(parts)
+                        distinct.update(parts)
+                    for a, b, through in halves:
+                        other[(a + b).lower()] += 1
+                        rows.append(("break", cid, paper, None, a, b, through, *[None] * 9))
+                    for line, head, num, page, form, value, before, after, cuts, inside in lines:
+                        seen.update(inside)
+                        rows.append(("line", cid, paper, inside, None, None, None, line, head, num, page, form, value, before, after, cuts))
+                    w["chunk_id"].append(cid)
+                    w["paper_id"].append(paper)
+                    w["words"].append([x for x in distinct if len(x) > 1])
+                yield _batch({"kind": ["words"] * len(w["words"])} | w)
+                if rows:
+                    yield _batch(dict(zip(SCANNED.names[:16], map(list, zip(*rows, strict=True)), strict=True)))
+            if len(seen) + len(other) > _MOST_COUNTED:
+                yield counts()
                 seen.clear()
-                joined.clear()
-        if seen or joined:
-            yield frame()
+                other.clear()
+        if seen or other:
+            yield counts()
 
-    return texts.select("text").where(F.col("text").isNotNull()).mapInPandas(count, "word string, n bigint, n_joined bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_joined").alias("n_joined"))
+    return texts.select("chunk_id", "paper_id", "text").mapInArrow(run, _SQL_SCHEMA)
+
+
+def _batch(columns: dict[str, list]) -> pa.RecordBatch:
+    n = len(columns["kind"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in SCANNED], schema=SCANNED)
+
+
+def edge_lines(lines: DataFrame, papers: DataFrame | None = None, cuts: float = CUTS, least: int = PAPERS) -> DataFrame:
+    """``chunk_id, line, header, number``: the possible edge lines that are some, and what is in them.
+
+    What a line says besides numbers is a running header if
+
+    * in its paper it stands in several chunks, between different lines, and cuts a sentence in some of them,
+    * or it does so in at least ``least`` papers,
+    * or it is made of the beginning of its paper's title or one of its authors' names (``papers(paper_id, title,
+      authors)``),
+    * or it cuts a sentence here and has a page number beside it or a printer's form,
+    * or it is signed (names alone with "et al.", a title and a name) and stands at the edge of its text.
+
+    The number beside a header is a page number. A number alone is one if it cuts a sentence, or if its form does so in at
+    least ``least`` papers; one that could be a year must also lie near the other page numbers of its paper.
+    """
+    c = lines.select("chunk_id", "paper_id", "line", "head", "num", "page", "form", "value", "before", "after", "cuts").distinct()
+    seen = [F.count(F.lit(1)).alias("n"), F.count_if("cuts").alias("k"), F.countDistinct("before").alias("b"), F.countDistinct("after").alias("a")]
+    known = lambda n: (F.least("a", "b") >= n) & (F.col("k") >= F.greatest(F.lit(1), F.col("n") * cuts))
+    heads = c.where(F.col("head").isNotNull())
+    in_paper = heads.where(F.col("paper_id").isNotNull()).groupBy("paper_id", "head").agg(F.countDistinct("chunk_id").alias("chunks"), *seen).where((F.col("chunks") >= 2) & known(2)).select("paper_id", "head", F.lit(True).alias("again"))
+    in_all = heads.groupBy("head").agg(F.countDistinct("paper_id").alias("papers"), *seen).where((F.col("papers") >= least) & known(least)).select("head", F.lit(True).alias("usual"))
+    j = heads.join(if_small(cut(in_paper)), ["paper_id", "head"], "left").join(if_small(cut(in_all)), "head", "left")
+    told = F.lit(False)
+    if papers is not None:
+        fold = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), r"\d+", "#"), r"\s+", " ")
+        who = papers.where(F.col("paper_id").isNotNull()).groupBy("paper_id").agg(F.collect_set(F.coalesce(fold("title"), F.lit(""))).alias("titles"), F.flatten(F.collect_set(F.coalesce("authors", F.array().cast("array<string>")))).alias("names"))
+        asked = if_small(cut(heads.select("paper_id").distinct()))
+        who = who.join(asked, "paper_id", "left_semi")
+        j = j.join(who, "paper_id", "left")
+        # A header has few pieces: a title or its beginning, an author's name with "et al.", a volume.
+        pieces = F.transform(F.split("head", r"\s+[/·|]\s+|,\s+"), lambda p: F.regexp_replace(p, r"\s+et al\.$|[ :]+$", ""))
+        names = F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda x: F.concat(F.lit(" "), F.lower(F.regexp_replace(x, r"[.,;*]", " ")), F.lit(" ")))
+        title = lambda p: (F.size(F.split(p, " ")) >= 2) & F.exists(F.coalesce("titles", F.array().cast("array<string>")), lambda t: F.rlike(F.substr(F.concat(t, F.lit(" ")), F.length(p) + 1), F.lit(r"^[ :]")) & F.startswith(t, p))
+        author = lambda p: (F.length(p) >= 3) & F.exists(names, lambda x: F.contains(x, F.concat(F.lit(" "), p, F.lit(" "))))
+        told = F.exists(pieces, lambda p: title(p) | author(p)) & F.forall(pieces, lambda p: title(p) | author(p) | (F.size(F.split(p, " ")) <= 3))
+    header = F.coalesce("again", F.lit(False)) | F.coalesce("usual", F.lit(False)) | told | (F.col("cuts") & (F.col("num").isNotNull() | (F.col("form") > 0))) | ((F.col("form") == 2) & ((F.col("before") == 0) | (F.col("after") == 0)))
+    found = j.where(header).select("chunk_id", "line", F.lit(True).alias("header"), F.col("num").isNotNull().alias("number"))
+    alone = c.where(F.col("head").isNull())
+    forms = alone.groupBy("num").agg(F.countDistinct("paper_id").alias("papers"), *seen).where((F.col("papers") >= least) & known(least)).select("num", F.lit(True).alias("usual"))
+    year = F.coalesce(F.col("value").between(1900, 2099), F.lit(False))
+    n = alone.join(if_small(cut(forms)), "num", "left").where(F.coalesce("usual", F.lit(False)) | (F.col("cuts") & F.col("page"))).withColumn("year", year)
+    pages = n.where(~F.col("year")).select("paper_id", F.regexp_extract("line", r"\d+", 0).cast("int").alias("p")).groupBy("paper_id").agg(F.min("p").alias("low"), F.max("p").alias("high"))
+    near = n.where("year").join(pages, "paper_id").where(F.col("value").between(F.col("low") - 300, F.col("high") + 300))
+    numbers = n.where(~F.col("year")).select("chunk_id", "line").unionByName(near.select("chunk_id", "line"))
+    return found.unionByName(numbers.select("chunk_id", "line", F.lit(False).alias("header"), F.lit(True).alias("number"))).distinct()
 
 
 def _value(c: Column) -> Column:
@@ -148,53 +285,41 @@ def corrections(words: DataFrame, rarer: int = RARER) -> DataFrame:
 class ScanNoise:
     """Damage in ``texts(chunk_id, text)`` and what repairs it.
 
-    ``damage``: ``chunk_id, damage`` with ``hyphen_break``, ``misread_char``, ``running_header``, ``page_number``, one row
-    per chunk and kind. Repeated rows count once; an id with several texts has the damage of all of them. Rows with a null
-    id or text are left out; empty texts have no damage.
+    ``texts`` may have a ``paper_id``, which edge lines are compared by; ``papers(paper_id, title, authors)`` adds what
+    headers repeat. ``damage``: ``chunk_id, damage`` with ``hyphen_break``, ``misread_char``, ``running_header``,
+    ``page_number``, one row per chunk and kind. Repeated rows count once; an id with several texts has the damage of all
+    of them. Rows with a null id or text are left out; empty texts have no damage. What the one pass over the texts finds
+    is written to the shared folder.
     """
 
-    def __init__(self, texts: DataFrame, rarer: int = RARER, clean_share: float = CLEAN_SHARE):
-        self.texts = texts.select("chunk_id", "text").where(F.col("chunk_id").isNotNull() & F.col("text").isNotNull())
+    def __init__(self, texts: DataFrame, papers: DataFrame | None = None, rarer: int = RARER):
+        spark = texts.sparkSession
+        paper = F.col("paper_id") if "paper_id" in texts.columns else F.lit(None).cast("string").alias("paper_id")
+        self.texts = texts.select("chunk_id", paper, "text").where(F.col("chunk_id").isNotNull() & F.col("text").isNotNull())
         self.rarer = rarer
-        self.words = cut(vocabulary(self.texts))
+        at = f"{shared_dir(spark).rstrip('/')}/scan-{uuid.uuid4().hex}"
+        scanned(self.texts).write.partitionBy("kind").parquet(at)
+        self.rows = spark.read.schema(_SQL_SCHEMA).parquet(at)
+        kind = lambda k: self.rows.where(F.col("kind") == k)
+        self.words = cut(kind("count").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_joined").alias("n_joined")))
         self.fixes = cut(corrections(self.words, rarer))
-        total = self.words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).collect()[0]["t"]
-        # At most 1 / clean_share words, so the list has a bound that does not grow with the corpus.
-        clean = self.words.where(F.col("n") >= max(clean_share * total, 1)).join(self.fixes, "word", "left_anti")
-        self._clean = self.texts.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in clean.select("word").toLocalIterator()))
-        self.marks = cut(self._marks())
-        self.breaks = self._breaks()
-
-    def _marks(self) -> DataFrame:
-        """Per chunk: kinds of noise lines, words that are not clean, and halves at line ends."""
-        clean = self._clean
-
-        def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = clean.value
-            for batch in batches:
-                out = []
-                for cid, t in zip(batch["chunk_id"], batch["text"], strict=True):
-                    lines, header, number = content(t)
-                    words, halves = pieces(lines)
-                    if header:
-                        out.append((cid, "running_header", None, None))
-                    if number:
-                        out.append((cid, "page_number", None, None))
-                    odd = {p for w in set(words) - known for p in w.split("-")} - known
-                    out += [(cid, "word", w, None) for w in odd if len(w) > 1]
-                    out += [(cid, "break", a, b) for a, b in set(halves)]
-                yield pd.DataFrame(out, columns=["chunk_id", "mark", "a", "b"])
-
-        return self.texts.mapInPandas(mark, "chunk_id string, mark string, a string, b string").where(F.col("mark").isNotNull())
-
-    def _breaks(self) -> DataFrame:
+        self.edges = cut(edge_lines(kind("line"), papers))
+        self.breaks = self._breaks(kind("break"))
+
+    def _breaks(self, rows: DataFrame) -> DataFrame:
         """``chunk_id, a, b, joined, divided, open``: halves, and whether they are one word without a hyphen.
 
         They are if the joined word is at least as frequent as the hyphenated one, or if neither is in use and the second
         half is neither the second part of compounds in use nor a common word. A common word after the hyphen leaves it
-        ``open``, as in a pair that shares its second part.
+        ``open``, as in a pair that shares its second part. Halves with lines between them that are no edge lines are
+        none.
         """
-        b = self.marks.where(F.col("mark") == "break").select("chunk_id", "a", "b", F.lower(F.concat("a", "b")).alias("joined"), F.lower(F.concat("a", F.lit("-"), "b")).alias("compound"), F.lower("b").alias("tail"))
+        b = rows.select("chunk_id", "a", "b", "through").distinct()
+        gone = self.edges.select("chunk_id", F.col("line").alias("between"), F.lit(True).alias("edge")).distinct()
+        far = b.where(F.size("through") > 0).select("chunk_id", "a", "b", "through", F.explode("through").alias("between")).join(gone, ["chunk_id", "between"], "left")
+        far = far.groupBy("chunk_id", "a", "b", "through").agg(F.every(F.coalesce("edge", F.lit(False))).alias("ok")).where("ok")
+        b = b.where(F.size("through") == 0).select("chunk_id", "a", "b").unionByName(far.select("chunk_id", "a", "b")).distinct()
+        b = b.select("chunk_id", "a", "b", F.lower(F.concat("a", "b")).alias("joined"), F.lower(F.concat("a", F.lit("-"), "b")).alias("compound"), F.lower("b").alias("tail"))
         one = self.words.where(~F.col("word").contains("-") & (F.col("n") > 0))
         two = self.words.where(F.col("word").rlike("^[^-]+-[^-]+$"))
         tails = two.groupBy(F.substring_index("word", "-", -1).alias("tail")).agg(F.sum("n").alias("n_tail")).where(F.col("n_tail") >= 2)
@@ -207,50 +332,58 @@ class ScanNoise:
 
     @property
     def damage(self) -> DataFrame:
-        lines = self.marks.where(F.col("mark").isin("running_header", "page_number")).select("chunk_id", F.col("mark").alias("damage"))
+        header = self.edges.where("header").select("chunk_id", F.lit("running_header").alias("damage"))
+        number = self.edges.where("number").select("chunk_id", F.lit("page_number").alias("damage"))
         broken = self.breaks.where("divided").select("chunk_id", F.lit("hyphen_break").alias("damage"))
-        return lines.unionByName(broken).unionByName(self.misread.select("chunk_id", F.lit("misread_char").alias("damage"))).distinct()
+        return header.unionByName(number).unionByName(broken).unionByName(self.misread.select("chunk_id", F.lit("misread_char").alias("damage"))).distinct()
 
     @property
     def misread(self) -> DataFrame:
         """``chunk_id, word, right`` of every misread word, also those put together from two lines."""
-        words = self.marks.where(F.col("mark") == "word").select("chunk_id", F.col("a").alias("word"))
+        fixes = if_small(self.fixes)
+        words = self.rows.where(F.col("kind") == "words").select("chunk_id", F.explode("words").alias("word")).join(fixes, "word")
+        kept = self.rows.where(F.col("kind") == "line").select("chunk_id", "line", "words").join(self.edges, ["chunk_id", "line"], "left_anti").select("chunk_id", F.explode("words").alias("word"))
         together = self.breaks.where("divided").select("chunk_id", F.col("joined").alias("word"))
         apart = self.breaks.where(~F.col("divided")).select("chunk_id", F.explode(F.array(F.lower("a"), F.lower("b"))).alias("word"))
-        return words.unionByName(together).unionByName(apart).distinct().join(self.fixes, "word").select("chunk_id", "word", "right")
+        others = kept.unionByName(together).unionByName(apart).join(fixes, "word")
+        return words.unionByName(others).select("chunk_id", "word", "right").distinct()
 
     @property
     def repaired(self) -> DataFrame:
         """``chunk_id, text``: the damaged chunks as continuous paragraphs, repaired."""
         fixes = self.misread.groupBy("chunk_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "right"))).alias("fixes"))
         keep = self.breaks.where(~F.col("divided")).groupBy("chunk_id").agg(F.map_from_entries(F.collect_set(F.struct("joined", F.when(F.col("open"), "- ").otherwise("-")))).alias("compounds"))
+        gone = self.edges.groupBy("chunk_id").agg(F.collect_set("line").alias("edges"))  # lines of one text
         hurt = self.damage.select("chunk_id").distinct()
-        rows = self.texts.dropDuplicates(["chunk_id", "text"]).join(hurt, "chunk_id", "left_semi").join(fixes, "chunk_id", "left").join(keep, "chunk_id", "left")
+        rows = self.texts.dropDuplicates(["chunk_id", "text"]).join(hurt, "chunk_id", "left_semi")
+        rows = rows.join(fixes, "chunk_id", "left").join(keep, "chunk_id", "left").join(gone, "chunk_id", "left")
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pd.DataFrame({"chunk_id": batch["chunk_id"], "text": [repair(t, dict(f) if f is not None else {}, dict(c) if c is not None else {}) for t, f, c in zip(batch["text"], batch["fixes"], batch["compounds"], strict=True)]})
+                c = {x: batch.column(x).to_pylist() for x in batch.schema.names}
+                text = [repair(t, dict(f or ()), dict(k or ()), set(e or ())) for t, f, k, e in zip(c["text"], c["fixes"], c["compounds"], c["edges"], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), pa.array(text, pa.string())], ["chunk_id", "text"])
 
-        return rows.select("chunk_id", "text", "fixes", "compounds").mapInPandas(run, "chunk_id string, text string")
+        return rows.select("chunk_id", "text", "fixes", "compounds", "edges").mapInArrow(run, "chunk_id string, text string")
 
 
 _ITEM = re.compile(r"\s*(?:[-*+•]\s|\d+[.)]\s|\||#|>|```|\[\d+\]\s)")
 
 
-def repair(text: str, fixes: dict[str, str], compounds: dict[str, str] | None = None) -> str:
-    """Continuous paragraphs: noise lines out, divided words and wrapped lines joined, misread words corrected.
+def repair(text: str, fixes: dict[str, str], compounds: dict[str, str] | None = None, edges: set[str] | frozenset[str] = frozenset()) -> str:
+    """Continuous paragraphs: edge lines out, divided words and wrapped lines joined, misread words corrected.
 
-    ``compounds`` maps joined forms that keep their hyphen to how: `-`, or `- ` before a word of its own. A blank line ends a paragraph unless noise lines stood
-    there or the paragraph breaks off inside a word; list items, table rows and headings keep lines of their own.
+    ``edges`` are the lines to take out, no other is. ``compounds`` maps joined forms that keep their hyphen to how: `-`,
+    or `- ` before a word of its own. A blank line ends a paragraph unless edge lines stood there or the paragraph breaks
+    off inside a word; list items, table rows and headings keep lines of their own.
     """
     paragraphs: list[str] = []
     now, gap, noise = "", False, False
     for line in text.split("\n"):
-        h, n = line_noise(line)
-        if h or n:
+        s = line.strip()
+        if s and s in edges:
             noise = True
             continue
-        s = line.strip()
         if not s:
             gap = True
             continue

@@ -45,14 +45,18 @@ def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.groups(neardup.NearDuplicates(_records(spark, sf), k=5, threshold=0.8))
 
 
+def _noise(spark: SparkSession, sf: str) -> ocr.ScanNoise:
+    return ocr.ScanNoise(table(spark, sf, "chunks"), table(spark, sf, "papers"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Kinds of scanner noise in each chunk."""
-    return ocr.ScanNoise(table(spark, sf, "chunks")).damage
+    return _noise(spark, sf).damage
 
 
 def p4_repaired(spark: SparkSession, sf: str) -> DataFrame:
     """The damaged chunks as repaired, continuous paragraphs."""
-    return ocr.ScanNoise(table(spark, sf, "chunks")).repaired
+    return _noise(spark, sf).repaired
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,14 +10,15 @@ from paperloom.llm import ocr, subjects
 @pytest.mark.parametrize(
     ("line", "want"),
     [
-        ("Page 12 of 30", (False, True)), ("- 7 -", (False, True)), ("[41]", (False, True)), ("p. 5", (False, True)), ("17", (False, True)), ("– 24 –", (False, True)),
-        ("Boberson et al.", (True, False)), ("12    Boberson et al.", (True, True)), ("Boberson et al.    345", (True, True)), ("28 | Chapter 2", (True, True)), ("Preprint. Under review.", (True, False)),
-        ("ON GRAPH SEARCH WITH", (True, False)), ("FENSEG2: STAGE OF MODELS    24", (True, True)), ("Towards calibrated partial  ·  Boberson", (True, False)),
-        ("ALGORITHM 1", (False, False)), ("| dev | 3 |", (False, False)), ("|---|---|", (False, False)), ("Stage 2: protocol", (False, False)), ("after 84 folds.", (False, False)), ("", (False, False)), ("- item one", (False, False)), ("3.5", (False, False)),
+        ("Page 12 of 30", (None, "page # of #", True, 0)), ("- 7 -", (None, "- # -", True, 0)), ("[41]", (None, "[#]", True, 0)), ("p. 5", (None, "p. #", True, 0)), ("17", (None, "#", True, 0)), ("– 24 –", (None, "– # –", True, 0)),
+        ("Boberson et al.", ("boberson et al.", None, False, 2)), ("12    Boberson et al.", ("boberson et al.", "#", True, 2)), ("28 | Chapter 2", (None, "# | chapter #", True, 0)), ("Preprint. Under review.", ("preprint. under review.", None, False, 2)),
+        ("ON GRAPH SEARCH WITH", ("on graph search with", None, False, 1)), ("FENSEG2: STAGE OF MODELS    24", ("fenseg#: stage of models", "#", True, 1)), ("Towards calibrated partial  ·  Boberson", ("towards calibrated partial · boberson", None, False, 2)),
+        ("Deep Retrieval Networks   42", ("deep retrieval networks", "#", True, 0)), ("ALGORITHM 1", (None, "algorithm #", False, 0)), ("Smith et al. held. It was so", (None, None, False, 0)),
+        ("| dev | 3 |", (None, None, False, 0)), ("|---|---|", (None, None, False, 0)), ("after 84 folds.", (None, None, False, 0)), ("", (None, None, False, 0)), ("- item one", (None, None, False, 0)), ("3. Results", (None, None, False, 0)),
     ],
 )
-def test_noise_lines(line, want):
-    assert ocr.line_noise(line) == want
+def test_what_could_be_an_edge_line(line, want):
+    assert ocr.edge_parts(line) == want
 
 
 GOOD = "We compared the clinical harness model with another window and found that frequent trade-offs remained stable after small changes"
@@ -41,6 +42,79 @@ def test_damage_and_repair(spark):
     assert set(text) == {"h", "h2", "m", "m2", "mh", "p"}
 
 
+BODY = ["The result of the first study was shown by Smith et al.", "and it holds in general.", "RELATED WORK", "Preprint servers have changed how results spread", "over the last years in", "2019", "and after.", "Chapter 3", "The last part of the work."]
+
+
+def test_body_lines_stay(spark):
+    text = "\n".join(BODY)
+    s = ocr.ScanNoise(spark.createDataFrame([(f"b{i}", f"p{i}", text + f" Case {i}.") for i in range(5)], "chunk_id string, paper_id string, text string"))
+    assert s.damage.count() == 0 and s.edges.count() == 0
+    assert all(line in ocr.repair(text, {}) for line in BODY)
+
+
+def test_edge_lines_are_known_by_repetition_and_place(spark):
+    r = random.Random(2)
+    word = lambda: r.choice(GOOD.lower().split())
+    line = lambda: " ".join(word() for _ in range(9))
+    rows, want = [], set()
+    for p, head in (("p1", "Journal of Applied Graph Methods"), ("p2", "Deep Retrieval Networks   {n}"), ("p3", "A Title Nobody Else Has")):
+        for c in range(4):
+            lines = [line() for _ in range(6)]
+            lines.insert(3, head.format(n=40 + c))
+            if c == 2:
+                lines.insert(4, "Page 7")
+                want.add((f"{p}:{c}", "page_number"))
+            rows.append((f"{p}:{c}", p, "\n".join(lines)))
+            want |= {(f"{p}:{c}", "running_header")} | ({(f"{p}:{c}", "page_number")} if "{n}" in head else set())
+    rows.append(("h1", "p9", line() + ".\nRELATED WORK\n" + line()))
+    rows.append(("t", "p8", "Towards Metric Joins\n" + line() + "\n" + line()))
+    papers = spark.createDataFrame([("p8", "Towards Metric Joins: A Study", ["A. Nob"]), ("p7", None, None)], "paper_id string, title string, authors array<string>")
+    df = spark.createDataFrame(rows + rows[:3], "chunk_id string, paper_id string, text string").repartition(3)
+    got = {tuple(x) for x in ocr.ScanNoise(df, papers).damage.collect()}
+    assert got == want | {("t", "running_header")}
+    text = {x["chunk_id"]: x["text"] for x in ocr.ScanNoise(df, papers).repaired.collect()}
+    assert not any("Journal" in t or "Networks" in t or "Page" in t or "\n" in t for t in text.values()) and set(text) == {c for c, _ in got}
+
+
+def test_repaired_texts_equal_the_planted_originals(spark):
+    """Originals are damaged in known ways; the repair must give them back, word for word."""
+    r = random.Random(12)
+    vocab = [w.lower() for w in GOOD.split() if "-" not in w and len(w) > 4]
+    rows, original, kinds = [(f"g{i}", "pg", f"{GOOD}.") for i in range(80)], {}, {}
+    for i in range(60):
+        words = [r.choice(vocab) for _ in range(40)]
+        clean = " ".join(words).capitalize() + "."
+        broken, kind = list(words), set()
+        broken[0] = broken[0].capitalize()
+        at = r.randrange(2, 8)
+        good, bad = next((g, b) for g, b in ocr.CONFUSIONS if g in words[at] and len(g) == 1)
+        broken[at] = words[at].replace(good, bad, 1)
+        lines = [" ".join(broken[k : k + 8]) for k in range(0, 40, 8)]
+        kind.add("misread_char")
+        if i % 2:
+            w = words[16]
+            lines[1] += " " + w[:3] + r.choice("-¬")
+            lines[2] = w[3:] + " " + " ".join(broken[17:24])
+            kind.add("hyphen_break")
+        if i % 3 == 0:
+            lines.insert(2, f"Page {i}")
+            kind.add("page_number")
+        if i % 5 == 0:
+            lines.insert(2, "Boberson et al.")
+            kind.add("running_header")
+        rows.append((f"d{i}", "pd", "\n".join(lines) + "."))
+        original[f"d{i}"], kinds[f"d{i}"] = clean, kind
+    s = ocr.ScanNoise(spark.createDataFrame(rows, "chunk_id string, paper_id string, text string").repartition(4))
+    damage: dict[str, set] = {}
+    for c, k in s.damage.collect():
+        damage.setdefault(c, set()).add(k)
+    found = sum(len(damage.get(c, set()) & k) for c, k in kinds.items()) / sum(map(len, kinds.values()))
+    right = sum(len(damage[c] & kinds.get(c, set())) for c in damage) / sum(map(len, damage.values()))
+    text = {x["chunk_id"]: x["text"] for x in s.repaired.collect()}
+    assert found >= 0.99 and right >= 0.99
+    assert sum(text.get(c) == t for c, t in original.items()) >= 0.95 * len(original)
+
+
 def test_empty_table_has_no_damage(spark):
     s = ocr.ScanNoise(spark.createDataFrame([], "chunk_id string, text string"))
     assert s.damage.count() == 0 and s.repaired.count() == 0
