@@ -5,18 +5,23 @@ differ in at most as many bits as the run sets have elements not in common, so f
 of m and n runs the Hamming distance of any true pair is at most (1 - t) / (1 + t) * (m + n): a budget that no true
 pair breaks.
 
-A forest of tries is built over the sketches. The top levels of each trie are a min-hash label on which both texts of a
-pair must agree bit for bit; they are the shuffle key, so one cell of the shuffle is one subtree. Inside a cell the trie
-of the sketches is joined with itself: node pairs are walked together, differing bits accumulate along the way, and a
-pair of nodes is dropped once they exceed the budget of the largest texts below them. Surviving leaf pairs are verified
-on their sets of runs. The number of tries sets the chance that a pair shares no label: with 28 tries of 3 minima a pair
-of similarity 0.6 is missed with probability 0.0011, one of 0.7 with 0.00001.
+A forest of tries is built over the sketches. The top levels of each trie are a block of min-hash bits on which both
+texts of a pair must agree; they are the shuffle key, so one cell of the shuffle is one subtree. Inside a cell the trie
+of the parity bits is joined with itself: node pairs are walked together, differing bits accumulate along the way, and a
+pair of nodes is dropped once they exceed the budget of the largest texts below them. Every cell is walked from its root;
+edges are compressed, so two single leaves are followed to the end in one step. Surviving leaf pairs are verified on
+their sets of runs. The number of tries sets the chance that a pair has errors in every block: with 28 tries of 3 minima
+a pair of similarity 0.6 is missed with probability 0.0011, one of 0.7 with 0.00001.
+
+Parity bits alone cannot lead the tries: the budget is a quarter of the elements of a pair, so a block without errors
+tells little. To keep chance pairs as rare as 28 blocks of min-hash bits do, about 160 blocks of them would be needed.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,8 +37,6 @@ from paperloom.session import cut, shared_dir
 TRIES, MINIMA, BITS = 28, 3, 512
 #: Members of a cell above which it is cut into blocks whose pairs are spread over tasks.
 BLOCK = 512
-#: Leaf pairs below a node pair up to which it is finished at once.
-LEAF_PAIRS = 64
 #: Keys that are broadcast to filter a scan; more are joined by shuffle.
 MOST_SENT = 200_000
 
@@ -97,7 +100,16 @@ def mix_fast(x: np.ndarray, mult: np.uint64, add: np.uint64) -> np.ndarray:
     return y ^ (y >> np.uint64(32))
 
 
-def trie_join(bits: np.ndarray, sizes: np.ndarray, threshold: float, other: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+@dataclass
+class Walked:
+    """Counts of a walk: node pairs met, dropped over their budget, and leaf pairs kept."""
+
+    nodes: int = 0
+    pruned: int = 0
+    leaves: int = 0
+
+
+def trie_join(bits: np.ndarray, sizes: np.ndarray, threshold: float, other: tuple[np.ndarray, np.ndarray] | None = None, walked: Walked | None = None) -> np.ndarray:
     """Pairs of rows whose sketches differ by at most the budget of their sizes, by joining binary tries.
 
     ``bits`` are packed sketches, one row each; without ``other`` the trie is joined with itself (each pair once), else
@@ -107,35 +119,42 @@ def trie_join(bits: np.ndarray, sizes: np.ndarray, threshold: float, other: tupl
     right = left if other is None else _Trie(*other)
     if len(left.order) == 0 or len(right.order) == 0:
         return np.empty((0, 2), np.int64)
-    return _walk(left, right, np.array([[0, len(left.order), 0, len(right.order), 0]], np.int64), threshold)
+    return _walk(left, right, np.array([[0, len(left.order), 0, len(right.order), 0]], np.int64), threshold, walked)
 
 
-def forest_join(bits: np.ndarray, sizes: np.ndarray, edges: np.ndarray, threshold: float) -> np.ndarray:
+def forest_join(bits: np.ndarray, sizes: np.ndarray, edges: np.ndarray, threshold: float, walked: Walked | None = None) -> np.ndarray:
     """As :func:`trie_join` of each run of rows between two ``edges`` with itself, all of them walked together.
 
     The runs are the subtrees of one trie below its label: their roots are the first node pairs.
     """
     trie = _Trie(bits, sizes, edges)
     a, b = edges[:-1], edges[1:]
-    return _walk(trie, trie, np.stack([a, b, a, b, np.zeros_like(a)], 1).astype(np.int64), threshold)
+    return _walk(trie, trie, np.stack([a, b, a, b, np.zeros_like(a)], 1).astype(np.int64), threshold, walked)
 
 
-def _walk(left: _Trie, right: _Trie, pairs: np.ndarray, threshold: float) -> np.ndarray:
+def _walk(left: _Trie, right: _Trie, pairs: np.ndarray, threshold: float, walked: Walked | None = None) -> np.ndarray:
     """Leaf pairs within budget below the given node pairs (two ranges and the bits that differ so far).
 
     A node is a range of sorted sketches that agree on the bits so far. All node pairs of a level are advanced at once:
     each splits at its next bit into up to four, the crossing ones gain one differing bit, and pairs over their budget
-    are pruned. Node pairs with few leaf pairs below them are finished by counting the differing bits.
+    are pruned. The compressed edges of two single leaves are followed to the end at once.
     """
     rate, same = (1 - threshold) / (1 + threshold), left is right
     found = []
+    w = walked or Walked()
     for level in range(left.bits + 1):
+        if same:  # a leaf has no pair with itself
+            pairs = pairs[(pairs[:, 0] != pairs[:, 2]) | (pairs[:, 1] - pairs[:, 0] > 1)]
         budget = rate * (left.most(pairs[:, 0], pairs[:, 1]) + right.most(pairs[:, 2], pairs[:, 3])) + 1e-9
-        pairs = pairs[pairs[:, 4] <= budget]
-        few = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]) <= (LEAF_PAIRS if level < left.bits else 2**62)
-        if few.any():
-            found.append(_leaves(left, right, pairs[few], rate, same))
-        pairs = pairs[~few]
+        within = pairs[:, 4] <= budget
+        w.nodes += len(pairs)
+        w.pruned += len(pairs) - int(within.sum())
+        pairs = pairs[within]
+        # At the last level the leaves of a node are equal.
+        done = ((pairs[:, 1] - pairs[:, 0] == 1) & (pairs[:, 3] - pairs[:, 2] == 1)) if level < left.bits else np.ones(len(pairs), bool)
+        if done.any():
+            found.append(_leaves(left, right, pairs[done], rate, same))
+        pairs = pairs[~done]
         if not len(pairs):
             break
         la = left.split(level, pairs[:, 0], pairs[:, 1])
@@ -149,22 +168,22 @@ def _walk(left: _Trie, right: _Trie, pairs: np.ndarray, threshold: float) -> np.
             oz = oz[a0 != b0]
         pairs = np.concatenate([zz, oo, zo, oz])
         pairs = pairs[(pairs[:, 0] < pairs[:, 1]) & (pairs[:, 2] < pairs[:, 3])]
-    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    out = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    w.leaves += len(out)
+    return out
 
 
 class _Trie:
     """Binary tries kept as the sorted order of their leaves: a node is a range, its children are cut by a prefix sum.
 
-    With ``edges`` each run of rows between two of them is a trie of its own, in one order; runs that will be finished
-    as a whole need not be sorted.
+    With ``edges`` each run of rows between two of them is a trie of its own, all in one order.
     """
 
     def __init__(self, bits: np.ndarray, sizes: np.ndarray, edges: np.ndarray | None = None):
         self.bits = bits.shape[1] * 8
-        self.order = np.arange(len(bits))
-        for a, b in [(0, len(bits))] if edges is None else np.stack([edges[:-1], edges[1:]], 1)[np.diff(edges) ** 2 > LEAF_PAIRS]:
-            if b > a:
-                self.order[a:b] = a + np.lexsort(bits[a:b].T[::-1])
+        wide = np.pad(np.ascontiguousarray(bits), ((0, 0), (0, -bits.shape[1] % 8))).view(">u8")
+        cell = np.zeros(len(bits), np.int64) if edges is None else np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        self.order = np.lexsort((*wide.T[::-1], cell))
         self.rows = bits[self.order]
         self.sizes = sizes[self.order].astype(np.int64)
         table = [self.sizes]

@@ -25,6 +25,13 @@ def test_trie_join_equals_all_pairs():
         assert {tuple(sorted(p)) for p in neardup.trie_join(bits, sizes, t).tolist()} == want
         cross = neardup.trie_join(bits[:45], sizes[:45], t, (bits[45:], sizes[45:]))
         assert {(i, j + 45) for i, j in cross.tolist()} == {p for p in want if p[0] < 45 <= p[1]}
+        counts = neardup.Walked()
+        neardup.trie_join(bits, sizes, t, walked=counts)
+        every = len(bits) * (len(bits) - 1) // 2
+        assert counts.leaves == len(want) and counts.pruned > 0 and counts.nodes < 40 * every
+        edges = np.array([0, 40, 43, 43, 80, len(bits)])
+        cells = {tuple(sorted(p)) for p in neardup.forest_join(bits, sizes, edges, t).tolist()}
+        assert cells == {p for p in want if np.searchsorted(edges, p[0], "right") == np.searchsorted(edges, p[1], "right")}
     assert len(neardup.trie_join(bits[:0], sizes[:0], 0.6)) == 0 and len(neardup.trie_join(bits[:1], sizes[:1], 0.6)) == 0
 
 
