@@ -1,4 +1,4 @@
-"""Exact radius joins of strings under a true edit metric, by pivots and the triangle inequality."""
+"""Exact radius joins of strings under a true edit metric, by rings around pivots and the triangle inequality."""
 
 from __future__ import annotations
 
@@ -9,9 +9,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import cut
+
 #: Members of a cell above which it is cut into blocks whose pairs are spread over tasks.
 BLOCK = 2000
-MOST_PIVOTS = 256
+#: Pairs looked at in one go.
+PAIRS = 1_000_000
+#: Pivots at most, and the width of the rings around them in radii.
+MOST_PIVOTS, RING = 7, 3
+#: Bits of the hash by which letters are put into groups.
+LETTERS = 12
+ODD = (np.arange(1, 33, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+#: Pivots of one group each, by which pairs are filtered: 64 groups hold every letter once.
+LETTER_GROUPS = (np.arange(1 << LETTERS)[:, None] % 64 == np.arange(64)).astype(np.uint8)
 
 
 def codes(strings: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,117 +69,137 @@ def _distances(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     return d[nx + 1, ny + 1, rows]
 
 
-def pick_pivots(keys: DataFrame, n: int, pool: int = 2000) -> list[str]:
-    """``n`` keys far from each other: a hash-ordered pool of at most ``pool`` keys, thinned farthest first.
+def counts(strings: Sequence[str], groups: np.ndarray, every: bool = False) -> np.ndarray:
+    """How many letters of each string are in each group; ``groups`` is a table of letter hash by group, or, with ``every``,
+    group k of n holds the letters whose hash is k modulo n.
 
-    Pivots steer only how cells are cut; any choice gives the same join.
+    The count is the distance of the string to the strings without a letter of the group, so the groups are pivots: by
+    the triangle inequality the counts of two strings differ by at most their distance.
     """
-    drawn = [r["key"] for r in keys.orderBy(F.xxhash64("key"), "key").limit(min(pool, 4 * n)).collect()]
-    if len(drawn) <= n:
-        return drawn
-    chosen = [drawn[0]]
-    near = distances(drawn, [drawn[0]] * len(drawn))
-    while len(chosen) < n:
-        chosen.append(drawn[int(near.argmax())])
-        near = np.minimum(near, distances(drawn, [chosen[-1]] * len(drawn)))
-    return chosen
+    longest = max(map(len, strings), default=0)
+    step = max(1, 4_000_000 // max(longest, 1))
+    if len(strings) > step:
+        return np.concatenate([counts(strings[k : k + step], groups, every) for k in range(0, len(strings), step)])
+    x, size = codes(strings)
+    mixed = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    letter = (mixed >> np.uint64(64 - LETTERS)).astype(np.int64)
+    inside = np.arange(x.shape[1])[None] < size[:, None]
+    if every:  # groups that hold each letter once: one place to count up
+        out = np.zeros((len(strings), groups.shape[1]), np.int16)
+        np.add.at(out, (np.nonzero(inside)[0], letter[inside] % groups.shape[1]), 1)
+        return out
+    member = groups[letter]
+    member[~inside] = 0
+    return member.sum(1, dtype=np.int64)
+
+
+def pivot_groups(n: int, seed: int = 5) -> np.ndarray:
+    """Letter hash by group: all letters, then halves drawn at random. Groups steer only how cells are cut; any choice gives
+    the same join."""
+    g = np.random.default_rng(seed).random((1 << LETTERS, max(n, 1))) < 0.5
+    g[:, 0] = True
+    return g.astype(np.uint8)
 
 
 def radius_join(strings: DataFrame, radius: int = 1, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
     """All pairs ``a < b`` of distinct values of ``strings(key)`` within ``radius`` edits: ``a, b, distance``.
 
-    A key's home is the cell of its nearest pivot and, since the empty string is a pivot too, of its length. A key is
-    copied to every cell in which a key within the radius could have its home: by the triangle inequality, where the
-    pivot is at most twice the radius farther than its own and the length differs by at most the radius. Inside a cell
-    the distances to all pivots must agree up to the radius before the metric is computed. Cells of more than ``block``
+    Pivots are sets of strings, those without letters of a group: the distance to one is a count of letters, exact and
+    without dynamic programming. Rings of ``RING * radius`` around each pivot cut the space into cells. A key within the
+    radius of the next ring is also put there, so two keys within the radius meet in the cell of the higher of their
+    rings around each pivot, and nowhere else is their pair looked at. Inside a cell the distances to many pivots must
+    agree up to the radius before the metric is computed. The number of pivots grows with the logarithm of the keys up to
+    ``MOST_PIVOTS``, where a key has (1 + 1 / RING) ** MOST_PIVOTS = 7.5 copies in the mean. Cells of more than ``block``
     keys are cut into blocks joined pair by pair. Null keys are dropped; the empty string is a key.
     """
     spark = strings.sparkSession
-    keys = strings.select("key").where(F.col("key").isNotNull()).distinct()
+    keys = cut(strings.select("key").where(F.col("key").isNotNull()).distinct())
     size = keys.count()
-    n = pivots or int(min(max(size**0.5 / 3, 8), MOST_PIVOTS))
+    n = pivots or int(min(max(np.ceil(np.log2(max(size, 1) / 100)), 1), MOST_PIVOTS))
     # Few bytes but much work: tasks by number of keys, which the adaptive planner would merge by size.
     tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // 1000)))
-    chosen = spark.sparkContext.broadcast(pick_pivots(keys, n))
+    groups, wide = pivot_groups(n), RING * radius
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = chosen.value
         for batch in batches:
-            for lo in range(0, len(batch), 2000):
-                ks = batch["key"].iloc[lo : lo + 2000].tolist()
-                d = distances([k for k in ks for _ in p], p * len(ks)).reshape(len(ks), len(p))
-                home, size = d.argmin(1), np.fromiter(map(len, ks), np.int64, len(ks))
-                near = d <= d.min(1)[:, None] + 2 * radius
-                i, c = np.nonzero(near)
-                i, c, s = np.repeat(i, 2 * radius + 1), np.repeat(c, 2 * radius + 1), np.tile(np.arange(-radius, radius + 1), len(i))
-                vectors = [bytes(v) for v in np.minimum(d, 255).astype(np.uint8)]
-                yield pd.DataFrame({"cell": c, "ring": size[i] + s, "native": (home[i] == c) & (s == 0), "key": [ks[k] for k in i], "vector": [vectors[k] for k in i]}).astype({"cell": np.int32, "ring": np.int32})
-
-    cell = ["cell", "ring"]
-    placed = keys.repartition(tasks, F.xxhash64("key")).mapInPandas(place, "cell int, ring int, native boolean, key string, vector binary")
-    # Cells in which no key has its home need no copies.
-    sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.max("native").alias("used")).where("used").select(*cell, F.ceil(F.col("n") / block).cast("int").alias("nb"))
+            for lo in range(0, len(batch), 5000):
+                ks = batch["key"].iloc[lo : lo + 5000].tolist()
+                f = counts(ks, groups) + np.arange(n) % wide
+                ring, near = f // wide, f % wide >= wide - radius
+                at, moved = np.arange(len(ks)), np.zeros(len(ks), np.int32)
+                for j in range(n):
+                    up = near[at, j]
+                    at, moved = np.concatenate([at, at[up]]), np.concatenate([moved, moved[up] | (1 << j)])
+                cell = ring[at] + ((moved[:, None] >> np.arange(n)) & 1)
+                unit = (cell.astype(np.uint64) * ODD[:n]).sum(1, dtype=np.uint64).view(np.int64)
+                yield pd.DataFrame({"cell": unit, "moved": moved, "key": [ks[k] for k in at]})
+
+    placed = keys.repartition(tasks, F.xxhash64("key")).mapInPandas(place, "cell bigint, moved int, key string")
+    several = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("cell", F.ceil(F.col("n") / block).cast("int").alias("nb"))
     mine = F.pmod(F.xxhash64("key"), F.col("nb")).cast("int")
-    routed = placed.join(sizes, cell).withColumn("b", mine).select(*cell, "native", "key", "vector", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("x"))
-    unit = ["cell", "ring", "lo", "hi"]
-    parts = routed.select(*cell, F.least("b", "x").alias("lo"), F.greatest("b", "x").alias("hi"), "b", "native", "key", "vector").repartition(tasks, *unit).sortWithinPartitions(*unit)
+    routed = placed.join(several, "cell").withColumn("b", mine).select("cell", "moved", "key", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("x"))
+    unit = ["cell", "lo", "hi"]
+    parts = routed.select("cell", F.least("b", "x").alias("lo"), F.greatest("b", "x").alias("hi"), "b", "moved", "key").repartition(tasks, *unit).sortWithinPartitions(*unit, "b")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in grouped(batches, unit):
-            yield from _cell(group, radius)
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pd.concat([held, batch], ignore_index=True)
+            last = batch.iloc[-1]
+            tail = (batch["cell"] == last["cell"]) & (batch["lo"] == last["lo"]) & (batch["hi"] == last["hi"])
+            held = batch[tail]
+            if not tail.all():
+                yield from _cells(batch[~tail], radius)
+        if held is not None and len(held):
+            yield from _cells(held, radius)
 
     return parts.mapInPandas(join, "a string, b string, distance int").distinct()
 
 
-def grouped(batches: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator[pd.DataFrame]:
-    """The runs of rows with equal ``by`` in a sorted stream of batches, each whole."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        key = batch[list(by)]
-        new = (key != key.shift()).any(axis=1).to_numpy()
-        new[0] = bool(held) and tuple(held[-1].iloc[-1][list(by)]) != tuple(key.iloc[0])
-        edges = [0, *[int(i) for i in np.flatnonzero(new) if i], len(batch)]
-        if new[0]:
-            yield pd.concat(held, ignore_index=True)
-            held = []
-        for k, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            if k:
-                yield pd.concat(held, ignore_index=True)
-                held = []
-            held.append(batch.iloc[s:e])
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-def _cell(group: pd.DataFrame, radius: int) -> Iterator[pd.DataFrame]:
-    keys, b = group["key"].to_numpy(), group["b"].to_numpy()
-    v = np.frombuffer(b"".join(group["vector"]), np.uint8).reshape(len(group), -1).astype(np.int16)
-    native = group["native"].to_numpy()
-    lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
-    left, right = (np.arange(len(group)),) * 2 if lo == hi else (np.flatnonzero(b == lo), np.flatnonzero(b == hi))
-    out_a, out_b = [], []
-    step = max(1, 2_000_000 // max(len(right), 1))
-    for s in range(0, len(left), step):
-        l = left[s : s + step]
-        ok = np.abs(v[l, 0][:, None] - v[right, 0][None]) <= radius
-        ok &= native[l][:, None] | native[right][None]
-        if lo == hi:
-            ok &= l[:, None] < right[None]
-        i, j = np.nonzero(ok)
-        i, j = l[i], right[j]
-        for k in range(1, v.shape[1]):
-            if not len(i):
-                break
-            keep = np.abs(v[i, k] - v[j, k]) <= radius
-            i, j = i[keep], j[keep]
-        out_a.append(i)
-        out_b.append(j)
-    i, j = np.concatenate(out_a), np.concatenate(out_b)
-    if len(i):
-        a, c = keys[i].tolist(), keys[j].tolist()
-        d = distances(a, c)
-        keep = (d <= radius) & (d > 0)
-        pairs = [(min(x, y), max(x, y), int(k)) for x, y, k, ok in zip(a, c, d, keep, strict=True) if ok]
-        yield pd.DataFrame(pairs, columns=["a", "b", "distance"]).drop_duplicates()
+def copies(strings: DataFrame, radius: int = 1, pivots: int = 7) -> float:
+    """Mean number of cells a key is put into."""
+    groups, wide = pivot_groups(pivots), RING * radius
+    ks = [r["key"] for r in strings.select("key").where(F.col("key").isNotNull()).distinct().toLocalIterator()]
+    near = (counts(ks, groups) + np.arange(pivots) % wide) % wide >= wide - radius
+    return float((2.0 ** near.sum(1)).mean()) if ks else 0.0
+
+
+def _cells(batch: pd.DataFrame, radius: int) -> Iterator[pd.DataFrame]:
+    """Pairs within the radius in each of the whole cells (or pairs of blocks) of a sorted batch, all cells at once."""
+    keys, b, moved = batch["key"].to_numpy(), batch["b"].to_numpy(), batch["moved"].to_numpy()
+    lo, hi, cell = batch["lo"].to_numpy(), batch["hi"].to_numpy(), batch["cell"].to_numpy()
+    new = np.ones(len(batch), bool)
+    new[1:] = (cell[1:] != cell[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    start = np.flatnonzero(new)
+    size = np.diff(start, append=len(batch))
+    one = lo[start] == hi[start]
+    # Rows of the lower block come first; a block with itself has all of its rows on both sides.
+    low = np.where(one, size, np.add.reduceat((b == lo).astype(np.int64), start) if len(start) else size)
+    right, high = np.where(one, start, start + low), np.where(one, size, size - low)
+    v = counts(keys.tolist(), LETTER_GROUPS, every=True)
+    mask = ((v > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
+    # Left rows one by one, each with all right rows of its cell.
+    l = np.concatenate([np.arange(s, s + n) for s, n in zip(start, low, strict=True)]) if len(start) else start
+    first, n = np.repeat(right, low), np.repeat(high, low)
+    first = np.where(np.repeat(one, low), np.maximum(first, l + 1), first)
+    n = np.where(np.repeat(one, low), np.repeat(start + size, low) - first, n)
+    done = np.append(0, np.cumsum(n))
+    at = 0
+    while at < len(l):
+        to = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS, "right")) - 1)
+        k = n[at:to]
+        i = np.repeat(l[at:to], k)
+        j = np.arange(done[to] - done[at]) - np.repeat(done[at:to] - done[at], k) + np.repeat(first[at:to], k)
+        at = to
+        # A pair belongs to this cell if no pivot moved both of its keys; an edit touches at most two letters.
+        ok = ((moved[i] & moved[j]) == 0) & (np.bitwise_count(mask[i] ^ mask[j]) <= 2 * radius)
+        i, j = i[ok], j[ok]
+        ok = (np.abs(v[i] - v[j]) <= radius).all(1)
+        i, j = i[ok], j[ok]
+        if len(i):
+            x, y = keys[i].tolist(), keys[j].tolist()
+            d = distances(x, y)
+            pairs = [(min(p, q), max(p, q), int(e)) for p, q, e in zip(x, y, d, strict=True) if 0 < e <= radius]
+            if pairs:
+                yield pd.DataFrame(pairs, columns=["a", "b", "distance"]).drop_duplicates()

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -138,9 +138,11 @@ class NameLinks:
     form or an initial; an initial or an ambiguous short form is linked only where one full name fits. Two surnames one
     edit apart stay apart when the first letter differs, or when both have several given names, built of usual letter
     groups, and share fewer than half of the rarer one's; two given names stay apart when both are usual. Differing middle initials stay apart.
+    ``short`` maps short forms to the names they stand for, several with blanks between.
     """
 
-    def __init__(self, names: DataFrame):
+    def __init__(self, names: DataFrame, short: Mapping[str, str] = SHORT):
+        self.short = dict(short)
         counted = names.where(F.col("name").isNotNull()).groupBy("name").agg(F.sum("n").alias("n"))
         read_ = read_names(counted.select("name")).join(counted, "name")
         oriented = self._orient(read_)
@@ -148,13 +150,12 @@ class NameLinks:
         resolved = cut(self._given_names(self.forms))
         self.entities = self._entities(resolved)
 
-    @staticmethod
-    def _orient(rows: DataFrame) -> DataFrame:
+    def _orient(self, rows: DataFrame) -> DataFrame:
         """Swap `Surname Given` written without a comma, where the last word is the one used as a given name."""
         people = rows.where((F.col("kind") == "person") & (F.length("first") > 1))
         known = people.groupBy(F.col("first").alias("t")).agg(F.countDistinct("last").alias("g"))
         last = people.groupBy(F.col("last").alias("t")).agg(F.countDistinct("first").alias("s"))
-        short = F.create_map(*[F.lit(x) for k in SHORT for x in (k, True)])
+        short = F.create_map(*[F.lit(x) for k in self.short for x in (k, True)])
         use = known.join(last, "t", "full").select("t", (F.coalesce("g", F.lit(0)) + F.when(F.coalesce(short[F.col("t")], F.lit(False)), 50).otherwise(0)).alias("g"), F.coalesce("s", F.lit(0)).alias("s"))
         # A double name is judged by its first part, since few people share the whole.
         rows = rows.withColumns({"_f": F.substring_index("first", "-", 1), "_l": F.substring_index("last", "-", 1)})
@@ -166,15 +167,14 @@ class NameLinks:
         surname = F.when(swap, parts[0]).otherwise(F.col("last"))
         return joined.select("name", "n", "kind", given.alias("g"), surname.alias("s"), F.col("middle").alias("m"))
 
-    @staticmethod
-    def _given_names(forms: DataFrame) -> DataFrame:
+    def _given_names(self, forms: DataFrame) -> DataFrame:
         """The formal given name of every form: itself, what it is short for, or what it misspells."""
         full = forms.where(~_is_initial(F.col("g")))
         use = full.where(F.col("kind") == "person").groupBy("g").agg(F.countDistinct("s").alias("u"))
         near = radius_join(use.select(F.col("g").alias("key")), 1)
         both = near.select(F.col("a").alias("g"), F.col("b").alias("c")).unionByName(near.select(F.col("b").alias("g"), F.col("a").alias("c")))
         slips = both.join(use, "g").join(use.select(F.col("g").alias("c"), F.col("u").alias("cu")), "c").where((F.col("cu") >= F.col("u") * RARER) | F.col("g").contains("-")).select("g", "c", F.lit("slip").alias("how"), "cu")
-        shorts = forms.sparkSession.createDataFrame([(k, c) for k, v in SHORT.items() for c in v.split()], "g string, c string")  # a fixed list
+        shorts = forms.sparkSession.createDataFrame([(k, c) for k, v in self.short.items() for c in v.split()], "g string, c string")  # a fixed list
         sized = shorts.groupBy("g").agg(F.count(F.lit(1)).alias("ways"))
         options = slips.withColumn("ways", F.lit(99)).unionByName(shorts.join(sized, "g").select("g", "c", F.lit("short").alias("how"), F.lit(0).cast("bigint").alias("cu"), F.col("ways").cast("int")))
         # Options under which the person exists come first, then the one meaning of a short form, then the most usual name.
