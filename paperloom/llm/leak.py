@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.shingles import distinct_runs, word_runs
+from paperloom.operators.lexical import if_small
 
 K1, B = 1.5, 0.75
 RUN, SHARE_OF = 4, 3
@@ -35,7 +36,8 @@ class Index:
     items: np.ndarray
     impacts: np.ndarray
     tops: np.ndarray  # largest impact of each term
-    block_tops: list[np.ndarray]  # largest impact of each block of BLOCK postings, by term
+    block_tops: np.ndarray  # largest impact of each block of BLOCK postings, term after term
+    block_at: np.ndarray  # first block of each term
 
 
 def build_index(ids: Sequence[int], texts: Sequence[str | None], run: int = RUN, share_of: int = SHARE_OF) -> Index:
@@ -51,14 +53,17 @@ def build_index(ids: Sequence[int], texts: Sequence[str | None], run: int = RUN,
     impacts = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[items] / mean))
     distinct = np.bincount(items, minlength=len(ids)) if len(items) else np.zeros(len(ids), int)
     needed = -(-distinct // share_of)
-    threshold = np.ones(len(ids))
-    for i in np.flatnonzero(needed):
-        threshold[i] = np.sort(impacts[items == i])[: needed[i]].sum()
-    impacts = impacts / threshold[items]
+    order = np.lexsort((impacts, items))  # each item's impacts from the least
+    place = np.arange(len(items)) - np.repeat(np.cumsum(distinct) - distinct, distinct)
+    least = order[place < needed[items[order]]] if len(items) else order
+    threshold = np.bincount(items[least], impacts[least], len(ids)) if len(items) else np.zeros(len(ids))
+    impacts = impacts / np.where(threshold > 0, threshold, 1.0)[items]
     offsets = np.append(start, len(items))
     tops = np.maximum.reduceat(impacts, start) if len(start) else np.empty(0)
-    blocks = [np.maximum.reduceat(impacts[a:b], np.arange(0, b - a, BLOCK)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    return Index(np.asarray(ids), needed, terms, offsets, items, impacts, tops, blocks)
+    first = np.flatnonzero((np.arange(len(items)) - np.repeat(start, df)) % BLOCK == 0) if len(items) else np.empty(0, np.int64)
+    blocks = np.maximum.reduceat(impacts, first) if len(first) else np.empty(0)
+    at = np.cumsum(-(-df // BLOCK)) - -(-df // BLOCK)
+    return Index(np.asarray(ids), needed, terms, offsets, items, impacts, tops, blocks, at)
 
 
 def wand(index: Index, terms: Sequence[int], threshold: float = 1.0 - 1e-9) -> list[tuple[int, float]]:
@@ -90,7 +95,7 @@ def wand(index: Index, terms: Sequence[int], threshold: float = 1.0 - 1e-9) -> l
             if p >= b - a:
                 continue
             block = int(p) // BLOCK
-            bound += index.block_tops[c[1]][block]
+            bound += index.block_tops[index.block_at[c[1]] + block]
             last = min((block + 1) * BLOCK, b - a) - 1
             edge = min(edge, int(index.items[a + last]) + 1)
         if bound < threshold:  # no item before the nearest block end, nor before the next list begins, can reach it
@@ -175,11 +180,28 @@ def leak_report(found: DataFrame, items: DataFrame) -> DataFrame:
     return (
         found.groupBy("item_id")
         .agg(F.countDistinct("doc_id").alias("n_documents"), F.round(F.max(F.col("n_runs") / F.col("n_item_runs")), 6).alias("most_held"))
-        .join(F.broadcast(items.select("item_id", "item_kind", "split_name").dropDuplicates(["item_id"])), "item_id", "left")
+        .join(if_small(items.select("item_id", "item_kind", "split_name").dropDuplicates(["item_id"])), "item_id", "left")
         .select("item_id", "item_kind", "split_name", "n_documents", "most_held")
     )
 
 
+def leak_documents(found: DataFrame, items: DataFrame) -> DataFrame:
+    """Per document that leaks: items of each kind it holds, and the largest share held of a question and of an answer.
+
+    ``complete`` tells a document that holds both, which gives away more than either. The items are not paired, so any
+    question counts with any answer of the same split. Items without kind count for neither.
+    """
+    kinds = items.select("item_id", "item_kind", "split_name").dropDuplicates(["item_id"])
+    j = found.join(if_small(kinds), "item_id")
+    share = F.col("n_runs") / F.col("n_item_runs")
+    of = lambda k: F.when(F.col("item_kind") == k, share)
+    per = j.groupBy("doc_id", "split_name").agg(
+        F.countDistinct("item_id").alias("n_items"), F.countDistinct(F.when(F.col("item_kind") == "question", F.col("item_id"))).alias("n_questions"), F.countDistinct(F.when(F.col("item_kind") == "answer", F.col("item_id"))).alias("n_answers"),
+        F.round(F.max(of("question")), 6).alias("question_overlap"), F.round(F.max(of("answer")), 6).alias("answer_overlap"),
+    )
+    return per.withColumn("complete", (F.col("n_questions") > 0) & (F.col("n_answers") > 0))
+
+
 def documents_scored(index: Index, text: str, run: int = RUN) -> dict[int, float]:
     """Scaled scores of all items for one text without pruning; the reference for tests."""
     runs, _ = distinct_runs([text], run)

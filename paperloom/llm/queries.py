@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import leak, mix, names, neardup, ocr, split, subjects
+from paperloom.operators.lexical import if_small
 from paperloom.session import shared_dir
 from paperloom.sources.tables import table
 
@@ -81,6 +82,12 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return leak.leak_report(leak.leaks(table(spark, sf, "documents"), items), items)
 
 
+def p7_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that leak, with their overlap with questions and with answers."""
+    items = table(spark, sf, "eval_passages")
+    return leak.leak_documents(leak.leaks(table(spark, sf, "documents"), items), items)
+
+
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Token counts, written once: the plan of the mix reads them several times."""
     at = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
@@ -93,7 +100,7 @@ def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
     tokens, targets = _tokens(spark, sf), table(spark, sf, "mix_targets")
     mixed = mix.mix_sources(tokens, targets)
     shares = mix.mix_shares(mixed, tokens, targets).select("source", "target_share", "actual_share")
-    return mixed.join(F.broadcast(shares), "source")
+    return mixed.join(if_small(shares), "source")
 
 
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +126,7 @@ def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
     return subjects.composition(_areas(spark, sf), table(spark, sf, "documents"), table(spark, sf, "subjects"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p3_groups, p4_found, p4_repaired, p5_found, p5_pieces, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p3_groups, p4_found, p4_repaired, p5_found, p5_pieces, p7_found, p7_report, p7_documents, p8_mix, p8_shares, p9_found, p9_composition)}
 
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
@@ -145,6 +152,10 @@ WITH t AS (SELECT 'chunk' kind, chunk_id id, text FROM chunks UNION SELECT 'abst
  p AS (SELECT a.kind, a.id id_a, b.id id_b, a.u, b.u v, any_value(a.n) n, any_value(b.n) m, count(*) c FROM g a JOIN g b ON a.kind = b.kind AND a.r = b.r AND a.id < b.id GROUP BY a.kind, a.id, b.id, a.u, b.u)
 SELECT DISTINCT kind AS record_kind, id_a, id_b FROM p WHERE c >= 0.6 * (n + m - c) - 1e-9""",
     "p7_found": _P7 + "SELECT DISTINCT doc_id, item_id FROM found",
+    "p7_documents": _P7
+    + """, k AS (SELECT doc_id, split_name, item_id, item_kind, held / n share FROM found JOIN (SELECT DISTINCT item_id, item_kind, split_name FROM eval_passages) USING (item_id))
+ SELECT doc_id, split_name, count(DISTINCT item_id) AS n_items, count(DISTINCT item_id) FILTER (item_kind = 'question') AS n_questions, count(DISTINCT item_id) FILTER (item_kind = 'answer') AS n_answers, round(max(share) FILTER (item_kind = 'question'), 6) AS question_overlap,
+  round(max(share) FILTER (item_kind = 'answer'), 6) AS answer_overlap, bool_or(item_kind = 'question') AND bool_or(item_kind = 'answer') AS complete FROM k GROUP BY doc_id, split_name""",
     "p7_report": _P7
     + """SELECT f.item_id, any_value(e.item_kind) AS item_kind, any_value(e.split_name) AS split_name, count(DISTINCT doc_id) AS n_documents, round(max(held / n), 6) AS most_held
  FROM found f LEFT JOIN (SELECT DISTINCT item_id, item_kind, split_name FROM eval_passages) e USING (item_id) GROUP BY f.item_id""",

@@ -21,16 +21,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.session import shared_dir
+from paperloom.session import cut, shared_dir
 
 BUCKETS = 1 << 17
 #: Labelled documents used to start and to calibrate: the first by a hash of their id.
 MOST_LABELLED = 20_000
-ROUNDS = 2
+#: Rounds at most, and the share of expected counts that may still move between areas.
+ROUNDS, MOVED = 4, 0.02
+#: Held-out sentences of an area from which it gets a curve of its own.
+FEW = 50
 SHARE = 0.25
 SMOOTH = 0.2
 #: Of a sentence's summed weights, of no area at all (beside 0 for an area without evidence), and of the shares of a document.
 SHARPNESS, NOTHING, DOUBT = 2.0, 3.0, 0.1
+#: Log odds by which another area must be better for it to take the words in common.
+NEAR = 3.0
 
 _HEADING = re.compile(r"(?m)^[ \t]*#.*$")
 _QUOTE = re.compile(r"(?m)^[ \t]*>[ \t]?")
@@ -149,8 +154,8 @@ def weights(inside: np.ndarray, total: np.ndarray, smooth: float = SMOOTH) -> np
 class Model:
     areas: list[str]
     w: np.ndarray
-    slope: float
-    offset: float
+    slope: np.ndarray  # by area
+    offset: np.ndarray
 
     def score(self, bucket: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
         """Summed weights, sentences by areas."""
@@ -160,38 +165,51 @@ class Model:
             out[where[start]] = np.add.reduceat(self.w[bucket], start, axis=0)
         return out
 
-    def mixture(self, score: np.ndarray, owner: np.ndarray, rounds: int = 4) -> np.ndarray:
-        """Probability that a sentence is about each area, given its words and the areas of its document.
+    def mixture(self, score: np.ndarray, owner: np.ndarray, allowed: np.ndarray | None = None, rounds: int = 4) -> np.ndarray:
+        """Log of likelihood times share of its document, sentences by areas and nothing in particular (last).
 
-        Every document is a mixture of areas and of nothing in particular; its shares and the areas of its sentences are
-        estimated in turn. ``owner`` is the document of each sentence.
+        Every document is a mixture of areas and of nothing; its shares and the areas of its sentences are estimated in
+        turn. ``owner`` is the document of each sentence, ``allowed`` the areas a document may have, if known.
         """
         n, k = score.shape
+        like = np.clip(np.concatenate([SHARPNESS * score, np.full((n, 1), NOTHING)], 1), -30, 30).astype(float)
         if not n:
-            return score.astype(float)
-        like = np.exp(np.clip(np.concatenate([SHARPNESS * score, np.full((n, 1), NOTHING)], 1), -30, 30))
-        like /= like.max(1, keepdims=True)
+            return like
         docs = int(owner.max()) + 1
         size = np.maximum(np.bincount(owner, minlength=docs), 1)[:, None]
-        prior = np.full((docs, k + 1), 1 / (k + 1))
         start = np.flatnonzero(np.diff(owner, prepend=-1))
+        can = np.ones((docs, k + 1)) if allowed is None else np.concatenate([allowed[:docs], np.ones((docs, 1), bool)], 1).astype(float)
+        prior = can / can.sum(1, keepdims=True)
+        top = np.exp(like - like.max(1, keepdims=True))
         for _ in range(rounds):
-            p = like * prior[owner]
-            p /= p.sum(1, keepdims=True)
+            p = top * prior[owner]
+            p /= np.maximum(p.sum(1, keepdims=True), 1e-300)
             prior = np.full((docs, k + 1), 1e-12)
             prior[owner[start]] = np.add.reduceat(p, start, axis=0)
-            prior = (prior + DOUBT) / (size + DOUBT * (k + 1))
-        p = like * prior[owner]
-        return (p / p.sum(1, keepdims=True))[:, :k]
+            prior = can * (prior + DOUBT) / (size + DOUBT * (k + 1))
+        return like + np.log(np.maximum(prior[owner], 1e-300))
 
-    def posterior(self, score: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Calibrated posteriors of each area on its own."""
-        return 1 / (1 + np.exp(-np.clip(self.slope * logit(self.mixture(score, owner)) + self.offset, -30, 30)))
+    def expected(self, score: np.ndarray, owner: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
+        """Probability that a sentence is about each area, given its words and the areas of its document."""
+        m = self.mixture(score, owner, allowed)
+        p = np.exp(m - m.max(1, keepdims=True)) if len(m) else m
+        return (p / p.sum(1, keepdims=True))[:, :-1] if len(m) else p[:, :-1]
+
+    def margin(self, score: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Log odds of each area against nothing in particular, each on its own.
 
+        Where another area explains the sentence better by more than ``NEAR``, the words in common are its.
+        """
+        m = self.mixture(score, owner)
+        if m.shape[1] < 3 or not len(m):
+            return m[:, :-1] - m[:, -1:]
+        two = np.sort(m[:, :-1], axis=1)[:, -2:]
+        other = np.where(m[:, :-1] == two[:, 1:], two[:, :1], two[:, 1:])
+        return m[:, :-1] - np.logaddexp(m[:, -1:], other - NEAR)
 
-def logit(p: np.ndarray) -> np.ndarray:
-    p = np.clip(p, 1e-6, 1 - 1e-6)
-    return np.log(p / (1 - p))
+    def posterior(self, score: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Calibrated posteriors of each area on its own: a sentence can be about two areas or none."""
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.clip(self.margin(score, owner), -20, 20) + self.offset, -30, 30)))
 
 
 def calibrate(margin: np.ndarray, truth: np.ndarray, steps: int = 100, ridge: float = 1.0) -> tuple[float, float]:
@@ -201,7 +219,7 @@ def calibrate(margin: np.ndarray, truth: np.ndarray, steps: int = 100, ridge: fl
     """
     pos, neg = int(truth.sum()), int((~truth).sum())
     if not pos or not neg:
-        return 1.0, -2.0
+        return 1.0, -3.0
     t = np.where(truth, (pos + 1) / (pos + 2), 1 / (neg + 2))
     x = np.clip(margin, -20, 20)
 
@@ -225,59 +243,85 @@ def calibrate(margin: np.ndarray, truth: np.ndarray, steps: int = 100, ridge: fl
     return float(max(v[0], 1e-3)), float(v[1])
 
 
-def start(sample: pa.Table, labels: Sequence[frozenset[str]], areas: Sequence[str], buckets: int = BUCKETS) -> tuple[Model, np.ndarray, np.ndarray]:
-    """Model of the labelled documents alone, calibrated by two-fold cross-fitting; with its counts inside and in total."""
-    areas = sorted(areas)
-    n = len(labels)
-    y = np.array([[a in ls for a in areas] for ls in labels], bool).reshape(n, len(areas))
-    bucket, where, owner = _arrays(sample)
-    fold = np.arange(n) % 2
-    share = y / np.maximum(y.sum(1, keepdims=True), 1)
-
-    def counts(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keep = use[owner[where]] if len(where) else np.zeros(0, bool)
-        b, doc = bucket[keep], owner[where[keep]] if len(where) else owner[:0]
-        inside = np.stack([np.bincount(b, share[doc, k], buckets) for k in range(len(areas))], 1) if len(areas) else np.zeros((buckets, 0))
-        return inside, np.bincount(b, minlength=buckets).astype(float)
-
-    margins, truths = [], []
-    for f in (0, 1):
-        part = Model(areas, weights(*counts(fold != f)), 1.0, 0.0)
-        s = part.mixture(part.score(bucket, where, len(owner)), owner)
-        held = fold[owner] == f if len(owner) else np.zeros(0, bool)
-        single = held & (y[owner].sum(1) == 1) if len(owner) else held
-        margins.append(logit(s)[single].ravel())
-        truths.append(y[owner][single].ravel())
-    slope, offset = calibrate(np.concatenate(margins).astype(float), np.concatenate(truths))
-    inside, total = counts(np.ones(n, bool))
-    return Model(areas, weights(inside, total), slope, offset), inside, total
+class Labelled:
+    """The labelled documents: their features, areas and folds."""
+
+    def __init__(self, sample: pa.Table, labels: Sequence[frozenset[str]], areas: Sequence[str], buckets: int):
+        self.areas, self.buckets = sorted(areas), buckets
+        self.y = np.array([[a in ls for a in self.areas] for ls in labels], bool).reshape(len(labels), len(self.areas))
+        self.bucket, self.where, self.owner = _arrays(sample)
+        self.fold = np.arange(len(labels)) % 2
+        self.of = self.owner[self.where] if len(self.where) else self.owner[:0]
+
+    def counts(self, use: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts inside each area and in total of the documents in ``use``; ``share`` by feature."""
+        keep = use[self.of] if len(self.of) else np.zeros(0, bool)
+        b = self.bucket[keep]
+        inside = np.stack([np.bincount(b, share[keep, k], self.buckets) for k in range(len(self.areas))], 1) if self.areas else np.zeros((self.buckets, 0))
+        return inside, np.bincount(b, minlength=self.buckets).astype(float)
+
+    def even(self) -> np.ndarray:
+        """Shares of the areas by label alone."""
+        return (self.y / np.maximum(self.y.sum(1, keepdims=True), 1))[self.of]
+
+    def clamped(self, model: Model) -> np.ndarray:
+        """Shares under a model, with only the labelled areas and nothing open to each document."""
+        return model.expected(model.score(self.bucket, self.where, len(self.owner)), self.owner, self.y)[self.where]
+
+    def calibrated(self, inside: np.ndarray, total: np.ndarray, share: np.ndarray) -> Model:
+        """The model of the counts, calibrated by area on documents it has not seen.
+
+        ``inside`` and ``total`` hold the labelled documents with ``share``; for each fold their part is taken out, and the
+        margins of its documents of one area are those held out. Areas with under ``FEW`` such sentences take the curve of
+        all.
+        """
+        margins, truths = [], []
+        for f in (0, 1):
+            i, t = self.counts(self.fold == f, share)
+            part = Model(self.areas, weights(np.maximum(inside - i, 0), total - t), np.ones(1), np.zeros(1))
+            m = part.margin(part.score(self.bucket, self.where, len(self.owner)), self.owner)
+            single = (self.fold[self.owner] == f) & (self.y[self.owner].sum(1) == 1) if len(self.owner) else np.zeros(0, bool)
+            margins.append(m[single])
+            truths.append(self.y[self.owner][single])
+        m, t = np.concatenate(margins).astype(float), np.concatenate(truths)
+        slope, offset = calibrate(m.ravel(), t.ravel())
+        curves = [calibrate(m[:, k], t[:, k]) if t[:, k].sum() >= FEW else (slope, offset) for k in range(len(self.areas))]
+        return Model(self.areas, weights(inside, total), np.array([a for a, _ in curves]), np.array([b for _, b in curves]))
 
 
 def expect(model: Model, batch: pa.RecordBatch, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Expected counts inside each area and total counts of the features of a batch."""
     bucket, where, owner = _arrays(batch)
-    p = model.mixture(model.score(bucket, where, len(owner)), owner)
+    p = model.expected(model.score(bucket, where, len(owner)), owner)
     inside = np.stack([np.bincount(bucket, p[where, k], buckets) for k in range(p.shape[1])], 1)
     return inside, np.bincount(bucket, minlength=buckets).astype(float)
 
 
-def fit(features_: DataFrame, labels: DataFrame, areas: Sequence[str], rounds: int = ROUNDS, buckets: int = BUCKETS, most_labelled: int = MOST_LABELLED) -> Model:
+def fit(features_: DataFrame, labels: DataFrame, areas: Sequence[str], rounds: int = ROUNDS, buckets: int = BUCKETS, most_labelled: int = MOST_LABELLED, moved: float = MOVED) -> Model:
     """Fit on ``labels(doc_id, subject_code)``, then refine over all documents, given by :func:`featurize`.
 
-    The start uses at most ``most_labelled`` labelled documents. Each round sums the expected counts of all documents:
-    a task sums its own and gives one sparse vector, so the shuffle carries at most ``buckets`` rows per task, and what
-    reaches the driver is the model, of fixed size. Labels of unknown areas or documents are ignored, repeated ones
-    count once. Without labels every weight is 0 and no document gets an area.
+    The start uses at most ``most_labelled`` labelled documents. Each round sums the expected counts of all other
+    documents and adds those of the labelled ones, whose areas stay as labelled, so every document counts once. A task
+    sums its own and gives one sparse vector, so the shuffle carries at most ``buckets`` rows per task, and what reaches
+    the driver is the model, of fixed size. Rounds end when less than the share ``moved`` of the expected counts has moved
+    between areas, or after ``rounds``. Labels of unknown areas or documents are ignored, repeated ones count once.
+    Without labels every weight is 0 and no document gets an area.
     """
     spark = features_.sparkSession
     known = labels.where(F.col("subject_code").isin(list(areas))).groupBy("doc_id").agg(F.array_sort(F.collect_set("subject_code")).alias("codes"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+    chosen = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled))
     sample = features_.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toArrow()  # at most most_labelled rows
     codes = [frozenset(c) for c in sample.column("codes").to_pylist()]
-    model, base_in, base_all = start(sample, codes, areas, buckets)
+    held = Labelled(sample, codes, areas, buckets)
+    everyone = np.ones(len(codes), bool)
+    share = held.even()
+    base_in, base_all = held.counts(everyone, share)
+    model = held.calibrated(base_in, base_all, share)
     if not codes:
         return model
+    others = features_.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").select("sizes", "bucket")
     sums = ", ".join(f"c{k} double" for k in range(len(model.areas)))
+    before = None
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
@@ -291,28 +335,21 @@ def fit(features_: DataFrame, labels: DataFrame, areas: Sequence[str], rounds: i
                 b = np.flatnonzero(total)
                 yield pa.RecordBatch.from_pydict({"bucket": b, "total": total[b]} | {f"c{k}": inside[b, k] for k in range(inside.shape[1])})
 
-        parts = features_.select("sizes", "bucket").mapInArrow(partial, f"bucket bigint, total double, {sums}")
+        parts = others.mapInArrow(partial, f"bucket bigint, total double, {sums}")
         table = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ["total", *[f"c{k}" for k in range(len(model.areas))]]]).toPandas()
-        inside, total = base_in.copy(), base_all.copy()
+        share = held.clamped(model)
+        inside, total = held.counts(everyone, share)
         b = table["bucket"].to_numpy()
         total[b] += table["total"].to_numpy()
         for k in range(len(model.areas)):
             inside[b, k] += table[f"c{k}"].to_numpy()
-        refined = Model(model.areas, weights(inside, total), model.slope, model.offset)
-        refined.slope, refined.offset = _again(refined, sample, codes)
-        model = refined
+        model = held.calibrated(inside, total, share)
+        if before is not None and np.abs(inside - before).sum() < moved * max(inside.sum(), 1.0):
+            break
+        before = inside
     return model
 
 
-def _again(model: Model, sample: pa.Table, codes: Sequence[frozenset[str]]) -> tuple[float, float]:
-    """Calibrate a refined model on the labelled documents of one area."""
-    bucket, where, owner = _arrays(sample)
-    s = model.mixture(model.score(bucket, where, len(owner)), owner)
-    y = np.array([[a in c for a in model.areas] for c in codes], bool).reshape(len(codes), len(model.areas))
-    one = y[owner].sum(1) == 1
-    return calibrate(logit(s)[one].ravel(), y[owner][one].ravel())
-
-
 SHARES = "doc_id bigint, subject_code string, n_about int, n_sentences int, posterior double"
 
 
