@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.ids import chunk_owner, chunk_tail, loose_paper_id
 from paperloom.operators.eager import heavy_keys, join_states, key_states, roll_up
 from paperloom.operators.orphans import orphan_references, orphan_report, target_states
+from paperloom.session import cut
 from paperloom.sources.tables import table
 
 
@@ -69,9 +70,13 @@ def _orphans(spark: SparkSession, sf: str) -> DataFrame:
     by_edge = edges.groupBy(F.col("source_paper_id").alias("record_id"), F.col("target_paper_id").alias("missing_id")).agg(F.min("ingested_at").alias("at"))
     to_papers = by_paper.select(F.lit("papers").alias("table_name"), "record_id", F.explode("ids").alias("missing_id"), "at").unionByName(by_edge.select(F.lit("citation_edges").alias("table_name"), "record_id", "missing_id", "at"))
     to_chunks = by_case.select(F.lit("eval_cases").alias("table_name"), "record_id", F.explode("ids").alias("missing_id"), "at")
+    # Few bytes but much work a row: as many tasks as the session has for a shuffle, which the adaptive planner would merge by
+    # size. The keys are taken once and used for counting, for hot and for other keys.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda refs: refs.repartition(tasks, "record_id", "missing_id")
     found = [
-        orphan_references(_paper_keys(to_papers, "missing_id"), paper_states, ["k_scheme", "k_local"], "at", match="full"),
-        orphan_references(_chunk_keys(to_chunks, "missing_id"), chunk_states, ["k_paper", "k_tail"], "at", match="full"),
+        orphan_references(cut(_paper_keys(spread(to_papers), "missing_id")), paper_states, ["k_scheme", "k_local"], "at", match="full"),
+        orphan_references(cut(_chunk_keys(spread(to_chunks), "missing_id")), chunk_states, ["k_paper", "k_tail"], "at", match="full"),
     ]
     out = [f.select("table_name", "record_id", "missing_id", "reason", F.date_format("at", "yyyy-MM").alias("load_month")) for f in found]
     return out[0].unionByName(out[1])
