@@ -82,6 +82,14 @@ def _longest(e: DataFrame) -> int:
     return e.agg(F.coalesce(F.max(F.length("e")), F.lit(0)).alias("n")).collect()[0]["n"]
 
 
+def conversion_counts(chunks: DataFrame, cases: DataFrame, asked: DataFrame, evidence: DataFrame, matches: DataFrame) -> DataFrame:
+    """:func:`conversion_report` with how many chunks, papers and cases a conversion gave, and questions it left out."""
+    c = chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("paper_id").alias("n_papers"))
+    made = cases.agg(F.count(F.lit(1)).alias("n_cases"))
+    left = asked.select("case_id").distinct().join(cases.select("case_id"), "case_id", "left_anti").agg(F.count(F.lit(1)).alias("n_skipped"))
+    return c.crossJoin(F.broadcast(made)).crossJoin(F.broadcast(left)).crossJoin(F.broadcast(conversion_report(evidence, matches)))  # one row each
+
+
 def conversion_report(evidence: DataFrame, matches: DataFrame) -> DataFrame:
     """One row: evidence texts, matched ones, their share (1.0 if there are none) and whether it is under 0.8."""
     n = evidence.agg(F.count(F.lit(1)).alias("n_evidence"))

@@ -48,12 +48,17 @@ def both_ways(cite: DataFrame) -> DataFrame:
     return out.unionByName(cite.select(F.col("dst").alias("paper_id"), F.col("src").alias("related"), F.lit("cited_by").alias("type")))
 
 
-def citation_expand(seeds: DataFrame, chunks: DataFrame, cite: DataFrame, papers: DataFrame, limit: int = 50) -> DataFrame:
+def citation_expand(seeds: DataFrame, chunks: DataFrame, cite: DataFrame, papers: DataFrame, limit: int = 50, only_global: bool = False) -> DataFrame:
     """Papers related by citation, in either direction, to the papers of seed chunks: the first ``limit`` per seed chunk.
 
     The seeds are the small side: only their papers' citations are touched. A paper's list is cut to ``limit`` before it
     meets the chunks, and each task keeps no more than that of a paper, so a hub costs no more than any other paper.
+    ``limit`` is between 1 and 500; ``only_global`` keeps related papers flagged ``is_global``.
     """
+    if not 1 <= limit <= 500:
+        raise ValueError(f"limit must be between 1 and 500: {limit}")
+    if only_global:
+        papers = papers.where("is_global")
     s = if_small(seeds.select("chunk_id").distinct())
     own = cut(chunks.select("chunk_id", "paper_id").join(s, "chunk_id").distinct())
     wanted = if_small(own.select("paper_id").distinct())
@@ -77,6 +82,46 @@ def subgraph(wanted: DataFrame, papers: DataFrame, authors: DataFrame, chunks: D
     return p.unionByName(a).unionByName(c).unionByName(r)
 
 
+def nested_subgraph(rows: DataFrame) -> DataFrame:
+    """The rows of :func:`subgraph` as one row per paper: ``paper_id, title, authors, chunks, citations``, lists in order.
+
+    For papers of ordinary size; one with very many chunks is better read as rows. Papers without children have empty
+    lists; children of papers without a `paper` row are left out.
+    """
+    of = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("position", "value")))), lambda s: s["value"])
+    per = rows.groupBy("paper_id").agg(F.max(F.when(F.col("kind") == "paper", F.struct("value"))).alias("p"), of("author").alias("authors"), of("chunk").alias("chunks"), of("cites").alias("citations"))
+    return per.where(F.col("p").isNotNull()).select("paper_id", F.col("p.value").alias("title"), "authors", "chunks", "citations")
+
+
+def within(edges: DataFrame, ids: DataFrame, ends: Sequence[str] = ("left", "right")) -> DataFrame:
+    """The edges both of whose ends are among ``ids(chunk_id)``."""
+    known = if_small(ids.select("chunk_id").where(F.col("chunk_id").isNotNull()).distinct())
+    for end in ends:
+        edges = edges.join(known.withColumnRenamed("chunk_id", end), end, "left_semi")
+    return edges
+
+
+def chunk_graph(chunks: DataFrame, cite: DataFrame, mentions: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+    """All link kinds between chunks in compact form: ``type, source, target, score, n``.
+
+    Sequence links and vector links (``near(source, target, score)``) are rows of chunks, one per link, without loops and
+    once per kind. Citation links are rows of papers and links by a shared entity rows of an entity and a paper, with the
+    number ``n`` of links they stand for; the chunks of a paper say which.
+    """
+    one = F.lit(1).cast("bigint").alias("n")
+    nothing = F.lit(None).cast("double").alias("score")
+    out = next_edges(chunks).select(F.lit("next").alias("type"), F.col("left").alias("source"), F.col("right").alias("target"), nothing, one)
+    out = out.unionByName(paper_pairs(chunks, cite).select(F.lit("cites").alias("type"), F.col("src").alias("source"), F.col("dst").alias("target"), nothing, "n"))
+    if mentions is not None:
+        m = shared_entity_members(mentions).groupBy("entity", "paper_id").agg(F.sum("n_linked").alias("n"))
+        out = out.unionByName(m.select(F.lit("shared_entity").alias("type"), F.col("entity").alias("source"), F.col("paper_id").alias("target"), nothing, "n"))
+    if near is not None:
+        known = chunks.select("chunk_id")
+        links = merge_links(near.withColumn("type", F.lit("vector"))).join(known.withColumnRenamed("chunk_id", "source"), "source", "left_semi").join(known.withColumnRenamed("chunk_id", "target"), "target", "left_semi")
+        out = out.unionByName(links.select("type", "source", "target", "score", one))
+    return out
+
+
 def khop(seeds: DataFrame, cite: DataFrame, hops: int = 2, limit: int = 25) -> DataFrame:
     """Papers within ``hops`` (1 to 3) citations of each seed in either direction, nearest first, then by id.
 

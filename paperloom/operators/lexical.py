@@ -85,10 +85,14 @@ def route(scores: DataFrame, docs: DataFrame, queries: DataFrame, threshold: flo
     return queries.select("query_id").join(best, "query_id", "left").select("query_id", ratio.alias("ratio"), F.when(ratio >= threshold, "selected").otherwise("global").alias("scope"))
 
 
-def routed_hits(scores: DataFrame, docs: DataFrame, queries: DataFrame, routes: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Top hits after routing: a `selected` query keeps only documents of its paper."""
-    j = scores.join(docs.select("doc_id", "paper_id"), "doc_id").join(if_small(queries.select("query_id", F.col("paper_id").alias("wanted")).join(routes, "query_id")), "query_id")
-    return top_k(j.where((F.col("scope") == "global") | F.col("wanted").isNull() | (F.col("paper_id") == F.col("wanted"))).select("query_id", "doc_id", "score"), k)
+def routed_hits(scores: DataFrame, docs: DataFrame, queries: DataFrame, routes: DataFrame, k: int = TOP_K, order: str | None = None) -> DataFrame:
+    """Top hits after routing: a `selected` query keeps only documents of its paper.
+
+    Equal scores are in order of the column ``order`` of ``docs``, by default of the id.
+    """
+    tie = order or "doc_id"
+    j = scores.join(docs.select(*dict.fromkeys(["doc_id", "paper_id", tie])), "doc_id").join(if_small(queries.select("query_id", F.col("paper_id").alias("wanted")).join(routes, "query_id")), "query_id")
+    return top_k(j.where((F.col("scope") == "global") | F.col("wanted").isNull() | (F.col("paper_id") == F.col("wanted"))).select(*dict.fromkeys(["query_id", "doc_id", "score", tie])), k, tie).select("query_id", "doc_id", "score", "rank")
 
 
 def extractive_answers(hits: DataFrame, docs: DataFrame, live: DataFrame | None = None, n_sentences: int = 2, n_citations: int = 3) -> DataFrame:

@@ -206,6 +206,11 @@ def gates(rules: DataFrame, aggregate: DataFrame, baseline: DataFrame) -> DataFr
     return j.select("metric", "value", "base", (reason == "ok").alias("passed"), reason.alias("reason"))
 
 
+def verdict(outcomes: DataFrame) -> DataFrame:
+    """One row for all gates: ``n_gates, n_failed, passed``; without gates they pass."""
+    return outcomes.agg(F.count(F.lit(1)).alias("n_gates"), F.count_if(~F.col("passed")).alias("n_failed"), F.coalesce(F.every("passed"), F.lit(True)).alias("passed"))
+
+
 def deltas(aggregate: DataFrame, baseline: DataFrame) -> DataFrame:
     j = aggregate.select("metric", F.col("mean").alias("value")).join(baseline.select("metric", F.col("mean").alias("base")), "metric", "left")
     return j.select("metric", "value", "base", F.round(F.col("value") - F.col("base"), 6).alias("delta"))

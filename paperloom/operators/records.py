@@ -77,6 +77,50 @@ def vector_payload(chunks: DataFrame, papers: DataFrame, with_references: bool =
     return c.join(p, "paper_id", "left").select("chunk_id", "paper_id", "chunk_index", F.nullif("section", F.lit("")).alias("section"), "char_count", "title", "published_at")
 
 
+def scope_filter(scope: str, paper_id: str | None = None) -> Column:
+    """What a scoped vector request may see: `selected` its paper and nothing else, `global` the global corpus.
+
+    A request that is neither, `selected` without a paper and `global` with one are errors.
+    """
+    if scope == "selected":
+        if not paper_id:
+            raise ValueError("a selected search needs a paper")
+        return F.col("paper_id") == paper_id
+    if scope == "global":
+        if paper_id:
+            raise ValueError("a global search has no paper")
+        return F.coalesce("in_global_corpus", F.lit(False))
+    raise ValueError(f"unknown scope: {scope}")
+
+
+#: Names under which a field of a chunk may come.
+ALIASES = {
+    "chunk_id": ("chunk_id", "chunkId", "id"), "paper_id": ("paper_id", "paperId"), "text": ("text", "content", "body"), "section": ("section", "section_name", "sectionName"),
+    "chunk_index": ("chunk_index", "chunkIndex", "index"), "title": ("title", "paper_title", "paperTitle"),
+}
+
+
+def chunk_records(payloads: DataFrame) -> DataFrame:
+    """Chunk rows of payloads whose fields go by any of their names; blanks are null, rows without an id are dropped."""
+    def pick(field: str) -> Column:
+        found = [F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) for n in ALIASES[field] if n in payloads.columns]
+        c = F.coalesce(*found) if found else F.lit(None).cast("string")
+        return (c.try_cast("int") if field == "chunk_index" else c).alias(field)
+
+    return payloads.select(*[pick(f) for f in ALIASES]).where(F.col("chunk_id").isNotNull())
+
+
+def corpus_rows(chunks: DataFrame) -> DataFrame:
+    """Chunks as JSON lines of a corpus file; null and blank fields are left out."""
+    keep = [F.nullif(F.col(c), F.lit("")).alias(c) if t in ("string",) else F.col(c) for c, t in chunks.dtypes]
+    return chunks.select(F.to_json(F.struct(*keep), {"ignoreNullFields": "true"}).alias("value"))
+
+
+def gold_answers(cases: DataFrame) -> DataFrame:
+    """``case_id, gold_answer`` of the cases that have one."""
+    return cases.where(F.length(F.trim("gold_answer")) > 0).select("case_id", "gold_answer").dropDuplicates(["case_id"])
+
+
 def checked_points(points: DataFrame, dimensions: int, signature: dict[str, object]) -> DataFrame:
     """``points`` whose every row is checked on reading: another length or signature fails the query."""
     ok = F.size("embedding") == dimensions

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators import metrics as M
 
 
+#: Metrics shown first, where a run has them.
+HEADLINE = ("recall@5", "mrr", "ndcg@10", "routing.accuracy", "groundedness_lexical", "answer_token_f1", "citation_validity", "triple_f1")
+
+
 def digest(value: object) -> str:
     """Short digest of a configuration or of a file's bytes."""
     body = value if isinstance(value, bytes) else json.dumps(value, sort_keys=True, ensure_ascii=False).encode()
@@ -36,11 +40,11 @@ def run_summary(outcomes: DataFrame) -> DataFrame:
     return a.withColumn("all_failed", (F.col("n_papers") > 0) & (F.col("n_ok") == 0))
 
 
-def render(run: Mapping[str, object], values: DataFrame, tags: DataFrame, rules: DataFrame, baseline: DataFrame, primary: str = "recall@5", n_worst: int = 5) -> str:
-    """The Markdown report of a run: gates first, then all metrics with their change, tags, and the worst cases.
+def render(run: Mapping[str, object], values: DataFrame, tags: DataFrame, rules: DataFrame, baseline: DataFrame, primary: str = "recall@5", n_worst: int = 5, failures: DataFrame | None = None, headline: Sequence[str] = HEADLINE) -> str:
+    """The Markdown report of a run: gates first, the headline, all metrics with their change, tags, failures, worst cases.
 
-    ``values`` are long metric rows, ``tags(case_id, tag)``, ``rules`` and ``baseline`` as for the gates. Only aggregates
-    and the worst cases reach the driver.
+    ``values`` are long metric rows, ``tags(case_id, tag)``, ``rules`` and ``baseline`` as for the gates,
+    ``failures(case_id, error)`` the responses. Only aggregates, the first failures and the worst cases reach the driver.
     """
     agg = M.macro_mean(values)
     gates = M.gates(rules, agg, baseline).orderBy("metric").collect()
@@ -48,11 +52,17 @@ def render(run: Mapping[str, object], values: DataFrame, tags: DataFrame, rules:
     if gates:
         verdict = "passed" if all(g["passed"] for g in gates) else "FAILED"
         lines += [f"## Gates: {verdict}", "", "| metric | value | baseline | result |", "|---|---|---|---|", *[f"| {g['metric']} | {_n(g['value'])} | {_n(g['base'])} | {g['reason']} |" for g in gates], ""]
+    means = {r["metric"]: r["mean"] for r in agg.collect()}
+    if shown := [m for m in headline if m in means]:
+        lines += ["## Headline", "", *[f"- {m}: {_n(means[m])}" for m in shown], ""]
     lines += ["## Metrics", "", "| metric | mean | baseline | change |", "|---|---|---|---|"]
     lines += [f"| {r['metric']} | {_n(r['value'])} | {_n(r['base'])} | {_n(r['delta'])} |" for r in M.deltas(agg, baseline).orderBy("metric").collect()]
     per = M.by_tag(values.where(F.col("metric") == primary), tags).orderBy("tag").collect()
     if per:
         lines += ["", f"## {primary} by tag", "", "| tag | mean | cases |", "|---|---|---|", *[f"| {r['tag']} | {_n(r['mean'])} | {r['n_cases']} |" for r in per]]
+    failed = [] if failures is None else failures.where(F.col("error").isNotNull()).orderBy("case_id").limit(n_worst).collect()
+    if failed:
+        lines += ["", "## Failures", "", *[f"- {r['case_id']}: {r['error']}" for r in failed]]
     worst = M.worst_cases(values, primary, n_worst).collect()
     if worst:
         lines += ["", "## Worst cases", "", *[f"- {r['case_id']}: {_n(r['value'])}" for r in worst]]
@@ -76,6 +86,15 @@ def write_run(path: str, run: Mapping[str, object], values: DataFrame, tags: Dat
     values.write.mode("overwrite").json(str(at / "cases"))
 
 
+def read_run(spark: SparkSession, path: str) -> tuple[dict[str, object], DataFrame, DataFrame, DataFrame]:
+    """What :func:`write_run` wrote: manifest, ``metric, mean``, ``tag, metric, mean`` and the metric rows of the cases."""
+    at = Path(path)
+    held = json.loads((at / "metrics.json").read_text())
+    tags = [(t, m, float(v)) for t, per in held["by_tag"].items() for m, v in per.items()]
+    agg = spark.createDataFrame([(m, float(v)) for m, v in held["aggregate"].items()], "metric string, mean double")
+    return json.loads((at / "manifest.json").read_text()), agg, spark.createDataFrame(tags, "tag string, metric string, mean double"), spark.read.schema("case_id string, metric string, value double").json(str(at / "cases"))
+
+
 def save_baseline(path: str, run: Mapping[str, object], aggregate: DataFrame) -> None:
     body = dict(run) | {"aggregate": {r["metric"]: r["mean"] for r in aggregate.collect()}}
     Path(path).write_text(json.dumps(body, sort_keys=True, indent=1))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -66,10 +67,14 @@ class VersionedTable:
     """A Parquet table in hash buckets of its key; a small pointer file names the folder in force of each bucket.
 
     An upsert reads and rewrites only the buckets its rows fall into, as new folders, and then appends one pointer line;
-    a reader sees either the old or the new version, and a write that fails half way leaves the old one. Everything goes
-    through Hadoop's file system, so it works on any shared storage.
+    a reader sees either the old or the new version, and a write that fails half way leaves the old one. Versions are
+    numbered by files that only one writer can create; a writer that comes second reads again and repeats its work. Choose
+    ``buckets`` by the size of the table, so that one is some hundred megabytes; it is fixed for the table. Everything goes
+    through Hadoop's file system, so it works on any shared storage that creates files exclusively.
     """
 
+    attempts = 5
+
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 16):
         self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), list(keys), buckets
 
@@ -86,7 +91,9 @@ class VersionedTable:
         held: dict[int, str] = {}
         for line in self._pointers():
             _, version, *changed = line.split(" ")
-            held |= {int(b): f"{self.path}/{version}/_bucket={b}" for b in changed}
+            gone = {int(b[1:]) for b in changed if b.startswith("-")}
+            held |= {int(b): f"{self.path}/{version}/_bucket={b}" for b in changed if not b.startswith("-")}
+            held = {b: f for b, f in held.items() if b not in gone}
         return held
 
     def read(self, only: Sequence[int] | None = None) -> DataFrame | None:
@@ -94,15 +101,56 @@ class VersionedTable:
         paths = [f for b, f in sorted(self.folders().items()) if only is None or b in only]
         return self.spark.read.parquet(*paths) if paths else None
 
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
     def upsert(self, updates: DataFrame, **how) -> None:
         """:func:`merge_upsert` of the rows; an empty update writes nothing."""
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        touched = sorted(r["b"] for r in updates.select(bucket.alias("b")).distinct().collect())  # at most `buckets`
-        if not touched:
-            return
-        old = self.read(touched)
-        merged = merge_upsert(old if old is not None else updates.limit(0), updates, self.keys, **how)
-        version, number = f"v-{uuid.uuid4().hex}", len(self._pointers()) + 1
-        merged.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(f"{self.path}/{version}")
-        line = " ".join([f"{number:012d}", version, *map(str, touched)])
-        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/_versions")
+        touched = sorted(r["b"] for r in updates.select(self._bucket().alias("b")).distinct().collect())  # at most `buckets`
+        if touched:
+            self._commit(touched, lambda old: merge_upsert(old if old is not None else updates.limit(0), updates, self.keys, **how))
+
+    def replace(self, rows: DataFrame, owners: DataFrame, owner: str) -> None:
+        """All rows of the ``owners`` replaced by ``rows``; buckets that neither touches stay as they are."""
+        owners = owners.select(owner).distinct()
+        new = rows.select(self._bucket().alias("b")).distinct()
+        now = self.read()
+        if now is not None:
+            new = new.unionByName(now.join(owners, owner, "left_semi").select(self._bucket().alias("b")).distinct()).distinct()
+        touched = sorted(r["b"] for r in new.collect())  # at most `buckets`
+        if touched:
+            self._commit(touched, lambda old: rows if old is None else old.join(owners, owner, "left_anti").unionByName(rows, allowMissingColumns=True))
+
+    def _commit(self, touched: Sequence[int], change: Callable[[DataFrame | None], DataFrame]) -> None:
+        """Write the changed buckets and claim the next number; a writer that lost the number to another starts over."""
+        for _ in range(self.attempts):
+            number = len(self._pointers()) + 1
+            old, version = self.read(touched), f"v-{uuid.uuid4().hex}"
+            change(old).withColumn("_bucket", self._bucket()).write.partitionBy("_bucket").parquet(f"{self.path}/{version}")
+            empty = set(touched) - set(self._written(version))
+            line = " ".join([f"{number:012d}", version, *map(str, touched)]) + "".join(f" -{b}" for b in sorted(empty))
+            if self._claim(number, line):
+                return
+        raise RuntimeError(f"{self.path} is written by others all the time")
+
+    def _file(self, name: str):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _written(self, version: str) -> list[int]:
+        fs, path = self._file(version)
+        return [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if s.getPath().getName().startswith("_bucket=")]
+
+    def _claim(self, number: int, line: str) -> bool:
+        """Create the pointer file of a number, which only one writer can."""
+        fs, path = self._file(f"_versions/{number:012d}")
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception.getClass().getName()) or "already exists" in str(e.java_exception):
+                return False
+            raise
+        out.write(bytearray((line + "\n").encode()))
+        out.close()
+        return True

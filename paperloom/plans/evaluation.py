@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import first_sentence
-from paperloom.operators import evidence, graph, metrics, testgen
+from paperloom.functions.vectors import TermHashing
+from paperloom.operators import evidence, graph, metrics, targets, testgen
 from paperloom.plans.network import _G, _cites
-from paperloom.plans.search import CASES, CHUNKS, asked, cases, current_chunks, tok
+from paperloom.plans.search import _BM25, CASES, CHUNKS, asked, cases, corpus, current_chunks, tok
 from paperloom.session import cut
 from paperloom.sources.tables import table
 
@@ -109,6 +110,40 @@ def conversion_report(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.conversion_report(e, evidence.match_evidence(e, _bodies(spark, sf)))
 
 
+def _run_bm25(spark: SparkSession, sf: str) -> targets.Run:
+    """Retrieval and answers of BM25 for the asked cases, scored."""
+    every, live = corpus(spark, sf)
+    number = F.regexp_extract("case_id", r"(\d+)$", 1).cast("bigint")
+    told = cases(spark, sf).where(number % 50 == 0)
+    run = targets.run_suite(targets.LexicalTarget(every, live), told, "retrieval")
+    run.values = run.values.unionByName(targets.score(told.join(run.responses, "case_id"), "generation"))
+    return run
+
+
+def run_bm25(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.rounded(_run_bm25(spark, sf).values)
+
+
+def run_bm25_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.rounded(_run_bm25(spark, sf).aggregate(), "mean")
+
+
+def run_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for vectors of hashed terms joined with citation expansion."""
+    e = TermHashing(256)
+    c = current_chunks(spark, sf, "paper_id", "is_references", "text").where(~F.col("is_references"))
+    points = cut(c.select(F.col("chunk_id").alias("id"), e.udf()("text").alias("embedding"), F.col("paper_id").alias("grp"), F.lit(True).alias("is_global")))
+    near = graph.both_ways(_cites(spark, sf)).select(F.col("paper_id").alias("grp"), "related")
+    number = F.regexp_extract("case_id", r"(\d+)$", 1).cast("bigint")
+    t = targets.HybridTarget(points, near, c.select(F.col("chunk_id").alias("id"), "text"), e.udf())
+    return metrics.rounded(targets.run_suite(t, cases(spark, sf).where(number % 50 == 0), "full").values)
+
+
+def gate_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: gates, failed ones, and whether all passed."""
+    return metrics.verdict(gate_eval(spark, sf))
+
+
 def key_terms(spark: SparkSession, sf: str) -> DataFrame:
     return testgen.key_terms(current_chunks(spark, sf, "text")).select("chunk_id", F.array_join("terms", ",").alias("terms"))
 
@@ -146,13 +181,10 @@ def testgen_cases(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(testgen.generate(_first_links(spark, sf, 20), _sources(spark, sf), 30, 1 / 3))
 
 
-QUERIES = {f.__name__: f for f in (ir_metrics, gen_metrics, triple_metrics, macro_mean, metrics_by_tag, operational_summary, gate_eval, baseline_delta, worst_cases, evidence_match, conversion_report, key_terms, round_robin_sample, testgen_single_hop, testgen_multi_hop, testgen_cases)}
+QUERIES = {f.__name__: f for f in (ir_metrics, gen_metrics, triple_metrics, macro_mean, metrics_by_tag, operational_summary, gate_eval, baseline_delta, worst_cases, evidence_match, conversion_report, key_terms, round_robin_sample, testgen_single_hop, testgen_multi_hop, testgen_cases, run_bm25, run_bm25_summary, run_hybrid, gate_verdict)}
 
-_R = f"""
-WITH {CHUNKS}, {CASES},
- f AS (SELECT * FROM (SELECT paper_id, chunk_id, text, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index, chunk_id) pos FROM cur_chunks WHERE NOT is_references) WHERE pos <= 10),
- per AS (SELECT paper_id, list(chunk_id ORDER BY pos) ranked, list(text ORDER BY pos) evidence FROM f GROUP BY paper_id),
- r AS (SELECT c.*, coalesce(ranked, []) R, coalesce(evidence, []) E, CASE WHEN ranked IS NULL THEN 'global' ELSE 'selected' END AS sc, list_transform(coalesce(ranked, []), lambda x: c.paper_id) ps FROM cur_cases c LEFT JOIN per USING (paper_id)),
+#: Metrics of rows r: cases with ranked ids R, texts E, papers ps and scope sc.
+_IR = """
  g AS (SELECT case_id, chunk_id, max(grade) grade FROM (SELECT case_id, unnest(map_keys(grades)) chunk_id, unnest(map_values(grades)) grade FROM r UNION ALL SELECT case_id, x, coalesce(grades[x], 1) FROM (SELECT case_id, grades, unnest(gold_chunk_ids) x FROM r)) GROUP BY 1, 2),
  gold AS (SELECT DISTINCT case_id, chunk_id FROM (SELECT case_id, unnest(gold_chunk_ids) chunk_id FROM r UNION ALL SELECT case_id, chunk_id FROM g WHERE grade > 0)),
  ng AS (SELECT case_id, count(*) n FROM gold GROUP BY 1),
@@ -174,19 +206,13 @@ WITH {CHUNKS}, {CASES},
  agg AS (SELECT metric, round(avg(value), 6) AS mean, count(*) AS n_cases FROM m GROUP BY metric),
  base AS (SELECT metric, round(avg(value), 6) AS mean FROM m WHERE case_id < 'gen-sh' GROUP BY metric)
 """
-SQL = {
-    "ir_metrics": _R + "SELECT case_id, metric, round(value, 6) AS value FROM m",
-    "macro_mean": _R + "SELECT * FROM agg",
-    "metrics_by_tag": _R + "SELECT tag, metric, round(avg(value), 6) AS mean, count(*) AS n_cases FROM m JOIN (SELECT DISTINCT case_id, unnest(tags) tag FROM cur_cases) USING (case_id) GROUP BY tag, metric",
-    "operational_summary": """WITH e AS (SELECT value v, event_type = 'error' err FROM events), s AS (SELECT CAST(count(*) AS DOUBLE) case_count, avg(CAST(err AS INTEGER)) error_rate, avg(v) FILTER (NOT err) latency_mean, quantile_cont(v, 0.5) FILTER (NOT err) latency_p50, quantile_cont(v, 0.95) FILTER (NOT err) latency_p95, max(v) FILTER (NOT err) latency_max FROM e)
- SELECT measure, round(value, 6) AS value FROM (UNPIVOT s ON COLUMNS(*) INTO NAME measure VALUE value)""",
-    "gate_eval": _R
-    + """, rules AS (SELECT * FROM (VALUES ('recall@5', 0.05, NULL, 0.03), ('ndcg@10', NULL, NULL, 0.001), ('mrr', 0.9, NULL, NULL), ('routing.accuracy', 0.1, 0.99, NULL), ('no_such_metric', 0.5, NULL, NULL)) v(metric, least, most, reg))
- , o AS (SELECT rules.metric, agg.mean AS value, base.mean AS base, CASE WHEN agg.mean IS NULL THEN 'missing' WHEN agg.mean < least THEN 'below minimum' WHEN agg.mean > most THEN 'above maximum' WHEN round(base.mean - agg.mean, 6) > reg THEN 'regression' ELSE 'ok' END AS reason FROM rules LEFT JOIN agg USING (metric) LEFT JOIN base ON base.metric = rules.metric)
- SELECT metric, value, base, reason = 'ok' AS passed, reason FROM o""",
-    "baseline_delta": _R + "SELECT agg.metric, agg.mean AS value, base.mean AS base, round(agg.mean - base.mean, 6) AS delta FROM agg LEFT JOIN base USING (metric)",
-    "worst_cases": _R + "SELECT case_id, metric, round(value, 6) AS value FROM m WHERE metric = 'recall@10' ORDER BY value, case_id LIMIT 5",
-    "gen_metrics": f"""{_R},
+_R = f"""
+WITH {CHUNKS}, {CASES},
+ f AS (SELECT * FROM (SELECT paper_id, chunk_id, text, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index, chunk_id) pos FROM cur_chunks WHERE NOT is_references) WHERE pos <= 10),
+ per AS (SELECT paper_id, list(chunk_id ORDER BY pos) ranked, list(text ORDER BY pos) evidence FROM f GROUP BY paper_id),
+ r AS (SELECT c.*, coalesce(ranked, []) R, coalesce(evidence, []) E, CASE WHEN ranked IS NULL THEN 'global' ELSE 'selected' END AS sc, list_transform(coalesce(ranked, []), lambda x: c.paper_id) ps FROM cur_cases c LEFT JOIN per USING (paper_id)),
+""" + _IR
+_GEN = f"""
  x AS (SELECT case_id, gold_answer, coalesce(must_include, []) M, array_to_string(list_filter(list_transform(E[1:2], lambda t: CASE WHEN trim(split_part(t, '. ', 1)) <> '' THEN regexp_replace(trim(split_part(t, '. ', 1)), '\\.+$', '') || '.' END), lambda t: t IS NOT NULL), ' ') ans, array_to_string(E, chr(10)) ev, R[1:3] C, R, coalesce(gold_chunk_ids, []) G, question FROM r),
  y AS (SELECT case_id, gold_answer, M, ans, C, R, G, {tok('ans')} A, {tok('ev')} V, {tok("coalesce(gold_answer, '')")} T, list_distinct({tok("coalesce(question, '')")}) U FROM x),
  z AS (SELECT *, list_sum(list_transform(list_distinct(A), lambda zt: least(len(list_filter(A, lambda zq: zq = zt)), len(list_filter(T, lambda zq: zq = zt))))) same, len(list_filter(A, lambda zt: list_contains(V, zt))) / nullif(len(A), 0) gr FROM y),
@@ -200,7 +226,20 @@ SQL = {
   UNION ALL SELECT case_id, 'must_include', len(list_filter(M, lambda zp: contains(lower(ans), lower(zp)))) / len(M) FROM z WHERE len(M) > 0
   UNION ALL SELECT case_id, 'judge.faithfulness', CASE WHEN trim(ans) = '' THEN 0 ELSE gr END FROM z
   UNION ALL SELECT case_id, 'judge.relevance', CASE WHEN trim(ans) = '' THEN 0 WHEN len(U) > 0 THEN least(1.5 * len(list_intersect(U, A)) / len(U), 1.0) END FROM z)
- SELECT case_id, metric, round(CAST(value AS DOUBLE), 6) AS value FROM o WHERE value IS NOT NULL""",
+"""
+SQL = {
+    "ir_metrics": _R + "SELECT case_id, metric, round(value, 6) AS value FROM m",
+    "macro_mean": _R + "SELECT * FROM agg",
+    "metrics_by_tag": _R + "SELECT tag, metric, round(avg(value), 6) AS mean, count(*) AS n_cases FROM m JOIN (SELECT DISTINCT case_id, unnest(tags) tag FROM cur_cases) USING (case_id) GROUP BY tag, metric",
+    "operational_summary": """WITH e AS (SELECT value v, event_type = 'error' err FROM events), s AS (SELECT CAST(count(*) AS DOUBLE) case_count, avg(CAST(err AS INTEGER)) error_rate, avg(v) FILTER (NOT err) latency_mean, quantile_cont(v, 0.5) FILTER (NOT err) latency_p50, quantile_cont(v, 0.95) FILTER (NOT err) latency_p95, max(v) FILTER (NOT err) latency_max FROM e)
+ SELECT measure, round(value, 6) AS value FROM (UNPIVOT s ON COLUMNS(*) INTO NAME measure VALUE value)""",
+    "gate_eval": _R
+    + """, rules AS (SELECT * FROM (VALUES ('recall@5', 0.05, NULL, 0.03), ('ndcg@10', NULL, NULL, 0.001), ('mrr', 0.9, NULL, NULL), ('routing.accuracy', 0.1, 0.99, NULL), ('no_such_metric', 0.5, NULL, NULL)) v(metric, least, most, reg))
+ , o AS (SELECT rules.metric, agg.mean AS value, base.mean AS base, CASE WHEN agg.mean IS NULL THEN 'missing' WHEN agg.mean < least THEN 'below minimum' WHEN agg.mean > most THEN 'above maximum' WHEN round(base.mean - agg.mean, 6) > reg THEN 'regression' ELSE 'ok' END AS reason FROM rules LEFT JOIN agg USING (metric) LEFT JOIN base ON base.metric = rules.metric)
+ SELECT metric, value, base, reason = 'ok' AS passed, reason FROM o""",
+    "baseline_delta": _R + "SELECT agg.metric, agg.mean AS value, base.mean AS base, round(agg.mean - base.mean, 6) AS delta FROM agg LEFT JOIN base USING (metric)",
+    "worst_cases": _R + "SELECT case_id, metric, round(value, 6) AS value FROM m WHERE metric = 'recall@10' ORDER BY value, case_id LIMIT 5",
+    "gen_metrics": f"{_R}, {_GEN} SELECT case_id, metric, round(CAST(value AS DOUBLE), 6) AS value FROM o WHERE value IS NOT NULL",
     "triple_metrics": f"""WITH {CASES}, gg AS (SELECT case_id, unnest(gold_triples) t, generate_subscripts(gold_triples, 1) - 1 i FROM cur_cases),
  k AS (SELECT case_id, i, lower(regexp_replace(trim(replace(t.subject, '_', ' ')), '\\s+', ' ', 'g')) s, lower(regexp_replace(trim(replace(t.predicate, '_', ' ')), '\\s+', ' ', 'g')) p, lower(regexp_replace(trim(replace(t.object, '_', ' ')), '\\s+', ' ', 'g')) o, t.chunk_id c FROM gg),
  pr AS (SELECT case_id, s, CASE WHEN i % 2 = 1 THEN 'relates to' ELSE p END p, o, c FROM k WHERE i < 3),
@@ -258,7 +297,15 @@ _SHOW_SH = f"""SELECT format('gen-sh-{{:04d}}', number + BEGIN) AS case_id, {_fi
  coalesce({_said('text', 2)}, '') AS gold_answer, 'generated,offline-template,single-hop,local,extractive-reference' AS tags FROM sh WHERE number < SIZE"""
 _SHOW_MH = f"""SELECT format('gen-mh-{{:04d}}', number) AS case_id, {_filled(testgen.MULTI['cites'], "source || '|' || target", 'ta', 'tb')} AS question, pa AS paper_id, source || ',' || target AS gold_chunk_ids, least(pa, pb) || ',' || greatest(pa, pb) AS gold_paper_ids, '3,3' AS grades, 'global' AS expected_scope,
  trim(concat_ws(' ', sa, sb)) AS gold_answer, 'generated,offline-template,multi-hop,global,link:cites,extractive-reference' AS tags FROM mh"""
+_BM = f"""{_BM25},
+ hh AS (SELECT s.query_id, s.doc_id, d.text, d.paper_id, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, s.doc_id) pos FROM scores s JOIN d USING (doc_id) JOIN routes r ON r.query_id = s.query_id JOIN asked a ON a.query_id = s.query_id WHERE r.scope = 'global' OR a.paper_id IS NULL OR d.paper_id = a.paper_id),
+ per AS (SELECT query_id case_id, list(doc_id ORDER BY pos) ranked, list(text ORDER BY pos) evidence, list(paper_id ORDER BY pos) papers FROM hh WHERE pos <= 10 GROUP BY query_id),
+ r AS (SELECT c.*, coalesce(ranked, []) R, coalesce(evidence, []) E, routes.scope sc, coalesce(papers, []) ps FROM cur_cases c JOIN routes ON routes.query_id = c.case_id LEFT JOIN per USING (case_id)),
+{_IR}, {_GEN}"""
 SQL |= {
+    "run_bm25": _BM + "SELECT case_id, metric, round(value, 6) AS value FROM m UNION ALL SELECT case_id, metric, round(CAST(value AS DOUBLE), 6) AS value FROM o WHERE value IS NOT NULL",
+    "run_bm25_summary": _BM + "SELECT metric, round(avg(value), 6) AS mean FROM (FROM m UNION ALL SELECT case_id, metric, CAST(value AS DOUBLE) FROM o WHERE value IS NOT NULL) GROUP BY metric UNION ALL SELECT 'operational.case_count', CAST(count(*) AS DOUBLE) FROM r UNION ALL SELECT 'operational.error_rate', 0.0",
+    "gate_verdict": SQL["gate_eval"].replace("SELECT metric, value, base, reason = 'ok' AS passed, reason FROM o", "SELECT count(*) AS n_gates, count(*) FILTER (reason <> 'ok') AS n_failed, bool_and(reason = 'ok') AS passed FROM o"),
     "key_terms": _KT + "SELECT chunk_id, array_to_string(terms, ',') AS terms FROM kt",
     "testgen_single_hop": _KT + _SH + _SHOW_SH.replace("BEGIN", "0").replace("SIZE", "20"),
     "testgen_multi_hop": _KT + _MH + _SHOW_MH,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions.vectors import HashEmbedder
+from paperloom.functions.vectors import TermHashing
 from paperloom.operators import graph, similarity
 from paperloom.plans.search import CASES, CHUNKS, PAPERS, asked, cases, current_chunks, current_papers
 from paperloom.sources.tables import table
@@ -55,6 +55,25 @@ def paper_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     return graph.subgraph(_case_papers(spark, sf), current_papers(spark, sf, "title"), authors, current_chunks(spark, sf, "paper_id", "chunk_index"), _cites(spark, sf))
 
 
+def paper_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with children as lists, of the asked papers."""
+    authors = table(spark, sf, "authors").select("paper_id", "author_order", "name").distinct()
+    n = graph.nested_subgraph(graph.subgraph(_asked_papers(spark, sf), current_papers(spark, sf, "title"), authors, current_chunks(spark, sf, "paper_id", "chunk_index"), _cites(spark, sf)))
+    return n.select("paper_id", "title", F.array_join("authors", ";").alias("authors"), F.array_join("chunks", ";").alias("chunks"), F.array_join("citations", ";").alias("citations"))
+
+
+def next_edges_within(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequence edges among the first chunks of each paper."""
+    c = current_chunks(spark, sf, "paper_id", "chunk_index")
+    return graph.within(graph.next_edges(c), graph.first_chunks(c, 3))
+
+
+def chunk_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Links between chunks per kind, from the whole graph in compact form."""
+    g = graph.chunk_graph(current_chunks(spark, sf, "paper_id", "chunk_index"), _cites(spark, sf), _mentions(spark, sf))
+    return g.groupBy("type").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n_links"))
+
+
 def paper_exists(spark: SparkSession, sf: str) -> DataFrame:
     return graph.known(_case_papers(spark, sf), current_papers(spark, sf, "title"), "paper_id")
 
@@ -131,12 +150,24 @@ def knn_links_prefilter(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.knn_links(_vectors(spark, sf), _points(spark, sf), threshold=0.2, fetch_first=True)
 
 
+def knn_links_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of every point."""
+    p = _points(spark, sf)
+    return similarity.knn_links(p.withColumnRenamed("id", "query_id"), p, threshold=0.2)
+
+
+def vector_in_papers(spark: SparkSession, sf: str) -> DataFrame:
+    """Search among the points of some groups."""
+    p = _points(spark, sf)
+    return similarity.vector_scores(_vectors(spark, sf), p, 8, papers=p.select("grp").where(F.col("grp").isin(1, 3, 4)))
+
+
 def vector_routing(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.vector_routing(_vectors(spark, sf), _points(spark, sf))
 
 
 def hybrid_retrieval(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.hybrid(_vectors(spark, sf), _points(spark, sf), _near_groups(spark, sf), threshold=0.95)
+    return similarity.hybrid(_vectors(spark, sf), _points(spark, sf), _near_groups(spark, sf), threshold=0.95).select("query_id", "id", "score", "source", "rank")
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,7 +179,7 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
     """Length and non-zero buckets of the hash embedding of every document."""
-    e = HashEmbedder(256)
+    e = TermHashing(256)
     d = table(spark, sf, "documents").select("doc_id", e.udf()("text").alias("v"))
     return d.select("doc_id", F.size(F.filter("v", lambda x: x != 0)).alias("n_buckets"), F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), 4).alias("length"))
 
@@ -156,8 +187,8 @@ def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        next_chunk_edges, cites_edges, citation_stub, citation_expand, paper_subgraph, paper_exists, khop_neighbors, chunks_per_paper, cites_chunk_edges, shared_entity_edges, entity_expand, cross_paper_links,
-        graph_summary, research_flow, vector_topk_selected, vector_topk_global, vector_threshold, knn_links, knn_links_prefilter, vector_routing, hybrid_retrieval, rrf_fusion, hash_embed,
+        next_chunk_edges, cites_edges, citation_stub, citation_expand, paper_subgraph, paper_nested, next_edges_within, chunk_graph, paper_exists, khop_neighbors, chunks_per_paper, cites_chunk_edges, shared_entity_edges, entity_expand, cross_paper_links,
+        graph_summary, research_flow, vector_topk_selected, vector_topk_global, vector_threshold, knn_links, knn_links_all, knn_links_prefilter, vector_in_papers, vector_routing, hybrid_retrieval, rrf_fusion, hash_embed,
     )
 }
 
@@ -196,6 +227,13 @@ SQL = {
  UNION ALL SELECT DISTINCT paper_id, 'author', author_order, name FROM authors WHERE paper_id IN (FROM looked)
  UNION ALL SELECT paper_id, 'chunk', chunk_index, chunk_id FROM cur_chunks WHERE paper_id IN (FROM looked)
  UNION ALL SELECT src, 'cites', CAST(row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS INTEGER), dst FROM cites WHERE src IN (FROM looked)""",
+    "paper_nested": _G
+    + """SELECT p.paper_id, title, coalesce(a, '') AS authors, coalesce(c, '') AS chunks, coalesce(r, '') AS citations FROM cur_papers p LEFT JOIN (SELECT paper_id, string_agg(name, ';' ORDER BY author_order, name) a FROM (SELECT DISTINCT paper_id, author_order, name FROM authors) GROUP BY 1) USING (paper_id)
+ LEFT JOIN (SELECT paper_id, string_agg(chunk_id, ';' ORDER BY chunk_index, chunk_id) c FROM cur_chunks GROUP BY 1) USING (paper_id) LEFT JOIN (SELECT src paper_id, string_agg(dst, ';' ORDER BY dst) r FROM cites GROUP BY 1) USING (paper_id) WHERE p.paper_id IN (FROM want)""",
+    "next_edges_within": _G + 'SELECT * FROM next_edges WHERE "left" IN (SELECT chunk_id FROM firsts) AND "right" IN (SELECT chunk_id FROM firsts)',
+    "chunk_graph": _G
+    + """, mn AS (SELECT entity, paper_id, chunk_id, count(*) OVER (PARTITION BY entity) n, count(*) OVER (PARTITION BY entity, paper_id) own FROM mentions)
+ SELECT 'next' AS type, count(*) AS n_rows, count(*) AS n_links FROM next_edges UNION ALL SELECT 'cites', count(*), sum(n) FROM pairs HAVING count(*) > 0 UNION ALL SELECT 'shared_entity', count(DISTINCT (entity, paper_id)), sum(n - own) FROM mn WHERE n > own HAVING count(*) > 0""",
     "paper_exists": _G + "SELECT DISTINCT paper_id FROM cur_papers WHERE paper_id IN (FROM looked)",
     "khop_neighbors": _G
     + """, h0 AS (SELECT paper_id seed, paper_id, 0 hop FROM want), h1 AS (SELECT seed, related paper_id, 1 hop FROM h0 JOIN both_ways USING (paper_id)), h2 AS (SELECT seed, related paper_id, 2 hop FROM (SELECT DISTINCT seed, paper_id FROM h1) JOIN both_ways USING (paper_id)),
@@ -215,6 +253,8 @@ SQL = {
     "vector_topk_global": _top("is_global", 8),
     "vector_threshold": _top("score >= 0.2", 8),
     "knn_links": _V + "SELECT query_id AS source, id AS target, CAST(round(CAST(score AS DECIMAL(18, 6)), 4) AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) r FROM s WHERE grp <> qgrp AND score >= 0.2) WHERE r <= 3",
+    "vector_in_papers": _top("grp IN (1, 3, 4)", 8),
+    "knn_links_all": _V.replace(" WHERE id % 50 = 0", "") + "SELECT query_id AS source, id AS target, CAST(round(CAST(score AS DECIMAL(18, 6)), 4) AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) r FROM s WHERE grp <> qgrp AND score >= 0.2) WHERE r <= 3",
     "knn_links_prefilter": _V + "SELECT source, target, score FROM (SELECT query_id AS source, id AS target, CAST(round(CAST(score AS DECIMAL(18, 6)), 4) AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY r) k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) r FROM s) WHERE r <= 4 AND grp <> qgrp AND score >= 0.2) WHERE k <= 3",
     "vector_routing": _V + "SELECT query_id, coalesce(round(max(CASE WHEN grp = qgrp THEN score END) / max(score), 6), 0.0) AS ratio, CASE WHEN coalesce(round(max(CASE WHEN grp = qgrp THEN score END) / max(score), 6), 0.0) >= 0.45 THEN 'selected' ELSE 'global' END AS scope FROM s WHERE id <> query_id GROUP BY query_id",
     "hybrid_retrieval": _V

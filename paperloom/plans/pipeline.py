@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.operators import chunking, graph, quality, store
-from paperloom.plans.search import CASES, CHUNKS, PAPERS, cases, current_chunks, current_papers
+from paperloom.operators import chunking, graph, indexing, quality, store
+from paperloom.plans.search import CASES, CHUNKS, PAPERS, cases, current_chunks, current_papers, latest
 from paperloom.session import shared_dir
 from paperloom.sources.tables import table
 from paperloom.streaming import incremental
@@ -28,6 +29,36 @@ def chunk_fixed_split(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.split_texts(table(spark, sf, "documents"))
 
 
+def _pending(spark: SparkSession, sf: str) -> indexing.Load:
+    """The load of the papers that wait for it, with the texts fetched so far."""
+    p = latest(table(spark, sf, "papers"), "paper_id", "title", "authors", "published_at", "source_version", "content_hash", "processing_status")
+    bodies = table(spark, sf, "paper_markdown").select("paper_id", "text", F.lit(None).cast("string").alias("error"))
+    return indexing.plan_load(p.where("processing_status = 'pending'").drop("processing_status"), bodies, base=True)
+
+
+def indexing_job(spark: SparkSession, sf: str) -> DataFrame:
+    """How each waiting paper fares: fetch, chunks, graph, vectors."""
+    return _pending(spark, sf).outcomes.select("paper_id", "ok", F.coalesce("stage", F.lit("written")).alias("stage"))
+
+
+def indexing_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Papers, chunks and points of the load."""
+    return _pending(spark, sf).summary()
+
+
+def seed_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows a benchmark's corpus gives per table: the current chunks as one."""
+    c = current_chunks(spark, sf, "paper_id", "chunk_index", "text", "section").withColumn("title", F.lit(None).cast("string"))
+    made = indexing.seed(c, table(spark, sf, "citation_edges"))
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("table_name"), "n") for k, df in made.items()]
+    return functools.reduce(DataFrame.unionByName, counts)
+
+
+def unseed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What leaves with the papers that are pending, taken as a seed."""
+    return indexing.unseed(current_papers(spark, sf, "processing_status"), current_chunks(spark, sf, "paper_id"), "pending")[2]
+
+
 def _months(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Papers loaded before 2023 as the table, all later rows as updates."""
     p = table(spark, sf, "papers").select("paper_id", "title", "processing_status", "is_deleted", "ingested_at")
@@ -129,8 +160,14 @@ def stream_incremental(spark: SparkSession, sf: str) -> DataFrame:
     p = spark.read.parquet(f"{sf}/papers.parquet")
     source = f"{sf}/papers.parq*"
     for _ in range(2):
-        incremental.load_incrementally(spark, source, p.select("paper_id", "ingested_at").schema, f"{at}/table", f"{at}/seen", ["paper_id"])
-    return store.VersionedTable(spark, f"{at}/table", ["paper_id"]).read().select("paper_id")
+        incremental.load_incrementally(spark, source, p.schema, f"{at}/table", f"{at}/seen", ["paper_id"], prepare=_stored, keep=["created_at"], sticky=["is_global"])
+    return store.VersionedTable(spark, f"{at}/table", ["paper_id"]).read().select("paper_id", "title", "processing_status", "is_deleted", F.date_format("ingested_at", "yyyy-MM-dd").alias("loaded_on"))
+
+
+def _stored(papers: DataFrame) -> DataFrame:
+    """Rows of the table of papers, the columns that tell the latest first."""
+    rest = [c for c in papers.columns if c not in ("ingested_at", "is_deleted", "title")]
+    return papers.select("ingested_at", "is_deleted", "title", *rest).withColumns({"created_at": F.col("ingested_at"), "is_global": F.col("processing_status") == "completed"})
 
 
 def stream_latency_window(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,12 +179,17 @@ QUERIES = {
     f.__name__: f
     for f in (
         section_split, recursive_chunk, chunk_fixed_split, upsert_idempotent, stale_delete, sticky_global, feed_dedupe, month_window, dq_chunk_index_unique, dq_chunk_one_paper, dq_next_edges, dq_points_have_chunks,
-        dq_global_points, dq_completed_have_chunks, dq_predicates, dq_source_versions, dq_embedding_signature, dup_case_ids, gold_ids_exist, stream_incremental, stream_latency_window,
+        dq_global_points, dq_completed_have_chunks, dq_predicates, dq_source_versions, dq_embedding_signature, dup_case_ids, gold_ids_exist, stream_incremental, stream_latency_window, indexing_job, indexing_summary, seed_graph, unseed_counts,
     )
 }
 
 _T = f"WITH {CHUNKS}, {PAPERS}, {CASES} "
 SQL = {
+    "indexing_job": _T + """SELECT paper_id, stage = 'written' AS ok, stage FROM (SELECT paper_id, CASE WHEN m.paper_id IS NULL THEN 'fetch' WHEN trim(coalesce(body, '')) = '' THEN 'preprocess' WHEN trim(coalesce(title, '')) = '' OR trim(coalesce(source_version, '')) = '' OR trim(coalesce(content_hash, '')) = '' THEN 'graph' ELSE 'written' END AS stage
+ FROM cur_papers p LEFT JOIN (SELECT paper_id, max(text) AS body FROM paper_markdown GROUP BY 1) m USING (paper_id) WHERE processing_status = 'pending')""",
+    "seed_graph": _T + """SELECT 'papers' AS table_name, count(DISTINCT paper_id) AS n FROM cur_chunks UNION ALL SELECT 'chunks', count(*) FROM cur_chunks UNION ALL SELECT 'points', count(*) FROM cur_chunks
+ UNION ALL SELECT 'next_chunk', count(*) - count(DISTINCT paper_id) FROM cur_chunks UNION ALL SELECT 'cites', count(*) FROM (SELECT DISTINCT source_paper_id, target_paper_id FROM citation_edges WHERE source_paper_id <> target_paper_id)""",
+    "unseed_counts": _T + "SELECT papers, chunks, papers + chunks AS removed FROM (SELECT count(*) papers FROM cur_papers WHERE processing_status = 'pending'), (SELECT count(*) chunks FROM cur_chunks WHERE paper_id IN (SELECT paper_id FROM cur_papers WHERE processing_status = 'pending'))",
     "upsert_idempotent": """WITH p AS (SELECT paper_id, title, processing_status = 'completed' g, ingested_at, ingested_at < TIMESTAMPTZ '2023-01-01 00:00:00+00' old, row_number() OVER (PARTITION BY paper_id, ingested_at < TIMESTAMPTZ '2023-01-01 00:00:00+00' ORDER BY ingested_at DESC, title DESC, is_deleted DESC) rn FROM papers),
  o AS (SELECT * FROM p WHERE old AND rn = 1), n AS (SELECT * FROM p WHERE NOT old AND rn = 1)
  SELECT coalesce(n.paper_id, o.paper_id) AS paper_id, CASE WHEN n.paper_id IS NULL THEN o.title ELSE n.title END AS title, CASE WHEN n.paper_id IS NULL THEN o.g ELSE coalesce(o.g, false) OR coalesce(n.g, false) END AS is_global, strftime(coalesce(o.ingested_at, n.ingested_at), '%Y-%m-%d') AS created_on FROM o FULL JOIN n ON o.paper_id = n.paper_id""",
@@ -166,6 +208,6 @@ SQL = {
     "dq_embedding_signature": "SELECT embedding_provider, embedding_model, embedding_dimension, embedding_version, count(*) AS n FROM vector_points WHERE NOT (embedding_provider = 'hash' AND embedding_model = 'hash-embed-64' AND embedding_dimension = 64 AND embedding_version = 'v2') GROUP BY ALL",
     "dup_case_ids": "SELECT case_id, count(*) AS n FROM eval_cases GROUP BY 1 HAVING count(*) > 1",
     "gold_ids_exist": _T + "SELECT DISTINCT chunk_id FROM (SELECT unnest(gold_chunk_ids) chunk_id FROM cur_cases) WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM cur_chunks)",
-    "stream_incremental": "SELECT DISTINCT paper_id FROM papers",
+    "stream_incremental": "SELECT paper_id, title, processing_status, is_deleted, strftime(ingested_at, '%Y-%m-%d') AS loaded_on FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY ingested_at DESC NULLS LAST, is_deleted DESC NULLS LAST, title DESC NULLS LAST) rn FROM papers) WHERE rn = 1",
     "stream_latency_window": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n_events, count(*) FILTER (event_type = 'error') AS n_errors, round(avg(value) FILTER (event_type <> 'error'), 6) AS latency_mean FROM events GROUP BY 1",
 }

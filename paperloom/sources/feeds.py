@@ -8,6 +8,7 @@ import re
 import time
 import urllib.error
 import urllib.request
+import warnings
 from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
@@ -16,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Fields of papers, cases and chunks as the outside names them.
 _PAPER = "id string, title string, summary string, authors array<struct<name string>>, ai_keywords array<string>, publishedAt string"
 FEED = f"paper struct<{_PAPER}>, {_PAPER}"
 CASE = (
@@ -24,15 +26,31 @@ CASE = (
 )
 CHUNK = "chunk_id string, paper_id string, text string, section string, chunk_index int, title string, is_references boolean, metadata map<string,string>"
 
+#: Statuses that may pass.
 RETRIED = frozenset({429, 500, 502, 503, 504})
+#: Fixed value: how a response names its next page.
+_NEXT_PAGE = re.compile(r"rel=\"?next\"?")
+
+
+class FeedError(Exception):
+    """A response that cannot be what was asked for."""
 
 
 def get_json(url: str, open_url: Callable = urllib.request.urlopen, attempts: int = 3, wait: float = 1.0, sleep: Callable = time.sleep) -> Any:
     """A JSON body; transport errors and the statuses that may pass are tried again with doubled waits, others fail at once."""
+    return get_page(url, open_url, attempts, wait, sleep)[0]
+
+
+def get_page(url: str, open_url: Callable = urllib.request.urlopen, attempts: int = 3, wait: float = 1.0, sleep: Callable = time.sleep) -> tuple[Any, bool]:
+    """As :func:`get_json`, with whether the response links to a next page. A body that is no JSON is a :class:`FeedError`."""
     for n in range(1, attempts + 1):
         try:
             with open_url(url) as r:
-                return json.loads(r.read())
+                body, link = r.read(), getattr(r, "headers", None) or {}
+            try:
+                return json.loads(body), _NEXT_PAGE.search(link.get("link") or link.get("Link") or "") is not None
+            except ValueError as e:
+                raise FeedError(f"no JSON from {url}: {e}") from e
         except urllib.error.HTTPError as e:
             if e.code not in RETRIED or n == attempts:
                 raise
@@ -43,17 +61,46 @@ def get_json(url: str, open_url: Callable = urllib.request.urlopen, attempts: in
     raise AssertionError
 
 
-def list_day(day: str, get: Callable[[str], Any], base: str, limit: int = 50, pages: int = 100) -> list[dict]:
-    """All entries of one day's feed, page by page until one is empty or short of the limit."""
+def list_day(day: str, get: Callable[[str], tuple[Any, bool]], base: str, limit: int = 50, pages: int = 100) -> list[dict]:
+    """All entries of one day's feed, page by page until one is empty or links to no next one; a short page is no end.
+
+    ``get`` is :func:`get_page` or alike. A page that is no list is a :class:`FeedError`; at ``pages`` pages the rest is
+    left with a warning.
+    """
     out: list[dict] = []
     for p in range(pages):
-        page = get(f"{base}?date={day}&p={p}&limit={limit}")
+        page, more = get(f"{base}?date={day}&p={p}&limit={limit}")
+        if not isinstance(page, list):
+            raise FeedError(f"the feed of {day} is no list but {type(page).__name__}")
         out += page
-        if len(page) < limit:
-            break
+        if not page or not more:
+            return out
+    warnings.warn(f"the feed of {day} has more than {pages} pages", stacklevel=2)
     return out
 
 
+def get_papers(wanted: DataFrame, get: Callable[[str], Any], base: str) -> DataFrame:
+    """``day, position, body, error`` of single papers by ``wanted(paper_id)``, as :func:`feed_days` has them; ``day`` is null.
+
+    ``get`` returns a JSON body. What is no object, and what cannot be had, is a row with its error.
+    """
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, paper in enumerate(batch["paper_id"]):
+                try:
+                    body = get(f"{base}/{paper}")
+                    if not isinstance(body, dict):
+                        raise FeedError(f"the paper {paper} is no object")
+                    rows.append((None, i, json.dumps(body), None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((None, i, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["day", "position", "body", "error"]).astype({"position": "Int32"})
+
+    return wanted.select("paper_id").distinct().mapInPandas(fetch, "day string, position int, body string, error string")
+
+
 def feed_days(spark: SparkSession, first: str, last: str, get_day: Callable[[str], list[dict]]) -> DataFrame:
     """``day, position, body, error``: raw entries of each day from ``first`` to ``last``, one task per few days.
 

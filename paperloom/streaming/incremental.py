@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from paperloom.operators.store import VersionedTable
 
 
-def load_incrementally(spark: SparkSession, source: str, schema, target: str, checkpoint: str, keys: Sequence[str], files_per_batch: int = 64, **how) -> None:
+def load_incrementally(spark: SparkSession, source: str, schema, target: str, checkpoint: str, keys: Sequence[str], files_per_batch: int = 64, prepare: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 16, **how) -> None:
     """Upsert all new files of ``source`` (a path or pattern of Parquet files) into the versioned table at ``target``.
 
     The stream remembers in ``checkpoint`` which files it has read and stops when there are no more. A batch that is
-    replayed upserts the same rows again.
+    replayed upserts the same rows again. ``prepare`` makes table rows of a batch; of several rows of a key the last in row
+    order wins, so the columns that decide come first. What else is given goes to the upsert: columns that keep their
+    first value (``keep``) or stay true (``sticky``), across batches and runs.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    table = VersionedTable(spark, target, keys)
-    query = stream.writeStream.foreachBatch(lambda batch, _: table.upsert(batch, **how)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    table = VersionedTable(spark, target, keys, buckets)
+    rows = prepare or (lambda batch: batch)
+    query = stream.writeStream.foreachBatch(lambda batch, _: table.upsert(rows(batch), **how)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 

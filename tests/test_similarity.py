@@ -58,3 +58,23 @@ def test_bm25_by_hand(spark):
     assert {r["query_id"]: r["scope"] for r in route(bm25_scores(q, d), d, q).collect()} == {"q": "selected", "n": "global"}
     a = extractive_answers(top_k(bm25_scores(q, d)), d).collect()
     assert [(r["answer"], r["citations"]) for r in a] == [("graph graph search.", "d1")]
+
+
+@pytest.mark.parametrize("skip", [None, "self", "group"])
+def test_blocks_give_the_same_lists(spark, skip):
+    p, _ = points(spark)
+    p = p.unionByName(p.where("id = 3").withColumn("id", F.lit(99).cast("bigint")))  # a tie
+    q = p.select(F.col("id").alias("query_id"), "embedding", "grp")
+    one, many = (sorted(map(tuple, S.vector_lists(q, p, 3, S.SCOPES, skip, -0.5, query_block=n).collect())) for n in (4096, 7))
+    assert one == many and {r[0] for r in one} == set(S.SCOPES) - ({"selected"} if skip == "group" else set())
+
+
+def test_only_some_papers(spark):
+    p, _ = points(spark)
+    q = p.where("id = 0").select(F.col("id").alias("query_id"), "embedding", "grp")
+    got = S.vector_lists(q, p, 50, papers=p.select("grp").where("grp IN (1, 2)"))
+    assert {r["grp"] for r in got.collect()} == {1, 2} and got.count() == 20
+    assert S.vector_lists(q.limit(0), p, 3).count() == 0 and S.vector_lists(q, p.limit(0), 3).count() == 0
+    for bad in ({"k": 0}, {"k": 1, "scopes": ("none",)}):
+        with pytest.raises(ValueError):
+            S.vector_lists(q, p, **bad)

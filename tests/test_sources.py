@@ -37,9 +37,45 @@ def test_get_json_retries_only_what_may_pass():
     assert len(calls) == 1
 
 
-def test_pages_stop_at_a_short_one():
-    pages = {0: [{}] * 50, 1: [{}] * 3}
-    assert len(feeds.list_day("2024-01-01", lambda u: pages[int(u.split("p=")[1].split("&")[0])], "b")) == 53
+def test_pages_go_on_while_there_is_a_next_one():
+    pages = {0: ([{}] * 50, True), 1: ([{}] * 3, True), 2: ([{}] * 4, False)}
+    page = lambda u: int(u.split("p=")[1].split("&")[0])
+    assert len(feeds.list_day("2024-01-01", lambda u: pages[page(u)], "b")) == 57
+    assert len(feeds.list_day("2024-01-01", lambda u: ([{}] if page(u) < 2 else [], True), "b")) == 2
+    with pytest.warns(UserWarning, match="more than 3 pages"):
+        assert len(feeds.list_day("2024-01-01", lambda u: ([{}], True), "b", pages=3)) == 3
+    with pytest.raises(feeds.FeedError):
+        feeds.list_day("2024-01-01", lambda u: ({}, False), "b")
+
+
+def test_single_papers(spark):
+    def get(url):
+        return {"id": "2401.00001", "title": "T"} if url.endswith("2401.00001") else []
+
+    raw = feeds.get_papers(spark.createDataFrame([("2401.00001",), ("x",)], "paper_id string"), get, "b")
+    assert sorted((r["error"] or "") for r in raw.collect()) == ["", "FeedError: the paper x is no object"]
+    assert [r["title"] for r in feeds.flatten_feed(raw).collect()] == ["T"]
+
+
+def test_a_body_that_is_no_json_fails_at_once():
+    class Body:
+        headers = {"link": '<b?p=1>; rel="next"'}
+
+        def __init__(self, body):
+            self.body = body
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            return False
+
+        def read(self):
+            return self.body
+
+    with pytest.raises(feeds.FeedError):
+        feeds.get_json("u", lambda u: Body(b"<html>"), sleep=lambda s: None)
+    assert feeds.get_page("u", lambda u: Body(b"[1]")) == ([1], True)
 
 
 def test_feed(spark):

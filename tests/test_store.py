@@ -63,9 +63,13 @@ def test_sections():
 
 def test_promotion_wants_a_late_mark():
     body = "word " * 200
-    assert C.promote_references("References\n" + body) is None
-    assert "## References" in C.promote_references(body + "\nReferences\nA. B.")
-    assert "## References" in C.promote_references("x **References** [1] A\n" + body)
+    titles = lambda t: [title for title, _, _ in C.sections_with_references(t)]
+    assert C.reference_mark("References\n" + body) is None and titles("References\n" + body) == ["Front Matter"]
+    assert C.sections_with_references(body + "\nReferences\nA. B.")[-1] == ("References", 2, "A. B.")
+    assert C.sections_with_references("x **References** [1] A\n" + body)[1] == ("References", 2, f"[1] A\n{body.strip()}")
+    assert titles("# One\na\nBibliography [1] A\n\n# Two\nb") == ["One", "References", "Two"]
+    assert titles("a References [1] x\nb references [2] y") == ["Front Matter", "References"] and C.sections_with_references("a References [1] x\nb references [2] y")[0][2].endswith("\nb")
+    assert titles("```\nReferences [1] x") == ["Front Matter"] and titles(None) == []
 
 
 @pytest.mark.parametrize("size", [40, 100])

@@ -60,7 +60,7 @@ def test_vectors(spark):
     a, b = F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0))
     assert abs(one(spark, vectors.cosine(a, b)) - 0.5**0.5) < 1e-12
     assert one(spark, vectors.cosine(a, F.array(F.lit(0.0), F.lit(0.0)))) == 0
-    e = vectors.HashEmbedder(64)
+    e = vectors.TermHashing(64)
     assert e.embed("graph Graph retrieval") == e.embed("retrieval graph GRAPH")
     assert abs(sum(x * x for x in e.embed("graph")) - 1) < 1e-6
     assert not any(e.embed(None))
