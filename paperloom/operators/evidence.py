@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +20,7 @@ def _inner(c: Column) -> Column:
     return F.array_distinct(tokenize(F.regexp_replace(t, rf"({TOKEN})[^a-z0-9가-힣]*$", "")))
 
 
-def match_evidence(evidence: DataFrame, chunks: DataFrame, least: float = 0.75) -> DataFrame:
+def match_evidence(evidence: DataFrame, chunks: DataFrame, least: float = 0.75, live: DataFrame | None = None) -> DataFrame:
     """The chunk of each evidence text: ``evidence_id, chunk_id, tier, score``; texts without a match are left out.
 
     ``evidence(evidence_id, paper_id, text)`` is the query set, ``chunks(chunk_id, paper_id, chunk_index, text)`` is
@@ -31,57 +29,49 @@ def match_evidence(evidence: DataFrame, chunks: DataFrame, least: float = 0.75)
     it has one. The best tier wins, in it the highest share, then the first chunk by paper, index and id. Texts compare
     without case and extra white space; blank texts and those of figures and tables match nothing.
 
-    Pairs are found by keys that every match must share and are checked where they meet: a chunk that holds the evidence
-    has its rarest inner token; one with enough of its tokens has one of the rarest that cannot all be missing; one
-    inside it has each of its own inner tokens there. Texts without an inner token are met by characters, short evidence
-    (a word or two) as a list that goes with every chunk. Statistics of tokens are those of all chunks.
+    Pairs are found by keys that every match must share and are checked where they meet, in one pass over the chunks: a
+    chunk that holds the evidence has its rarest inner token; one with enough of its tokens has one of the rarest that
+    cannot all be missing; one inside it has its own longest inner token there; the same text has the same hash. Texts
+    without an inner token are met by their first characters, evidence of a word or two as a list that goes with every
+    chunk. Where ``chunks`` has several versions of a chunk, told apart by a column ``version``, ``live(chunk_id,
+    version)`` says which count; then no text is shuffled.
     """
+    key = ["chunk_id"] if live is None else ["chunk_id", "version"]
     e = evidence.select("evidence_id", F.col("paper_id").alias("want"), evidence_key(F.col("text")).alias("e"))
-    e = once(e.where((F.col("e") != "") & ~F.col("e").startswith("float selected")), {"et": F.array_distinct(tokenize(F.col("e"))), "inner": _inner(F.col("e"))})
-    e = cut(e)
-    c = once(chunks.select("chunk_id", "paper_id", "chunk_index", "text"), {"c": evidence_key(F.col("text"))}).drop("text").where(F.col("c") != "")
+    e = cut(once(e.where((F.col("e") != "") & ~F.col("e").startswith("float selected")), {"et": F.array_distinct(tokenize(F.col("e"))), "inner": _inner(F.col("e"))}))
+    longest = e.agg(F.coalesce(F.max(F.length("e")), F.lit(0)).alias("n")).collect()[0]["n"]
+    c = once(chunks.select(*key, "paper_id", "chunk_index", "text"), {"c": evidence_key(F.col("text"))}).drop("text").where(F.col("c") != "")
     c = once(c, {"ct": F.array_distinct(tokenize(F.col("c")))})
+    # How rare a token is only steers which keys are chosen, so all versions may count.
     asked = if_small(e.select(F.explode("et").alias("t")).distinct())
     df = c.select(F.explode("ct").alias("t")).join(asked, "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    # Per evidence: its rarest inner token, and as many of its rarest tokens as a chunk with enough of them cannot do without.
     known = e.select("evidence_id", F.explode("et").alias("t"), F.size("et").alias("n"), "inner").join(df, "t", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     ranked = known.groupBy("evidence_id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("r"), F.max("n").alias("n"), F.min(F.when(F.array_contains("inner", F.col("t")), F.struct("df", "t"))).alias("rare"))  # tokens of one text
     spare = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-4).cast("int") + 1
-    keys = ranked.select("evidence_id", F.explode(F.array_distinct(F.array_compact(F.concat(F.transform(F.slice("r", F.lit(1), spare), lambda s: s["t"]), F.array(F.col("rare.t")))))).alias("t"))
-    full = e.select("evidence_id", "want", "e", "et")
-    here = F.col("want").isNull() | (F.col("want") == F.col("paper_id"))
-    out = ["evidence_id", "want", "e", "et", "chunk_id", "paper_id", "chunk_index", "c", "ct"]
-    tokens = c.withColumn("t", F.explode("ct"))
-    keyed = cut(keys.join(full, "evidence_id"))
-    held = [tokens.join(if_small(keyed.where(F.col("want").isNull())), "t"), tokens.join(if_small(keyed.where(F.col("want").isNotNull()).withColumnRenamed("t", "u")), (F.col("t") == F.col("u")) & (F.col("paper_id") == F.col("want")))]
-    # The same text in a paper other than the evidence's own; in its own it shares the keys above or below.
-    held.append(c.join(if_small(full), F.col("c") == F.col("e")))
-    # Chunks inside the evidence: by their longest inner token, or by their first characters.
-    longest = c.where(F.length("c") <= F.lit(_longest(e))).withColumn("inner", _inner(F.col("c")))
-    longest = longest.withColumn("k", F.array_max(F.transform("inner", lambda x: F.struct(F.length(x).alias("n"), x.alias("t")))))
-    has = e.select("evidence_id", F.explode("inner").alias("t")).join(full, "evidence_id")
-    held.append(longest.where(F.col("k").isNotNull()).join(if_small(cut(has)), (F.col("k.t") == F.col("t")) & (F.length("c") <= F.length("e")) & here))
+    named = lambda kind, x: F.concat(F.lit(kind + ":"), x)
+    hashed = lambda x: named("x", F.xxhash64(x).cast("string"))
     starts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("e")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substr("e", i, n))))
-    grams = e.select("evidence_id", F.explode(F.array_distinct(starts)).alias("g"))
-    brief = longest.where(F.col("k").isNull())
-    met = brief.join(if_small(cut(grams)), F.substring("c", 1, GRAM) == F.col("g")).join(if_small(full), "evidence_id")
-    held.append(met.where(here))
-    # Evidence of a word or two: one row that every chunk meets.
-    short = e.where(F.size("inner") == 0).agg(F.collect_list(F.struct("evidence_id", "want", "e", "et")).alias("short"))
-    inside = F.filter("short", lambda s: F.contains(F.col("c"), s["e"]) & (s["want"].isNull() | (s["want"] == F.col("paper_id"))))
-    held.append(c.crossJoin(F.broadcast(short)).withColumn("hit", F.explode(inside)).select("*", "hit.*"))
+    mine = F.concat(F.array(hashed(F.col("e"))), F.transform("inner", lambda t: named("l", t)), F.transform(F.array_distinct(starts), lambda g: named("g", g)), F.when(F.size("inner") == 0, F.array(named("s", F.col("evidence_id")))).otherwise(F.array().cast("array<string>")))
+    keys = e.select("evidence_id", F.explode(mine).alias("k")).unionByName(ranked.select("evidence_id", F.explode(F.array_distinct(F.array_compact(F.concat(F.transform(F.slice("r", F.lit(1), spare), lambda s: named("t", s["t"])), F.array(named("t", F.col("rare.t"))))))).alias("k")))
+    keys = if_small(cut(keys.join(e.select("evidence_id", "want", "e", "et"), "evidence_id")))
+    short = e.where(F.size("inner") == 0).agg(F.collect_list(F.struct("evidence_id", "e")).alias("short"))  # a word or two each
+    none = F.array().cast("array<string>")
+    inner = F.transform(_inner(F.col("c")), lambda x: F.struct(F.length(x).alias("n"), x.alias("t")))
+    small = F.when(F.length("c") <= longest, F.coalesce(F.array(named("l", F.array_max(inner)["t"])), none)).otherwise(none)
+    small = F.transform(small, lambda k: F.coalesce(k, named("g", F.substring("c", 1, GRAM))))
+    held = F.transform(F.filter("short", lambda s: F.contains(F.col("c"), s["e"])), lambda s: named("s", s["evidence_id"]))
+    met = c.crossJoin(F.broadcast(short)).withColumn("k", F.explode(F.concat(F.transform("ct", lambda t: named("t", t)), F.array(hashed(F.col("c"))), small, held))).drop("short").join(keys, "k")
+    here = F.col("want").isNull() | (F.col("want") == F.col("paper_id"))
     share = F.when(F.size("et") > 0, F.round(F.size(F.array_intersect("et", "ct")) / F.size("et"), 6)).otherwise(0.0)
     tier = F.when(F.col("e") == F.col("c"), 1).when(here & F.contains("c", "e"), 2).when(here & F.contains("e", "c"), 3).when(here & (share >= least), 4)
-    found = reduce(DataFrame.unionByName, [h.select(*out) for h in held])
-    found = found.withColumn("tier", tier).where(F.col("tier").isNotNull()).withColumn("score", F.when(F.col("tier") == 4, share).otherwise(1.0))
+    found = met.withColumn("tier", tier).where(F.col("tier").isNotNull()).withColumn("score", F.when(F.col("tier") == 4, share).otherwise(1.0))
+    found = found.select("evidence_id", "tier", "score", "paper_id", "chunk_index", *key)
+    if live is not None:
+        found = live.select(*key).join(if_small(cut(found.distinct())), key).select(*found.columns)
     best = found.groupBy("evidence_id").agg(F.min(F.struct("tier", (-F.col("score")).alias("s"), "paper_id", "chunk_index", "chunk_id")).alias("b"))
     return best.select("evidence_id", F.col("b.chunk_id").alias("chunk_id"), F.col("b.tier").alias("tier"), (-F.col("b.s")).alias("score"))
 
 
-def _longest(e: DataFrame) -> int:
-    return e.agg(F.coalesce(F.max(F.length("e")), F.lit(0)).alias("n")).collect()[0]["n"]
-
-
 def conversion_counts(chunks: DataFrame, cases: DataFrame, asked: DataFrame, evidence: DataFrame, matches: DataFrame) -> DataFrame:
     """:func:`conversion_report` with how many chunks, papers and cases a conversion gave, and questions it left out."""
     c = chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("paper_id").alias("n_papers"))

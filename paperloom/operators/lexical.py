@@ -43,7 +43,8 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, live: DataFrame | None = No
     leave the scan of the corpus; null texts have no tokens.
 
     Where ``docs`` has several versions of a document, told apart by a column ``version``, ``live(doc_id, version)`` says
-    which of them count; equal rows count once. Texts are then never shuffled to find the version in force.
+    which of them count; equal rows count once. Texts are then never shuffled to find the version in force. With the
+    number of tokens as ``len`` in ``live`` the corpus is read once.
     """
     q = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     key = ["doc_id"] if live is None else ["doc_id", "version"]
@@ -54,7 +55,10 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, live: DataFrame | None = No
     held = rows.select(*key, "_row", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
     tf = held.groupBy(*key, "_row", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     size = d.select(*key, F.size("tokens").alias("len"))
-    if live is not None:
+    if live is not None and "len" in live.columns:
+        tf = tf.join(live.select(*key), key, "left_semi").groupBy("doc_id", "len", "term").agg(F.max("tf").alias("tf"))
+        size = live.select("doc_id", "len")
+    elif live is not None:
         wanted = live.select(*key)
         tf = tf.join(wanted, key, "left_semi").groupBy("doc_id", "len", "term").agg(F.max("tf").alias("tf"))
         size = size.join(wanted, key, "left_semi").groupBy("doc_id").agg(F.max("len").alias("len"))

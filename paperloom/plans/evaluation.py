@@ -97,17 +97,20 @@ def _evidence(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
     return said.unionByName(half.distinct())
 
 
-def _bodies(spark: SparkSession, sf: str) -> DataFrame:
-    return current_chunks(spark, sf, "paper_id", "chunk_index", "text")
+def _matches(spark: SparkSession, sf: str, e: DataFrame) -> DataFrame:
+    """Matches of evidence among the current chunks, whose texts stay where they are."""
+    version = F.xxhash64("paper_id", "chunk_index", "text").alias("version")
+    every = table(spark, sf, "chunks").select("chunk_id", version, "paper_id", "chunk_index", "text")
+    return evidence.match_evidence(e, every, live=current_chunks(spark, sf, version))
 
 
 def evidence_match(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.match_evidence(_evidence(spark, sf), _bodies(spark, sf))
+    return _matches(spark, sf, _evidence(spark, sf))
 
 
 def conversion_report(spark: SparkSession, sf: str) -> DataFrame:
     e = cut(_evidence(spark, sf, every=True))
-    return evidence.conversion_report(e, evidence.match_evidence(e, _bodies(spark, sf)))
+    return evidence.conversion_report(e, _matches(spark, sf, e))
 
 
 def _run_bm25(spark: SparkSession, sf: str) -> targets.Run:
