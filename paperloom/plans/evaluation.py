@@ -15,7 +15,7 @@ from paperloom.functions.vectors import TermHashing
 from paperloom.operators import evidence, graph, metrics, targets, testgen
 from paperloom.plans.network import _G, _cites
 from paperloom.plans.search import _BM25, CASES, CHUNKS, asked, cases, corpus, current_chunks, tok
-from paperloom.session import cut
+from paperloom.session import cut, spread
 from paperloom.sources.tables import table
 
 
@@ -100,7 +100,7 @@ def _evidence(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
 def _matches(spark: SparkSession, sf: str, e: DataFrame) -> DataFrame:
     """Matches of evidence among the current chunks, whose texts stay where they are."""
     version = F.xxhash64("paper_id", "chunk_index", "text").alias("version")
-    every = table(spark, sf, "chunks").select("chunk_id", version, "paper_id", "chunk_index", "text")
+    every = spread(table(spark, sf, "chunks").select("chunk_id", version, "paper_id", "chunk_index", "text"))
     return evidence.match_evidence(e, every, live=current_chunks(spark, sf, version))
 
 

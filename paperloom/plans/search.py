@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import ids, text
 from paperloom.operators import lexical
-from paperloom.session import cut
+from paperloom.session import cut, spread
 from paperloom.sources.tables import table
 
 
@@ -50,7 +50,7 @@ def corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """All versions ``doc_id, version, paper_id, text`` of the chunks, and which are searched: ``doc_id, version, paper_id,
     len`` with the number of tokens. The latter is written once, since several steps of a search read it."""
     version = F.xxhash64("paper_id", "is_references", "text").alias("version")
-    every = table(spark, sf, "chunks").select(F.col("chunk_id").alias("doc_id"), version, "paper_id", "text")
+    every = spread(table(spark, sf, "chunks").select(F.col("chunk_id").alias("doc_id"), version, "paper_id", "text"))
     size = F.size(text.tokenize(F.coalesce("text", F.lit("")))).alias("len")
     live = current_chunks(spark, sf, version, "paper_id", "is_references", size).where(~F.col("is_references"))
     return every, cut(live.select(F.col("chunk_id").alias("doc_id"), "version", "paper_id", "len"))
