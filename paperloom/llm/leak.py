@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.shingles import distinct_runs, word_runs
 from paperloom.operators.lexical import if_small
+from paperloom.session import spread
 
 K1, B = 1.5, 0.75
 RUN, SHARE_OF = 4, 3
@@ -172,7 +173,7 @@ def _search(documents: DataFrame, index: Index, run: int) -> DataFrame:
                 out += [(ids[owner[a]], ix.ids[i], held[i], sizes[i], s) for i, s in candidates if held[i] >= ix.needed[i]]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_runs", "n_item_runs", "score"])
 
-    return documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(search, FOUND)
+    return spread(documents.select("doc_id", "text").where(F.col("text").isNotNull())).mapInPandas(search, FOUND)
 
 
 def leak_report(found: DataFrame, items: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.components import components
 from paperloom.llm.shingles import constants, distinct_runs, mix
 from paperloom.operators.lexical import if_small
-from paperloom.session import cut, shared_dir
+from paperloom.session import cut, shared_dir, spread
 
 TRIES, MINIMA, BITS = 28, 3, 512
 #: Members of a cell above which it is cut into blocks whose pairs are spread over tasks.
@@ -91,7 +91,7 @@ def sketches(records: DataFrame, k: int, tries: int = TRIES, minima: int = MINIM
                     }
                 )
 
-    return records.select("kind", "id", "text").where(F.col("text").isNotNull() & F.col("id").isNotNull()).mapInPandas(sketch, SKETCH)
+    return spread(records.select("kind", "id", "text").where(F.col("text").isNotNull() & F.col("id").isNotNull())).mapInPandas(sketch, SKETCH)
 
 
 def mix_fast(x: np.ndarray, mult: np.uint64, add: np.uint64) -> np.ndarray:

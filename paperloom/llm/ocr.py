@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.operators.lexical import if_small
-from paperloom.session import cut, shared_dir
+from paperloom.session import cut, shared_dir, spread
 
 #: What scanners confuse, right and wrong.
 CONFUSIONS = (
@@ -202,7 +202,7 @@ def scanned(texts: DataFrame) -> DataFrame:
         if seen or other:
             yield counts()
 
-    return texts.select("chunk_id", "paper_id", "text").mapInArrow(run, _SQL_SCHEMA)
+    return spread(texts.select("chunk_id", "paper_id", "text")).mapInArrow(run, _SQL_SCHEMA)
 
 
 def _batch(columns: dict[str, list]) -> pa.RecordBatch:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.session import cut, shared_dir
+from paperloom.session import cut, shared_dir, spread
 
 BUCKETS = 1 << 17
 #: Labelled documents used to start and to calibrate: the first by a hash of their id.
@@ -121,7 +121,7 @@ def featurize(documents: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     spark = documents.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/features-{uuid.uuid4().hex}"
-    documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, sizes array<int>, bucket array<int>").write.parquet(at)
+    spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, sizes array<int>, bucket array<int>").write.parquet(at)
     return spark.read.parquet(at)
 
 
