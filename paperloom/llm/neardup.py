@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ SKETCH = "kind string, id string, c1 bigint, c2 bigint, n int, labels array<bigi
 
 
 def sketches(records: DataFrame, k: int, tries: int = TRIES, minima: int = MINIMA, bits: int = BITS, seed: int = 11) -> DataFrame:
-    """Class key (128 bits of the run set), number of runs, trie labels and parity sketch of ``records(kind, id, text)``.
+    """Class key (128 bits of kind and run set), number of runs, trie labels and parity sketch of ``records(kind, id, text)``.
 
     Records of one kind with equal run sets get equal rows apart from their id; a task gives labels and sketch only with the
     first of them, so a text copied over and over costs one row of labels per task. Texts without runs are dropped.
@@ -62,19 +63,19 @@ def sketches(records: DataFrame, k: int, tries: int = TRIES, minima: int = MINIM
                     continue
                 start = np.flatnonzero(np.diff(owner, prepend=-1))
                 n = np.diff(start, append=len(owner))
-                c1 = mix(np.add.reduceat(mix(runs ^ np.uint64(0xA5A5A5A5)), start)).view(np.int64)
-                c2 = mix(np.add.reduceat(mix(runs ^ np.uint64(0x5A5A5A5A)), start)).view(np.int64)
+                who = owner[start]
+                kinds = _kind_hash(batch["kind"].to_numpy()[who])
+                c1, c2 = _class_key(runs, start, kinds)
                 labels = np.zeros((tries, len(start)), np.uint64)
                 for i in range(tries * minima):
                     low = np.minimum.reduceat(mix_fast(runs, mults[i], adds[i]), start)
                     labels[i // minima] += low * joint[i % minima]
-                labels = mix(labels ^ np.arange(1, tries + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).T
+                labels = mix((labels + kinds) ^ np.arange(1, tries + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).T
                 row = np.repeat(np.arange(len(start)), n)
                 odd = np.bincount(row * bits + (runs % np.uint64(bits)).astype(np.int64), minlength=len(start) * bits) & 1
                 packed = np.packbits(odd.astype(np.uint8).reshape(len(start), bits), axis=1)
                 if len(seen) > 500_000:
                     seen.clear()
-                who = owner[start]
                 first = []
                 for key in zip(batch["kind"].to_numpy()[who].tolist(), c1.tolist(), c2.tolist(), strict=True):
                     first.append(key not in seen)
@@ -94,6 +95,19 @@ def sketches(records: DataFrame, k: int, tries: int = TRIES, minima: int = MINIM
     return spread(records.select("kind", "id", "text").where(F.col("text").isNotNull() & F.col("id").isNotNull())).mapInPandas(sketch, SKETCH)
 
 
+def _kind_hash(kinds: np.ndarray) -> np.ndarray:
+    """A number per kind, so that keys of different kinds never agree."""
+    known = {k: np.uint64(xxhash.xxh3_64_intdigest(k or "")) for k in set(kinds.tolist())}
+    return np.array([known[k] for k in kinds.tolist()], np.uint64)
+
+
+def _class_key(runs: np.ndarray, start: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class key of each run set (128 bits) of a kind."""
+    c1 = mix(np.add.reduceat(mix(runs ^ np.uint64(0xA5A5A5A5)), start) + kinds)
+    c2 = mix(np.add.reduceat(mix(runs ^ np.uint64(0x5A5A5A5A)), start))
+    return c1.view(np.int64), c2.view(np.int64)
+
+
 def mix_fast(x: np.ndarray, mult: np.uint64, add: np.uint64) -> np.ndarray:
     """One min-hash function over mixed hashes."""
     y = (x ^ add) * mult
@@ -236,22 +250,22 @@ def candidates(sketch: DataFrame, threshold: float, block: int = BLOCK) -> DataF
     sketch is moved. A cell of more than ``block`` classes is cut into blocks, and the pairs of its blocks are joined in
     separate tasks, so no task holds more than two blocks of one cell; none of its pairs is skipped.
     """
-    cell = ["kind", "label"]
-    members = sketch.where(F.col("labels").isNotNull()).select("kind", F.explode("labels").alias("label"), "c1")
-    w = W.partitionBy(*cell)
+    # Labels and class keys tell the kinds apart, so two numbers a row are all that is shuffled and sorted.
+    members = sketch.where(F.col("labels").isNotNull()).select(F.explode("labels").alias("label"), "c1")
+    w = W.partitionBy("label")
     several = members.withColumns({"low": F.min("c1").over(w), "high": F.max("c1").over(w)}).where(F.col("low") < F.col("high"))
-    shared = cut(several.select(*cell, "c1").distinct())
-    wanted = if_small(shared.select("kind", "c1").distinct(), MOST_SENT)
-    classes = sketch.where(F.col("bits").isNotNull()).select("kind", "c1", "c2", "n", "bits").join(wanted, ["kind", "c1"], "left_semi").dropDuplicates(["kind", "c1", "c2"])
+    shared = cut(several.select("label", "c1").distinct())
+    wanted = if_small(shared.select("c1").distinct(), MOST_SENT)
+    classes = sketch.where(F.col("bits").isNotNull()).select("kind", "c1", "c2", "n", "bits").join(wanted, "c1", "left_semi").dropDuplicates(["c1", "c2"])
     shared = shared.withColumn("m", F.count(F.lit(1)).over(w))
     n_blocks = F.ceil(F.col("m") / block).cast("int")
     mine = F.pmod(F.xxhash64("c1", F.lit(3)), n_blocks).cast("int")
     # Block b is sent to every pair of blocks {b, x}; in a small cell that is the one pair (0, 0).
-    routed = shared.withColumn("nb", n_blocks).withColumn("b", mine).select(*cell, "c1", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("x"))
-    routed = routed.select("kind", "label", "c1", "b", F.least("b", "x").alias("lo"), F.greatest("b", "x").alias("hi"))
-    loaded = routed.join(classes, ["kind", "c1"])
+    routed = shared.withColumn("nb", n_blocks).withColumn("b", mine).select("label", "c1", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("x"))
+    routed = routed.select("label", "c1", "b", F.least("b", "x").alias("lo"), F.greatest("b", "x").alias("hi"))
+    loaded = routed.join(classes, "c1")
     unit = F.xxhash64("label", "lo", "hi").alias("unit")
-    parts = loaded.select("kind", unit, "label", "lo", "hi", "b", "c1", "c2", "n", "bits").repartition("kind", "unit").sortWithinPartitions("kind", "unit", "label", "lo", "hi")
+    parts = loaded.select("kind", unit, "label", "lo", "hi", "b", "c1", "c2", "n", "bits").repartition("unit").sortWithinPartitions("unit", "label", "lo", "hi")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -259,7 +273,7 @@ def candidates(sketch: DataFrame, threshold: float, block: int = BLOCK) -> DataF
             if held is not None:
                 batch = pd.concat([held, batch], ignore_index=True)
             last = batch.iloc[-1]
-            tail = (batch["kind"] == last["kind"]) & (batch["label"] == last["label"]) & (batch["lo"] == last["lo"]) & (batch["hi"] == last["hi"])
+            tail = (batch["label"] == last["label"]) & (batch["lo"] == last["lo"]) & (batch["hi"] == last["hi"])
             held = batch[tail]
             if not tail.all():
                 yield from _join_units(batch[~tail], threshold)
@@ -276,7 +290,7 @@ def _join_units(batch: pd.DataFrame, threshold: float) -> Iterator[pd.DataFrame]
     label = batch["label"].to_numpy()
     bits = np.frombuffer(b"".join(batch["bits"]), np.uint8).reshape(len(batch), -1)
     new = np.ones(len(batch), bool)
-    new[1:] = (label[1:] != label[:-1]) | (kind[1:] != kind[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    new[1:] = (label[1:] != label[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
     edges = np.append(np.flatnonzero(new), len(batch))
     whole = lo[edges[:-1]] == hi[edges[:-1]]
     # Subtrees joined with themselves are walked together; rows between them belong to pairs of blocks.
@@ -332,9 +346,9 @@ def verified(pairs: DataFrame, sketch: DataFrame, records: DataFrame, k: int, th
             if not len(runs):
                 continue
             start = np.flatnonzero(np.diff(owner, prepend=-1))
-            c1 = mix(np.add.reduceat(mix(runs ^ np.uint64(0xA5A5A5A5)), start)).view(np.int64)
-            c2 = mix(np.add.reduceat(mix(runs ^ np.uint64(0x5A5A5A5A)), start)).view(np.int64)
-            yield pd.DataFrame({"kind": batch["kind"].to_numpy()[owner[start]], "c1": c1, "c2": c2, "runs": np.split(runs.view(np.int64), start[1:])})
+            kinds = batch["kind"].to_numpy()[owner[start]]
+            c1, c2 = _class_key(runs, start, _kind_hash(kinds))
+            yield pd.DataFrame({"kind": kinds, "c1": c1, "c2": c2, "runs": np.split(runs.view(np.int64), start[1:])})
 
     sets = texts.mapInPandas(runs_of, "kind string, c1 bigint, c2 bigint, runs array<bigint>").join(ends, ["kind", "c1", "c2"], "left_semi").dropDuplicates(["kind", "c1", "c2"])
     side = lambda x: sets.select("kind", F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"), F.col("runs").alias(f"{x}_runs"))
