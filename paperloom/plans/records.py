@@ -9,6 +9,8 @@ from paperloom.operators import records, report
 from paperloom.plans.evaluation import _R, responses
 from paperloom.plans.network import _G, _asked_papers, _cites, _seed_chunks
 from paperloom.plans.search import CASES, CHUNKS, PAPERS, cases, current_chunks, current_papers
+from paperloom.session import cut
+from paperloom.sources import benchmarks
 from paperloom.sources.tables import table
 
 
@@ -73,8 +75,50 @@ def packaged_cases(spark: SparkSession, sf: str) -> DataFrame:
     return records.package(cases(spark, sf), "packaged").select("case_id", F.array_join("tags", ",").alias("tags"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_scan, chunk_multi_get, raw_query, widened_chunks, graph_payload, vector_payload, index_outcomes, restore_contexts, triple_recovery, source_summary, export_report, packaged_cases)}
+def _contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """The cases as rows of a generated test set: question, answer and the texts of the gold chunks."""
+    c = cases(spark, sf).where(F.length("question") > 0)
+    gold = c.select("case_id", F.explode("gold_chunk_ids").alias("chunk_id")).distinct().join(current_chunks(spark, sf, "text"), "chunk_id")
+    texts = gold.groupBy("case_id").agg(F.array_sort(F.collect_set("text")).alias("reference_contexts"))  # of one case
+    return c.join(texts, "case_id", "left").groupBy(F.col("question").alias("user_input")).agg(F.min("gold_answer").alias("reference"), F.array_distinct(F.flatten(F.collect_list("reference_contexts"))).alias("reference_contexts"))
 
+
+def _listed(made: DataFrame) -> DataFrame:
+    return made.select("case_id", "question", F.array_join("gold_chunk_ids", ",").alias("gold_chunk_ids"), F.array_join("gold_paper_ids", ",").alias("gold_paper_ids"), "expected_scope")
+
+
+def imported_conversion(spark: SparkSession, sf: str) -> DataFrame:
+    """Cases from a generated test set."""
+    chunks = cut(current_chunks(spark, sf, "paper_id", "chunk_index", "text"))
+    made = benchmarks.imported_cases(_contexts(spark, sf), chunks)
+    return _listed(made).join(made.select("case_id", F.array_join("tags", ",").alias("tags")), "case_id")
+
+
+def _abstracts(spark: SparkSession, sf: str) -> DataFrame:
+    """Current papers with an abstract of some length, and its first half as evidence."""
+    p = current_papers(spark, sf, "title", "abstract", "source_url").withColumn("abstract", F.trim("abstract"))
+    return p.where((F.length("abstract") >= 80) & ~F.contains("abstract", F.lit("\n\n"))).withColumn("half", F.expr("left(abstract, length(abstract) div 2)"))
+
+
+def qasper_conversion(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks and cases of papers with questions: each abstract as a paper that is asked for its title."""
+    p = _abstracts(spark, sf).where(F.length("title") > 0)
+    answer = F.struct(F.struct(F.lit(False).alias("unanswerable"), F.array("half").alias("evidence"), F.col("title").alias("free_form_answer"), F.array().cast("array<string>").alias("extractive_spans")).alias("x"))
+    qas = F.struct(F.array("title").alias("question"), F.array("paper_id").alias("question_id"), F.array(F.struct(F.array(answer["x"]).alias("answer"))).alias("answers"))
+    rows = p.select(F.col("paper_id").alias("id"), "title", "abstract", F.lit(None).cast("struct<section_name: array<string>, paragraphs: array<array<string>>>").alias("full_text"), qas.alias("qas"))
+    return _listed(benchmarks.qasper(rows)[1])
+
+
+def graph_conversion(spark: SparkSession, sf: str) -> DataFrame:
+    """Cases without a corpus: answers only."""
+    q = cases(spark, sf).where(F.length("gold_answer") > 0).groupBy("question").agg(F.min("gold_answer").alias("answer"), F.min("case_id").alias("id"))
+    rows = q.select("id", "question", "answer", F.lit("").alias("question_type"), F.array().cast("array<string>").alias("evidence"))
+    return benchmarks.graph_bench(None, rows)[1].select("case_id", "question", "gold_answer", F.size("gold_chunk_ids").alias("n_gold"), "expected_scope")
+
+
+QUERIES = {f.__name__: f for f in (chunk_scan, chunk_multi_get, raw_query, widened_chunks, graph_payload, vector_payload, index_outcomes, restore_contexts, triple_recovery, source_summary, export_report, packaged_cases, imported_conversion, qasper_conversion, graph_conversion)}
+
+_KEY = "lower(trim(regexp_replace({c}, '\\s+', ' ', 'g')))"
 _T = f"WITH {CHUNKS}, {PAPERS}, {CASES}"
 _GP = f"""{_T}, gp AS (SELECT paper_id, CASE WHEN coalesce(trim(title), '') = '' THEN 'title' WHEN coalesce(trim(source_version), '') = '' THEN 'source_version' WHEN coalesce(trim(content_hash), '') = '' THEN 'content_hash' WHEN paper_id NOT IN (SELECT paper_id FROM cur_chunks) THEN 'chunks' END AS error FROM cur_papers)"""
 SQL = {
@@ -92,5 +136,15 @@ SQL = {
     + """, go AS (SELECT DISTINCT case_id, chunk_id FROM (SELECT case_id, unnest(gold_chunk_ids) chunk_id FROM cur_cases) WHERE chunk_id IN (SELECT chunk_id FROM cur_chunks)), kept AS (SELECT * FROM cur_cases WHERE case_id IN (SELECT case_id FROM go))
  SELECT 'total' AS measure, count(*) AS n FROM cur_cases UNION ALL SELECT 'exported', count(*) FROM kept UNION ALL SELECT 'dropped_no_gold', (SELECT count(*) FROM cur_cases) - (SELECT count(*) FROM kept) UNION ALL SELECT 'contexts_matched', count(*) FROM go
  UNION ALL SELECT 'tag:' || tag, count(*) FROM (SELECT DISTINCT case_id, unnest(tags) tag FROM kept) GROUP BY tag""",
+    "imported_conversion": _T
+    + f""", k AS (SELECT chunk_id, paper_id, chunk_index, {_KEY.replace("{c}", "text")} t FROM cur_chunks),
+ u AS (SELECT DISTINCT question, {_KEY.replace("{c}", "c.text")} t FROM (SELECT question, unnest(gold_chunk_ids) chunk_id FROM cur_cases WHERE length(question) > 0) JOIN cur_chunks c USING (chunk_id)),
+ b AS (SELECT question, t, first(chunk_id ORDER BY paper_id, chunk_index, chunk_id) chunk_id, first(paper_id ORDER BY paper_id, chunk_index, chunk_id) paper_id FROM u JOIN k USING (t) WHERE t <> '' AND NOT starts_with(t, 'float selected') GROUP BY 1, 2),
+ g AS (SELECT question, string_agg(DISTINCT chunk_id, ',' ORDER BY chunk_id) gold_chunk_ids, string_agg(DISTINCT paper_id, ',' ORDER BY paper_id) gold_paper_ids, count(DISTINCT chunk_id) n, count(DISTINCT paper_id) m FROM b GROUP BY 1)
+ SELECT 'imp-' || substr(sha1(question), 1, 12) AS case_id, question, gold_chunk_ids, gold_paper_ids, CASE WHEN m > 1 THEN 'global' ELSE 'selected' END AS expected_scope, CASE WHEN n > 1 THEN 'multi-hop' ELSE 'single-hop' END || ',' || CASE WHEN m > 1 THEN 'global' ELSE 'local' END AS tags FROM g""",
+    "qasper_conversion": _T
+    + """, a AS (SELECT paper_id, title, trim(abstract, ' ') t FROM cur_papers), p AS (SELECT 'arxiv:' || regexp_replace(paper_id, '^arxiv:', '') paper_id, title, t FROM a WHERE length(t) >= 80 AND NOT contains(t, chr(10) || chr(10)) AND length(title) > 0)
+ SELECT 'qasper-' || substr(sha1(paper_id || '|' || title), 1, 12) AS case_id, title AS question, paper_id || ':chunk:0:' || substr(sha256(t), 1, 8) AS gold_chunk_ids, paper_id AS gold_paper_ids, 'selected' AS expected_scope FROM p""",
+    "graph_conversion": _T + "SELECT 'graph-' || substr(sha1(question), 1, 12) AS case_id, question, min(gold_answer) AS gold_answer, CAST(0 AS INTEGER) AS n_gold, 'unknown' AS expected_scope FROM cur_cases WHERE length(gold_answer) > 0 AND length(question) > 0 GROUP BY question",
     "packaged_cases": _T + " SELECT case_id, array_to_string(list_distinct_ordered, ',') AS tags FROM (SELECT case_id, list_concat(list_filter(coalesce(tags, []), lambda x, i: list_position(tags, x) = i), ['packaged']) list_distinct_ordered FROM cur_cases)",
 }

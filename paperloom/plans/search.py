@@ -171,6 +171,9 @@ SQL = {
     "chunk_ids": r"""WITH c AS (SELECT DISTINCT paper_id || ':chunk:' || chunk_index || ':' || substr(sha256(text), 1, 8) AS chunk_id, text, paper_id, chunk_index FROM chunks),
  h AS (SELECT chunk_id, length(text) char_count, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('paperloom:chunk:' || chunk_id)) h FROM c)
  SELECT chunk_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || CASE WHEN substr(h, 17, 1) IN ('0', '4', '8', 'c') THEN '8' WHEN substr(h, 17, 1) IN ('1', '5', '9', 'd') THEN '9' WHEN substr(h, 17, 1) IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id, CAST(char_count AS INTEGER) AS char_count FROM h""",
+    "author_rows": f"""WITH {PAPERS}, a AS (SELECT paper_id, trim(name, ' ') n, CAST(i AS INTEGER) i FROM (SELECT paper_id, unnest(authors) name, generate_subscripts(authors, 1) - 1 i FROM cur_papers) WHERE trim(name, ' ') <> ''),
+ k AS (SELECT paper_id, i, n, trim(regexp_replace(lower(nfc_normalize(n)), '\\s+', ' ', 'g')) key FROM a)
+ SELECT paper_id, i AS author_order, n AS name, key AS name_key, 'author:provisional:' || substr(sha256(paper_id || '|' || i || '|' || key), 1, 20) AS author_id FROM k""",
     "markdown_clean": r"""WITH m AS (SELECT DISTINCT paper_id, text FROM paper_markdown), c AS (SELECT paper_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\n{3,}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g') t FROM m)
  SELECT paper_id, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS digest FROM c""",
     "page_body_validity": r"""WITH m AS (SELECT DISTINCT paper_id, text, source FROM paper_markdown), b AS (SELECT paper_id, source, trim(CASE WHEN instr(text, 'Markdown Content:') > 0 THEN substr(text, instr(text, 'Markdown Content:') + 17) ELSE text END, ' ') t FROM m)
