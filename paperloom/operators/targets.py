@@ -172,6 +172,39 @@ def build_target(spec: Mapping[str, Any]) -> Target:
     return TARGETS[kind](**(spec.get("options") or {}))
 
 
+class HookJudge:
+    """A judge of answers outside of Spark, asked case by case.
+
+    ``ask(question, evidence, answer)`` returns numbers by name, which become metrics ``judge.<name>``; other values are
+    left out. Blank answers score 0 without being asked about. If asking fails, faithfulness and relevance do not apply and
+    ``judge.error`` is 1. The evidence is cut to ``most_evidence`` characters, which is what the judge is given to read.
+    """
+
+    def __init__(self, name: str, ask: Callable[[str, str, str], Mapping[str, Any]], most_evidence: int = 6000, parallel: int = 4):
+        self.name, self.ask, self.most_evidence, self.parallel = name, ask, most_evidence, parallel
+
+    def score(self, told: DataFrame) -> DataFrame:
+        ask = self.ask
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows: list[tuple] = []
+                for case, question, evidence, answer in zip(batch["case_id"], batch["question"], batch["evidence"], batch["answer"], strict=True):
+                    if not (answer or "").strip():
+                        rows += [(case, "judge.faithfulness", 0.0), (case, "judge.relevance", 0.0)]
+                        continue
+                    try:
+                        said = {k: float(v) for k, v in ask(question, evidence, answer).items() if isinstance(v, int | float) and not isinstance(v, bool)}
+                        rows += [(case, f"judge.{k}", v) for k, v in said.items() if v == v]
+                    except Exception:  # noqa: BLE001
+                        rows.append((case, "judge.error", 1.0))
+                yield pd.DataFrame(rows, columns=["case_id", "metric", "value"])
+
+        text = F.array_join(F.filter(F.coalesce("evidence", F.array().cast("array<string>")), lambda x: F.length(x) > 0), "\n")
+        asked = told.select("case_id", "question", F.substring(text, 1, self.most_evidence).alias("evidence"), "answer")
+        return cut(asked.repartition(self.parallel).mapInPandas(run, "case_id string, metric string, value double"))
+
+
 @dataclass
 class Run:
     """What a suite came to: long metric rows of the cases without error, and the responses."""
@@ -188,11 +221,12 @@ class Run:
         return metrics.macro_mean(self.values).select("metric", "mean").unionByName(ops)
 
 
-def run_suite(target: Target, cases: DataFrame, suite: str = "full", ks: tuple[int, ...] = metrics.KS, limit: int | None = None, manifest: Mapping[str, object] | None = None) -> Run:
+def run_suite(target: Target, cases: DataFrame, suite: str = "full", ks: tuple[int, ...] = metrics.KS, limit: int | None = None, manifest: Mapping[str, object] | None = None, judge: HookJudge | None = None) -> Run:
     """Answer all ``cases`` (or the first ``limit`` by id) and score the answers.
 
     ``retrieval`` scores ranks and routing, ``generation`` answers and citations, ``extraction`` triples, ``full`` all.
-    Cases with an error have no values and count for the error rate alone.
+    Cases with an error have no values and count for the error rate alone. A ``judge`` takes the place of the heuristic one
+    where answers are scored.
     """
     if suite not in SUITES:
         raise ValueError(f"suite must be one of {SUITES}: {suite}")
@@ -200,7 +234,11 @@ def run_suite(target: Target, cases: DataFrame, suite: str = "full", ks: tuple[i
     responses = cut(target.respond(asked))
     told = asked.join(responses.where(F.col("error").isNull()), "case_id")
     values = score(told, suite, ks)
-    return Run(suite, target.name, values, responses, dict(manifest or {}) | {"suite": suite, "target": target.name})
+    judged = suite in ("generation", "full")
+    if judge is not None and judged:
+        values = values.where(~F.col("metric").startswith("judge.")).unionByName(judge.score(told))
+    named = (judge.name if judge else "heuristic") if judged else None
+    return Run(suite, target.name, values, responses, dict(manifest or {}) | {"suite": suite, "target": target.name, "judge": named})
 
 
 def score(told: DataFrame, suite: str = "full", ks: tuple[int, ...] = metrics.KS) -> DataFrame:

@@ -113,22 +113,22 @@ def conversion_report(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.conversion_report(e, _matches(spark, sf, e))
 
 
-def _run_bm25(spark: SparkSession, sf: str) -> targets.Run:
-    """Retrieval and answers of BM25 for the asked cases, scored."""
+def run_lexical(spark: SparkSession, sf: str, all_cases: bool = False) -> targets.Run:
+    """Retrieval and answers of BM25 for the asked or for all cases, scored."""
     every, live = corpus(spark, sf)
     number = F.regexp_extract("case_id", r"(\d+)$", 1).cast("bigint")
-    told = cases(spark, sf).where(number % 50 == 0)
+    told = cases(spark, sf) if all_cases else cases(spark, sf).where(number % 50 == 0)
     run = targets.run_suite(targets.LexicalTarget(every, live), told, "retrieval")
     run.values = run.values.unionByName(targets.score(told.join(run.responses, "case_id"), "generation"))
     return run
 
 
 def run_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.rounded(_run_bm25(spark, sf).values)
+    return metrics.rounded(run_lexical(spark, sf).values)
 
 
 def run_bm25_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.rounded(_run_bm25(spark, sf).aggregate(), "mean")
+    return metrics.rounded(run_lexical(spark, sf).aggregate(), "mean")
 
 
 def run_hybrid(spark: SparkSession, sf: str) -> DataFrame:

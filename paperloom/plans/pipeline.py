@@ -29,7 +29,7 @@ def chunk_fixed_split(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.split_texts(table(spark, sf, "documents"))
 
 
-def _pending(spark: SparkSession, sf: str) -> indexing.Load:
+def pending_load(spark: SparkSession, sf: str) -> indexing.Load:
     """The load of the papers that wait for it, with the texts fetched so far."""
     p = latest(table(spark, sf, "papers"), "paper_id", "title", "authors", "published_at", "source_version", "content_hash", "processing_status")
     bodies = table(spark, sf, "paper_markdown").select("paper_id", "text", F.lit(None).cast("string").alias("error"))
@@ -38,12 +38,12 @@ def _pending(spark: SparkSession, sf: str) -> indexing.Load:
 
 def indexing_job(spark: SparkSession, sf: str) -> DataFrame:
     """How each waiting paper fares: fetch, chunks, graph, vectors."""
-    return _pending(spark, sf).outcomes.select("paper_id", "ok", F.coalesce("stage", F.lit("written")).alias("stage"))
+    return pending_load(spark, sf).outcomes.select("paper_id", "ok", F.coalesce("stage", F.lit("written")).alias("stage"))
 
 
 def indexing_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Papers, chunks and points of the load."""
-    return _pending(spark, sf).summary()
+    return pending_load(spark, sf).summary()
 
 
 def seed_graph(spark: SparkSession, sf: str) -> DataFrame:

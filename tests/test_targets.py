@@ -90,3 +90,15 @@ def test_a_service_that_fails_is_an_error_row(spark):
     assert agg["operational.error_rate"] == pytest.approx(2 / 3, abs=1e-6) and {c for c, _ in values(run)} == {"1"}
     bad = {x["case_id"]: x["error"] for x in T.RemoteTarget(lambda q, p: (200, "<html>" if p else "[1]")).respond(cases(spark)).collect()}
     assert all(e.startswith("invalid_json") for e in bad.values())
+
+
+def test_a_judge_that_fails_does_not_apply(spark):
+    def ask(question, evidence, answer):
+        if question.startswith("sparse"):
+            raise OSError("down")
+        return {"faithfulness": 0.5, "relevance": 1, "note": "fine", "sure": True}
+
+    run = T.run_suite(T.LexicalTarget(corpus(spark)), cases(spark), "generation", judge=T.HookJudge("hook", ask))
+    v = {k: x for k, x in values(run).items() if k[1].startswith("judge.")}
+    assert v == {("1", "judge.faithfulness"): 0.5, ("1", "judge.relevance"): 1.0, ("2", "judge.error"): 1.0, ("3", "judge.faithfulness"): 0.0, ("3", "judge.relevance"): 0.0}
+    assert run.manifest["judge"] == "hook" and T.run_suite(T.LexicalTarget(corpus(spark)), cases(spark), "retrieval").manifest["judge"] is None
