@@ -160,8 +160,10 @@ def project_responses(raw: DataFrame) -> DataFrame:
     )
 
 
-#: Kinds of targets by name; each makes one from options.
-TARGETS: dict[str, Callable[..., Target]] = {"lexical": LexicalTarget, "lexical_baseline": LexicalTarget, "hybrid": HybridTarget, "graphrag_hybrid": HybridTarget, "remote": RemoteTarget, "http": RemoteTarget}
+#: Kinds of targets by name; each makes one from options. The names configurations use.
+TARGETS: dict[str, Callable[..., Target]] = {
+    "lexical": LexicalTarget, "lexical_baseline": LexicalTarget, "mock": LexicalTarget, "hybrid": HybridTarget, "graphrag_hybrid": HybridTarget, "remote": RemoteTarget, "http": RemoteTarget, "http_backend": RemoteTarget,
+}
 
 
 def build_target(spec: Mapping[str, Any]) -> Target:
