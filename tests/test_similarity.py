@@ -1,9 +1,11 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import similarity as S
-from paperloom.operators.lexical import bm25_scores, extractive_answers, route, top_k
+from paperloom.operators.lexical import bm25_best, bm25_scores, extractive_answers, route, routed_hits, top_k
 
 
 def points(spark, n=40, seed=3):
@@ -78,3 +80,21 @@ def test_only_some_papers(spark):
     for bad in ({"k": 0}, {"k": 1, "scopes": ("none",)}):
         with pytest.raises(ValueError):
             S.vector_lists(q, p, **bad)
+
+
+def test_best_scores_are_enough_for_hits_and_routes(spark):
+    r = random.Random(5)
+    vocab = [f"w{i}" for i in range(30)]
+    docs = [(f"d{i:03}", f"p{i % 7}", " ".join(r.choice(vocab) for _ in range(r.choice([0, 1, 3, 9])))) for i in range(300)]
+    docs += [("n", "p1", None)]
+    asked = [(f"q{i}", " ".join(r.choice([*vocab, "zebra"]) for _ in range(4)), r.choice(["p0", "p1", "gone", None])) for i in range(25)] + [("none", "", "p0")]
+    d = spark.createDataFrame(docs, "doc_id string, paper_id string, text string").repartition(3)
+    q = spark.createDataFrame(asked, "query_id string, text string, paper_id string")
+    every = d.withColumn("version", F.lit(1)).unionByName(d.withColumn("version", F.lit(0)).withColumn("text", F.lit("w1 w2 w3")))
+    live = d.select("doc_id", "paper_id", F.lit(1).alias("version"))
+    whole = bm25_scores(q, d)
+    for best in (bm25_best(q, d, k=3), bm25_best(q, every.unionByName(every), live, 3)):
+        best = best.cache()
+        assert best.count() < whole.count() / 4
+        for made in (lambda s: top_k(s, 3), lambda s: route(s, d, q), lambda s: routed_hits(s, d, q, route(s, d, q), 3)):
+            assert sorted(map(str, made(best).collect())) == sorted(map(str, made(whole).collect()))
