@@ -98,3 +98,14 @@ def test_best_scores_are_enough_for_hits_and_routes(spark):
         assert best.count() < whole.count() / 4
         for made in (lambda s: top_k(s, 3), lambda s: route(s, d, q), lambda s: routed_hits(s, d, q, route(s, d, q), 3)):
             assert sorted(map(str, made(best).collect())) == sorted(map(str, made(whole).collect()))
+
+
+def test_answers_come_without_the_scores_of_all_pairs(spark, monkeypatch):
+    from paperloom.operators import lexical
+    from paperloom.plans import search
+
+    def pairs(*_, **__):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(lexical, "bm25_scores", pairs)
+    assert search.bm25_extractive_answer(spark, "/root/testdata/sf0.01").count() == 2
