@@ -102,3 +102,12 @@ def test_a_judge_that_fails_does_not_apply(spark):
     v = {k: x for k, x in values(run).items() if k[1].startswith("judge.")}
     assert v == {("1", "judge.faithfulness"): 0.5, ("1", "judge.relevance"): 1.0, ("2", "judge.error"): 1.0, ("3", "judge.faithfulness"): 0.0, ("3", "judge.relevance"): 0.0}
     assert run.manifest["judge"] == "hook" and T.run_suite(T.LexicalTarget(corpus(spark)), cases(spark), "retrieval").manifest["judge"] is None
+
+
+def test_a_run_writes_no_table_of_all_pairs(spark, monkeypatch):
+    def pairs(*_, **__):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(T.lexical, "bm25_scores", pairs)
+    r = {x["case_id"]: x["ranked"] for x in T.LexicalTarget(corpus(spark), top_k=2).respond(cases(spark)).collect()}
+    assert r == {"1": ["a:0"], "2": ["b:0", "b:1"], "3": None}
