@@ -68,3 +68,14 @@ def test_empty_sides(spark):
     c = spark.createDataFrame([], SCHEMA)
     assert E.match_evidence(ev, c).count() == 0 and E.match_evidence(ev.limit(0), c).count() == 0
     assert E.conversion_report(ev.limit(0), E.match_evidence(ev.limit(0), c)).first()["match_rate"] == 1.0
+
+
+def test_only_what_is_asked_is_written(spark, monkeypatch):
+    written = []
+    cut = E.cut
+    monkeypatch.setattr(E, "cut", lambda df: written.append(made := cut(df)) or made)
+    body = " ".join(f"word{i} model{i}" for i in range(200))
+    ev = spark.createDataFrame([("a", None, body + " end"), ("b", None, body)], "evidence_id string, paper_id string, text string")
+    c = spark.createDataFrame([("c", "p", 0, body), ("d", "p", 1, "x " + body)], SCHEMA)
+    assert sorted(map(tuple, E.match_evidence(ev, c).collect())) == [("a", "c", 3, 1.0), ("b", "c", 1, 1.0)]
+    assert max(df.count() for df in written) < 1000
