@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from paperloom.operators import records, report
 from paperloom.plans.evaluation import _R, responses
 from paperloom.plans.network import _G, _asked_papers, _cites, _seed_chunks
-from paperloom.plans.search import CASES, CHUNKS, PAPERS, cases, current_chunks, current_papers
-from paperloom.session import cut
+from paperloom.plans.search import CASES, CHUNKS, PAPERS, cases, current_among, current_chunks, current_papers
+from paperloom.session import cut, spread
 from paperloom.sources import benchmarks
 from paperloom.sources.tables import table
 
@@ -78,7 +78,8 @@ def packaged_cases(spark: SparkSession, sf: str) -> DataFrame:
 def _contexts(spark: SparkSession, sf: str) -> DataFrame:
     """The cases as rows of a generated test set: question, answer and the texts of the gold chunks."""
     c = cases(spark, sf).where(F.length("question") > 0)
-    gold = c.select("case_id", F.explode("gold_chunk_ids").alias("chunk_id")).distinct().join(current_chunks(spark, sf, "text"), "chunk_id")
+    gold = c.select("case_id", F.explode("gold_chunk_ids").alias("chunk_id")).distinct()
+    gold = gold.join(current_among(spark, sf, gold, "text"), "chunk_id")
     texts = gold.groupBy("case_id").agg(F.array_sort(F.collect_set("text")).alias("reference_contexts"))  # of one case
     return c.join(texts, "case_id", "left").groupBy(F.col("question").alias("user_input")).agg(F.min("gold_answer").alias("reference"), F.array_distinct(F.flatten(F.collect_list("reference_contexts"))).alias("reference_contexts"))
 
@@ -89,8 +90,9 @@ def _listed(made: DataFrame) -> DataFrame:
 
 def imported_conversion(spark: SparkSession, sf: str) -> DataFrame:
     """Cases from a generated test set."""
-    chunks = cut(current_chunks(spark, sf, "paper_id", "chunk_index", "text"))
-    made = benchmarks.imported_cases(_contexts(spark, sf), chunks)
+    version = F.xxhash64("paper_id", "chunk_index", "text").alias("version")
+    every = spread(table(spark, sf, "chunks").select("chunk_id", version, "paper_id", "chunk_index", "text"))
+    made = cut(benchmarks.imported_cases(_contexts(spark, sf), every, cut(current_chunks(spark, sf, version, "paper_id"))))
     return _listed(made).join(made.select("case_id", F.array_join("tags", ",").alias("tags")), "case_id")
 
 

@@ -40,9 +40,9 @@ def qasper(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chunks, _cases(a.select("case_id", "question", "paper_id", text.alias("gold_answer")), evidence, chunks)
 
 
-def _cases(base: DataFrame, evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+def _cases(base: DataFrame, evidence: DataFrame, chunks: DataFrame, live: DataFrame | None = None) -> DataFrame:
     e = evidence.withColumn("evidence_id", F.concat_ws("|", "case_id", F.sha1("text")))
-    gold = e.select("evidence_id", "case_id").distinct().join(match_evidence(e, chunks), "evidence_id").join(chunks.select("chunk_id", F.col("paper_id").alias("p")), "chunk_id")
+    gold = e.select("evidence_id", "case_id").distinct().join(match_evidence(e, chunks, live=live), "evidence_id").join((chunks if live is None else live).select("chunk_id", F.col("paper_id").alias("p")), "chunk_id")
     per = gold.groupBy("case_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("gold_chunk_ids"), F.array_sort(F.collect_set("p")).alias("gold_paper_ids"))
     out = base.join(per, "case_id", "left").where(F.col("gold_chunk_ids").isNotNull() | (F.length("gold_answer") > 0))
     empty = F.array().cast("array<string>")
@@ -89,12 +89,12 @@ def graph_bench(corpus: DataFrame | None, questions: DataFrame) -> tuple[DataFra
     return chunks, _cases(q.select("case_id", "question", F.lit(None).cast("string").alias("paper_id"), F.col("answer").alias("gold_answer")), evidence, chunks)
 
 
-def imported_cases(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+def imported_cases(rows: DataFrame, chunks: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """Cases of generated test sets ``user_input, reference, reference_contexts``: contexts become gold ids by the tiered
-    matcher, cases without any are dropped; the tags tell hops and scope."""
+    matcher, cases without any are dropped; the tags tell hops and scope. ``live(chunk_id, version, paper_id)`` as there."""
     q = rows.where(F.length("user_input") > 0).withColumn("case_id", F.concat(F.lit("imp-"), F.substring(F.sha1("user_input"), 1, 12)))
     evidence = q.select("case_id", F.lit(None).cast("string").alias("paper_id"), F.explode("reference_contexts").alias("text")).where(F.length("text") > 0)
-    cases = _cases(q.select("case_id", F.col("user_input").alias("question"), F.lit(None).cast("string").alias("paper_id"), F.col("reference").alias("gold_answer")), evidence, chunks).where(F.size("gold_chunk_ids") > 0)
+    cases = _cases(q.select("case_id", F.col("user_input").alias("question"), F.lit(None).cast("string").alias("paper_id"), F.col("reference").alias("gold_answer")), evidence, chunks, live).where(F.size("gold_chunk_ids") > 0)
     hops = F.when(F.size("gold_chunk_ids") > 1, "multi-hop").otherwise("single-hop")
     return cases.withColumn("tags", F.array(hops, F.when(F.size("gold_paper_ids") > 1, "global").otherwise("local")))
 

@@ -164,3 +164,13 @@ def test_graph_bench_and_imports(spark):
     assert none.count() == 0 and [r["expected_scope"] for r in answers.collect()] == ["unknown"]
     rows_ = spark.createDataFrame([("U?", "r", ["kernel fact number one is"]), ("V?", "r", ["nothing of it"])], "user_input string, reference string, reference_contexts array<string>")
     assert [r["tags"] for r in benchmarks.imported_cases(rows_, chunks).collect()] == [["single-hop", "local"]]
+
+
+def test_imported_conversion_writes_no_texts(spark, monkeypatch):
+    from paperloom.plans import records as plans
+
+    written = []
+    cut = plans.cut
+    monkeypatch.setattr(plans, "cut", lambda df: written.append(df.columns) or cut(df))
+    assert plans.imported_conversion(spark, "/root/testdata/sf0.001").columns == ["case_id", "question", "gold_chunk_ids", "gold_paper_ids", "expected_scope", "tags"]
+    assert not [c for c in written if "text" in c]
