@@ -111,3 +111,9 @@ def test_a_run_writes_no_table_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(T.lexical, "bm25_scores", pairs)
     r = {x["case_id"]: x["ranked"] for x in T.LexicalTarget(corpus(spark), top_k=2).respond(cases(spark)).collect()}
     assert r == {"1": ["a:0"], "2": ["b:0", "b:1"], "3": None}
+
+
+def test_the_summary_of_a_run_needs_no_scores_of_all_pairs(spark, monkeypatch):
+    monkeypatch.delattr(T.lexical, "bm25_scores")
+    agg = {x["metric"]: x["mean"] for x in T.run_suite(T.LexicalTarget(corpus(spark)), cases(spark), "retrieval").aggregate().collect()}
+    assert agg["operational.case_count"] == 3 and agg["recall@3"] == pytest.approx(2 / 3)
