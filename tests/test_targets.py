@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.vectors import TermHashing
 from paperloom.operators import targets as T
+from paperloom.plans import evaluation
 
 CASES = "case_id string, question string, paper_id string, gold_chunk_ids array<string>, gold_paper_ids array<string>, grades map<string,int>, expected_scope string, gold_answer string, must_include array<string>, gold_triples array<struct<subject string, predicate string, object string, chunk_id string, confidence double>>, tags array<string>"
 DOCS = [("a:0", "a", "Graph walks find sparse trees. They are short.", 0), ("a:1", "a", "Nothing of note here.", 1), ("b:0", "b", "Sparse trees are pruned early. Then they grow.", 2), ("b:1", "b", "Sparse trees are pruned early. Then they grow.", 3), ("c:0", "c", "Ranking of lists by scores.", 4)]
@@ -117,3 +118,22 @@ def test_the_summary_of_a_run_needs_no_scores_of_all_pairs(spark, monkeypatch):
     monkeypatch.delattr(T.lexical, "bm25_scores")
     agg = {x["metric"]: x["mean"] for x in T.run_suite(T.LexicalTarget(corpus(spark)), cases(spark), "retrieval").aggregate().collect()}
     assert agg["operational.case_count"] == 3 and agg["recall@3"] == pytest.approx(2 / 3)
+
+
+def test_the_summary_writes_rows_by_documents_and_not_by_pairs(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i:03}", i, "p", f"alpha beta w{i}", 3) for i in range(400)], "doc_id string, version int, paper_id string, text string, len int")
+    told = spark.createDataFrame([(f"c-{50 * i}", f"alpha w{i}", "p", [f"d{i:03}"], ["p"], None, "selected", None, None, None, []) for i in range(20)], CASES)
+    monkeypatch.setattr(evaluation, "corpus", lambda *_: (docs.drop("len"), docs.drop("text")))
+    monkeypatch.setattr(evaluation, "cases", lambda *_: told)
+    written = []
+
+    def counted(df, cut=T.cut):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(T, "cut", counted)
+    monkeypatch.setattr(T.lexical, "cut", counted)
+    mean = {r["metric"]: r["mean"] for r in evaluation.run_bm25_summary(spark, "").collect()}
+    assert mean["recall@1"] == mean["mrr"] == mean["routing.accuracy"] == 1.0 and mean["precision@10"] == 0.1 and mean["operational.case_count"] == 20
+    assert 400 <= max(written) < 20 * 400 / 4
